@@ -103,7 +103,11 @@ def transpose_packed(packed: DataFrame) -> DataFrame:
         F.sequence(F.lit(0).cast("bigint"), m * n - 1),
         lambda k: F.element_at(F.col("cells"), (F.pmod(k, m) * n + F.floor(k / m) + 1).cast("int")),
     )
-    return packed.select("matrix_id", n.alias("n_rows"), m.alias("n_cols"), F.when(m * n > 0, cells).otherwise(F.array().cast("array<double>")).alias("cells"))
+    # cells first: a later alias named n_rows would otherwise be picked up as a lateral alias
+    out = packed.select("matrix_id", n.alias("_t_rows"), m.alias("_t_cols"),
+                        F.when(m * n > 0, cells).otherwise(F.array().cast("array<double>")).alias("_t_cells"))
+    return out.select("matrix_id", F.col("_t_rows").alias("n_rows"), F.col("_t_cols").alias("n_cols"),
+                      F.col("_t_cells").alias("cells"))
 
 
 def transpose_cells(cells: DataFrame) -> DataFrame:
