@@ -51,12 +51,20 @@ def embedding_packed(spark: SparkSession, sf_dir: str, n_rows: int = 16, n_cols:
 def events_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV: matrix per day (days since 2024-01-01), row per user, counts per event type."""
     ev = table(spark, sf_dir, "events")
-    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    day = F.expr(day_index_sql("spark"))
     counts = ev.groupBy(day.cast("bigint").alias("matrix_id"), F.col("user_id").cast("bigint").alias("r")).agg(
         *[F.sum(F.when(F.col("event_type") == t, 1).otherwise(0)).cast("double").alias(t) for t in EVENT_TYPES])
     return counts.select("matrix_id", "r", F.array(*[F.col(t) for t in EVENT_TYPES]).alias("x"))
 
 
+def day_index_sql(dialect: str, col: str = "ts") -> str:
+    """Days since 2024-01-01 as BIGINT. ``ts`` is TIMESTAMP_NTZ, so the date cast does not
+    depend on the session time zone."""
+    if dialect == "spark":
+        return f"CAST(datediff(CAST({col} AS DATE), DATE '2024-01-01') AS BIGINT)"
+    return f"CAST(date_diff('day', DATE '2024-01-01', CAST({col} AS DATE)) AS BIGINT)"
+
+
 def cells_of(packed: DataFrame) -> DataFrame:
     return forms.packed_to_cells(packed)
 
@@ -74,7 +82,7 @@ def sql_events_wide() -> str:
         f"CAST(SUM(CASE WHEN event_type = '{t}' THEN 1 ELSE 0 END) AS DOUBLE) AS x{j}"
         for j, t in enumerate(EVENT_TYPES))
     return (
-        "SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS mid, "
+        f"SELECT CAST({day_index_sql('duckdb')} AS BIGINT) AS mid, "
         f"CAST(user_id AS BIGINT) AS r, {cols} FROM events GROUP BY 1, 2"
     )
 
