@@ -96,7 +96,9 @@ def svd_batch(packed: DataFrame, eps: float = DEFAULT_EPS, max_sweeps: int = DEF
               with_u: bool = True) -> DataFrame:
     """Batch strategy: solve every packed matrix inside the task that holds it."""
     _guard_arrow_batch(packed)
-    ordered = packed.select("matrix_id", "n_rows", "n_cols", "cells").sortWithinPartitions("n_cols", "n_rows")
+    ordered = packed.select("matrix_id", "n_rows", "n_cols", "cells")
+    if not ordered.isStreaming:  # sorting by shape only makes longer equal-shape stacks
+        ordered = ordered.sortWithinPartitions("n_cols", "n_rows")
     return ordered.mapInPandas(_batch_solver(eps, max_sweeps, with_u), RESULT_SCHEMA)
 
 

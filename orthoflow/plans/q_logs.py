@@ -166,6 +166,12 @@ def _records(spark, sf_dir):
     return logs.build_records(logs.classify(log_lines(spark, sf_dir)), listing(spark, sf_dir))
 
 
+ORACLES_RUN_STATUS = _records_sql() + """
+SELECT "case", mode, run_index, source_log, command, CAST(n_warnings AS INTEGER) AS n_warnings,
+       CAST(n_errors AS INTEGER) AS n_errors, CAST(n_generated AS INTEGER) AS n_generated,
+       CAST(n_reports AS INTEGER) AS n_reports, CAST(n_artifacts AS INTEGER) AS n_artifacts, status FROM rec"""
+
+
 @register("run_status", _records_sql() + """
 SELECT "case", mode, run_index, source_log, command, CAST(n_warnings AS INTEGER) AS n_warnings,
        CAST(n_errors AS INTEGER) AS n_errors, CAST(n_generated AS INTEGER) AS n_generated,

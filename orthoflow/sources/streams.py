@@ -62,10 +62,10 @@ def parse_txt(files: DataFrame, text_col: str = "value") -> DataFrame:
     """(path, seq, n_rows, n_cols, cells) from whole-text rows; bad input fails the job."""
     text = F.regexp_replace(F.col(text_col), r"\r\n", "\n")
     blocks = F.split(F.concat(F.lit("\n"), text, F.lit("\n")), _BLANK_RUN)
-    ex = files.select("path", F.posexplode(blocks).alias("_b", "block")).filter(F.trim("block") != "")
-    seq = F.row_number().over(Window.partitionBy("path").orderBy("_b")) - 1
+    kept = F.filter(blocks, lambda b: F.trim(F.regexp_replace(b, r"\s+", " ")) != "")
+    ex = files.select("path", F.posexplode(kept).alias("seq", "block"))
     lines = F.filter(F.split(F.trim(F.col("block"), F.lit("\n")), "\n"), lambda s: F.trim(s) != "")
-    rows = ex.select("path", seq.cast("bigint").alias("seq"), lines.alias("lines"))
+    rows = ex.select("path", F.col("seq").cast("bigint").alias("seq"), lines.alias("lines"))
     toks = F.transform("lines", lambda ln: F.split(F.trim(F.regexp_replace(ln, r"[ \t\f\v\r]+", " ")), " "))
     parsed = rows.select("path", "seq", toks.alias("toks"))
     width = F.size(F.element_at("toks", 1))
