@@ -142,7 +142,7 @@ def validate_packed(packed: DataFrame, strict: bool = True) -> tuple[DataFrame,
                 F.raise_error(F.concat(F.lit("invalid testcase "), F.col("matrix_id").cast("string"),
                                        F.lit(": "), F.col("reject_reason"))),
             ).alias("_check"),
-        ).drop("_check", "reject_reason")
+        ).filter(F.col("_check").isNull()).drop("_check", "reject_reason")  # a filter keeps the check from pruning
         return good, tagged.filter(F.lit(False))
     return (
         tagged.filter(F.col("reject_reason").isNull()).drop("reject_reason"),

@@ -44,8 +44,11 @@ def write_mat(packed: DataFrame, path: str, mode: str = "errorifexists", order_c
               parts: int | None = None) -> None:
     """S3: range-partition by the order column, sort inside, one ordered part file per task."""
     matstream.register(packed.sparkSession)
+    if mode not in ("errorifexists", "error", "overwrite"):
+        raise ValueError(f"unsupported save mode for matrix streams: {mode}")
     ordered = _ordered(packed, order_col, parts)
-    ordered.write.format("matstream").mode(mode).save(path)
+    # The writer refuses a non-empty output folder unless the mode is overwrite
+    ordered.write.format("matstream").mode("overwrite" if mode == "overwrite" else "append").save(path)
 
 
 def _ordered(df: DataFrame, order_col: str, parts: int | None) -> DataFrame:
