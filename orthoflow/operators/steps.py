@@ -112,10 +112,17 @@ def jacobi_round(state: DataFrame, n: int, rnd: int, eps: float = DEFAULT_EPS,
 
 
 def jacobi_sweep(state: DataFrame, n: int, eps: float = DEFAULT_EPS, broadcast_stats: bool = False) -> DataFrame:
-    """Every round of one sweep; column ``rot`` ends true where anything rotated."""
+    """Every round of one sweep; column ``rot`` ends true where anything rotated.
+
+    Each round reads its input twice (statistics and the join back), so every round's
+    output is persisted: without it the chain would recompute earlier rounds 2^k times.
+    No action is run here; the first stage reading a round fills its cache.
+    """
+    from pyspark import StorageLevel
+
     state = state.withColumn("rot", F.lit(False))
     for rnd in range(len(round_robin_pairs(n))):
-        state = jacobi_round(state, n, rnd, eps, broadcast_stats)
+        state = jacobi_round(state, n, rnd, eps, broadcast_stats).persist(StorageLevel.MEMORY_AND_DISK)
     return state
 
 
