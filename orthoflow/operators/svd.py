@@ -37,22 +37,17 @@ FACTORS_SCHEMA = (
 )
 R_SCHEMA = "matrix_id bigint, part bigint, n_rows bigint, n_cols bigint, r_rows bigint, r_cells array<double>"
 
-# A packed row goes to the tall path from this many elements on (8 MB of doubles).
-TALL_MIN_ELEMENTS = 1 << 20
+# A packed row goes to the tall path from this many elements on (512 KB of doubles), which
+# bounds the memory of one Arrow batch of packed matrices without changing session settings.
+TALL_MIN_ELEMENTS = 1 << 16
 # Rows gathered per matrix inside a task before they are folded into R.
 FOLD_ROWS = 4096
 # Largest factor table (matrices x n^2 doubles) joined by broadcast for U.
 BROADCAST_FACTOR_BYTES = 64 << 20
-# Matrices per Arrow batch for the batch strategy; a row is a whole matrix.
+# Matrices stacked into one numpy array by the batch strategy.
 ARROW_MATRICES_PER_BATCH = 256
 
 
-def _guard_arrow_batch(df: DataFrame) -> None:
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_MATRICES_PER_BATCH))
-
-
 def _check_shape(mid, m, n, ncells):
     if m <= 0 or n <= 0:
         raise ValueError(f"invalid testcase {mid}: zero dimension")
@@ -70,23 +65,25 @@ def _batch_solver(eps: float, max_sweeps: int, with_u: bool = True):
             if pdf.empty:
                 continue
             out = []
-            for (m, n), grp in pdf.groupby(["n_rows", "n_cols"], sort=False):
+            for (m, n), whole in pdf.groupby(["n_rows", "n_cols"], sort=False):
                 m, n = int(m), int(n)
-                cells = grp["cells"].tolist()
-                for mid, cl in zip(grp["matrix_id"].tolist(), cells):
-                    _check_shape(mid, m, n, len(cl))
-                stack = np.stack([np.asarray(c, dtype=np.float64) for c in cells]).reshape(len(cells), m, n)
-                u, sigma, v, sweeps, conv = svd_stack(stack, eps, max_sweeps)
-                out.append(pd.DataFrame({
-                    "matrix_id": grp["matrix_id"].to_numpy(),
-                    "n_rows": m,
-                    "n_cols": n,
-                    "u": list(u.reshape(len(cells), m * n)) if with_u else [None] * len(cells),
-                    "sigma": list(sigma),
-                    "v": list(v.reshape(len(cells), n * n)),
-                    "sweeps": sweeps.astype(np.int32),
-                    "converged": conv,
-                }))
+                for lo in range(0, len(whole), ARROW_MATRICES_PER_BATCH):  # bounded numpy stacks
+                    grp = whole.iloc[lo:lo + ARROW_MATRICES_PER_BATCH]
+                    cells = grp["cells"].tolist()
+                    for mid, cl in zip(grp["matrix_id"].tolist(), cells):
+                        _check_shape(mid, m, n, len(cl))
+                    stack = np.stack([np.asarray(c, dtype=np.float64) for c in cells]).reshape(len(cells), m, n)
+                    u, sigma, v, sweeps, conv = svd_stack(stack, eps, max_sweeps)
+                    out.append(pd.DataFrame({
+                        "matrix_id": grp["matrix_id"].to_numpy(),
+                        "n_rows": m,
+                        "n_cols": n,
+                        "u": list(u.reshape(len(cells), m * n)) if with_u else [None] * len(cells),
+                        "sigma": list(sigma),
+                        "v": list(v.reshape(len(cells), n * n)),
+                        "sweeps": sweeps.astype(np.int32),
+                        "converged": conv,
+                    }))
             yield pd.concat(out, ignore_index=True)
 
     return solve
@@ -95,7 +92,6 @@ def _batch_solver(eps: float, max_sweeps: int, with_u: bool = True):
 def svd_batch(packed: DataFrame, eps: float = DEFAULT_EPS, max_sweeps: int = DEFAULT_MAX_SWEEPS,
               with_u: bool = True) -> DataFrame:
     """Batch strategy: solve every packed matrix inside the task that holds it."""
-    _guard_arrow_batch(packed)
     ordered = packed.select("matrix_id", "n_rows", "n_cols", "cells")
     if not ordered.isStreaming:  # sorting by shape only makes longer equal-shape stacks
         ordered = ordered.sortWithinPartitions("n_cols", "n_rows")
