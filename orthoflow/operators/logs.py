@@ -280,3 +280,43 @@ def count_by_sets(df: DataFrame, a: str, b: str) -> DataFrame:
     """Counts by a, by b and overall in one pass (GROUPING SETS)."""
     return df.groupingSets([[a], [b], []], a, b).agg(
         F.count(F.lit(1)).cast("bigint").alias("n"), F.grouping_id(a, b).cast("int").alias("gid"))
+
+
+# ---- file-based scans of a run tree (S8, J6 listing, S10, S11, S12) -----------------
+
+def list_artifacts(spark: SparkSession, run_dir: str) -> DataFrame:
+    """Artifact files under <run>/<case>/<mode>/ as paths relative to the run.
+
+    Only the path column is selected, so the binary source does not read file contents;
+    zero-length files are not listed by Spark's file scans.
+    """
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "run_*")
+             .option("recursiveFileLookup", "true").load(run_dir).select("path"))
+    return files.select(F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+)$", 1).alias("path"))
+
+
+def read_ncu_csv(spark: SparkSession, run_dir: str) -> DataFrame:
+    """Every '<mode>/run_N_*.csv' export, header row, all columns as strings, known metrics only."""
+    raw = spark.read.option("header", "true").option("inferSchema", "false").csv(f"{run_dir.rstrip('/')}/*/*/run_*.csv")
+    rel = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)/(run_[0-9]+)_[^/]*\.csv$", 0)
+    log = F.regexp_replace(rel, r"^(.*)/(run_[0-9]+)_[^/]*\.csv$", "$1/$2.log")
+    keep = [c for c in NCU_METRICS if c in raw.columns]
+    return raw.select(log.alias("source_log"), *[F.col(f"`{c}`") for c in keep])
+
+
+def read_nsys_json(spark: SparkSession, run_dir: str, report: str = "cuda_api_sum") -> DataFrame:
+    """S11: '<mode>/run_N_<report>.json' exports (a JSON array of rows), with the row order kept."""
+    raw = spark.read.option("multiLine", "true").json(f"{run_dir.rstrip('/')}/*/*/run_*_{report}.json")
+    path = F.col("_metadata.file_path")
+    log = F.regexp_replace(F.regexp_extract(path, r"([^/]+/[^/]+/run_[0-9]+)_[^/]*\.json$", 1), "$", ".log")
+    # one multiLine file is one task, so the id is increasing in file order
+    return raw.select(log.alias("source_log"), "*", F.monotonically_increasing_id().alias("row_no"))
+
+
+def write_records(records: DataFrame, out_dir: str, mode: str = "errorifexists") -> None:
+    """Records as JSON lines and the summary as CSV with a header."""
+    records.write.mode(mode).json(f"{out_dir.rstrip('/')}/records")
+
+
+def write_summary_csv(summary: DataFrame, out_dir: str, mode: str = "errorifexists") -> None:
+    summary.write.mode(mode).option("header", "true").csv(f"{out_dir.rstrip('/')}/summary")

@@ -82,9 +82,24 @@ def initial_state(rows: DataFrame, n: int) -> DataFrame:
     return a.unionByName(v)
 
 
+# Most matrices whose per-round statistics (one small row each) are broadcast.
+STATS_BROADCAST_LIMIT = 100_000
+
+
+def stats_broadcastable(state: DataFrame, limit: int = STATS_BROADCAST_LIMIT) -> bool:
+    """Size check for broadcasting per-matrix statistics: count the matrices once."""
+    return state.select("matrix_id").distinct().limit(limit + 1).count() <= limit
+
+
 def jacobi_round(state: DataFrame, n: int, rnd: int, eps: float = DEFAULT_EPS,
-                 broadcast_stats: bool = False) -> DataFrame:
-    """All pairs of round ``rnd`` for all matrices: one aggregate, one join."""
+                 broadcast_stats: bool | None = None) -> DataFrame:
+    """All pairs of round ``rnd`` for all matrices: one aggregate, one join.
+
+    The statistics table has one row per matrix; it is broadcast when the matrix count is
+    checked to be small (then the state is never shuffled), else joined by shuffle.
+    """
+    if broadcast_stats is None:
+        broadcast_stats = stats_broadcastable(state)
     pairs = round_robin_pairs(n)[rnd]
     if not pairs:
         return state
@@ -111,7 +126,8 @@ def jacobi_round(state: DataFrame, n: int, rnd: int, eps: float = DEFAULT_EPS,
     return joined.select("matrix_id", "kind", "r", F.array(*new_x).alias("x"), (F.col("rot") | any_rot).alias("rot"))
 
 
-def jacobi_sweep(state: DataFrame, n: int, eps: float = DEFAULT_EPS, broadcast_stats: bool = False) -> DataFrame:
+def jacobi_sweep(state: DataFrame, n: int, eps: float = DEFAULT_EPS, broadcast_stats: bool | None = None,
+                 persisted: list | None = None) -> DataFrame:
     """Every round of one sweep; column ``rot`` ends true where anything rotated.
 
     Each round reads its input twice (statistics and the join back), so every round's
@@ -120,9 +136,13 @@ def jacobi_sweep(state: DataFrame, n: int, eps: float = DEFAULT_EPS, broadcast_s
     """
     from pyspark import StorageLevel
 
+    if broadcast_stats is None:
+        broadcast_stats = stats_broadcastable(state)
     state = state.withColumn("rot", F.lit(False))
     for rnd in range(len(round_robin_pairs(n))):
         state = jacobi_round(state, n, rnd, eps, broadcast_stats).persist(StorageLevel.MEMORY_AND_DISK)
+        if persisted is not None:
+            persisted.append(state)
     return state
 
 
@@ -151,14 +171,16 @@ def svd_relational(rows: DataFrame, n: int, eps: float = DEFAULT_EPS, max_sweeps
     checkpointed to the configured checkpoint folder to cut lineage.
     Returns (factors[matrix_id, sigma, v, sweeps, converged], u_rows).
     """
-    n_matrices = rows.select("matrix_id").distinct().count()
-    bc = n_matrices <= broadcast_limit
+    bc = stats_broadcastable(rows, broadcast_limit)
     state = initial_state(rows, n).checkpoint()
     done = None
     sweep = 0
     while sweep < max_sweeps:
         sweep += 1
-        state = jacobi_sweep(state, n, eps, bc).withColumn("sweeps", F.lit(sweep)).checkpoint()
+        cached: list = []
+        state = jacobi_sweep(state, n, eps, bc, cached).withColumn("sweeps", F.lit(sweep)).checkpoint()
+        for df in cached:  # the checkpoint holds the sweep now
+            df.unpersist()
         flags = convergence_flags(state)
         clean = state.join(flags.filter(~F.col("rotated")), "matrix_id", "left_semi")
         still = state.join(flags.filter(F.col("rotated")), "matrix_id", "left_semi")

@@ -36,7 +36,7 @@ def _load_all() -> None:
     from orthoflow.plans import q_svd  # noqa: F401
     from orthoflow.plans import q_forms  # noqa: F401
     from orthoflow.plans import q_steps  # noqa: F401
-    for mod in ("q_io", "q_generate", "q_logs", "q_compare", "q_stream"):
+    for mod in ("q_io", "q_generate", "q_logs", "q_compare", "q_stream", "q_runtree"):
         try:
             __import__(f"orthoflow.plans.{mod}")
         except ModuleNotFoundError as exc:  # modules land one by one

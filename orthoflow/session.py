@@ -49,6 +49,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the checkpoint root for tables written to cut lineage."""
     root = ensure_checkpoint_dir(spark)
     import uuid
+    from urllib.parse import urlparse
+
+    if root.startswith("file:"):
+        # a plain path, so Python file APIs (the matstream source) and Spark agree on it
+        root = urlparse(root).path
 
     path = os.path.join(root, "orthoflow-tables", f"{name}-{uuid.uuid4().hex[:12]}")
     return path

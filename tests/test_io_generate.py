@@ -94,3 +94,21 @@ def test_gen_uniform_svd_matches_numpy(spark, sf):
     for r in packed.collect():
         a = np.array(r["cells"]).reshape(r["n_rows"], r["n_cols"])
         assert np.allclose(sorted(res[r["matrix_id"]], reverse=True), np.linalg.svd(a, compute_uv=False), rtol=1e-9)
+
+
+def test_factor_sink_and_report_sinks(spark, sf):
+    from orthoflow.operators import logs, svd
+
+    res = svd.svd(fx.embedding_packed(spark, sf, 16, 4).filter(F.col("matrix_id") < 5), strategy="batch")
+    fp = streams.factor_packed(res).withColumnRenamed("seq", "matrix_id")
+    out = scratch_dir(spark, "t-factors")
+    streams.write_mat(fp, out, parts=2)
+    back = streams.with_stream_index(streams.read_mat(spark, out)).orderBy("matrix_id").collect()
+    assert [(r["n_rows"], r["n_cols"]) for r in back[:3]] == [(16, 4), (1, 4), (4, 4)]
+    assert len(back) == 15
+    rep = svd.svd_report(res)
+    d = scratch_dir(spark, "t-report")
+    logs.write_records(res.select("matrix_id", "sigma", "sweeps"), d)
+    logs.write_summary_csv(rep, d)
+    assert spark.read.json(d + "/records").count() == 5
+    assert spark.read.option("header", "true").csv(d + "/summary").first()["testcase_count"] == "5"
