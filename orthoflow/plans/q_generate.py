@@ -53,7 +53,7 @@ pref AS (SELECT *, SUM(weight) OVER (ORDER BY shape_ix ROWS BETWEEN UNBOUNDED PR
 
 def _shaped_sql(o: gen.GenOptions) -> str:
     k = gen.candidate_count(o)
-    u = gen.uniform_sql(str(o.seed), "file_index", "case_index", "-1", "-1", "7", dialect="duckdb")
+    u = gen.uniform_sql(str(o.seed), "file_index", "case_index", "-1", "-1", "7", dialect="duckdb", fn=o.hash_fn)
     if o.shape_distribution == "uniform":
         pick = f"LEAST(CAST(FLOOR({u} * {k}) AS BIGINT), {k - 1})"
         body = f"SELECT file_index, case_index, {pick} AS pick FROM cases"
@@ -76,7 +76,7 @@ _POLICIES = {"grid": "grid", "uniform": "uniform", "log_uniform": "log-uniform",
 
 
 def _register_shape(key: str, policy: str):
-    o = gen.GenOptions(shape_distribution=policy, allow_wide=(policy == "wide"))
+    o = gen.GenOptions(shape_distribution=policy, allow_wide=(policy == "wide"), hash_fn="md5")
 
     @register(f"choose_shape_{key}", _shaped_sql(o) + "\nSELECT file_index, case_index, n_rows, n_cols FROM shaped")
     def q(spark, sf_dir):
@@ -111,7 +111,7 @@ SELECT file_index, case_index, n_rows, n_cols, r, c, ROUND(lr + {noise}, 6) + 0.
 
 
 def _register_values(key: str, dist: str):
-    o = gen.GenOptions(value_distribution=dist)
+    o = gen.GenOptions(value_distribution=dist, hash_fn="md5")  # md5: DuckDB recomputes the same values
 
     @register(f"gen_{key}", _cells_sql(o))
     def q(spark, sf_dir):
