@@ -384,3 +384,18 @@ def coerce_values(spark, sf_dir):
     cv = logs.coerce_value(F.col("raw"))
     return r.select("event_id", "raw", cv["as_int"].alias("as_int"), cv["as_float"].alias("as_float"),
                     cv["as_text"].alias("as_text"), logs.float_or_zero(F.col("raw")).alias("or_zero"))
+
+
+@register("kernel_time", f"""
+WITH nc AS (SELECT {source_log_sql('duckdb')} AS source_log,
+                   CASE WHEN {K} % 13 = 0 THEN '' ELSE 'kernel_' || CAST(user_id % 3 AS VARCHAR) END AS kernel,
+                   CASE WHEN {K} % 7 = 0 THEN 'n/a' ELSE {_dec(CENTS)} END AS dur
+            FROM events WHERE {K} % 10 = 3 AND user_id % 4 >= 2)
+SELECT source_log, kernel, CAST(COUNT(*) AS BIGINT) AS launches,
+       ROUND(SUM(COALESCE(TRY_CAST(dur AS DOUBLE), 0.0)), 6) AS gpu_time_duration_sum
+FROM nc WHERE kernel <> '' GROUP BY 1, 2""")
+def kernel_time(spark, sf_dir):
+    """Per log and kernel, launches and summed duration (non-numeric counts 0)."""
+    _, by_kernel = logs.ncu_by_kernel(_ncu_rows(spark, sf_dir))
+    return by_kernel.select("source_log", "kernel", "launches",
+                            F.round("gpu_time_duration_sum", 6).alias("gpu_time_duration_sum"))
