@@ -42,6 +42,8 @@ R_SCHEMA = "matrix_id bigint, part bigint, n_rows bigint, n_cols bigint, r_rows
 TALL_MIN_ELEMENTS = 1 << 16
 # Rows gathered per matrix inside a task before they are folded into R.
 FOLD_ROWS = 4096
+# Rows held by one task over all its matrices before everything is folded.
+TASK_HELD_ROWS = 1 << 18
 # Largest factor table (matrices x n^2 doubles) joined by broadcast for U.
 BROADCAST_FACTOR_BYTES = 64 << 20
 # Matrices stacked into one numpy array by the batch strategy.
@@ -110,6 +112,7 @@ def _local_r(batches):
     counts: dict[int, int] = {}
     widths: dict[int, int] = {}
     held: dict[int, int] = {}
+    total = floor = 0
     for pdf in batches:
         if pdf.empty:
             continue
@@ -124,10 +127,21 @@ def _local_r(batches):
             pending.setdefault(mid, []).append(block)
             counts[mid] = counts.get(mid, 0) + len(xs)
             held[mid] = held.get(mid, 0) + len(xs)
+            total += len(xs)
             if held[mid] >= max(FOLD_ROWS, 4 * width):
+                total -= held[mid]
                 r = r_factor(np.vstack(pending[mid]))
                 pending[mid] = [r]
                 held[mid] = r.shape[0]
+                total += held[mid]
+        if total > max(TASK_HELD_ROWS, 2 * floor):
+            # many matrices in one task: fold them all so held rows stay bounded (at most
+            # twice the irreducible R state, which re-arms the trigger without thrashing)
+            for mid in pending:
+                r = r_factor(np.vstack(pending[mid]))
+                pending[mid] = [r]
+                held[mid] = r.shape[0]
+            total = floor = sum(held.values())
     rows = []
     for mid, blocks in pending.items():
         r = r_factor(np.vstack(blocks))

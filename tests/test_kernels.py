@@ -61,3 +61,22 @@ def test_r_factor_keeps_singular_values():
     r = r_factor(a)
     assert r.shape == (6, 6)
     assert np.allclose(np.linalg.svd(r, compute_uv=False), np.linalg.svd(a, compute_uv=False))
+
+
+def test_local_r_folds_many_matrices(monkeypatch):
+    """The per-task partial R keeps singular values when the task-wide fold kicks in."""
+    import pandas as pd
+
+    from orthoflow.operators import svd
+
+    monkeypatch.setattr(svd, "TASK_HELD_ROWS", 50)
+    rng = np.random.default_rng(11)
+    mats = {mid: rng.normal(size=(int(rng.integers(5, 40)), 3)) for mid in range(30)}
+    rows = [(mid, list(x)) for mid, a in mats.items() for x in a]
+    rng.shuffle(rows)
+    batches = [pd.DataFrame(rows[i:i + 37], columns=["matrix_id", "x"]) for i in range(0, len(rows), 37)]
+    out = pd.concat(list(svd._local_r(iter(batches))))
+    for rec in out.itertuples():
+        r = np.asarray(rec.r_cells).reshape(rec.r_rows, 3)
+        assert rec.n_rows == len(mats[rec.matrix_id])
+        assert np.allclose(np.linalg.svd(r, compute_uv=False), np.linalg.svd(mats[rec.matrix_id], compute_uv=False))
