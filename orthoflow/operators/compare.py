@@ -42,18 +42,30 @@ def profile_distribution(df: DataFrame, keys: list[str], value: str) -> DataFram
                                  F.max(v).alias("max"), F.count(v).cast("bigint").alias("n"))
 
 
-def concurrency(intervals: DataFrame, group: str, start: str, end: str, levels: tuple[int, ...] = (2, 4)) -> DataFrame:
+def concurrency(intervals: DataFrame, group: str, start: str, end: str, levels: tuple[int, ...] = (2, 4),
+                buckets: int = 1024) -> DataFrame:
     """Sweep line per group over numeric [start, end) intervals.
 
-    The +1/-1 events are first summed per (group, time point), so the running-sum window
-    works on distinct time points only, never on the raw interval rows.
+    The +1/-1 events are summed per (group, time point) first. The running sum is then a
+    two-level prefix sum: per-bucket totals (at most ``buckets`` rows per group) get their
+    offsets from a small window, and the window over time points runs per (group, bucket),
+    so one busy group is spread over many tasks instead of one.
     """
     ev = intervals.select(group, F.col(start).alias("t"), F.lit(1).alias("d")).unionByName(
         intervals.select(group, F.col(end).alias("t"), F.lit(-1).alias("d")))
     pts = ev.groupBy(group, "t").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(group).orderBy("t")
-    active = pts.select(group, "t", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("a"),
-                        (F.lead("t").over(w) - F.col("t")).alias("w"))
+    rng = pts.groupBy(group).agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"))
+    width = F.greatest(F.lit(1.0), (F.col("_t1") - F.col("_t0") + 1) / F.lit(float(buckets)))
+    pb = pts.join(rng, group).withColumn("_b", F.floor((F.col("t") - F.col("_t0")) / width).cast("bigint"))
+    bsum = pb.groupBy(group, "_b").agg(F.sum("d").alias("_bd"), F.min("t").alias("_bfirst"))
+    wb = Window.partitionBy(group).orderBy("_b")
+    boff = bsum.select(group, "_b", F.sum("_bd").over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("_off"),
+                       F.lead("_bfirst").over(wb).alias("_next"))
+    wt = Window.partitionBy(group, "_b").orderBy("t")
+    active = pb.join(boff, [group, "_b"]).select(
+        group, "t",
+        (F.coalesce(F.col("_off"), F.lit(0)) + F.sum("d").over(wt.rowsBetween(Window.unboundedPreceding, 0))).alias("a"),
+        (F.coalesce(F.lead("t").over(wt), F.col("_next")) - F.col("t")).alias("w"))
     dur = intervals.groupBy(group).agg(F.sum(F.col(end) - F.col(start)).alias("total_duration"),
                                        F.count(F.lit(1)).cast("bigint").alias("intervals"))
     span = (F.max("t") - F.min("t"))
