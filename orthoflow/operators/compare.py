@@ -7,12 +7,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def case_timing(runs: DataFrame, keys: list[str], elapsed: str, testcases: str, sweeps: str) -> DataFrame:
+def case_timing(runs: DataFrame, keys: list[str], elapsed: str, testcases: str, sweeps: str,
+                exact: bool = True) -> DataFrame:
     """Runs, mean and median elapsed, time per testcase and per sweep, sweeps per testcase."""
+    from orthoflow.operators.logs import median_of
+
     e, t, s = F.col(elapsed), F.col(testcases), F.col(sweeps)
     return runs.groupBy(*keys).agg(
         F.count(F.lit(1)).cast("bigint").alias("runs"), F.avg(e).alias("mean_elapsed"),
-        F.median(e).alias("median_elapsed"), (F.sum(e) / F.sum(t)).alias("per_testcase"),
+        median_of(e, exact).alias("median_elapsed"), (F.sum(e) / F.sum(t)).alias("per_testcase"),
         (F.sum(e) / F.sum(s)).alias("per_sweep"), (F.sum(s) / F.sum(t)).alias("sweeps_per_testcase"))
 
 
@@ -35,10 +38,12 @@ def share_of_total(df: DataFrame, value: str, partition: list[str] | None = None
     return df.withColumn("share_pct", F.lit(100.0) * F.col(value) / F.sum(value).over(w))
 
 
-def profile_distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def profile_distribution(df: DataFrame, keys: list[str], value: str, exact: bool = True) -> DataFrame:
     """Min / median / mean / max of a metric per variant."""
+    from orthoflow.operators.logs import median_of
+
     v = F.col(value)
-    return df.groupBy(*keys).agg(F.min(v).alias("min"), F.median(v).alias("median"), F.avg(v).alias("mean"),
+    return df.groupBy(*keys).agg(F.min(v).alias("min"), median_of(v, exact).alias("median"), F.avg(v).alias("mean"),
                                  F.max(v).alias("max"), F.count(v).cast("bigint").alias("n"))
 
 

@@ -267,12 +267,19 @@ def latest_runs(names: DataFrame, name_col: str = "name") -> DataFrame:
 
 # ---- A7, A8, E3, E4 -----------------------------------------------------------------
 
-def numeric_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def median_of(v: Column, exact: bool = True) -> Column:
+    """Exact median (midpoint of the two middle values; its buffer counts distinct values of
+    the group) or, with exact=False, percentile_approx with a fixed-size sketch for groups
+    with very many distinct values."""
+    return F.median(v) if exact else F.percentile_approx(v, 0.5, 10000)
+
+
+def numeric_summary(df: DataFrame, keys: list[str], value: str, exact: bool = True) -> DataFrame:
     """Count, min, max, mean, median, sample stdev (NULL for a single value)."""
     v = F.col(value)
     return df.groupBy(*keys).agg(
         F.count(v).cast("bigint").alias("count"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.avg(v).alias("mean"), F.median(v).alias("median"),
+        F.avg(v).alias("mean"), median_of(v, exact).alias("median"),
         F.when(F.count(v) > 1, F.stddev_samp(v)).alias("stdev"))
 
 
