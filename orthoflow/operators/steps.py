@@ -130,9 +130,12 @@ def jacobi_sweep(state: DataFrame, n: int, eps: float = DEFAULT_EPS, broadcast_s
                  persisted: list | None = None) -> DataFrame:
     """Every round of one sweep; column ``rot`` ends true where anything rotated.
 
-    Each round reads its input twice (statistics and the join back), so every round's
-    output is persisted: without it the chain would recompute earlier rounds 2^k times.
-    No action is run here; the first stage reading a round fills its cache.
+    Each round reads its input twice (statistics and the join back). Chained as plain
+    DataFrames the logical plan would double with every round (2^(n-1) copies of the
+    input plan to analyse), so every round is persisted and cut off by a reliable,
+    non-eager checkpoint: the plan of a round is a leaf scan of the previous one, nothing
+    runs here, the first job computes each round once (from the cache) and the checkpoint
+    files land in the configured checkpoint folder.
     """
     from pyspark import StorageLevel
 
@@ -140,9 +143,10 @@ def jacobi_sweep(state: DataFrame, n: int, eps: float = DEFAULT_EPS, broadcast_s
         broadcast_stats = stats_broadcastable(state)
     state = state.withColumn("rot", F.lit(False))
     for rnd in range(len(round_robin_pairs(n))):
-        state = jacobi_round(state, n, rnd, eps, broadcast_stats).persist(StorageLevel.MEMORY_AND_DISK)
+        cached = jacobi_round(state, n, rnd, eps, broadcast_stats).persist(StorageLevel.MEMORY_AND_DISK)
+        state = cached.checkpoint(eager=False)
         if persisted is not None:
-            persisted.append(state)
+            persisted.append(cached)
     return state
 
 
