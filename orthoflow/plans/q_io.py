@@ -29,7 +29,8 @@ def mat_roundtrip(spark, sf_dir):
     """EMB 16 x 4 written as a binary stream (ordered parts), read back, cells."""
     out = scratch_dir(spark, "mat-roundtrip")
     streams.write_mat(fx.embedding_packed(spark, sf_dir, 16, 4), out, mode="overwrite", parts=4)
-    return _stream_cells(streams.read_mat(spark, out, chunk_bytes=4096))
+    # split every part file into ~64 KB ranges so that range planning is exercised too
+    return _stream_cells(streams.read_mat(spark, out, chunk_bytes=65536, split_min_bytes=0))
 
 
 @register("txt_roundtrip", _ordinal_cells_sql(8))

@@ -4,9 +4,10 @@ A stream is records back to back: 16-byte header (rows, columns as big-endian u6
 rows*columns big-endian IEEE doubles, row-major. EOF exactly at a record boundary ends a
 stream; anything else is a truncated header or payload.
 
-Reading: the driver lists files and hops record headers (16-byte reads, payloads are
-seeked over) to cut each file into byte ranges of about ``chunkBytes``; executors decode
-their ranges with numpy and return Arrow batches. Writing: each task writes one part file
+Reading: each file is one partition, decoded by an executor with numpy into Arrow batches
+(truncation is detected there). Files of at least ``splitMinBytes`` are cut into byte
+ranges of about ``chunkBytes`` at record boundaries found by hopping the 16-byte headers
+during planning. Writing: each task writes one part file
 of the rows it holds, in the order it holds them; sort by ``seq`` and range-partition
 first, so the concatenation of the parts in name order is one ordered stream.
 """
@@ -24,6 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 HEADER_BYTES = 16
 HEADER = struct.Struct(">QQ")
 DEFAULT_CHUNK_BYTES = 32 << 20
+DEFAULT_SPLIT_MIN_BYTES = 256 << 20
 MAX_ELEMENTS = (1 << 63) // 8
 
 SCHEMA = "path string, seq bigint, n_rows bigint, n_cols bigint, cells array<double>"
@@ -87,15 +89,26 @@ def plan_ranges(path: str, chunk_bytes: int) -> list[MatRange]:
 
 
 class MatStreamReader(DataSourceReader):
+    """Files are the unit of parallelism; only files of at least ``splitMinBytes`` are cut into
+    ranges, which costs one 16-byte read per record at planning time (the format has no sync
+    markers, so record boundaries can only be found by hopping from the start)."""
+
     def __init__(self, options):
         self.path = options.get("path")
         self.chunk = int(options.get("chunkBytes", DEFAULT_CHUNK_BYTES))
+        self.split_min = int(options.get("splitMinBytes", DEFAULT_SPLIT_MIN_BYTES))
         self.suffix = options.get("suffix", ".mat")
 
     def partitions(self):
         parts: list[MatRange] = []
         for f in list_files(self.path, self.suffix):
-            parts.extend(plan_ranges(f, self.chunk))
+            size = os.path.getsize(f)
+            if size == 0:
+                continue
+            if size >= max(self.split_min, 1) and size > self.chunk:
+                parts.extend(plan_ranges(f, self.chunk))
+            else:
+                parts.append(MatRange(f, 0, size, 0))
         return parts or [MatRange("", 0, 0, 0)]
 
     def read(self, partition: MatRange):
@@ -109,7 +122,10 @@ class MatStreamReader(DataSourceReader):
             fh.seek(partition.start)
             offset, seq = partition.start, partition.first_seq
             while offset < partition.end:
-                rows, cols = _read_header(fh, partition.path, offset)
+                hdr = _read_header(fh, partition.path, offset)
+                if hdr is None:
+                    raise ValueError(f"Truncated header in {partition.path} at byte {offset}")
+                rows, cols = hdr
                 count = rows * cols
                 payload = fh.read(count * 8)
                 if len(payload) < count * 8:
@@ -144,6 +160,7 @@ def _to_batch(path, recs, pa):
 @dataclass
 class PartWritten(WriterCommitMessage):
     path: str
+    final: str
     records: int
 
 
@@ -160,7 +177,11 @@ class MatStreamWriter(DataSourceWriter):
 
         ctx = TaskContext.get()
         pid = ctx.partitionId() if ctx else 0
-        target = os.path.join(self.path, f"part-{pid:05d}{self.suffix}")
+        attempt = ctx.attemptNumber() if ctx else 0
+        final = os.path.join(self.path, f"part-{pid:05d}{self.suffix}")
+        # each attempt writes its own hidden file; only committed attempts are renamed, so a
+        # task re-run after a lost executor never leaves a torn or duplicate part behind
+        target = os.path.join(self.path, f".part-{pid:05d}-{attempt}{self.suffix}.tmp")
         count = 0
         with open(target, "wb") as out:
             for row in iterator:
@@ -170,10 +191,11 @@ class MatStreamWriter(DataSourceWriter):
                 out.write(HEADER.pack(int(row["n_rows"]), int(row["n_cols"])))
                 out.write(cells.tobytes())
                 count += 1
-        return PartWritten(target, count)
+        return PartWritten(target, final, count)
 
     def commit(self, messages):
-        pass
+        for m in messages:
+            os.replace(m.path, m.final)
 
     def abort(self, messages):
         for m in messages:

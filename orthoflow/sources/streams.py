@@ -17,12 +17,15 @@ TXT_DIGITS = 17
 FORMATS = {"mat": "mat", "txt": "txt"}
 
 
-def read_mat(spark: SparkSession, path: str, chunk_bytes: int | None = None) -> DataFrame:
+def read_mat(spark: SparkSession, path: str, chunk_bytes: int | None = None,
+             split_min_bytes: int | None = None) -> DataFrame:
     """Packed matrices with file path and in-file sequence number."""
     matstream.register(spark)
     reader = spark.read.format("matstream")
     if chunk_bytes:
         reader = reader.option("chunkBytes", str(chunk_bytes))
+    if split_min_bytes is not None:
+        reader = reader.option("splitMinBytes", str(split_min_bytes))
     return reader.load(path)
 
 

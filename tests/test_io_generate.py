@@ -21,7 +21,10 @@ def test_mat_roundtrip_bit_exact(spark, sf):
     packed = fx.embedding_packed(spark, sf, 16, 4)
     out = scratch_dir(spark, "t-mat")
     streams.write_mat(packed, out, parts=3)
-    back = streams.with_stream_index(streams.read_mat(spark, out, chunk_bytes=2048))
+    back = streams.with_stream_index(streams.read_mat(spark, out, chunk_bytes=2048, split_min_bytes=0))
+    whole = streams.with_stream_index(streams.read_mat(spark, out))
+    assert sorted(map(tuple, whole.select("matrix_id", "cells").collect())) == \
+        sorted(map(tuple, back.select("matrix_id", "cells").collect()))
     a = {r["matrix_id"]: r["cells"] for r in packed.collect()}
     order = sorted(a)
     b = {r["matrix_id"]: r["cells"] for r in back.collect()}
@@ -37,6 +40,14 @@ def test_save_mode_refuses_existing(spark, sf):
     streams.write_mat(packed, out, mode="overwrite", parts=1)
 
 
+def test_truncated_file_fails_in_reader(spark, tmp_path):
+    d = tmp_path / "mats"
+    d.mkdir()
+    (d / "a.mat").write_bytes(struct.pack(">QQ", 2, 2) + struct.pack(">4d", 1, 2, 3, 4) + b"\x00" * 5)
+    with pytest.raises(Exception, match="Truncated header"):
+        streams.read_mat(spark, str(d)).collect()
+
+
 def test_truncated_streams_fail(spark, tmp_path):
     p = tmp_path / "bad.mat"
     p.write_bytes(struct.pack(">QQ", 2, 2) + struct.pack(">4d", 1, 2, 3, 4) + b"\x00" * 7)
