@@ -366,12 +366,14 @@ def svd_auto_rows(rows: DataFrame, tall_min_rows: int = TALL_MIN_ROWS, eps: floa
                   max_sweeps: int = DEFAULT_MAX_SWEEPS) -> DataFrame:
     """sigma, V, sweeps per matrix of a row-form table, routed by row count.
 
-    Small matrices (bounded by ``tall_min_rows``) are packed and solved in batch; big ones
-    (a hot key may hold a third of all rows) go through TSQR and are never gathered.
+    Small matrices (fewer than ``tall_min_rows`` rows and TALL_MIN_ELEMENTS cells) are packed
+    and solved in batch; big ones (a hot key may hold a third of all rows) go through TSQR and
+    are never gathered.
     """
     stats = rows.groupBy("matrix_id").agg(
-        F.count(F.lit(1)).alias("_rows"),
-    ).withColumn("_tall", F.col("_rows") >= tall_min_rows).select("matrix_id", "_tall").checkpoint()
+        F.count(F.lit(1)).alias("_rows"), F.max(F.size("x")).alias("_cols"),
+    ).withColumn("_tall", (F.col("_rows") >= tall_min_rows)
+                 | (F.col("_rows") * F.col("_cols") >= TALL_MIN_ELEMENTS)).select("matrix_id", "_tall").checkpoint()
     n_matrices = stats.count()
     side = F.broadcast(stats) if n_matrices <= ROUTE_BROADCAST_LIMIT else stats
     tagged = rows.join(side, "matrix_id")
