@@ -195,3 +195,19 @@ def strategy_route(spark, sf_dir):
                     forms.big_matrix(F.col("n_rows"), F.col("n_cols")).alias("big"),
                     svd.strategy_column().alias("strategy"),
                     F.when(F.col("n_rows") >= svd.TALL_MIN_ROWS, "tall").otherwise("batch").alias("row_route"))
+
+
+@register("svd_tall_check", """
+SELECT CAST(ascii(l_returnflag) AS BIGINT) AS matrix_id, CAST(COUNT(*) AS BIGINT) AS n_rows, TRUE AS reconstructs
+FROM lineitem GROUP BY 1""")
+def svd_tall_check(spark, sf_dir):
+    """D5 + D9 on whole lineitem: U from the distributed A V / sigma pass rebuilds every row of
+    each return-flag matrix to 1e-9 of the matrix norm (no matrix is gathered)."""
+    rows = fx.lineitem_rows(spark, sf_dir, "flag", fx.LI4_COLUMNS)
+    factors, u = svd.svd_rows(rows)
+    xh = checks.reconstruct_rows(u, factors).join(rows, ["matrix_id", "r"])
+    err = F.aggregate(F.zip_with("x_hat", "x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, d: acc + d)
+    per = xh.groupBy("matrix_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"), F.sum(err).alias("_e2"))
+    energy = factors.select("matrix_id", F.aggregate("sigma", F.lit(0.0), lambda a, s: a + s * s).alias("_a2"))
+    return per.join(energy, "matrix_id").select(
+        "matrix_id", "n_rows", (F.sqrt("_e2") <= F.lit(1e-9) * F.sqrt("_a2")).alias("reconstructs"))

@@ -59,3 +59,14 @@ def test_schedule_frame_matches_kernel(spark):
     for n in range(2, 13):
         for rnd, pairs in enumerate(round_robin_pairs(n)):
             assert [p for _, p in sorted(got.get((n, rnd), []))] == pairs
+
+
+def test_auto_packed_routes_big_matrix_to_tall(spark):
+    rng = np.random.default_rng(9)
+    mats = {1: rng.normal(size=(300, 256)), 2: rng.normal(size=(12, 5)), 3: rng.normal(size=(30, 30))}
+    df = spark.createDataFrame([(k, a.shape[0], a.shape[1], a.ravel().tolist()) for k, a in mats.items()],
+                               "matrix_id long, n_rows long, n_cols long, cells array<double>")
+    assert df.filter(svd.strategy_column() == "tall").count() == 1
+    got = _sig(svd.svd(df, strategy="auto", with_u=False))
+    for k, a in mats.items():
+        assert np.allclose(np.sort(got[k])[::-1], np.linalg.svd(a, compute_uv=False), rtol=1e-9)
