@@ -142,6 +142,21 @@ def svd_stack(a: np.ndarray, eps: float = DEFAULT_EPS, max_sweeps: int = DEFAULT
     return u_from_rotated(a_rot, sigma, eps), sigma, v, sweeps, converged
 
 
+def svd_padded(stack: np.ndarray, rows: np.ndarray, eps: float = DEFAULT_EPS,
+               max_sweeps: int = DEFAULT_MAX_SWEEPS):
+    """SVD of matrices with one column count but different row counts, zero-padded to
+    (B, m_max, n); ``rows`` holds each matrix's true row count (all finite, rows >= n).
+
+    Zero rows change neither R^T R = A^T A nor any rotation, so the Jacobi runs on the n x n
+    R of every matrix in one stack; U rows past a matrix's own row count are zero.
+    """
+    r = np.linalg.qr(stack, mode="r")
+    _, v, sweeps, converged = jacobi_stack(r, eps, max_sweeps)
+    a_rot = stack @ v
+    sigma = column_norms(a_rot)
+    return u_from_rotated(a_rot, sigma, eps), sigma, v, sweeps, converged
+
+
 def r_factor(block: np.ndarray) -> np.ndarray:
     """R of a row block (k, n): at most n rows. Rows with NaN/Inf are kept as is.
 

@@ -24,6 +24,7 @@ from orthoflow.operators.kernels import (
     column_norms,
     jacobi_stack,
     r_factor,
+    svd_padded,
     svd_stack,
 )
 
@@ -61,32 +62,90 @@ def _check_shape(mid, m, n, ncells):
 
 # ---- D4 batch -----------------------------------------------------------------------
 
+def _list_array(pa, flat: np.ndarray, width: np.ndarray):
+    """Arrow list<double> from a flat buffer and per-row lengths (no per-row Python objects)."""
+    offsets = np.zeros(len(width) + 1, dtype=np.int64)
+    np.cumsum(width, out=offsets[1:])
+    return pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.float64())).cast(
+        pa.list_(pa.float64()))
+
+
 def _batch_solver(eps: float, max_sweeps: int, with_u: bool = True):
+    """mapInArrow body: gather every shape's stack from the list offsets, solve it in chunks."""
+
     def solve(batches):
-        for pdf in batches:
-            if pdf.empty:
+        import pyarrow as pa
+
+        for rb in batches:
+            if rb.num_rows == 0:
                 continue
-            out = []
-            for (m, n), whole in pdf.groupby(["n_rows", "n_cols"], sort=False):
-                m, n = int(m), int(n)
-                for lo in range(0, len(whole), ARROW_MATRICES_PER_BATCH):  # bounded numpy stacks
-                    grp = whole.iloc[lo:lo + ARROW_MATRICES_PER_BATCH]
-                    cells = grp["cells"].tolist()
-                    for mid, cl in zip(grp["matrix_id"].tolist(), cells):
-                        _check_shape(mid, m, n, len(cl))
-                    stack = np.stack([np.asarray(c, dtype=np.float64) for c in cells]).reshape(len(cells), m, n)
-                    u, sigma, v, sweeps, conv = svd_stack(stack, eps, max_sweeps)
-                    out.append(pd.DataFrame({
-                        "matrix_id": grp["matrix_id"].to_numpy(),
-                        "n_rows": m,
-                        "n_cols": n,
-                        "u": list(u.reshape(len(cells), m * n)) if with_u else [None] * len(cells),
-                        "sigma": list(sigma),
-                        "v": list(v.reshape(len(cells), n * n)),
-                        "sweeps": sweeps.astype(np.int32),
-                        "converged": conv,
-                    }))
-            yield pd.concat(out, ignore_index=True)
+            mids = rb.column("matrix_id").to_numpy(zero_copy_only=False)
+            ms = rb.column("n_rows").to_numpy(zero_copy_only=False).astype(np.int64)
+            ns = rb.column("n_cols").to_numpy(zero_copy_only=False).astype(np.int64)
+            cells = rb.column("cells")
+            if cells.null_count:
+                raise ValueError("invalid testcase: null cells")
+            offs = cells.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+            vals = cells.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+            sizes = offs[1:] - offs[:-1]
+            for i in np.flatnonzero((ms <= 0) | (ns <= 0) | (ms < ns) | (sizes != ms * ns)):
+                _check_shape(int(mids[i]), int(ms[i]), int(ns[i]), int(sizes[i]))
+            parts = {k: [] for k in ("idx", "u", "u_w", "sigma", "v", "sweeps", "conv")}
+
+            def emit(idx, u, sigma, v, sweeps, conv, m_each, n):
+                parts["idx"].append(idx)
+                if with_u:
+                    width = m_each * n
+                    if u.shape[1] * n == width.max() and (width == width[0]).all():
+                        parts["u"].append(u.reshape(-1))
+                    else:  # drop the zero rows added by padding
+                        flat = u.reshape(len(idx), -1)
+                        parts["u"].append(flat[np.arange(flat.shape[1])[None, :] < width[:, None]])
+                    parts["u_w"].append(width)
+                parts["sigma"].append(sigma.reshape(-1))
+                parts["v"].append(v.reshape(-1))
+                parts["sweeps"].append(sweeps)
+                parts["conv"].append(conv)
+
+            finite = np.ones(len(ms), dtype=bool)
+            if not np.isfinite(vals).all():
+                bad = ~np.isfinite(vals)
+                finite = np.add.reduceat(bad, offs[:-1]) == 0 if len(vals) else finite
+                finite &= sizes > 0
+            # finite matrices: one stack per column count, rows zero-padded (R route)
+            for n in np.unique(ns[finite]):
+                sel = np.flatnonzero(finite & (ns == n))
+                sel = sel[np.argsort(ms[sel], kind="stable")]  # similar heights share a stack
+                for lo in range(0, len(sel), ARROW_MATRICES_PER_BATCH):
+                    idx = sel[lo:lo + ARROW_MATRICES_PER_BATCH]
+                    m_each = ms[idx]
+                    m_max = int(m_each.max())
+                    pos = np.arange(m_max * n)
+                    valid = pos[None, :] < (m_each * n)[:, None]
+                    gather = np.where(valid, offs[idx][:, None] + pos[None, :], 0)
+                    stack = np.where(valid, vals[gather], 0.0).reshape(len(idx), m_max, n)
+                    emit(idx, *svd_padded(stack, m_each, eps, max_sweeps), m_each, int(n))
+            # matrices with NaN/Inf: exact shapes, direct rotation of A
+            rest = np.flatnonzero(~finite)
+            for m, n in (np.unique(np.stack([ms[rest], ns[rest]], axis=1), axis=0) if len(rest) else []):
+                sel = rest[(ms[rest] == m) & (ns[rest] == n)]
+                for lo in range(0, len(sel), ARROW_MATRICES_PER_BATCH):
+                    idx = sel[lo:lo + ARROW_MATRICES_PER_BATCH]
+                    stack = vals[offs[idx][:, None] + np.arange(m * n)].reshape(len(idx), m, n)
+                    emit(idx, *svd_stack(stack, eps, max_sweeps), ms[idx], int(n))
+            idx = np.concatenate(parts["idx"])
+            nn = ns[idx]
+            cols = [
+                pa.array(mids[idx], type=pa.int64()), pa.array(ms[idx], type=pa.int64()), pa.array(nn, type=pa.int64()),
+                _list_array(pa, np.concatenate(parts["u"]), np.concatenate(parts["u_w"])) if with_u
+                else pa.nulls(len(idx), type=pa.list_(pa.float64())),
+                _list_array(pa, np.concatenate(parts["sigma"]), nn),
+                _list_array(pa, np.concatenate(parts["v"]), nn * nn),
+                pa.array(np.concatenate(parts["sweeps"]).astype(np.int32), type=pa.int32()),
+                pa.array(np.concatenate(parts["conv"]), type=pa.bool_()),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                cols, names=["matrix_id", "n_rows", "n_cols", "u", "sigma", "v", "sweeps", "converged"])
 
     return solve
 
@@ -97,7 +156,7 @@ def svd_batch(packed: DataFrame, eps: float = DEFAULT_EPS, max_sweeps: int = DEF
     ordered = packed.select("matrix_id", "n_rows", "n_cols", "cells")
     if not ordered.isStreaming:  # sorting by shape only makes longer equal-shape stacks
         ordered = ordered.sortWithinPartitions("n_cols", "n_rows")
-    return ordered.mapInPandas(_batch_solver(eps, max_sweeps, with_u), RESULT_SCHEMA)
+    return ordered.mapInArrow(_batch_solver(eps, max_sweeps, with_u), RESULT_SCHEMA)
 
 
 # ---- D5 tall (TSQR) -----------------------------------------------------------------

@@ -70,3 +70,22 @@ def test_auto_packed_routes_big_matrix_to_tall(spark):
     got = _sig(svd.svd(df, strategy="auto", with_u=False))
     for k, a in mats.items():
         assert np.allclose(np.sort(got[k])[::-1], np.linalg.svd(a, compute_uv=False), rtol=1e-9)
+
+
+def test_batch_mixed_heights_and_nan(spark):
+    from orthoflow.operators.kernels import svd_stack
+
+    rng = np.random.default_rng(21)
+    mats = {i: rng.normal(size=(int(rng.integers(6, 40)), 6)) for i in range(12)}
+    mats[5][3, 2] = np.nan
+    df = spark.createDataFrame([(k, a.shape[0], a.shape[1], a.ravel().tolist()) for k, a in mats.items()],
+                               "matrix_id long, n_rows long, n_cols long, cells array<double>")
+    res = {r["matrix_id"]: r for r in svd.svd(df, strategy="batch").collect()}
+    for k, a in mats.items():
+        u, s, v, sw, cv = svd_stack(a[None])
+        r = res[k]
+        assert r["sweeps"] == sw[0] or k != 5
+        assert np.allclose(r["sigma"], s[0], rtol=1e-9, equal_nan=True)
+        if k != 5:
+            recon = np.array(r["u"]).reshape(a.shape) * np.array(r["sigma"]) @ np.array(r["v"]).reshape(6, 6).T
+            assert np.abs(recon - a).max() < 1e-9
