@@ -1,6 +1,6 @@
 """Singular value decomposition strategies over DataFrames.
 
-batch (D4)  packed matrices, many small ones: one mapInPandas pass, no shuffle; each
+batch (D4)  packed matrices, many small ones: one mapInArrow pass, no shuffle; each
             Arrow batch is sorted by shape and solved as stacks of equal shapes.
 tall  (D5)  row form, any size: a local QR per task is the partial aggregate of R,
             R factors are combined in a salted two-level tree, Jacobi runs on the
@@ -161,8 +161,26 @@ def svd_batch(packed: DataFrame, eps: float = DEFAULT_EPS, max_sweeps: int = DEF
 
 # ---- D5 tall (TSQR) -----------------------------------------------------------------
 
+def _groups(mids: np.ndarray):
+    """(matrix_id, row indices) per matrix in a batch, without pandas."""
+    order = np.argsort(mids, kind="stable")
+    uniq, starts = np.unique(mids[order], return_index=True)
+    ends = np.append(starts[1:], len(order))
+    return [(int(u), order[s:e]) for u, s, e in zip(uniq, starts, ends)]
+
+
+def _rows_block(vals, offs, idx, mid, width_known):
+    """The (rows, width) block of one matrix from a list column's flat buffer; ragged fails."""
+    w = offs[idx + 1] - offs[idx]
+    width = int(w[0]) if width_known is None else width_known
+    if (w != width).any():
+        raise ValueError(f"invalid testcase {mid}: ragged rows")
+    return vals[offs[idx][:, None] + np.arange(width)], width
+
+
 def _local_r(batches):
-    """Partial aggregate: one R (at most n rows) per matrix seen by this task."""
+    """Partial aggregate (mapInArrow): one R (at most n rows) per matrix seen by this task."""
+    import pyarrow as pa
     from pyspark import TaskContext
 
     ctx = TaskContext.get()
@@ -172,21 +190,20 @@ def _local_r(batches):
     widths: dict[int, int] = {}
     held: dict[int, int] = {}
     total = floor = 0
-    for pdf in batches:
-        if pdf.empty:
+    for rb in batches:
+        if rb.num_rows == 0:
             continue
-        for mid, grp in pdf.groupby("matrix_id", sort=False):
-            mid = int(mid)
-            xs = grp["x"].tolist()
-            lens = {len(x) for x in xs}
-            width = widths.setdefault(mid, next(iter(lens)))
-            if len(lens) != 1 or width not in lens:
-                raise ValueError(f"invalid testcase {mid}: ragged rows")
-            block = np.stack([np.asarray(x, dtype=np.float64) for x in xs]) if width else np.zeros((len(xs), 0))
+        mids = rb.column("matrix_id").to_numpy(zero_copy_only=False)
+        x = rb.column("x")
+        offs = x.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        vals = x.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+        for mid, idx in _groups(mids):
+            block, width = _rows_block(vals, offs, idx, mid, widths.get(mid))
+            widths[mid] = width
             pending.setdefault(mid, []).append(block)
-            counts[mid] = counts.get(mid, 0) + len(xs)
-            held[mid] = held.get(mid, 0) + len(xs)
-            total += len(xs)
+            counts[mid] = counts.get(mid, 0) + len(idx)
+            held[mid] = held.get(mid, 0) + len(idx)
+            total += len(idx)
             if held[mid] >= max(FOLD_ROWS, 4 * width):
                 total -= held[mid]
                 r = r_factor(np.vstack(pending[mid]))
@@ -201,12 +218,21 @@ def _local_r(batches):
                 pending[mid] = [r]
                 held[mid] = r.shape[0]
             total = floor = sum(held.values())
-    rows = []
+    if not pending:
+        return
+    ids, rrows, flats = [], [], []
     for mid, blocks in pending.items():
         r = r_factor(np.vstack(blocks))
-        rows.append((mid, part, counts[mid], widths[mid], r.shape[0], r.reshape(-1)))
-    if rows:
-        yield pd.DataFrame(rows, columns=["matrix_id", "part", "n_rows", "n_cols", "r_rows", "r_cells"])
+        ids.append(mid)
+        rrows.append(r.shape[0])
+        flats.append(r.reshape(-1))
+    n_cols = np.array([widths[m] for m in ids], dtype=np.int64)
+    rr = np.array(rrows, dtype=np.int64)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(ids, type=pa.int64()), pa.array(np.full(len(ids), part), type=pa.int64()),
+         pa.array([counts[m] for m in ids], type=pa.int64()), pa.array(n_cols, type=pa.int64()),
+         pa.array(rr, type=pa.int64()), _list_array(pa, np.concatenate(flats), rr * n_cols)],
+        names=["matrix_id", "part", "n_rows", "n_cols", "r_rows", "r_cells"])
 
 
 def _fold_collected(batches):
@@ -244,7 +270,7 @@ def _combine(partials: DataFrame, bucket) -> DataFrame:
 def r_factors(rows: DataFrame) -> DataFrame:
     """One R per matrix from row form (matrix_id, r, x): TSQR as partial + final aggregation."""
     nparts = max(1, rows.rdd.getNumPartitions())
-    partial = rows.select("matrix_id", "x").mapInPandas(_local_r, R_SCHEMA)
+    partial = rows.select("matrix_id", "x").mapInArrow(_local_r, R_SCHEMA)
     if nparts > 64:
         fan = int(math.ceil(math.sqrt(nparts)))
         partial = _combine(partial, F.pmod(F.col("part"), F.lit(fan)))
@@ -284,22 +310,38 @@ def tall_factors(rows: DataFrame, eps: float = DEFAULT_EPS, max_sweeps: int = DE
 
 
 def _u_rows(eps: float):
+    """mapInArrow body: U rows = (x . V) / sigma per matrix, zero where sigma <= eps."""
+
     def apply(batches):
-        for pdf in batches:
-            if pdf.empty:
+        import pyarrow as pa
+
+        for rb in batches:
+            if rb.num_rows == 0:
                 continue
-            out = []
-            for _, grp in pdf.groupby("matrix_id", sort=False):
-                n = int(grp["n_cols"].iloc[0])
-                v = np.asarray(grp["v"].iloc[0], dtype=np.float64).reshape(n, n)
-                sigma = np.asarray(grp["sigma"].iloc[0], dtype=np.float64)
-                x = np.stack([np.asarray(a, dtype=np.float64) for a in grp["x"].tolist()]).reshape(len(grp), n)
+            mids = rb.column("matrix_id").to_numpy(zero_copy_only=False)
+            rs = rb.column("r").to_numpy(zero_copy_only=False)
+            ns = rb.column("n_cols").to_numpy(zero_copy_only=False)
+            x = rb.column("x")
+            offs = x.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+            vals = x.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+            sig_col, v_col = rb.column("sigma"), rb.column("v")
+            out_idx, out_u, out_w = [], [], []
+            for mid, idx in _groups(mids):
+                n = int(ns[idx[0]])
+                block, _ = _rows_block(vals, offs, idx, mid, n)
+                sigma = np.asarray(sig_col[int(idx[0])].as_py(), dtype=np.float64)
+                v = np.asarray(v_col[int(idx[0])].as_py(), dtype=np.float64).reshape(n, n)
                 keep = sigma > eps
                 with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
-                    u = np.where(keep, (x @ v) / np.where(keep, sigma, 1.0), 0.0)
-                out.append(pd.DataFrame({"matrix_id": grp["matrix_id"].to_numpy(), "r": grp["r"].to_numpy(),
-                                         "u": list(u)}))
-            yield pd.concat(out, ignore_index=True)
+                    u = np.where(keep, (block @ v) / np.where(keep, sigma, 1.0), 0.0)
+                out_idx.append(idx)
+                out_u.append(u.reshape(-1))
+                out_w.append(np.full(len(idx), n))
+            idx = np.concatenate(out_idx)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(mids[idx], type=pa.int64()), pa.array(rs[idx], type=pa.int64()),
+                 _list_array(pa, np.concatenate(out_u), np.concatenate(out_w))],
+                names=["matrix_id", "r", "u"])
 
     return apply
 
@@ -311,7 +353,7 @@ def tall_u(rows: DataFrame, factors: DataFrame, eps: float = DEFAULT_EPS) -> Dat
     size = int(stats["k"] or 0) * (int(stats["n"] or 0) ** 2 + int(stats["n"] or 0)) * 8
     side = F.broadcast(factors) if size <= BROADCAST_FACTOR_BYTES else factors
     joined = rows.select("matrix_id", "r", "x").join(side, "matrix_id")
-    return joined.mapInPandas(_u_rows(eps), "matrix_id bigint, r bigint, u array<double>")
+    return joined.mapInArrow(_u_rows(eps), "matrix_id bigint, r bigint, u array<double>")
 
 
 def svd_rows(rows: DataFrame, eps: float = DEFAULT_EPS, max_sweeps: int = DEFAULT_MAX_SWEEPS,

@@ -75,7 +75,8 @@ def test_local_r_folds_many_matrices(monkeypatch):
     rows = [(mid, list(x)) for mid, a in mats.items() for x in a]
     rng.shuffle(rows)
     batches = [pd.DataFrame(rows[i:i + 37], columns=["matrix_id", "x"]) for i in range(0, len(rows), 37)]
-    out = pd.concat(list(svd._local_r(iter(batches))))
+    import pyarrow as pa
+    out = pd.concat([b.to_pandas() for b in svd._local_r(iter([pa.RecordBatch.from_pandas(x, preserve_index=False) for x in batches]))])
     for rec in out.itertuples():
         r = np.asarray(rec.r_cells).reshape(rec.r_rows, 3)
         assert rec.n_rows == len(mats[rec.matrix_id])
