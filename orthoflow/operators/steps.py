@@ -22,15 +22,12 @@ def schedule_frame(sizes: DataFrame, n_col: str = "n") -> DataFrame:
     """(n, round, slot, p, q) for each distinct n, by the closed form F4."""
     from orthoflow.functions.rotation import round_robin_column_at
 
-    n = F.col(n_col).cast("int")
-    even_n = n + F.pmod(n, F.lit(2))
-    base = sizes.select(n.alias("n")).distinct().filter(F.col("n") >= 2)
+    base = sizes.select(F.col(n_col).cast("int").alias("n")).distinct().filter(F.col("n") >= 2)
     even = F.col("n") + F.pmod(F.col("n"), F.lit(2))
     rounds = base.select("n", F.explode(F.sequence(F.lit(0), even - 2)).alias("round"))
     slots = rounds.select("n", "round", F.explode(F.sequence(F.lit(0), F.floor(even / 2).cast("int") - 1)).alias("slot"))
     p = round_robin_column_at(F.col("slot"), F.col("round"), F.col("n"))
     q = round_robin_column_at(even - 1 - F.col("slot"), F.col("round"), F.col("n"))
-    del even_n
     return slots.select("n", "round", "slot", p.alias("p"), q.alias("q")).filter(
         F.col("p").isNotNull() & F.col("q").isNotNull())
 

@@ -85,7 +85,6 @@ def wide_rounds_sql(state_sql: str, n: int, rounds: list[int], eps: float = DEFA
     sched = round_robin_pairs(n)
     ctes = [f"w0 AS MATERIALIZED ({state_sql})"]
     cur = "w0"
-    xs = [f"x{j}" for j in range(n)]
     for step, rnd in enumerate(rounds, start=1):
         pairs = sched[rnd]
         sums = []
@@ -105,7 +104,6 @@ def wide_rounds_sql(state_sql: str, n: int, rounds: list[int], eps: float = DEFA
         ctes.append(f"w{step} AS MATERIALIZED (SELECT s.mid, s.kind, s.r, {sel}, (s.rot OR {anyrot}) AS rot "
                     f"FROM {cur} s JOIN st{step} USING (mid))")
         cur = f"w{step}"
-    del xs
     return ctes, cur
 
 
