@@ -89,3 +89,11 @@ def test_batch_mixed_heights_and_nan(spark):
         if k != 5:
             recon = np.array(r["u"]).reshape(a.shape) * np.array(r["sigma"]) @ np.array(r["v"]).reshape(6, 6).T
             assert np.abs(recon - a).max() < 1e-9
+
+
+def test_gram_blocked_matches_gram(spark, sf):
+    rows = fx.lineitem_rows(spark, sf, "supplier", fx.LI4_COLUMNS).repartition(5)
+    a = {(r["matrix_id"], r["i"], r["j"]): r["g"] for r in steps.gram(rows, 4).collect()}
+    b = {(r["matrix_id"], r["i"], r["j"]): r["g"] for r in steps.gram_blocked(rows).collect()}
+    assert a.keys() == b.keys()
+    assert all(abs(a[k] - b[k]) <= 1e-9 * max(1.0, abs(a[k])) for k in a)
