@@ -82,15 +82,17 @@ def cells_to_packed(cells: DataFrame) -> DataFrame:
     return g.select("matrix_id", "n_rows", "n_cols", F.transform("_cells", lambda e: e["v"]).alias("cells"))
 
 
-def rows_to_packed(rows: DataFrame) -> DataFrame:
-    """Packed form from row form, rows ordered by r; bounded matrices only."""
+def rows_to_packed(rows: DataFrame, keep_row_keys: bool = False) -> DataFrame:
+    """Packed form from row form, rows ordered by r; bounded matrices only. With
+    ``keep_row_keys`` the ordered r values come along as ``row_keys``."""
     g = rows.groupBy("matrix_id").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_rows"),
         F.max(F.size("x")).cast("bigint").alias("n_cols"),
         F.array_sort(F.collect_list(F.struct(F.col("r"), F.col("x")))).alias("_rows"),
     )
+    extra = [F.transform("_rows", lambda e: e["r"]).alias("row_keys")] if keep_row_keys else []
     return g.select(
-        "matrix_id", "n_rows", "n_cols", F.flatten(F.transform("_rows", lambda e: e["x"])).alias("cells")
+        "matrix_id", "n_rows", "n_cols", F.flatten(F.transform("_rows", lambda e: e["x"])).alias("cells"), *extra
     )
 
 

@@ -464,7 +464,7 @@ ROUTE_BROADCAST_LIMIT = 1_000_000
 
 
 def svd_auto_rows(rows: DataFrame, tall_min_rows: int = TALL_MIN_ROWS, eps: float = DEFAULT_EPS,
-                  max_sweeps: int = DEFAULT_MAX_SWEEPS) -> DataFrame:
+                  max_sweeps: int = DEFAULT_MAX_SWEEPS, with_u: bool = False):
     """sigma, V, sweeps per matrix of a row-form table, routed by row count.
 
     Small matrices (fewer than ``tall_min_rows`` rows and TALL_MIN_ELEMENTS cells) are packed
@@ -481,7 +481,19 @@ def svd_auto_rows(rows: DataFrame, tall_min_rows: int = TALL_MIN_ROWS, eps: floa
     small = tagged.filter(~F.col("_tall")).drop("_tall")
     big = tagged.filter(F.col("_tall")).drop("_tall")
     cols = ["matrix_id", "n_rows", "n_cols", "sigma", "v", "sweeps", "converged"]
-    batch = svd_batch(forms.rows_to_packed(small), eps, max_sweeps, with_u=False).select(
-        *cols, F.lit("batch").alias("strategy"))
+    packed = forms.rows_to_packed(small, keep_row_keys=with_u)
+    solved = svd_batch(packed, eps, max_sweeps, with_u=with_u)
+    batch = solved.select(*cols, F.lit("batch").alias("strategy"))
     tall = tall_factors(big, eps, max_sweeps).select(*cols, F.lit("tall").alias("strategy"))
-    return batch.unionByName(tall)
+    factors = batch.unionByName(tall)
+    if not with_u:
+        return factors
+    # batch route: row i of U belongs to the i-th smallest row key of its matrix
+    keyed = solved.join(packed.select("matrix_id", "row_keys"), "matrix_id")
+    u_small = keyed.select(
+        "matrix_id", "n_cols", "u", F.posexplode("row_keys").alias("_i", "r")).select(
+        "matrix_id", "r", F.slice("u", (F.col("_i") * F.col("n_cols") + 1).cast("int"),
+                                  F.col("n_cols").cast("int")).alias("u"))
+    tall_f = tall.checkpoint()
+    u_big = tall_u(big, tall_f, eps)
+    return batch.unionByName(tall_f), u_small.unionByName(u_big)

@@ -97,3 +97,15 @@ def test_gram_blocked_matches_gram(spark, sf):
     b = {(r["matrix_id"], r["i"], r["j"]): r["g"] for r in steps.gram_blocked(rows).collect()}
     assert a.keys() == b.keys()
     assert all(abs(a[k] - b[k]) <= 1e-9 * max(1.0, abs(a[k])) for k in a)
+
+
+def test_auto_rows_with_u_reconstructs(spark, sf):
+    rows = fx.lineitem_rows(spark, sf, "supplier", fx.LI4_COLUMNS)
+    factors, u = svd.svd_auto_rows(rows, tall_min_rows=600, with_u=True)
+    strategies = {r[0] for r in factors.select("strategy").distinct().collect()}
+    assert strategies == {"batch", "tall"}
+    xh = checks.reconstruct_rows(u, factors).join(rows, ["matrix_id", "r"])
+    assert xh.count() == rows.count()
+    err = xh.select(F.max(F.aggregate(F.zip_with("x_hat", "x", lambda a, b: F.abs(a - b)), F.lit(0.0),
+                                      lambda acc, d: F.greatest(acc, d)))).first()[0]
+    assert err < 1e-6
