@@ -72,6 +72,11 @@ def parse_txt(files: DataFrame, text_col: str = "value") -> DataFrame:
     ex = files.select("path", F.posexplode(kept).alias("seq", "block"))
     lines = F.filter(F.split(F.trim(F.col("block"), F.lit("\n")), "\n"), lambda s: F.trim(s) != "")
     rows = ex.select("path", F.col("seq").cast("bigint").alias("seq"), lines.alias("lines"))
+    return _parse_blocks(rows)
+
+
+def _parse_blocks(rows: DataFrame) -> DataFrame:
+    """(path, seq, lines) -> packed rows; ragged rows or a bad token fail the job."""
     toks = F.transform("lines", lambda ln: F.split(F.trim(F.regexp_replace(ln, r"[ \t\f\v\r]+", " ")), " "))
     parsed = rows.select("path", "seq", toks.alias("toks"))
     width = F.size(F.element_at("toks", 1))
@@ -89,9 +94,50 @@ def parse_txt(files: DataFrame, text_col: str = "value") -> DataFrame:
     return checked
 
 
-def read_txt(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return parse_txt(files)
+def read_txt(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Text matrix streams. By default files are read line by line (splittable, no file
+    passes through one task whole); ``whole_files`` reads each file as one value instead."""
+    if whole_files:
+        files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+        return parse_txt(files)
+    return parse_txt_lines(spark.read.text(path))
+
+
+_BLANK = r"^[ \t\r\f\v]*$"
+
+
+def parse_txt_lines(lines: DataFrame) -> DataFrame:
+    """W3 + S2 on line-mode input: gaps and islands with a two-level prefix count.
+
+    A line's place in its file is (split start, position in the split). A matrix starts at a
+    non-blank line whose previous line is blank or absent; the previous line of a split's
+    first line is the last line of the split before it (from a small per-split table). The
+    matrix number is the count of starts so far: per-split totals get offsets from a window
+    over the per-split table, and the running count inside a split is a window over that
+    split only. Each matrix is then gathered as one group (bounded by its own size).
+    """
+    src = lines.select(F.col("_metadata.file_path").alias("path"),
+                       F.col("_metadata.file_block_start").alias("split"),
+                       F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
+    src = src.withColumn("blank", F.col("line").rlike(_BLANK))
+    w_in = Window.partitionBy("path", "split").orderBy("pos")
+    marked = src.withColumn("prev_blank", F.lag("blank").over(w_in))
+    per_split = marked.groupBy("path", "split").agg(
+        F.max_by("blank", "pos").alias("last_blank"))
+    w_split = Window.partitionBy("path").orderBy("split")
+    per_split = per_split.select("path", "split", F.lag("last_blank").over(w_split).alias("carry_blank"))
+    starts = marked.join(per_split, ["path", "split"]).withColumn(
+        "start", ~F.col("blank") & F.coalesce(F.col("prev_blank"), F.col("carry_blank"), F.lit(True)))
+    counts = starts.groupBy("path", "split").agg(F.sum(F.col("start").cast("int")).alias("n_starts"))
+    offsets = counts.select("path", "split", F.coalesce(
+        F.sum("n_starts").over(w_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    numbered = starts.filter(~F.col("blank")).join(offsets, ["path", "split"]).withColumn(
+        "seq", F.col("offset") + F.sum(F.col("start").cast("int")).over(
+            w_in.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    blocks = numbered.groupBy("path", "seq").agg(
+        F.array_sort(F.collect_list(F.struct("split", "pos", "line"))).alias("_l"))
+    return _parse_blocks(blocks.select("path", F.col("seq").cast("bigint").alias("seq"),
+                                       F.transform("_l", lambda e: e["line"]).alias("lines")))
 
 
 def format_txt(packed: DataFrame) -> DataFrame:

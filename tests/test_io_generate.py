@@ -62,19 +62,38 @@ def test_truncated_streams_fail(spark, tmp_path):
     assert matstream.plan_ranges(str(e), 1 << 20) == []
 
 
-def test_text_reader_quirks(spark, tmp_path):
+@pytest.mark.parametrize("whole", [False, True])
+def test_text_reader_quirks(spark, tmp_path, whole):
     d = tmp_path / "txt"
     d.mkdir()
     (d / "a.txt").write_text("\n\n1 0\n0 1\n\n\n \t\n2 0 0\r\n0 3 0\n0 0 4")
-    got = streams.read_txt(spark, str(d / "*.txt")).orderBy("seq").collect()
-    assert [(r["n_rows"], r["n_cols"]) for r in got] == [(2, 2), (3, 3)]
+    got = streams.read_txt(spark, str(d / "*.txt"), whole_files=whole).orderBy("seq").collect()
+    assert [(r["seq"], r["n_rows"], r["n_cols"]) for r in got] == [(0, 2, 2), (1, 3, 3)]
     assert got[1]["cells"] == [2.0, 0.0, 0.0, 0.0, 3.0, 0.0, 0.0, 0.0, 4.0]
     (d / "a.txt").write_text("1 2\n3\n")
     with pytest.raises(Exception):
-        streams.read_txt(spark, str(d / "*.txt")).collect()
+        streams.read_txt(spark, str(d / "*.txt"), whole_files=whole).collect()
     (d / "a.txt").write_text("1 x\n")
     with pytest.raises(Exception):
-        streams.read_txt(spark, str(d / "*.txt")).collect()
+        streams.read_txt(spark, str(d / "*.txt"), whole_files=whole).collect()
+
+
+def test_text_lines_across_splits(spark, tmp_path):
+    """Many matrices in one file read with tiny splits: blocks cross split boundaries."""
+    rng = np.random.default_rng(2)
+    mats = [rng.normal(size=(int(rng.integers(1, 6)), int(rng.integers(1, 4)))) for _ in range(60)]
+    text = "\n\n".join("\n".join(" ".join(repr(float(v)) for v in row) for row in m) for m in mats)
+    d = tmp_path / "big"
+    d.mkdir()
+    (d / "m.txt").write_text("\n" + text + "\n\n\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        got = streams.read_txt(spark, str(d / "*.txt")).orderBy("seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == len(mats)
+    for r, m in zip(got, mats):
+        assert (r["n_rows"], r["n_cols"]) == m.shape and r["cells"] == m.ravel().tolist()
 
 
 def test_generator_independent_of_partitioning(spark, sf):
