@@ -39,12 +39,17 @@ NCU_METRICS = (
 # ---- S8 scan ------------------------------------------------------------------------
 
 def scan_run_tree(spark: SparkSession, run_dir: str) -> DataFrame:
-    """Lines of ``<run>/<case>/<mode>/run_N.log`` with the log path relative to the run."""
-    files = spark.read.text(f"{run_dir.rstrip('/')}/*/*/run_*.log", wholetext=True)
-    path = F.col("_metadata.file_path")
-    rel = F.regexp_extract(path, r"([^/]+/[^/]+/[^/]+)$", 1)
-    return files.select(rel.alias("source_log"), F.posexplode(F.split("value", "\n")).alias("line_no", "line")).select(
-        "source_log", F.col("line_no").cast("bigint").alias("line_no"), "line")
+    """Lines of ``<run>/<case>/<mode>/run_N.log`` with the log path relative to the run.
+
+    Files are read line by line (splittable); ``line_no`` is the orderable pair (split start,
+    position in the split), which is the file order, so no log passes through a task whole.
+    """
+    lines = spark.read.text(f"{run_dir.rstrip('/')}/*/*/run_*.log")
+    rel = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+/[^/]+)$", 1)
+    return lines.select(rel.alias("source_log"),
+                        F.struct(F.col("_metadata.file_block_start").alias("split"),
+                                 F.monotonically_increasing_id().alias("pos")).alias("line_no"),
+                        F.col("value").alias("line"))
 
 
 def log_keys(source_log: Column) -> list[Column]:
