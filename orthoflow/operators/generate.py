@@ -194,27 +194,36 @@ def candidate_count(o: GenOptions) -> int:
 
 
 def choose_shapes(cases: DataFrame, cands: DataFrame, o: GenOptions) -> DataFrame:
-    """A shape per case. Candidates are a parameter table (rows x columns options, at most
-    a few hundred rows), so they are broadcast; cases are any size."""
+    """A shape per case, without any join.
+
+    The candidate table is a parameter table (|rows| x |columns| options), computed with its
+    running weights (W2) in Spark and read back as literals; each case then picks by index:
+    grid / square / tall / wide by case_index mod k, uniform by one hashed draw, log-uniform
+    (J5) as the first candidate whose prefix reaches u * total, which is the number of
+    prefixes below it (prefixes increase), falling back to case_index mod k.
+    """
     k = candidate_count(o)
-    pref = F.broadcast(with_prefix(cands))
+    table = with_prefix(cands).orderBy("shape_ix").select("n_rows", "n_cols", "prefix", "total").collect()
+    if len(table) != k:
+        raise ValueError("candidate table does not match the options")
+    rows_arr = F.array(*[F.lit(int(t["n_rows"])) for t in table]).cast("array<bigint>")
+    cols_arr = F.array(*[F.lit(int(t["n_cols"])) for t in table]).cast("array<bigint>")
     base = cases.withColumn("seed_key", F.lit(o.seed).cast("bigint"))
     pol = o.shape_distribution
     u = F.expr(uniform_sql("seed_key", "file_index", "case_index", "-1", "-1", "7", fn=o.hash_fn))
     if pol == "uniform":
-        base = base.withColumn("_pick", F.least(F.floor(u * k).cast("bigint"), F.lit(k - 1).cast("bigint")))
+        pick = F.least(F.floor(u * k).cast("bigint"), F.lit(k - 1).cast("bigint"))
     elif pol == "log-uniform":
-        # J5 range join on disjoint intervals (prefix - weight, prefix]; the first also takes 0
-        thr = base.withColumn("_t", u * F.lit(1.0))
-        lo = F.col("prefix") - F.col("weight")
-        hit = thr.join(pref.select(F.col("shape_ix").alias("_hit"), "prefix", "weight", "total"),
-                       (F.col("_t") * F.col("total") <= F.col("prefix"))
-                       & ((F.col("_t") * F.col("total") > lo) | (F.col("_hit") == 0)), "left")
-        base = hit.withColumn("_pick", F.coalesce(F.col("_hit"), F.pmod(F.col("case_index"), F.lit(k)))).drop(
-            "_hit", "prefix", "weight", "total", "_t")
+        prefixes = F.array(*[F.lit(float(t["prefix"])) for t in table])
+        threshold = u * F.lit(float(table[0]["total"]))
+        below = F.size(F.filter(prefixes, lambda p: p < threshold)).cast("bigint")
+        pick = F.when(below < k, below).otherwise(F.pmod(F.col("case_index"), F.lit(k)))
     else:
-        base = base.withColumn("_pick", F.pmod(F.col("case_index"), F.lit(k)))
-    return base.join(pref.select(F.col("shape_ix").alias("_pick"), "n_rows", "n_cols"), "_pick").drop("_pick")
+        pick = F.pmod(F.col("case_index"), F.lit(k))
+    base = base.withColumn("_pick", pick + 1)
+    return base.select(*[c for c in base.columns if c != "_pick"],
+                       F.element_at(rows_arr, F.col("_pick").cast("int")).alias("n_rows"),
+                       F.element_at(cols_arr, F.col("_pick").cast("int")).alias("n_cols"))
 
 
 # ---- G3-G10 values ------------------------------------------------------------------

@@ -269,7 +269,7 @@ def run_summary(spark, sf_dir):
     s = s.select(F.col("count").alias("elapsed_count"), F.col("min").alias("elapsed_min"),
                  F.col("max").alias("elapsed_max"), F.round("mean", 9).alias("elapsed_mean"),
                  F.col("median").alias("elapsed_median"), F.round("stdev", 9).alias("elapsed_stdev"))
-    return totals.join(s, how="left")
+    return totals.withColumn("_all", F.lit(1)).join(s.withColumn("_all", F.lit(1)), "_all", "left").drop("_all")
 
 
 @register("count_by_sets", """

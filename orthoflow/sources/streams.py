@@ -39,7 +39,8 @@ def with_stream_index(df: DataFrame) -> DataFrame:
     offsets = per_file.select(
         "path",
         (F.sum("_n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
-    return df.join(F.broadcast(offsets), "path").withColumn(
+    # one row per file: AQE broadcasts it when it is small, else it is a shuffle join
+    return df.join(offsets, "path").withColumn(
         "matrix_id", (F.coalesce(F.col("_off"), F.lit(0)) + F.col("seq")).cast("bigint")).drop("_off")
 
 
