@@ -109,3 +109,18 @@ def test_auto_rows_with_u_reconstructs(spark, sf):
     err = xh.select(F.max(F.aggregate(F.zip_with("x_hat", "x", lambda a, b: F.abs(a - b)), F.lit(0.0),
                                       lambda acc, d: F.greatest(acc, d)))).first()[0]
     assert err < 1e-6
+
+
+def test_max_sweeps_is_silent_and_wide_is_rejected(spark):
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(20, 8))
+    df = spark.createDataFrame([(1, 20, 8, a.ravel().tolist())], "matrix_id long, n_rows long, n_cols long, cells array<double>")
+    r = svd.svd(df, strategy="batch", max_sweeps=1).first()
+    assert r["sweeps"] == 1 and r["converged"] is False
+    r = svd.svd(df, strategy="batch").first()
+    assert r["converged"] is True and r["sweeps"] > 1
+    wide = spark.createDataFrame([(2, 3, 5, [0.0] * 15)], "matrix_id long, n_rows long, n_cols long, cells array<double>")
+    with pytest.raises(Exception, match="rows < columns"):
+        svd.svd(wide, strategy="batch").collect()
+    with pytest.raises(ValueError):
+        svd.svd(df, eps=0.0)
