@@ -52,16 +52,13 @@ def packed_roundtrip(spark, sf_dir):
 
 
 @register("identity_v", """
-WITH sizes AS (SELECT CAST(n.n_regionkey AS BIGINT) AS mid, COUNT(*) AS n
-               FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey GROUP BY 1)
+WITH sizes AS (SELECT CAST(l_orderkey AS BIGINT) AS mid, COUNT(*) AS n FROM lineitem GROUP BY 1)
 SELECT mid AS matrix_id, CAST(i AS BIGINT) AS r, CAST(j AS INTEGER) AS c,
        CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS v
-FROM sizes, range(0, 64) AS a(i), range(0, 64) AS b(j) WHERE i < n AND j < n
+FROM sizes, range(0, sizes.n) AS a(i), range(0, sizes.n) AS b(j)
 """)
 def identity_v(spark, sf_dir):
-    """V = I(n) per region, n = its number of nations."""
-    region = fx.table(spark, sf_dir, "region")
-    nation = fx.table(spark, sf_dir, "nation")
-    sizes = region.join(nation, nation.n_regionkey == region.r_regionkey).groupBy(
-        F.col("n_regionkey").cast("bigint").alias("matrix_id")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    """V = I(n) per order, n = its number of line items."""
+    li = fx.table(spark, sf_dir, "lineitem")
+    sizes = li.groupBy(F.col("l_orderkey").cast("bigint").alias("matrix_id")).agg(F.count(F.lit(1)).cast("int").alias("n"))
     return forms.identity_cells(sizes)

@@ -131,18 +131,18 @@ _SIZES = list(gen.BENCHMARK_SIZES)
 
 
 @register("gen_benchmark", f"""
-WITH sizes AS (SELECT CAST(n_nationkey AS BIGINT) AS case_index,
-                      CAST(list_value({', '.join(map(str, _SIZES))})[(n_nationkey % {len(_SIZES)}) + 1] AS BIGINT) AS n FROM nation),
+WITH sizes AS (SELECT CAST(s_suppkey AS BIGINT) AS case_index,
+                      CAST(list_value({', '.join(map(str, _SIZES))})[(s_suppkey % {len(_SIZES)}) + 1] AS BIGINT) AS n FROM supplier),
 cells AS (SELECT case_index, 2 * n AS n_rows, n AS n_cols, CAST(ix // n AS BIGINT) AS r, CAST(ix % n AS BIGINT) AS c
           FROM sizes, range(0, 20000) AS t(ix) WHERE ix < 2 * n * n)
 SELECT case_index, n_rows, n_cols, r, c, ROUND({gen.BENCHMARK_SQL}, 9) + 0.0 AS v FROM cells
 """)
 def gen_benchmark(spark, sf_dir):
-    """The 2n x n benchmark matrix per nation, n from the fixed size list."""
-    nation = fx.table(spark, sf_dir, "nation")
-    sizes = nation.select(F.col("n_nationkey").cast("bigint").alias("case_index"),
-                          F.element_at(F.array(*[F.lit(s) for s in _SIZES]),
-                                       (F.pmod(F.col("n_nationkey"), F.lit(len(_SIZES))) + 1).cast("int")).cast("bigint").alias("n"))
+    """The 2n x n benchmark matrix per supplier, n from the fixed size list."""
+    sup = fx.table(spark, sf_dir, "supplier")
+    sizes = sup.select(F.col("s_suppkey").cast("bigint").alias("case_index"),
+                       F.element_at(F.array(*[F.lit(s) for s in _SIZES]),
+                                    (F.pmod(F.col("s_suppkey"), F.lit(len(_SIZES))) + 1).cast("int")).cast("bigint").alias("n"))
     cells = gen.benchmark_cells(sizes)
     return cells.select("case_index", "n_rows", "n_cols", "r", "c", (F.round("v", 9) + F.lit(0.0)).alias("v"))
 

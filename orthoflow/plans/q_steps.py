@@ -18,23 +18,29 @@ _EV_N = len(fx.EVENT_TYPES)
 # ---- schedule (F3, F4, G14) ----------------------------------------------------------
 
 @register("round_robin_schedule", """
-WITH RECURSIVE sizes AS (SELECT DISTINCT CAST(p_size AS INTEGER) AS n FROM part WHERE p_size >= 2),
+WITH RECURSIVE mats AS (SELECT CAST(l_orderkey AS BIGINT) AS matrix_id, CAST(COUNT(*) AS INTEGER) AS n
+                        FROM lineitem GROUP BY 1),
+sizes AS (SELECT DISTINCT n FROM mats WHERE n >= 2),
 circle AS (
   SELECT n, n + n % 2 AS e, 0 AS round, CAST(range(0, n + n % 2) AS INTEGER[]) AS a FROM sizes
   UNION ALL
   SELECT n, e, round + 1, [a[1]] || [a[e]] || a[2:e - 1] FROM circle WHERE round + 1 < e - 1
-)
-SELECT n, CAST(round AS INTEGER) AS round, CAST(slot AS INTEGER) AS slot, a[slot + 1] AS p, a[e - slot] AS q
-FROM circle, range(0, 64) AS t(slot)
-WHERE slot < e // 2 AND a[slot + 1] < n AND a[e - slot] < n
+),
+sched AS (SELECT n, CAST(round AS INTEGER) AS round, CAST(slot AS INTEGER) AS slot, a[slot + 1] AS p, a[e - slot] AS q
+          FROM circle, range(0, circle.e // 2) AS t(slot)
+          WHERE a[slot + 1] < n AND a[e - slot] < n)
+SELECT m.matrix_id, s.n, s.round, s.slot, s.p, s.q FROM mats m JOIN sched s USING (n)
 """)
 def round_robin_schedule(spark, sf_dir):
-    """The pair schedule for every column count found in part.p_size (closed form)."""
-    part = fx.table(spark, sf_dir, "part")
-    sched = steps.schedule_frame(part.select(F.col("p_size").cast("int").alias("n")))
-    return sched.select(F.col("n").cast("int").alias("n"), F.col("round").cast("int").alias("round"),
-                        F.col("slot").cast("int").alias("slot"), F.col("p").cast("int").alias("p"),
-                        F.col("q").cast("int").alias("q"))
+    """G14 + J2: the pair schedule (closed form F4) of every column count, attached to each
+    matrix (one per order, n = its line items) by an equi-join on n."""
+    li = fx.table(spark, sf_dir, "lineitem")
+    mats = li.groupBy(F.col("l_orderkey").cast("bigint").alias("matrix_id")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    sched = steps.schedule_frame(mats.select("n"))
+    out = mats.join(sched, "n")
+    return out.select("matrix_id", F.col("n").cast("int").alias("n"), F.col("round").cast("int").alias("round"),
+                      F.col("slot").cast("int").alias("slot"), F.col("p").cast("int").alias("p"),
+                      F.col("q").cast("int").alias("q"))
 
 
 # ---- aggregates (A1-A3, A5) ----------------------------------------------------------
