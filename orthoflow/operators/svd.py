@@ -13,7 +13,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -236,17 +235,36 @@ def _local_r(batches):
 
 
 def _fold_collected(batches):
-    """Fold the R factors collected for one (matrix, bucket) into one R."""
-    for pdf in batches:
-        if pdf.empty:
+    """mapInArrow body: fold the R factors collected for one (matrix, bucket) into one R."""
+    import pyarrow as pa
+
+    for rb in batches:
+        if rb.num_rows == 0:
             continue
-        out = []
-        for rec in pdf.itertuples(index=False):
-            n = int(rec.n_cols)
-            blocks = [np.asarray(p["r_cells"], dtype=np.float64).reshape(int(p["r_rows"]), n) for p in rec.parts]
+        mids = rb.column("matrix_id").to_numpy(zero_copy_only=False)
+        buckets = rb.column("bucket").to_numpy(zero_copy_only=False)
+        nrows = rb.column("n_rows").to_numpy(zero_copy_only=False)
+        ncols = rb.column("n_cols").to_numpy(zero_copy_only=False).astype(np.int64)
+        parts = rb.column("parts")
+        p_offs = parts.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        structs = parts.values
+        r_rows = structs.field("r_rows").to_numpy(zero_copy_only=False).astype(np.int64)
+        cells = structs.field("r_cells")
+        c_offs = cells.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        vals = cells.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+        out_rows, flats = [], []
+        for i in range(rb.num_rows):
+            n = int(ncols[i])
+            blocks = [vals[c_offs[j]:c_offs[j + 1]].reshape(int(r_rows[j]), n) for j in range(p_offs[i], p_offs[i + 1])]
             r = r_factor(np.vstack(blocks)) if blocks else np.zeros((0, n))
-            out.append((int(rec.matrix_id), int(rec.bucket), int(rec.n_rows), n, r.shape[0], r.reshape(-1)))
-        yield pd.DataFrame(out, columns=["matrix_id", "part", "n_rows", "n_cols", "r_rows", "r_cells"])
+            out_rows.append(r.shape[0])
+            flats.append(r.reshape(-1))
+        rr = np.array(out_rows, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(mids, type=pa.int64()), pa.array(buckets, type=pa.int64()), pa.array(nrows, type=pa.int64()),
+             pa.array(ncols, type=pa.int64()), pa.array(rr, type=pa.int64()),
+             _list_array(pa, np.concatenate(flats) if flats else np.zeros(0), rr * ncols)],
+            names=["matrix_id", "part", "n_rows", "n_cols", "r_rows", "r_cells"])
 
 
 def _combine(partials: DataFrame, bucket) -> DataFrame:
@@ -264,7 +282,8 @@ def _combine(partials: DataFrame, bucket) -> DataFrame:
                                       F.lit(": ragged rows")))).otherwise(F.col("n_cols")).alias("n_cols"),
         "parts",
     )
-    return grouped.mapInPandas(_fold_collected, R_SCHEMA)
+    return grouped.select("matrix_id", F.col("bucket").cast("bigint").alias("bucket"), "n_rows", "n_cols",
+                          "parts").mapInArrow(_fold_collected, R_SCHEMA)
 
 
 def r_factors(rows: DataFrame) -> DataFrame:
@@ -278,35 +297,48 @@ def r_factors(rows: DataFrame) -> DataFrame:
 
 
 def _jacobi_on_r(eps: float, max_sweeps: int):
+    """mapInArrow body: Jacobi on each final R, stacked by (rows of R, n)."""
+
     def solve(batches):
-        for pdf in batches:
-            if pdf.empty:
+        import pyarrow as pa
+
+        for rb in batches:
+            if rb.num_rows == 0:
                 continue
-            out = []
-            for (k, n), grp in pdf.groupby(["r_rows", "n_cols"], sort=False):
-                k, n = int(k), int(n)
-                for mid, m in zip(grp["matrix_id"].tolist(), grp["n_rows"].tolist()):
-                    _check_shape(mid, int(m), n, int(m) * n)
-                stack = np.stack([np.asarray(c, dtype=np.float64) for c in grp["r_cells"].tolist()]).reshape(len(grp), k, n)
+            mids = rb.column("matrix_id").to_numpy(zero_copy_only=False)
+            ms = rb.column("n_rows").to_numpy(zero_copy_only=False).astype(np.int64)
+            ns = rb.column("n_cols").to_numpy(zero_copy_only=False).astype(np.int64)
+            ks = rb.column("r_rows").to_numpy(zero_copy_only=False).astype(np.int64)
+            cells = rb.column("r_cells")
+            offs = cells.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+            vals = cells.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+            for i in range(rb.num_rows):
+                _check_shape(int(mids[i]), int(ms[i]), int(ns[i]), int(ms[i] * ns[i]))
+            idx_all, sig_all, v_all, sw_all, cv_all = [], [], [], [], []
+            for k, n in np.unique(np.stack([ks, ns], axis=1), axis=0):
+                idx = np.flatnonzero((ks == k) & (ns == n))
+                stack = vals[offs[idx][:, None] + np.arange(k * n)].reshape(len(idx), k, n)
                 r_rot, v, sweeps, conv = jacobi_stack(stack, eps, max_sweeps)
-                sigma = column_norms(r_rot)
-                out.append(pd.DataFrame({
-                    "matrix_id": grp["matrix_id"].to_numpy(),
-                    "n_rows": grp["n_rows"].to_numpy(),
-                    "n_cols": n,
-                    "sigma": list(sigma),
-                    "v": list(v.reshape(len(grp), n * n)),
-                    "sweeps": sweeps.astype(np.int32),
-                    "converged": conv,
-                }))
-            yield pd.concat(out, ignore_index=True)
+                idx_all.append(idx)
+                sig_all.append(column_norms(r_rot).reshape(-1))
+                v_all.append(v.reshape(-1))
+                sw_all.append(sweeps)
+                cv_all.append(conv)
+            idx = np.concatenate(idx_all)
+            nn = ns[idx]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(mids[idx], type=pa.int64()), pa.array(ms[idx], type=pa.int64()), pa.array(nn, type=pa.int64()),
+                 _list_array(pa, np.concatenate(sig_all), nn), _list_array(pa, np.concatenate(v_all), nn * nn),
+                 pa.array(np.concatenate(sw_all).astype(np.int32), type=pa.int32()),
+                 pa.array(np.concatenate(cv_all), type=pa.bool_())],
+                names=["matrix_id", "n_rows", "n_cols", "sigma", "v", "sweeps", "converged"])
 
     return solve
 
 
 def tall_factors(rows: DataFrame, eps: float = DEFAULT_EPS, max_sweeps: int = DEFAULT_MAX_SWEEPS) -> DataFrame:
     """sigma, V, sweeps per matrix of a row-form DataFrame (no U)."""
-    return r_factors(rows).mapInPandas(_jacobi_on_r(eps, max_sweeps), FACTORS_SCHEMA)
+    return r_factors(rows).mapInArrow(_jacobi_on_r(eps, max_sweeps), FACTORS_SCHEMA)
 
 
 def _u_rows(eps: float):

@@ -124,3 +124,13 @@ def test_max_sweeps_is_silent_and_wide_is_rejected(spark):
         svd.svd(wide, strategy="batch").collect()
     with pytest.raises(ValueError):
         svd.svd(df, eps=0.0)
+
+
+def test_tsqr_two_level_tree(spark, sf):
+    """More than 64 input partitions: the salted first combine level runs too."""
+    rows = fx.lineitem_rows(spark, sf, "flag", fx.LI4_COLUMNS).repartition(100)
+    got = _sig(svd.tall_factors(rows))
+    pdf = rows.toPandas()
+    for mid, grp in pdf.groupby("matrix_id"):
+        a = np.stack(grp["x"].tolist())
+        assert np.allclose(np.sort(got[mid])[::-1], np.linalg.svd(a, compute_uv=False), rtol=1e-9)
