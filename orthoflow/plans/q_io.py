@@ -87,3 +87,37 @@ def format_route(spark, sf_dir):
     return pages.select(F.col("page_id").cast("bigint").alias("page_id"), streams.extension(path).alias("ext"),
                         F.coalesce(streams.resolve_format(path), F.lit("unknown")).alias("format"),
                         streams.default_output(path).alias("default_output"))
+
+
+def _sigma_by_vec_sql():
+    from orthoflow.plans.sqlgen import gram_jacobi_sigma_sql
+
+    return gram_jacobi_sigma_sql(fx.sql_embedding_wide(4), 4, 8)
+
+
+@register("factor_stream_roundtrip", _sigma_by_vec_sql())
+def factor_stream_roundtrip(spark, sf_dir):
+    """S1 -> P4 -> D7 -> S5/S3 -> S1: a matrix stream file in, U / Sigma / V stream file out
+    (three records per input, in input order), read back; sigma per input from its Sigma record."""
+    from orthoflow.operators import svd
+
+    src = scratch_dir(spark, "svd-in")
+    streams.write_mat(fx.embedding_packed(spark, sf_dir, 16, 4), src, mode="overwrite", parts=4)
+    packed = streams.with_stream_index(streams.read_mat(spark, src))
+    good, _ = forms.validate_packed(packed.select("matrix_id", "n_rows", "n_cols", "cells"), strict=True)
+    result = svd.svd(good, strategy="auto")
+    out = scratch_dir(spark, "svd-out")
+    streams.write_mat(streams.factor_packed(result).withColumnRenamed("seq", "matrix_id"), out, mode="overwrite", parts=4)
+    back = streams.with_stream_index(streams.read_mat(spark, out))
+    # decode the emitted layout: record 3i is U, 3i+1 Sigma, 3i+2 V of input i
+    decoded = back.select((F.floor(F.col("matrix_id") / 3)).cast("bigint").alias("pos"),
+                          F.element_at(F.array(F.lit("U"), F.lit("SIGMA"), F.lit("V")),
+                                       (F.pmod(F.col("matrix_id"), F.lit(3)) + 1).cast("int")).alias("part"),
+                          "cells")
+    sigma = decoded.filter(F.col("part") == "SIGMA").select("pos", F.col("cells").alias("sigma"))
+    ordinal = fx.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("bigint").alias("vec_id"),
+        (F.row_number().over(Window.orderBy("vec_id")) - 1).cast("bigint").alias("pos"))
+    j = sigma.join(ordinal, "pos")
+    return j.select(F.col("vec_id").alias("matrix_id"), F.posexplode(F.sort_array("sigma", asc=False)).alias("k", "s")).select(
+        "matrix_id", F.col("k").cast("int").alias("k"), F.format_string("%.5e", F.col("s")).alias("sigma"))
