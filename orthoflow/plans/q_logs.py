@@ -1,8 +1,10 @@
 """Driver queries of the run-log ETL.
 
-A run tree is rendered from ``events``: each event is one log line of the log
-'<event_type>/<mode>/run_<day>.log' (mode from the user, line kind from props.k). The
-rendering is SQL text evaluated by both engines; the ETL itself is the library's.
+A run tree is rendered from ``events``: every event becomes one log line of the log
+'<event_type>/<mode>/run_<day>.log'. The mode comes from user_id (mod 4) and the kind of
+line from props.k (mod 10); these residues define the rendered data (which line a row
+becomes, which exports a profiling line feeds), they never drop rows. The rendering is SQL
+text evaluated by both engines; the ETL itself is the library's.
 """
 
 from __future__ import annotations
