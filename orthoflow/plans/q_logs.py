@@ -401,3 +401,11 @@ def kernel_time(spark, sf_dir):
     _, by_kernel = logs.ncu_by_kernel(_ncu_rows(spark, sf_dir))
     return by_kernel.select("source_log", "kernel", "launches",
                             F.round("gpu_time_duration_sum", 6).alias("gpu_time_duration_sum"))
+
+
+@register("run_counts", _records_sql() + """
+SELECT mode, status, CAST(COUNT(*) AS BIGINT) AS n, CAST(GROUPING(mode, status) AS INTEGER) AS gid
+FROM rec GROUP BY GROUPING SETS ((mode), (status), ())""")
+def run_counts(spark, sf_dir):
+    """Records by mode, by status and in total, in one pass (GROUPING SETS)."""
+    return logs.count_by_sets(_records(spark, sf_dir).select("mode", "status"), "mode", "status")
