@@ -45,11 +45,16 @@ def with_stream_index(df: DataFrame) -> DataFrame:
 
 
 def write_mat(packed: DataFrame, path: str, mode: str = "errorifexists", order_col: str = "matrix_id",
-              parts: int | None = None) -> None:
-    """S3: range-partition by the order column, sort inside, one ordered part file per task."""
+              parts: int | None = None, source: str | None = None) -> None:
+    """S3: range-partition by the order column, sort inside, one ordered part file per task.
+    S7: ``source`` (the input this output derives from) must not be the output itself."""
+    import os
+
     matstream.register(packed.sparkSession)
     if mode not in ("errorifexists", "error", "overwrite"):
         raise ValueError(f"unsupported save mode for matrix streams: {mode}")
+    if source is not None and os.path.abspath(source) == os.path.abspath(path):
+        raise ValueError(f"input and output are the same path: {path}")
     ordered = _ordered(packed, order_col, parts)
     # The writer refuses a non-empty output folder unless the mode is overwrite
     ordered.write.format("matstream").mode("overwrite" if mode == "overwrite" else "append").save(path)
@@ -183,11 +188,15 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
-def resolve_format(path: Column, requested: Column | None = None) -> Column:
-    """'mat' / 'txt' from an explicit request or the extension, case-insensitive; NULL if unknown."""
+def resolve_format(path: Column, requested: Column | None = None, strict: bool = False) -> Column:
+    """'mat' / 'txt' from an explicit request or the extension, case-insensitive; NULL if
+    unknown, or a failed job with ``strict``."""
     ext = extension(path)
     chosen = F.lower(requested) if requested is not None else ext
-    return F.when(chosen.isin(*FORMATS), chosen)
+    known = F.when(chosen.isin(*FORMATS), chosen)
+    if strict:
+        return F.when(known.isNull(), F.raise_error(F.concat(F.lit("unknown matrix format: "), path))).otherwise(known)
+    return known
 
 
 def default_output(path: Column) -> Column:

@@ -142,3 +142,13 @@ def test_factor_sink_and_report_sinks(spark, sf):
     logs.write_summary_csv(rep, d)
     assert spark.read.json(d + "/records").count() == 5
     assert spark.read.option("header", "true").csv(d + "/summary").first()["testcase_count"] == "5"
+
+
+def test_format_and_paths_guard(spark):
+    df = spark.createDataFrame([("a/b.MAT",), ("c.txt",), ("d.bin",)], "p string")
+    got = [r[0] for r in df.select(streams.resolve_format(F.col("p"))).collect()]
+    assert got == ["mat", "txt", None]
+    with pytest.raises(Exception, match="unknown matrix format"):
+        df.select(streams.resolve_format(F.col("p"), strict=True)).collect()
+    with pytest.raises(ValueError, match="same path"):
+        streams.write_mat(df, "/x/y", source="/x/y")
