@@ -1,6 +1,5 @@
 """Round trips, save modes, stream errors and generator determinism."""
 
-import os
 import struct
 
 import numpy as np
