@@ -237,15 +237,12 @@ def generate_cells(shaped: DataFrame, o: GenOptions) -> DataFrame:
                          F.pmod(F.col("ix"), F.col("n_cols")).cast("bigint").alias("c")).drop("ix")
     d = o.value_distribution
     if d in ("low-rank", "ill-conditioned"):
+        # the rank-k sum runs inside the row (aggregate over k): no explode, no regrouping
         left, right, scale, noise = factor_terms_sql(o)
-        rank_eff = F.least(F.lit(o.rank).cast("bigint"), F.col("n_rows"), F.col("n_cols"))
-        with_rank = cells.withColumn("rank_eff", rank_eff)
-        terms = with_rank.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rank_eff") - 1)).alias("k"))
-        prod = terms.select("file_index", "case_index", "seed_key", "n_rows", "n_cols", "r", "c",
-                            F.expr(f"{scale} * {left} * {right}").alias("t"))
-        summed = prod.groupBy("file_index", "case_index", "seed_key", "n_rows", "n_cols", "r", "c").agg(F.sum("t").alias("lr"))
-        return summed.select("file_index", "case_index", "n_rows", "n_cols", "r", "c",
-                             (F.col("lr") + F.expr(noise)).alias("v"))
+        cells = cells.withColumn("rank_eff", F.least(F.lit(o.rank).cast("bigint"), F.col("n_rows"), F.col("n_cols")))
+        val = (f"aggregate(sequence(0L, rank_eff - 1), CAST(0.0 AS DOUBLE), "
+               f"(acc, k) -> acc + {scale} * {left} * {right}) + {noise}")
+        return cells.select("file_index", "case_index", "n_rows", "n_cols", "r", "c", F.expr(val).alias("v"))
     return cells.select("file_index", "case_index", "n_rows", "n_cols", "r", "c", F.expr(value_sql(o)).alias("v"))
 
 
