@@ -42,6 +42,19 @@ def pair_stats(rows: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
         F.sum(xp * xp).alias("pp"), F.sum(xq * xq).alias("qq"), F.sum(xp * xq).alias("pq"))
 
 
+def sweep_pair_stats(rows: DataFrame, n: int) -> DataFrame:
+    """A1 for every scheduled pair of a sweep (as the matrix stands) in one aggregate:
+    (matrix_id, round, p, q, pp, qq, pq)."""
+    lit_pairs = F.array(*[F.struct(F.lit(r).alias("round"), F.lit(p).alias("p"), F.lit(q).alias("q"))
+                          for r, pairs in enumerate(round_robin_pairs(n)) for p, q in pairs])
+    ex = rows.select("matrix_id", "x", F.explode(lit_pairs).alias("pr"))
+    xp = F.element_at("x", F.col("pr.p") + 1)
+    xq = F.element_at("x", F.col("pr.q") + 1)
+    return ex.groupBy("matrix_id", F.col("pr.round").alias("round"), F.col("pr.p").alias("p"),
+                      F.col("pr.q").alias("q")).agg(
+        F.sum(xp * xp).alias("pp"), F.sum(xq * xq).alias("qq"), F.sum(xp * xq).alias("pq"))
+
+
 def gram(rows: DataFrame, n: int) -> DataFrame:
     """A2: upper triangle of A^T A per matrix in one pass of n(n+1)/2 sums (no self-join);
     wider matrices use the blocked per-task X^T X (``gram_blocked``)."""

@@ -59,11 +59,7 @@ def _pair_rows_sql():
 @register("pair_stats", _pair_rows_sql())
 def pair_stats(spark, sf_dir):
     """Pp, qq, pq of every scheduled pair (EV: day x user x event-type counts, exact)."""
-    rows = fx.events_rows(spark, sf_dir)
-    outs = None
-    for rnd, pairs in enumerate(round_robin_pairs(_EV_N)):
-        st = steps.pair_stats(rows, pairs).withColumn("round", F.lit(rnd))
-        outs = st if outs is None else outs.unionByName(st)
+    outs = steps.sweep_pair_stats(fx.events_rows(spark, sf_dir), _EV_N)
     return outs.select("matrix_id", F.col("round").cast("int").alias("round"),
                        F.col("p").cast("int").alias("p"), F.col("q").cast("int").alias("q"),
                        *[F.col(c).cast("bigint").alias(c) for c in ("pp", "qq", "pq")])
