@@ -204,3 +204,13 @@ def svd_relational(spark, sf_dir):
     from orthoflow.operators.svd import spectrum
 
     return spectrum(factors).select("matrix_id", "k", sig(F.col("sigma")).alias("sigma"))
+
+
+@register("svd_sigma_events", gram_jacobi_sigma_sql(_EV, _EV_N, 10))
+def svd_sigma_events(spark, sf_dir):
+    """D7 on EV (per day: users x event-type counts): the auto route on row form; same oracle
+    as the relational strategy, so the two strategies are checked against one another too."""
+    from orthoflow.operators.svd import spectrum, svd_auto_rows
+
+    return spectrum(svd_auto_rows(fx.events_rows(spark, sf_dir))).select(
+        "matrix_id", "k", sig(F.col("sigma")).alias("sigma"))
