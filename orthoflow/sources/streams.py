@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from orthoflow.sources import matstream
 
-# Fixed values of the text format.
-TXT_DIGITS = 17
+# The stream formats known by extension.
 FORMATS = {"mat": "mat", "txt": "txt"}
 
 
