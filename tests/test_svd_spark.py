@@ -134,3 +134,15 @@ def test_tsqr_two_level_tree(spark, sf):
     for mid, grp in pdf.groupby("matrix_id"):
         a = np.stack(grp["x"].tolist())
         assert np.allclose(np.sort(got[mid])[::-1], np.linalg.svd(a, compute_uv=False), rtol=1e-9)
+
+
+def test_flagship_plan_prunes_and_shuffles_once(spark, sf):
+    """Scale guard: the TSQR flagship reads only the columns it needs and shuffles only the
+    small R factors (one exchange; no sort, no join of the rows)."""
+    rows = fx.lineitem_rows(spark, sf, "flag", fx.LI4_COLUMNS)
+    plan = svd.tall_factors(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert "SortMergeJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
+    scan = [line for line in plan.splitlines() if "FileScan parquet" in line][0]
+    for unused in ("l_orderkey", "l_partkey", "l_shipdate", "l_linestatus", "l_suppkey"):
+        assert unused not in scan
