@@ -146,3 +146,9 @@ def test_flagship_plan_prunes_and_shuffles_once(spark, sf):
     scan = [line for line in plan.splitlines() if "FileScan parquet" in line][0]
     for unused in ("l_orderkey", "l_partkey", "l_shipdate", "l_linestatus", "l_suppkey"):
         assert unused not in scan
+
+
+def test_batch_plan_has_no_exchange(spark, sf):
+    """Scale guard: packed matrices are solved where they are read (no shuffle)."""
+    plan = svd.svd(fx.embedding_packed(spark, sf, 16, 4), strategy="batch")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
