@@ -151,3 +151,11 @@ def test_format_and_paths_guard(spark):
         df.select(streams.resolve_format(F.col("p"), strict=True)).collect()
     with pytest.raises(ValueError, match="same path"):
         streams.write_mat(df, "/x/y", source="/x/y")
+
+
+def test_generate_packed_has_no_exchange_or_join(spark):
+    """Scale guard: generation is one projection per case (no shuffle, no join)."""
+    o = gen.GenOptions(shape_distribution="log-uniform", value_distribution="low-rank")
+    cases = spark.range(0, 50).select(F.lit(0).cast("bigint").alias("file_index"), F.col("id").alias("case_index"))
+    plan = gen.generate_packed(gen.choose_shapes(cases, gen.shape_candidates(spark, o), o), o)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
