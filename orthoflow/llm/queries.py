@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoflow.llm import decontaminate, exact_dedup, license_scan, mixing, secret_scan, toxicity, warc
+from orthoflow.llm import decontaminate, exact_dedup, license_scan, mixing, secret_scan, substring_dedup, toxicity, warc
 from orthoflow.llm.common import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
     join = lambda c: F.array_join(c, ",")
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", join("base_labels").alias("base_labels"), join("labels").alias("labels"), "score", "permitted")
+
+
+@_query(
+    rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS ws FROM documents),
+spots AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13),
+wins AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') AS win FROM spots),
+firsts AS (SELECT win, min(doc_id) AS low FROM wins GROUP BY win HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM wins JOIN firsts USING (win) WHERE doc_id > low),
+gone_list AS (SELECT doc_id, list(p) AS ps, count(*) AS n_removed FROM gone GROUP BY doc_id),
+kept AS (SELECT w.doc_id, coalesce(n_removed, 0) AS n_removed, len(ws) AS n_words,
+  CASE WHEN n_removed IS NULL THEN array_to_string(ws, ' ')
+  ELSE array_to_string(list_transform(list_filter(range(1, len(ws) + 1), lambda p: NOT list_contains(ps, p)), lambda p: ws[p]), ' ') END AS body
+  FROM w LEFT JOIN gone_list USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM kept"""
+)
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated windows of 13 words of all documents; the smallest id keeps them."""
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
