@@ -28,9 +28,7 @@ LOWER_ASCII = "abcdefghijklmnopqrstuvwxyz"
 def prepare(spark: SparkSession) -> None:
     """Ship the package to the workers and bound Arrow batches by bytes (whole texts are rows)."""
     ship_package(spark)
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, str(1 << 40))) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -55,6 +53,15 @@ def small(df: DataFrame, row_bytes: int, limit: int = 8 << 20) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def release(spark: SparkSession) -> None:
+    """Let the cluster drop shuffle files that no table needs any more: Spark removes them when
+    the driver collects the objects that stand for them."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, UPPER_ASCII, LOWER_ASCII)

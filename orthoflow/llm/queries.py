@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoflow.llm import decontaminate, exact_dedup, license_scan, mixing, secret_scan, substring_dedup, toxicity, warc
+from orthoflow.llm import decontaminate, exact_dedup, license_scan, mixing, ngram_jaccard, secret_scan, substring_dedup, toxicity, warc
 from orthoflow.llm.common import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query(
+    rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_SPACED}') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + least(len(ws), 5) - 1), ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id != b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM inter JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+reach AS (SELECT doc_id AS root, doc_id FROM n UNION SELECT root, b FROM reach JOIN links ON links.a = reach.doc_id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(r.low, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT root AS doc_id, min(doc_id) AS low FROM reach GROUP BY root) r USING (doc_id)"""
+)
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share four fifths of their shingles of five words."""
+    return ngram_jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 @_query(
     rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS ws FROM documents),
