@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoflow.llm import decontaminate, exact_dedup, license_scan, mixing, ngram_jaccard, secret_scan, substring_dedup, toxicity, warc
+from orthoflow.llm import decontaminate, exact_dedup, license_scan, line_dedup, mixing, ngram_jaccard, secret_scan, substring_dedup, toxicity, warc
 from orthoflow.llm.common import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+@_query()
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near lines of all documents; the first occurrence stays."""
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+
+
 @_query()
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to an archive and read back."""
