@@ -1,27 +1,72 @@
-"""A corpus pipeline: each stage takes (spark, docs, sf_dir) and returns what the next one reads."""
+"""A corpus pipeline: toxicity, exact dedup, near dedup, decontamination, mixing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
+again as the next one's docs. All but the last return the columns of documents. Rows that share an
+id are judged together where a stage decides by id: they stay if one of them does.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orthoflow.llm import decontaminate, exact_dedup, mixing, toxicity
-from orthoflow.llm.common import prepare, scratch_path
+from orthoflow.llm import decontaminate, exact_dedup, mixing, ngram_jaccard, toxicity
+from orthoflow.llm.common import prepare, scratch_path, small, stage
 from orthoflow.llm.queries import held_out
 
 TOXIC = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; labels are read for training only."""
+    """Operator 6: documents that score at or above the threshold go. The model learns from the
+    labelled rows that are not held out; labels decide about no document directly."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     weights = toxicity.train_toxicity(docs, labels, held_out=held_out())
-    return toxicity.score_toxicity(docs, weights).filter(F.col("toxicity") < TOXIC).drop("toxicity")
+    return toxicity.score_toxicity(docs, weights, column="_toxicity").filter(F.col("_toxicity") < TOXIC).drop("_toxicity")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: of equal texts, the row with the largest id stays, once."""
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: of each component of similar texts, the document with the smallest id stays."""
+    found = ngram_jaccard.jaccard_components(docs)
+    gone = stage(found.filter("not doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-near")
+    return docs.join(small(gone, 24), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: documents with a passage of a benchmark item go."""
+    found = decontaminate.find_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), prefix="_")
+    return found.filter(F.size("_hits") == 0).select(*[f"`{c}`" for c in docs.columns])
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: a row for each copy that the mix takes, numbered from 1 in column ``copy``."""
+    docs = docs.drop("copy")
+    keys = ["_id", "_source", "_size"]
+    mixed = mixing.mix_sources(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
+    mixed = stage(mixed, "pipeline-mix")
+    rows = docs.withColumn("_words", mixing.words(F.col("text")))
+    here: list[Column] = [F.col("doc_id"), F.col("source"), F.col("_words")]
+    if mixed.groupBy(*keys).count().filter("count > 1").isEmpty():
+        rows, mixed = rows.withColumn("_turn", F.lit(1)), mixed.withColumn("_nth", F.lit(1))
+    else:  # rows that share id, source and size take their places in turn
+        rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy(*here).orderBy(F.xxhash64("text"))))
+        mixed = mixed.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy("copies")))
+    taken = small(stage(mixed.filter("copies > 0").withColumnRenamed("copies", "_copies"), "pipeline-taken"), 64)
+    same = F.col("_turn") == F.col("_nth")
+    for place, key in zip(here, keys, strict=True):
+        same &= place.eqNullSafe(F.col(key))
+    both = rows.join(taken, same)
+    return both.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
 
 
-STAGES = [("toxicity", drop_toxic)]
+STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("decontamination", drop_contaminated), ("mixing", mix)]
 
-#: Learned scores have no SQL; the tests hold run() against a brute-force version.
+#: Learned scores have no SQL; the tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
@@ -29,8 +74,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents, each written as Parquet and read again."""
     prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+    for name, step in STAGES:
+        path = scratch_path(spark, "pipeline-" + name.replace(" ", "-"))
+        step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

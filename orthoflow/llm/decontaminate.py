@@ -26,7 +26,7 @@ from orthoflow.llm.common import ALNUM, Sequences, Words, list_array, mix, prepa
 TABLE_BITS = 16
 STRETCH = 512
 
-FOUND = "n_words long, hits array<struct<first:int,end:int>>, items array<string>"
+FOUND = {"n_words": "long", "hits": "array<struct<first:int,end:int>>", "items": "array<string>"}
 
 
 class PatternTable:
@@ -114,7 +114,7 @@ def _union(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _searcher(tables, text: str):
+def _searcher(tables, text: str, prefix: str):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = tables.value
         for batch, words in word_runs(batches, text, ALNUM, lower=True):
@@ -134,14 +134,14 @@ def _searcher(tables, text: str):
             names = [sorted(items[r]) if r in items else [] for r in range(words.rows)]
             found = [pa.array(np.diff(words.first).astype(np.int64)), list_array(pairs, np.array([len(s) for s in spans])), pa.array(names, pa.list_(pa.string()))]
             kept = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*kept, *found], [*batch.schema.names, "n_words", "hits", "items"])
+            yield pa.RecordBatch.from_arrays([*kept, *found], [*batch.schema.names, *[prefix + n for n in FOUND]])
 
     return search
 
 
 def find_passages(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = 10, block_words: int = 500_000,
+    window: int = 10, block_words: int = 500_000, prefix: str = "",
 ) -> DataFrame:
     """All columns of ``docs`` with n_words, hits (disjoint word ranges inside occurrences) and
     items (ids, as sorted strings, of the items with an occurring window).
@@ -149,41 +149,44 @@ def find_passages(
     Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z. Null and empty texts
     have no words and no hits; so do items, which then match nothing. Rows that repeat are kept.
     A null item id is named "null". ``block_words`` bounds the benchmark words sent to the tasks
-    at once. Columns of ``docs`` named like the three new ones are replaced.
+    at once. ``prefix`` goes before the three new names; columns of ``docs`` that still have one of
+    them are replaced.
     """
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.drop("n_words", "hits", "items")
+    docs = docs.drop(*[prefix + n for n in FOUND])
     items = benchmark.select(
         F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("words")
     )
     size = items.agg(F.sum(F.length("words") / 2 + 1)).first()[0] or 0  # at least the number of words
     blocks = max(1, -(-int(size) // block_words))
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + FOUND
+    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    schema += "".join(f", {prefix}{n} {kind}" for n, kind in FOUND.items())
     parts = []
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b).collect()
         tables = spark.sparkContext.broadcast(pattern_tables([(r.item, r.words) for r in rows], window))
-        parts.append(docs.mapInArrow(_searcher(tables, text_col), schema))
+        parts.append(docs.mapInArrow(_searcher(tables, text_col, prefix), schema))
     if blocks == 1:
         return parts[0]
-    return _joined(parts, docs.columns, blocks)
+    return _joined(parts, docs.columns, blocks, prefix)
 
 
-def _joined(parts: list[DataFrame], names: list[str], blocks: int) -> DataFrame:
+def _joined(parts: list[DataFrame], names: list[str], blocks: int, prefix: str) -> DataFrame:
     """The places of all blocks per row; whole repeats of a row are counted and restored."""
     both = parts[0]
     for p in parts[1:]:
         both = both.unionAll(p)
-    grouped = both.groupBy(*[F.col(f"`{n}`") for n in names], "n_words").agg(
-        F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    hits, items = f"{prefix}hits", f"{prefix}items"
+    grouped = both.groupBy(*[F.col(f"`{n}`") for n in names], f"{prefix}n_words").agg(
+        F.array_sort(F.flatten(F.collect_list(hits))).alias(hits), F.array_sort(F.array_distinct(F.flatten(F.collect_list(items)))).alias(items),
         (F.count(F.lit(1)) / blocks).cast("int").alias("_rows"),
     )
-    merge = """aggregate(hits, cast(array() as array<struct<first:int,end:int>>), (a, h) ->
+    merge = f"""aggregate({hits}, cast(array() as array<struct<first:int,end:int>>), (a, h) ->
         if(size(a) > 0 and h.first <= a[size(a) - 1].end,
            concat(slice(a, 1, size(a) - 1), array(named_struct('first', a[size(a) - 1].first, 'end', greatest(h.end, a[size(a) - 1].end)))),
            concat(a, array(h))))"""
-    out = grouped.withColumn("hits", F.expr(merge)).withColumn("_row", F.explode(F.sequence(F.lit(1), "_rows")))
+    out = grouped.withColumn(hits, F.expr(merge)).withColumn("_row", F.explode(F.sequence(F.lit(1), "_rows")))
     return out.drop("_row", "_rows")
 
 

@@ -62,3 +62,23 @@ def _with_collisions(hashed: DataFrame, differs: DataFrame, best) -> DataFrame:
     )
     groups = parts.groupBy(*by).agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return parts.join(groups, by).select("doc_id", "keep_id", "group_size", _kept(), F.sha2("body", 256).alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
+    """``docs`` with one row per distinct text (see ``exact_dedup``), all columns as they are.
+
+    Rows that repeat the kept id and its text are dropped but for one of them.
+    """
+    found = stage(exact_dedup(docs, id_col, text_col, keep).select("doc_id", "text_sha256", "kept"), "exact-judged")
+    # a row is known by its id and text; a null id by the empty string
+    rows = docs.withColumn("_sha", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    names = F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_gone")
+    gone = stage(found.filter("not kept").select(*names).distinct(), "exact-gone")
+    rest = rows.join(small(gone, 100), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_gone")), "left_anti")
+    twice = found.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").select(*names)
+    twice = stage(twice, "exact-twice")
+    if twice.isEmpty():
+        return rest.drop("_sha")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_gone"))
+    once = rest.join(twice, same, "left_semi").dropDuplicates([id_col, "_sha"])
+    return rest.join(twice, same, "left_anti").unionByName(once).drop("_sha")

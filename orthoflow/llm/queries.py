@@ -136,14 +136,16 @@ v AS (SELECT *, row_number() OVER o AS rank,
 f AS (SELECT min(rank) AS first_open, arg_min(level, rank) AS open_level FROM v WHERE level * w <= cap),
 t AS (SELECT source, source_size, CASE WHEN rank >= first_open THEN w * open_level ELSE CAST(cap AS DOUBLE) END AS target FROM v, f),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(round(target / source_size * 16777216) AS BIGINT) ELSE 0 END AS rate,
-  CAST('0x' || substr(md5('mix' || coalesce(':' || source, '')), 1, 6) AS BIGINT) AS off FROM t),
+  sha256('mix' || coalesce(':' || source, '')) AS digest FROM t),
 k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, bucket, size, digest, doc_id) AS k FROM (
   SELECT *, length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0)) AS class, substr(digest, 1, 3) AS bucket
-  FROM (SELECT *, md5('mix' || CAST(doc_id AS VARCHAR)) AS digest FROM d)))
-SELECT k.doc_id, k.source, k.size, r.source_size, r.target,
-  CAST(((k * rate + off) >> 24) - (((k - 1) * rate + off) >> 24) AS BIGINT) AS copies,
-  CAST(k.size * (((k * rate + off) >> 24) - (((k - 1) * rate + off) >> 24)) AS BIGINT) AS taken
-FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source"""
+  FROM (SELECT *, md5('mix' || CAST(doc_id AS VARCHAR)) AS digest FROM d))),
+o AS (SELECT source, source_size, target, rate, j, CAST('0x' || substr(digest, 1 + 3 * j, 6) AS BIGINT) AS off FROM r, (SELECT unnest(range(16)) AS j)),
+c AS (SELECT k.doc_id, k.source, k.size, o.source_size, o.target, o.j, CAST(((k * rate + off) >> 24) - (((k - 1) * rate + off) >> 24) AS BIGINT) AS copies
+  FROM k JOIN o ON k.source IS NOT DISTINCT FROM o.source),
+near AS (SELECT source, arg_min(j, (off_by, j)) AS j FROM (SELECT source, j, abs(sum(size * copies) - any_value(target)) AS off_by FROM c GROUP BY source, j) GROUP BY source)
+SELECT c.doc_id, c.source, c.size, c.source_size, c.target, c.copies, CAST(c.size * c.copies AS BIGINT) AS taken
+FROM c JOIN near ON c.source IS NOT DISTINCT FROM near.source AND c.j = near.j"""
 )
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document in a mix of the sources by weight."""

@@ -106,7 +106,7 @@ def train_toxicity(
     return Ftrl(z, n, **options).weights(slice(None)).astype(np.float32)
 
 
-def _scorer(weights, text: str, bits: int):
+def _scorer(weights, text: str, bits: int, column: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
         for batch, words in word_runs(batches, text, ALNUM, lower=True):
@@ -115,17 +115,17 @@ def _scorer(weights, text: str, bits: int):
             both = np.unique(row[told].astype(np.int64) << bits | ids[told])  # each feature counts once a document
             total = np.bincount(both >> bits, weights=w[both & ((1 << bits) - 1)], minlength=words.rows) + w[0]
             kept = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], [*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], [*batch.schema.names, column])
 
     return score
 
 
-def score_toxicity(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``toxicity``, 0 to 1. A null or empty text gets the bias alone.
-    A column of that name is replaced."""
+def score_toxicity(docs: DataFrame, weights: np.ndarray, text_col: str = "text", column: str = "toxicity") -> DataFrame:
+    """All columns of ``docs`` with the score, 0 to 1, in ``column``; one of that name is replaced.
+    A null or empty text gets the bias alone. An empty table gives an empty result."""
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.drop("toxicity")
+    docs = docs.drop(column)
     sent = spark.sparkContext.broadcast(weights)
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", toxicity double"
-    return docs.mapInArrow(_scorer(sent, text_col, int(np.log2(len(weights)))), schema)
+    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {column} double"
+    return docs.mapInArrow(_scorer(sent, text_col, int(np.log2(len(weights))), column), schema)
