@@ -210,15 +210,15 @@ def _similar(a: Column, b: Column, overlap: Column, percent: int) -> Column:
     return overlap * (100 + percent) >= (a + b) * percent
 
 
-def _posting(token: str) -> Column:
-    """n above bit 32, place in the prefix below."""
-    return (F.shiftleft(F.col("n"), 32) + F.col(token)).alias("where")
+def _posting(place: str) -> Column:
+    """Place in the prefix above bit 32, n below: the least has the fewest members before it."""
+    return (F.shiftleft(F.col(place).cast("bigint"), 32) + F.col("n")).alias("where")
 
 
 def _pair_filter(percent: int) -> Column:
     """Whether the sizes and the places of a shared shingle leave room for enough overlap."""
-    n, m = F.shiftright("x_where", 32), F.shiftright("y_where", 32)
-    i, j = F.expr("x_where & 4294967295"), F.expr("y_where & 4294967295")
+    i, j = F.shiftright("x_where", 32), F.shiftright("y_where", 32)
+    n, m = F.expr("x_where & 4294967295"), F.expr("y_where & 4294967295")
     return _similar(n, m, F.least(n - i, m - j), percent)
 
 
@@ -286,21 +286,25 @@ class _Join:
         return keys.join(groups, "key").filter("node != center").select(*_ordered("node", "center")).distinct()
 
     def postings(self, first: DataFrame) -> DataFrame:
-        """token, node, where, center (the first node of the list, with its place) of every list
-        that holds two nodes."""
+        """token, node, where, center (node and place) of every list that holds two nodes.
+
+        The center is the node with the fewest shingles before this one. Among edited copies of
+        one text that is the one nearest to the original: edits add shingles that no other
+        copy has, and those come first in the order.
+        """
         rare = first.select("node", "n", F.posexplode("rare").alias("i", "token")).select("token", "node", _posting("i"))
         common = first.select("node", "n", F.size("rare").alias("skip"), F.posexplode("common").alias("i", "token")).withColumn("i", F.col("i") + F.col("skip"))
         common = common.select("token", "node", _posting("i"))
         # lists of rare shingles are short (the sketch bounds them); those of common ones are
         # aggregated first and joined back, so that no task needs a whole list
         whole = Window.partitionBy("token")
-        head = F.struct("node", "where")
-        rare = rare.withColumn("center", F.min(head).over(whole)).withColumn("high", F.max("node").over(whole)).filter("center.node != high").drop("high")
-        heads = common.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-        heads = heads.filter("low != high").select("token", "low")
-        common = common.join(heads, "token")
-        at_head = common.filter("node = low").groupBy("token").agg(F.min("where").alias("low_where"))
-        common = common.join(at_head, "token").select("token", "node", "where", F.struct(F.col("low").alias("node"), F.col("low_where").alias("where")).alias("center"))
+        head = F.struct("where", "node")
+        rare = rare.withColumn("center", F.min(head).over(whole)).withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole))
+        rare = rare.filter("low != high").drop("low", "high")
+        heads = common.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min("where").alias("least"))
+        common = common.join(heads.filter("low != high").select("token", "least"), "token")
+        at_head = common.filter("where = least").groupBy("token").agg(F.min("node").alias("head"))
+        common = common.join(at_head, "token").select("token", "node", "where", F.struct(F.col("least").alias("where"), F.col("head").alias("node")).alias("center"))
         return stage(rare.unionAll(common), "jaccard-postings")
 
     def star_pairs(self, postings: DataFrame) -> DataFrame:
@@ -321,7 +325,7 @@ class _Join:
     def verify(self, pairs: DataFrame, first: DataFrame) -> DataFrame:
         prefixes = first.filter(F.size("rare") + F.size("common") > 0).select("node", "n", F.concat("rare", "common").alias("prefix")).dropDuplicates(["node"])
         near = stage(_by_prefix(pairs, prefixes, self.percent).distinct(), "jaccard-near")
-        ends = stage(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-ends")
+        ends = stage(near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct(), "jaccard-ends")
         wanted = bloom(ends, "node") if not self.shared.count() else bloom(ends.unionAll(self.shared.select(F.col("set").alias("node"))), "node")
         sent = self.spark.sparkContext.broadcast((self.classes, wanted))
         id_type = self.rows.schema["id"].dataType.simpleString()
