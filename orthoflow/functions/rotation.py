@@ -22,14 +22,14 @@ def round_robin_column_at(position: Column, rnd: Column, n: Column) -> Column:
 
 def rotation_needed(pp: Column, qq: Column, pq: Column, eps: float) -> Column:
     """P5: |pq| > eps*sqrt(max(pp,0)*max(qq,0)) and |pq| > 1e-300; NaN never rotates."""
-    rhs = F.lit(eps) * F.sqrt(_fmax0(pp) * _fmax0(qq))
+    rhs = F.lit(eps) * F.sqrt(fmax0(pp) * fmax0(qq))
     return (
         ~F.isnan(pq) & pq.isNotNull() & ~F.isnan(rhs)
         & (F.abs(pq) > rhs) & (F.abs(pq) > F.lit(TINY_PQ))
     )
 
 
-def _fmax0(x: Column) -> Column:
+def fmax0(x: Column) -> Column:
     """C fmax(x, 0): NaN gives 0 (Spark's greatest would give NaN)."""
     return F.when(F.isnan(x) | (x < 0), F.lit(0.0)).otherwise(x)
 
@@ -44,11 +44,6 @@ def rotation_params(pp: Column, qq: Column, pq: Column, eps: float) -> tuple[Col
     return rot, F.when(rot, c).otherwise(F.lit(1.0)), F.when(rot, t * c).otherwise(F.lit(0.0))
 
 
-def rotate(xp: Column, xq: Column, c: Column, s: Column) -> tuple[Column, Column]:
-    """(c*xp - s*xq, s*xp + c*xq)."""
-    return c * xp - s * xq, s * xp + c * xq
-
-
 def keep_if_ranked(v: Column, sigma: Column, eps: float) -> Column:
-    """V / sigma where sigma > eps, else 0."""
-    return F.when(sigma > F.lit(eps), v / sigma).otherwise(F.lit(0.0))
+    """V / sigma where sigma > eps (NaN is not), else 0."""
+    return F.when((sigma > F.lit(eps)) & ~F.isnan(sigma), v / sigma).otherwise(F.lit(0.0))

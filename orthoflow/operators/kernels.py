@@ -118,47 +118,56 @@ def u_from_rotated(a_rot: np.ndarray, sigma: np.ndarray, eps: float) -> np.ndarr
     return np.where(keep[..., None, :], u, 0.0)
 
 
-# Stacks at least this many times taller than wide are rotated through their R factor.
-R_ROUTE_RATIO = 2
+# What a column holds; a column that is not finite never rotates.
+FINITE, INFINITE, NOT_A_NUMBER = 0, 1, 2
+
+
+def column_flags(a: np.ndarray) -> np.ndarray:
+    """FINITE, INFINITE or NOT_A_NUMBER per column (row axis second to last)."""
+    if np.isfinite(a).all():
+        return np.zeros(a.shape[:-2] + a.shape[-1:], dtype=np.int8)
+    return np.where(np.isnan(a).any(axis=-2), NOT_A_NUMBER, np.where(np.isinf(a).any(axis=-2), INFINITE, FINITE)).astype(np.int8)
+
+
+def flagged_sigma(sigma: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Norms by the contract: infinite for an infinite column, 0 for one with NaN."""
+    return np.where(flags == INFINITE, np.inf, np.where(flags == NOT_A_NUMBER, 0.0, sigma))
+
+
+def divide_infinite(u: np.ndarray, a: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    """``u`` with the columns of infinite norm taken as a / sigma (0 for finite cells, else NaN)."""
+    wide = np.isinf(sigma)[..., None, :]
+    if not wide.any():
+        return u
+    with np.errstate(invalid="ignore"):
+        return np.where(wide, a / np.where(wide, np.inf, 1.0), u)
 
 
 def svd_stack(a: np.ndarray, eps: float = DEFAULT_EPS, max_sweeps: int = DEFAULT_MAX_SWEEPS):
-    """(u, sigma, v, sweeps, converged) for a stack (B, m, n); sigma in column order.
+    """(u, sigma, v, sweeps, converged) for a stack (B, m, n), m >= n; sigma in column order.
+
+    The n x n R of a batched QR is rotated instead of A: the pair statistics of R equal those
+    of A (R^T R = A^T A), so the rotations, sweeps and V are the same in exact arithmetic. With
+    R_rot = R V, sigma are its column norms and U = Q (R_rot / sigma): orthogonal to working
+    precision at any condition, since Q is and the rotated R's columns are by convergence.
 
-    Tall stacks (m >= 2n, all finite) rotate the n x n R of a batched QR instead of A: the
-    pair statistics of R equal those of A (R^T R = A^T A), so the rotations, sweeps and V are
-    the same in exact arithmetic, at sweeps * n^3 instead of sweeps * m * n^2 work. A V then
-    gives sigma and U in one matmul.
+    Rows of zeros at the end change nothing, so matrices of one width and different heights may
+    share a zero-padded stack. Columns with NaN or Inf never rotate: they are set to zero for
+    the solve and take their norm from the flag.
     """
     a = np.asarray(a, dtype=np.float64)
-    _, m, n = a.shape
-    if n > 0 and m >= R_ROUTE_RATIO * n and np.isfinite(a).all():
-        r = np.linalg.qr(a, mode="r")
-        _, v, sweeps, converged = jacobi_stack(r, eps, max_sweeps)
-        a_rot = a @ v
-    else:
-        a_rot, v, sweeps, converged = jacobi_stack(a, eps, max_sweeps)
-    sigma = column_norms(a_rot)
-    return u_from_rotated(a_rot, sigma, eps), sigma, v, sweeps, converged
-
-
-def svd_padded(stack: np.ndarray, rows: np.ndarray, eps: float = DEFAULT_EPS,
-               max_sweeps: int = DEFAULT_MAX_SWEEPS):
-    """SVD of matrices with one column count but different row counts, zero-padded to
-    (B, m_max, n); ``rows`` holds each matrix's true row count (all finite, rows >= n).
-
-    Zero rows change neither R^T R = A^T A nor any rotation, so the Jacobi runs on the n x n
-    R of every matrix in one stack; U rows past a matrix's own row count are zero.
-    """
-    r = np.linalg.qr(stack, mode="r")
-    _, v, sweeps, converged = jacobi_stack(r, eps, max_sweeps)
-    a_rot = stack @ v
-    sigma = column_norms(a_rot)
-    return u_from_rotated(a_rot, sigma, eps), sigma, v, sweeps, converged
+    flags = column_flags(a)
+    clean = np.where(flags[..., None, :] > FINITE, 0.0, a) if flags.any() else a
+    q, r = np.linalg.qr(clean)
+    r_rot, v, sweeps, converged = jacobi_stack(r, eps, max_sweeps)
+    sigma = column_norms(r_rot)
+    u = q @ u_from_rotated(r_rot, sigma, eps)
+    sigma = flagged_sigma(sigma, flags)
+    return divide_infinite(u, a, sigma), sigma, v, sweeps, converged
 
 
 def r_factor(block: np.ndarray) -> np.ndarray:
-    """R of a row block (k, n): at most n rows. Rows with NaN/Inf are kept as is.
+    """R of a finite row block (k, n): at most n rows.
 
     A block with k <= n rows is already as small as its R and is returned unchanged,
     so the exact rows travel on and no rounding is added for short blocks.
@@ -166,8 +175,4 @@ def r_factor(block: np.ndarray) -> np.ndarray:
     k, n = block.shape
     if k <= n:
         return np.array(block, dtype=np.float64)
-    if not np.isfinite(block).all():
-        # QR would spread a NaN/Inf over every column; keep the rows so the
-        # final solve sees the same non-finite pattern the reference does.
-        return np.array(block, dtype=np.float64)
     return np.linalg.qr(block, mode="r")

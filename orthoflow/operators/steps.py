@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orthoflow.functions.rotation import keep_if_ranked, rotation_params
+from orthoflow.functions.rotation import fmax0, keep_if_ranked, rotation_params
 from orthoflow.operators import forms
 from orthoflow.operators.kernels import DEFAULT_EPS, DEFAULT_MAX_SWEEPS, round_robin_pairs
 
@@ -72,7 +72,7 @@ def gram(rows: DataFrame, n: int) -> DataFrame:
 def column_norms_cells(cells: DataFrame) -> DataFrame:
     """A3: sigma_c = sqrt(max(sum v^2, 0)) per (matrix, column)."""
     return cells.groupBy("matrix_id", "c").agg(
-        F.sqrt(F.greatest(F.sum(F.col("v") * F.col("v")), F.lit(0.0))).alias("sigma"))
+        F.sqrt(fmax0(F.sum(F.col("v") * F.col("v")))).alias("sigma"))
 
 
 def frobenius(cells: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def u_sigma(state: DataFrame, n: int, eps: float = DEFAULT_EPS) -> tuple[DataFra
     a = state.filter(F.col("kind") == "A")
     x = F.col("x")
     sig = a.groupBy("matrix_id").agg(
-        F.array(*[F.sqrt(F.greatest(F.sum(x[j] * x[j]), F.lit(0.0))) for j in range(n)]).alias("sigma"))
+        F.array(*[F.sqrt(fmax0(F.sum(x[j] * x[j]))) for j in range(n)]).alias("sigma"))
     u = a.join(sig, "matrix_id").select(
         "matrix_id", "r",
         F.array(*[keep_if_ranked(x[j], F.col("sigma")[j], eps) for j in range(n)]).alias("u"))
@@ -232,6 +232,10 @@ def svd_relational_packed(packed: DataFrame, eps: float = DEFAULT_EPS, max_sweep
         u_packed = u.withColumnRenamed("u", "x").transform(forms.rows_to_packed).select("matrix_id", F.col("cells").alias("u"))
         outs.append(part.select("matrix_id", "n_rows", "n_cols").join(factors, "matrix_id").join(u_packed, "matrix_id")
                     .select("matrix_id", "n_rows", "n_cols", "u", "sigma", "v", "sweeps", "converged"))
+    if not outs:  # no matrices
+        from orthoflow.operators.svd import svd_batch
+
+        return svd_batch(packed, eps, max_sweeps)
     return reduce(DataFrame.unionByName, outs)
 
 

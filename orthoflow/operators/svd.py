@@ -10,8 +10,6 @@ auto  (D7)  packed input split by size class; big matrices go the tall way.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +18,13 @@ from orthoflow.operators import forms
 from orthoflow.operators.kernels import (
     DEFAULT_EPS,
     DEFAULT_MAX_SWEEPS,
+    FINITE,
+    column_flags,
     column_norms,
+    divide_infinite,
+    flagged_sigma,
     jacobi_stack,
     r_factor,
-    svd_padded,
     svd_stack,
 )
 
@@ -35,7 +36,7 @@ FACTORS_SCHEMA = (
     "matrix_id bigint, n_rows bigint, n_cols bigint, sigma array<double>, v array<double>, "
     "sweeps int, converged boolean"
 )
-R_SCHEMA = "matrix_id bigint, part bigint, n_rows bigint, n_cols bigint, r_rows bigint, r_cells array<double>"
+R_SCHEMA = "matrix_id bigint, part bigint, n_rows bigint, n_cols bigint, r_rows bigint, r_cells array<double>, flags array<tinyint>"
 
 # A packed row goes to the tall path from this many elements on (512 KB of doubles), which
 # bounds the memory of one Arrow batch of packed matrices without changing session settings.
@@ -50,6 +51,12 @@ BROADCAST_FACTOR_BYTES = 64 << 20
 ARROW_MATRICES_PER_BATCH = 256
 
 
+def check_settings(eps: float, max_sweeps: int) -> None:
+    """Contract of every entry point: both settings are positive."""
+    if not eps > 0 or not max_sweeps > 0:
+        raise ValueError("eps and max_sweeps must be positive")
+
+
 def _check_shape(mid, m, n, ncells):
     if m <= 0 or n <= 0:
         raise ValueError(f"invalid testcase {mid}: zero dimension")
@@ -106,14 +113,9 @@ def _batch_solver(eps: float, max_sweeps: int, with_u: bool = True):
                 parts["sweeps"].append(sweeps)
                 parts["conv"].append(conv)
 
-            finite = np.ones(len(ms), dtype=bool)
-            if not np.isfinite(vals).all():
-                bad = ~np.isfinite(vals)
-                finite = np.add.reduceat(bad, offs[:-1]) == 0 if len(vals) else finite
-                finite &= sizes > 0
-            # finite matrices: one stack per column count, rows zero-padded (R route)
-            for n in np.unique(ns[finite]):
-                sel = np.flatnonzero(finite & (ns == n))
+            # one stack per column count, rows zero-padded
+            for n in np.unique(ns):
+                sel = np.flatnonzero(ns == n)
                 sel = sel[np.argsort(ms[sel], kind="stable")]  # similar heights share a stack
                 for lo in range(0, len(sel), ARROW_MATRICES_PER_BATCH):
                     idx = sel[lo:lo + ARROW_MATRICES_PER_BATCH]
@@ -123,15 +125,7 @@ def _batch_solver(eps: float, max_sweeps: int, with_u: bool = True):
                     valid = pos[None, :] < (m_each * n)[:, None]
                     gather = np.where(valid, offs[idx][:, None] + pos[None, :], 0)
                     stack = np.where(valid, vals[gather], 0.0).reshape(len(idx), m_max, n)
-                    emit(idx, *svd_padded(stack, m_each, eps, max_sweeps), m_each, int(n))
-            # matrices with NaN/Inf: exact shapes, direct rotation of A
-            rest = np.flatnonzero(~finite)
-            for m, n in (np.unique(np.stack([ms[rest], ns[rest]], axis=1), axis=0) if len(rest) else []):
-                sel = rest[(ms[rest] == m) & (ns[rest] == n)]
-                for lo in range(0, len(sel), ARROW_MATRICES_PER_BATCH):
-                    idx = sel[lo:lo + ARROW_MATRICES_PER_BATCH]
-                    stack = vals[offs[idx][:, None] + np.arange(m * n)].reshape(len(idx), m, n)
-                    emit(idx, *svd_stack(stack, eps, max_sweeps), ms[idx], int(n))
+                    emit(idx, *svd_stack(stack, eps, max_sweeps), m_each, int(n))
             idx = np.concatenate(parts["idx"])
             nn = ns[idx]
             cols = [
@@ -152,6 +146,7 @@ def _batch_solver(eps: float, max_sweeps: int, with_u: bool = True):
 def svd_batch(packed: DataFrame, eps: float = DEFAULT_EPS, max_sweeps: int = DEFAULT_MAX_SWEEPS,
               with_u: bool = True) -> DataFrame:
     """Batch strategy: solve every packed matrix inside the task that holds it."""
+    check_settings(eps, max_sweeps)
     ordered = packed.select("matrix_id", "n_rows", "n_cols", "cells")
     if not ordered.isStreaming:  # sorting by shape only makes longer equal-shape stacks
         ordered = ordered.sortWithinPartitions("n_cols", "n_rows")
@@ -188,6 +183,7 @@ def _local_r(batches):
     counts: dict[int, int] = {}
     widths: dict[int, int] = {}
     held: dict[int, int] = {}
+    flags: dict[int, np.ndarray] = {}
     total = floor = 0
     for rb in batches:
         if rb.num_rows == 0:
@@ -199,6 +195,10 @@ def _local_r(batches):
         for mid, idx in _groups(mids):
             block, width = _rows_block(vals, offs, idx, mid, widths.get(mid))
             widths[mid] = width
+            flag = column_flags(block)
+            if flag.any():  # the solve takes such columns as zero; finite cells may stay until then
+                block = np.where(np.isfinite(block), block, 0.0)
+            flags[mid] = np.maximum(flags[mid], flag) if mid in flags else flag
             pending.setdefault(mid, []).append(block)
             counts[mid] = counts.get(mid, 0) + len(idx)
             held[mid] = held.get(mid, 0) + len(idx)
@@ -230,70 +230,75 @@ def _local_r(batches):
     yield pa.RecordBatch.from_arrays(
         [pa.array(ids, type=pa.int64()), pa.array(np.full(len(ids), part), type=pa.int64()),
          pa.array([counts[m] for m in ids], type=pa.int64()), pa.array(n_cols, type=pa.int64()),
-         pa.array(rr, type=pa.int64()), _list_array(pa, np.concatenate(flats), rr * n_cols)],
-        names=["matrix_id", "part", "n_rows", "n_cols", "r_rows", "r_cells"])
+         pa.array(rr, type=pa.int64()), _list_array(pa, np.concatenate(flats), rr * n_cols),
+         pa.array([flags[m] for m in ids], type=pa.list_(pa.int8()))],
+        names=["matrix_id", "part", "n_rows", "n_cols", "r_rows", "r_cells", "flags"])
 
 
-def _fold_collected(batches):
-    """mapInArrow body: fold the R factors collected for one (matrix, bucket) into one R."""
+def _fold_stream(batches):
+    """mapInArrow body over partial R's sorted by (matrix, bucket): one R per key, folded as they
+    arrive, so a task holds one R and the batch at hand however many partials a key has."""
     import pyarrow as pa
 
+    def folded(key, n_rows, blocks, flag):
+        r = r_factor(np.vstack(blocks))
+        n = r.shape[1]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([n_rows], pa.int64()), pa.array([n], pa.int64()),
+             pa.array([r.shape[0]], pa.int64()), pa.array([r.reshape(-1)], pa.list_(pa.float64())), pa.array([flag], pa.list_(pa.int8()))],
+            names=["matrix_id", "part", "n_rows", "n_cols", "r_rows", "r_cells", "flags"])
+
+    key, n_rows, blocks, held, flag = None, 0, [], 0, None
     for rb in batches:
-        if rb.num_rows == 0:
-            continue
-        mids = rb.column("matrix_id").to_numpy(zero_copy_only=False)
-        buckets = rb.column("bucket").to_numpy(zero_copy_only=False)
-        nrows = rb.column("n_rows").to_numpy(zero_copy_only=False)
-        ncols = rb.column("n_cols").to_numpy(zero_copy_only=False).astype(np.int64)
-        parts = rb.column("parts")
-        p_offs = parts.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-        structs = parts.values
-        r_rows = structs.field("r_rows").to_numpy(zero_copy_only=False).astype(np.int64)
-        cells = structs.field("r_cells")
-        c_offs = cells.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        cols = {c: rb.column(c).to_numpy(zero_copy_only=False) for c in ("matrix_id", "bucket", "n_rows", "n_cols", "r_rows")}
+        cells = rb.column("r_cells")
+        offs = cells.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         vals = cells.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-        out_rows, flats = [], []
+        marks = rb.column("flags")
+        m_offs = marks.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        m_vals = marks.values.to_numpy(zero_copy_only=False)
         for i in range(rb.num_rows):
-            n = int(ncols[i])
-            blocks = [vals[c_offs[j]:c_offs[j + 1]].reshape(int(r_rows[j]), n) for j in range(p_offs[i], p_offs[i + 1])]
-            r = r_factor(np.vstack(blocks)) if blocks else np.zeros((0, n))
-            out_rows.append(r.shape[0])
-            flats.append(r.reshape(-1))
-        rr = np.array(out_rows, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(mids, type=pa.int64()), pa.array(buckets, type=pa.int64()), pa.array(nrows, type=pa.int64()),
-             pa.array(ncols, type=pa.int64()), pa.array(rr, type=pa.int64()),
-             _list_array(pa, np.concatenate(flats) if flats else np.zeros(0), rr * ncols)],
-            names=["matrix_id", "part", "n_rows", "n_cols", "r_rows", "r_cells"])
+            this, n = (int(cols["matrix_id"][i]), int(cols["bucket"][i])), int(cols["n_cols"][i])
+            mark = m_vals[m_offs[i]:m_offs[i + 1]]
+            if this != key:
+                if key is not None:
+                    yield folded(key, n_rows, blocks, flag)
+                key, n_rows, blocks, held, flag = this, 0, [], 0, np.zeros(n, np.int8)
+            elif len(flag) != n:
+                raise ValueError(f"invalid testcase {this[0]}: ragged rows")
+            blocks.append(vals[offs[i]:offs[i + 1]].reshape(int(cols["r_rows"][i]), n))
+            held += blocks[-1].shape[0]
+            n_rows += int(cols["n_rows"][i])
+            flag = np.maximum(flag, mark)
+            if held >= 4 * n + 64:
+                blocks = [r_factor(np.vstack(blocks))]
+                held = blocks[0].shape[0]
+    if key is not None:
+        yield folded(key, n_rows, blocks, flag)
 
 
 def _combine(partials: DataFrame, bucket) -> DataFrame:
-    """One tree level: collect the partial R's of a bucket (bounded count) and fold them."""
-    grouped = partials.groupBy("matrix_id", bucket.alias("bucket")).agg(
-        F.sum("n_rows").alias("n_rows"),
-        F.max("n_cols").alias("n_cols"),
-        F.min("n_cols").alias("_min_cols"),
-        F.collect_list(F.struct("r_rows", "r_cells")).alias("parts"),
-    )
-    grouped = grouped.select(
-        "matrix_id", "bucket", "n_rows",
-        F.when(F.col("n_cols") != F.col("_min_cols"),
-               F.raise_error(F.concat(F.lit("invalid testcase "), F.col("matrix_id").cast("string"),
-                                      F.lit(": ragged rows")))).otherwise(F.col("n_cols")).alias("n_cols"),
-        "parts",
-    )
-    return grouped.select("matrix_id", F.col("bucket").cast("bigint").alias("bucket"), "n_rows", "n_cols",
-                          "parts").mapInArrow(_fold_collected, R_SCHEMA)
+    """One tree level: the partial R's of a bucket meet in one task and are folded in order."""
+    keyed = partials.withColumn("bucket", bucket.cast("bigint"))
+    met = keyed.repartition("matrix_id", "bucket").sortWithinPartitions("matrix_id", "bucket", "part")
+    return met.select("matrix_id", "bucket", "n_rows", "n_cols", "r_rows", "r_cells", "flags").mapInArrow(_fold_stream, R_SCHEMA)
+
+
+# Tasks whose partial R's of one matrix are folded by one task of the first tree level.
+FOLD_FAN = 64
 
 
 def r_factors(rows: DataFrame) -> DataFrame:
-    """One R per matrix from row form (matrix_id, r, x): TSQR as partial + final aggregation."""
-    nparts = max(1, rows.rdd.getNumPartitions())
+    """One R per matrix from row form (matrix_id, r, x): TSQR as partial + final aggregation.
+
+    Nothing runs while the plan is built. The first tree level is left out where the session
+    has no more cores than one task folds; the result is the same up to rounding.
+    """
     partial = rows.select("matrix_id", "x").mapInArrow(_local_r, R_SCHEMA)
-    if nparts > 64:
-        fan = int(math.ceil(math.sqrt(nparts)))
-        partial = _combine(partial, F.pmod(F.col("part"), F.lit(fan)))
-    return _combine(partial, F.lit(0).cast("bigint"))
+    spark = rows.sparkSession
+    if max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) > FOLD_FAN:
+        partial = _combine(partial, F.floor(F.col("part") / FOLD_FAN))
+    return _combine(partial, F.lit(0))
 
 
 def _jacobi_on_r(eps: float, max_sweeps: int):
@@ -314,13 +319,17 @@ def _jacobi_on_r(eps: float, max_sweeps: int):
             vals = cells.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
             for i in range(rb.num_rows):
                 _check_shape(int(mids[i]), int(ms[i]), int(ns[i]), int(ms[i] * ns[i]))
+            marks = rb.column("flags").values.to_numpy(zero_copy_only=False)
+            m_offs = rb.column("flags").offsets.to_numpy(zero_copy_only=False).astype(np.int64)
             idx_all, sig_all, v_all, sw_all, cv_all = [], [], [], [], []
             for k, n in np.unique(np.stack([ks, ns], axis=1), axis=0):
                 idx = np.flatnonzero((ks == k) & (ns == n))
                 stack = vals[offs[idx][:, None] + np.arange(k * n)].reshape(len(idx), k, n)
+                flags = marks[m_offs[idx][:, None] + np.arange(n)]
+                stack = np.where(flags[:, None, :] > FINITE, 0.0, stack)
                 r_rot, v, sweeps, conv = jacobi_stack(stack, eps, max_sweeps)
                 idx_all.append(idx)
-                sig_all.append(column_norms(r_rot).reshape(-1))
+                sig_all.append(flagged_sigma(column_norms(r_rot), flags).reshape(-1))
                 v_all.append(v.reshape(-1))
                 sw_all.append(sweeps)
                 cv_all.append(conv)
@@ -338,54 +347,151 @@ def _jacobi_on_r(eps: float, max_sweeps: int):
 
 def tall_factors(rows: DataFrame, eps: float = DEFAULT_EPS, max_sweeps: int = DEFAULT_MAX_SWEEPS) -> DataFrame:
     """sigma, V, sweeps per matrix of a row-form DataFrame (no U)."""
+    check_settings(eps, max_sweeps)
     return r_factors(rows).mapInArrow(_jacobi_on_r(eps, max_sweeps), FACTORS_SCHEMA)
 
 
-def _u_rows(eps: float):
-    """mapInArrow body: U rows = (x . V) / sigma per matrix, zero where sigma <= eps."""
-
-    def apply(batches):
+def _row_batches(batches, tables):
+    """(matrix_id, row keys, block, factors) per matrix of each batch. ``tables`` maps a matrix to
+    its factors; without it the factors arrive as the first row of each (matrix, salt) run."""
+    seen: tuple[int, tuple] | None = None
+    for rb in batches:
+        if rb.num_rows == 0:
+            continue
+        mids = rb.column("matrix_id").to_numpy(zero_copy_only=False)
+        rs = rb.column("r").to_numpy(zero_copy_only=False)
+        x = rb.column("x")
+        offs = x.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        vals = x.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+        if tables is not None:
+            for mid, idx in _groups(mids):
+                if mid in tables:
+                    sigma = tables[mid][0]
+                    yield mid, rs[idx], _rows_block(vals, offs, idx, mid, len(sigma))[0], tables[mid]
+            continue
+        heads = np.flatnonzero(np.asarray(rb.column("head").to_numpy(zero_copy_only=False), bool))
+        cuts = np.unique(np.concatenate(([0], heads, [len(mids)])))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if lo in heads:
+                flat = vals[offs[lo]:offs[lo + 1]]
+                n = int(rs[lo])
+                seen = (int(mids[lo]), tuple([flat[:n], flat[n:n + n * n].reshape(n, n), flat[n + n * n:].reshape(n, n)]))
+                lo += 1
+            if lo < hi:
+                idx = np.arange(lo, hi)
+                yield seen[0], rs[idx], _rows_block(vals, offs, idx, seen[0], len(seen[1][0]))[0], seen[1]
+
+
+def _mapped_rows(apply, out: str, tables):
+    """mapInArrow body: ``apply(block, sigma, v, fix)`` on the rows of each matrix."""
+
+    def run(batches):
         import pyarrow as pa
 
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            mids = rb.column("matrix_id").to_numpy(zero_copy_only=False)
-            rs = rb.column("r").to_numpy(zero_copy_only=False)
-            ns = rb.column("n_cols").to_numpy(zero_copy_only=False)
-            x = rb.column("x")
-            offs = x.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-            vals = x.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-            sig_col, v_col = rb.column("sigma"), rb.column("v")
-            out_idx, out_u, out_w = [], [], []
-            for mid, idx in _groups(mids):
-                n = int(ns[idx[0]])
-                block, _ = _rows_block(vals, offs, idx, mid, n)
-                sigma = np.asarray(sig_col[int(idx[0])].as_py(), dtype=np.float64)
-                v = np.asarray(v_col[int(idx[0])].as_py(), dtype=np.float64).reshape(n, n)
-                keep = sigma > eps
-                with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
-                    u = np.where(keep, (block @ v) / np.where(keep, sigma, 1.0), 0.0)
-                out_idx.append(idx)
-                out_u.append(u.reshape(-1))
-                out_w.append(np.full(len(idx), n))
-            idx = np.concatenate(out_idx)
+        known = None if tables is None else tables.value
+        for mid, rs, block, factors in _row_batches(batches, known):
+            y = apply(block, *factors)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(mids[idx], type=pa.int64()), pa.array(rs[idx], type=pa.int64()),
-                 _list_array(pa, np.concatenate(out_u), np.concatenate(out_w))],
-                names=["matrix_id", "r", "u"])
+                [pa.array(np.full(len(rs), mid), type=pa.int64()), pa.array(rs, type=pa.int64()),
+                 _list_array(pa, np.ascontiguousarray(y).reshape(-1), np.full(len(rs), y.shape[1]))], names=["matrix_id", "r", out])
+
+    return run
+
+
+# Rows of one matrix that share one copy of its factors when the factors are sent by shuffle.
+ROWS_PER_SALT = 1 << 18
 
-    return apply
+
+def map_rows(rows: DataFrame, factors: DataFrame, apply, out: str) -> DataFrame:
+    """(matrix_id, r, out): ``apply(block, sigma, v, fix)`` on row blocks with their matrix's factors.
+
+    ``factors`` (matrix_id, n_rows, sigma, v, fix) must be staged. Below a checked size they are
+    sent to each task once; beyond it they travel in front of the rows, once for each run of
+    ROWS_PER_SALT rows of a matrix. They are never attached to single rows.
+    """
+    schema = f"matrix_id bigint, r bigint, {out} array<double>"
+    stats = factors.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("sigma")).alias("n")).first()
+    n = int(stats["n"] or 0)
+    if int(stats["k"] or 0) * (n + 2 * n * n) * 8 <= BROADCAST_FACTOR_BYTES:
+        tables = {}
+        for f in factors.toLocalIterator():
+            k = len(f["sigma"])
+            tables[f["matrix_id"]] = (np.array(f["sigma"]), np.array(f["v"]).reshape(k, k), np.array(f["fix"]).reshape(k, k))
+        sent = rows.sparkSession.sparkContext.broadcast(tables)
+        return rows.select("matrix_id", "r", "x").mapInArrow(_mapped_rows(apply, out, sent), schema)
+    salts = factors.select("matrix_id", F.ceil(F.col("n_rows") / ROWS_PER_SALT).cast("int").alias("salts"))
+    salted = rows.select("matrix_id", "r", "x").join(salts, "matrix_id").select(
+        "matrix_id", F.pmod(F.xxhash64("r"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("head"), "r", F.col("x").cast("array<double>").alias("x"))
+    heads = factors.join(salts, "matrix_id").select(
+        "matrix_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("head"),
+        F.size("sigma").cast("bigint").alias("r"), F.concat("sigma", "v", "fix").alias("x"))
+    stream = heads.unionByName(salted).repartition("matrix_id", "salt").sortWithinPartitions("matrix_id", "salt", F.desc("head"))
+    return stream.select("matrix_id", "r", "x", "head").mapInArrow(_mapped_rows(apply, out, None), schema)
+
+
+def _scaled(block, sigma, v, eps):
+    """x V / sigma for the columns above the cut-off, without letting NaN or Inf cells spread."""
+    keep = (sigma > eps) & np.isfinite(sigma)
+    clean = np.where(np.isfinite(block), block, 0.0)
+    return np.where(keep, (clean @ v) / np.where(keep, sigma, 1.0), 0.0)
+
+
+# Ratio of singular values from which x V / sigma is orthogonalised once more.
+REFINE_CONDITION = 1e4
+
+
+def _inverse_in_order(eps: float):
+    """mapInArrow body over (matrix_id, ..., sigma, v, r_rows, r_cells): ``fix``, the inverse of the
+    triangular factor of x V / sigma with the columns in falling order of sigma. Large columns
+    come first, so that a small one is freed of what it holds of them and not the other way."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for rb in batches:
+            out = []
+            for row in rb.to_pylist():
+                sigma = np.array(row["sigma"])
+                n = len(sigma)
+                fix = np.eye(n)
+                if row["r_cells"] is not None:
+                    r = np.array(row["r_cells"]).reshape(row["r_rows"], n)
+                    order = np.argsort(-sigma, kind="stable")
+                    order = order[(sigma[order] > eps) & np.isfinite(sigma[order])]
+                    t = np.linalg.qr(r[:, order], mode="r")
+                    t = t * np.where(np.diag(t) < 0, -1.0, 1.0)[:, None]
+                    fix[np.ix_(order, order)] = np.linalg.inv(t)
+                out.append(fix.reshape(-1))
+            keep = [rb.column(c) for c in ("matrix_id", "n_rows", "sigma", "v")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(out, pa.list_(pa.float64()))], names=["matrix_id", "n_rows", "sigma", "v", "fix"])
+
+    return run
 
 
 def tall_u(rows: DataFrame, factors: DataFrame, eps: float = DEFAULT_EPS) -> DataFrame:
-    """U rows = (x . V) / sigma. The factor table is broadcast only below a checked size."""
-    factors = factors.select("matrix_id", "n_cols", "sigma", "v")
-    stats = factors.agg(F.count(F.lit(1)).alias("k"), F.max("n_cols").alias("n")).first()
-    size = int(stats["k"] or 0) * (int(stats["n"] or 0) ** 2 + int(stats["n"] or 0)) * 8
-    side = F.broadcast(factors) if size <= BROADCAST_FACTOR_BYTES else factors
-    joined = rows.select("matrix_id", "r", "x").join(side, "matrix_id")
-    return joined.mapInArrow(_u_rows(eps), "matrix_id bigint, r bigint, u array<double>")
+    """U rows = (x . V) / sigma, orthogonal at any condition.
+
+    The error of x V / sigma in a column grows with sigma_max / sigma. Where that ratio is large
+    the rows so formed go through one more QR tree, whose triangular factor is near the
+    identity, and are multiplied by its inverse; only such matrices pay for the extra scan.
+    """
+    ident = F.flatten(F.transform(F.sequence(F.lit(0), F.size("sigma") - 1), lambda i: F.transform(
+        F.sequence(F.lit(0), F.size("sigma") - 1), lambda j: F.when(i == j, F.lit(1.0)).otherwise(F.lit(0.0)))))
+    factors = factors.select("matrix_id", "n_rows", "sigma", "v", ident.alias("fix"))
+
+    def final(block, sigma, v, fix):
+        return divide_infinite(_scaled(block, sigma, v, eps) @ fix, block, sigma)
+
+    kept = F.filter("sigma", lambda s: (s > eps) & ~F.isnan(s) & (s < float("inf")))
+    steep = F.coalesce(F.array_max(kept) > REFINE_CONDITION * F.array_min(kept), F.lit(False))
+    some = factors.filter(steep)
+    if some.isEmpty():
+        return map_rows(rows, factors, final, "u")
+    first = map_rows(rows.join(some.select("matrix_id"), "matrix_id", "left_semi"), some, lambda b, s, v, _: _scaled(b, s, v, eps), "x")
+    r = r_factors(first).select("matrix_id", "r_rows", "r_cells")
+    fixed = some.drop("fix").join(r, "matrix_id").select("matrix_id", "n_rows", "sigma", "v", "r_rows", "r_cells").mapInArrow(
+        _inverse_in_order(eps), "matrix_id bigint, n_rows bigint, sigma array<double>, v array<double>, fix array<double>")
+    return map_rows(rows, factors.filter(~steep).unionByName(fixed).checkpoint(), final, "u")
 
 
 def svd_rows(rows: DataFrame, eps: float = DEFAULT_EPS, max_sweeps: int = DEFAULT_MAX_SWEEPS,
@@ -395,6 +501,7 @@ def svd_rows(rows: DataFrame, eps: float = DEFAULT_EPS, max_sweeps: int = DEFAUL
     The factor table is checkpointed (it is small) so the U pass does not recompute
     the QR tree and the job survives a lost executor.
     """
+    check_settings(eps, max_sweeps)
     factors = tall_factors(rows, eps, max_sweeps)
     if not with_u:
         return factors, None
@@ -427,8 +534,7 @@ def svd(packed: DataFrame, strategy: str = "auto", eps: float = DEFAULT_EPS,
         max_sweeps: int = DEFAULT_MAX_SWEEPS, tall_min_elements: int = TALL_MIN_ELEMENTS,
         with_u: bool = True) -> DataFrame:
     """SVD of packed matrices: ``batch``, ``tall``, ``relational`` or ``auto`` (split by size)."""
-    if eps <= 0 or max_sweeps <= 0:
-        raise ValueError("eps and max_sweeps must be positive")
+    check_settings(eps, max_sweeps)
     if strategy == "batch":
         return svd_batch(packed, eps, max_sweeps, with_u)
     if strategy == "tall":
@@ -503,6 +609,7 @@ def svd_auto_rows(rows: DataFrame, tall_min_rows: int = TALL_MIN_ROWS, eps: floa
     and solved in batch; big ones (a hot key may hold a third of all rows) go through TSQR and
     are never gathered.
     """
+    check_settings(eps, max_sweeps)
     stats = rows.groupBy("matrix_id").agg(
         F.count(F.lit(1)).alias("_rows"), F.max(F.size("x")).alias("_cols"),
     ).withColumn("_tall", (F.col("_rows") >= tall_min_rows)

@@ -81,3 +81,30 @@ def test_local_r_folds_many_matrices(monkeypatch):
         r = np.asarray(rec.r_cells).reshape(rec.r_rows, 3)
         assert rec.n_rows == len(mats[rec.matrix_id])
         assert np.allclose(np.linalg.svd(r, compute_uv=False), np.linalg.svd(mats[rec.matrix_id], compute_uv=False))
+
+
+def ill(m, n, condition, seed=0):
+    rng = np.random.default_rng(seed)
+    u, v = np.linalg.qr(rng.normal(size=(m, n)))[0], np.linalg.qr(rng.normal(size=(n, n)))[0]
+    return (u * np.geomspace(1.0, 1.0 / condition, n)) @ v.T
+
+
+def test_u_is_orthogonal_at_any_condition():
+    for condition in (1e2, 1e8, 1e10):
+        for m, n in ((64, 16), (20, 16), (16, 16)):
+            a = ill(m, n, condition)
+            u, s, v, _, _ = svd_stack(a[None], eps=1e-14)
+            assert np.abs(u[0].T @ u[0] - np.eye(n)).max() <= 2e-9
+            assert np.abs((u[0] * s[0]) @ v[0].T - a).max() <= 1e-12
+
+
+def test_non_finite_columns_by_the_contract():
+    """The batch solve on R equals the direct rotation of A, column by column."""
+    a = np.random.default_rng(2).normal(size=(1, 10, 4))
+    a[0, 4, 1], a[0, 2, 3] = np.nan, -np.inf
+    u, s, v, _, conv = svd_stack(a)
+    assert conv.all() and s[0, 1] == 0 and np.isinf(s[0, 3])
+    assert np.all(u[0, :, 1] == 0) and np.isnan(u[0, 2, 3]) and np.all(np.delete(u[0, :, 3], 2) == 0)
+    assert np.array_equal(v[0, :, [1, 3]], np.eye(4)[[1, 3]])
+    u2, s2, _, _, _ = svd_stack(a[:, :, [0, 2]])
+    assert np.allclose(s[0, [0, 2]], s2[0]) and np.allclose(u[0][:, [0, 2]], u2[0])
