@@ -7,6 +7,7 @@ Logs are a lines table (source_log, line_no, line). Scanning a run tree gives it
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,6 @@ PROFILING_RE = r'==PROF== Profiling "([^"]+)"\s+-\s+(\d+):.*?-\s+(\d+)\s+passes'
 REPORT_RE = r"==PROF== Report:\s*(.+)"
 TIME_RE = (r"elapsed_seconds=([0-9.]+)\s+user_seconds=([0-9.]+)\s+"
            r"sys_seconds=([0-9.]+)\s+max_rss_kb=(\d+)")
-MODES = ("timing", "nsys", "ncu-basic", "ncu-deep")
 ARTIFACTS = {  # mode -> [(artifact key, file suffix after run_<N>)]
     "nsys": [("nsys_rep", "_nsys.nsys-rep"), ("nsys_sqlite", "_nsys.sqlite")],
     "ncu-basic": [("ncu_rep", "_ncu_basic.ncu-rep")],
@@ -36,6 +36,10 @@ NCU_METRICS = (
 )
 
 
+MISSING_NSYS = "nsys report artifact is missing"
+MISSING_NCU = "ncu report artifact is missing"
+
+
 # ---- S8 scan ------------------------------------------------------------------------
 
 def scan_run_tree(spark: SparkSession, run_dir: str) -> DataFrame:
@@ -118,10 +122,16 @@ def distinct_messages(classified: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("class") == "error", F.col("text")))).alias("errors"))
 
 
-def build_records(classified: DataFrame, listing: DataFrame | None = None) -> DataFrame:
-    """One record per log (nested columns), status from errors and artifacts."""
+def build_records(classified: DataFrame, listing: DataFrame | None = None, skip_nsys: bool = False, skip_ncu: bool = False) -> DataFrame:
+    """One record per log (nested columns), status from errors and artifacts.
+
+    Everything of a log comes from one aggregate. Profiler logs whose report is not in the
+    listing get a warning after the log's own, unless that profiler is skipped; the status does
+    not look at it. The lists of a record are bounded by one log.
+    """
     c = F.col("class")
     kernel, passes = profiling_fields(F.col("text"))
+    launched = F.when(c == "profiling", F.struct(kernel.alias("kernel"), passes.alias("passes")))
     per_log = classified.groupBy("source_log").agg(
         F.min_by(F.expr("substring(text, 3)"), F.when(c == "command", F.col("line_no"))).alias("_cmd"),
         F.array_sort(F.collect_set(F.when(c == "warning", F.col("text")))).alias("warnings"),
@@ -130,18 +140,40 @@ def build_records(classified: DataFrame, listing: DataFrame | None = None) -> Da
                     lambda e: e["text"]).alias("generated"),
         F.transform(F.array_sort(F.collect_list(F.when(c == "report", F.struct("line_no", report_path(F.col("text")).alias("p"))))),
                     lambda e: e["p"]).alias("report_paths"),
-    ).withColumn("command", F.trim("_cmd")).drop("_cmd")
-    kl = kernel_launches(classified)
-    kmap = kl.groupBy("source_log").agg(F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct("kernel", F.struct("launches", "passes"))))).alias("profiled_kernels"))
-    rec = per_log.join(kmap, "source_log", "left").select(
+        F.collect_list(launched).alias("_launched"),
+    ).withColumn("command", F.trim("_cmd"))
+    names = F.array_sort(F.array_distinct(F.transform("_launched", lambda e: e["kernel"])))
+    kernels = F.map_from_arrays(names, F.transform(names, lambda name: _launches_of(F.filter("_launched", lambda e: e["kernel"] == name))))
+    rec = per_log.select(
         *log_keys(F.col("source_log")), "source_log", "command", "warnings", "errors",
-        F.coalesce("profiled_kernels", F.create_map().cast("map<string,struct<launches:int,passes:int>>")).alias("profiled_kernels"),
-        "generated", "report_paths")
+        kernels.alias("profiled_kernels"), "generated", "report_paths")
     arts = artifacts(rec.select("source_log", "mode", "run_index"), listing)
     rec = rec.join(arts, "source_log", "left").withColumn(
         "artifacts", F.coalesce("artifacts", F.create_map().cast("map<string,string>")))
-    return rec.withColumn("status", run_status(F.col("errors"), F.col("artifacts")))
+    rec = rec.withColumn("status", run_status(F.col("errors"), F.col("artifacts")))
+    none = F.size("artifacts") == 0
+    missing = (F.when((F.col("mode") == "nsys") & none & F.lit(not skip_nsys), F.array(F.lit(MISSING_NSYS)))
+               .when(F.col("mode").startswith("ncu-") & none & F.lit(not skip_ncu), F.array(F.lit(MISSING_NCU)))
+               .otherwise(F.array().cast("array<string>")))
+    return rec.withColumn("warnings", F.concat("warnings", missing))
+
+
+def _launches_of(entries: Column) -> Column:
+    passes = F.aggregate(entries, F.lit(0), lambda total, e: total + e["passes"])
+    return F.struct(F.size(entries).alias("launches"), passes.alias("passes"))
+
+
+def with_timing(records: DataFrame, lines: DataFrame) -> DataFrame:
+    """``time`` and ``app_report`` on the records of timing logs (null elsewhere)."""
+    timing = lines.filter(F.element_at(F.split("source_log", "/"), -2) == "timing")
+    t = timing_fields(timing)
+    time = t.select("source_log", F.struct(*[c for c in t.columns if c != "source_log"]).alias("time"))
+    return records.join(time, "source_log", "left").join(app_reports(timing), "source_log", "left")
+
+
+def ordered_records(records: DataFrame) -> DataFrame:
+    """Records by the parts of their path."""
+    return records.orderBy(F.split("source_log", "/"))
 
 
 def run_status(errors: Column, artifacts: Column) -> Column:
@@ -196,46 +228,113 @@ APP_REPORT_SCHEMA = (
 )
 
 
-def json_payload(text: Column, schema: str = APP_REPORT_SCHEMA) -> Column:
-    """F8: the JSON object starting at the first '{' of a line, parsed with a schema."""
-    start = F.instr(text, "{")
-    return F.when(start > 0, F.from_json(F.substring(text, start, 1 << 30), schema))
+def first_json(text: str | None) -> str | None:
+    """F8: the first object or array in a text that is valid JSON; brackets that begin none are
+    passed over."""
+    import json
+    import re
+
+    decoder = json.JSONDecoder()
+    for start in re.finditer(r"[\[{]", text or ""):
+        try:
+            _, end = decoder.raw_decode(text, start.start())
+        except json.JSONDecodeError:
+            continue
+        return text[start.start():end]
+    return None
+
+
+def _first_json_batches(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        found = pa.array([first_json(t) for t in batch.column("text").to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("source_log"), found], ["source_log", "payload"])
+
+
+def app_reports(lines: DataFrame, schema: str = APP_REPORT_SCHEMA) -> DataFrame:
+    """(source_log, app_report) from the first JSON payload of each log's whole text, which
+    may span lines. A log's text is put together from its lines; logs without payload are left out."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda e: e["line"])
+    texts = lines.filter(F.col("line").isNotNull()).groupBy("source_log").agg(F.array_join(ordered, "\n").alias("text"))
+    found = texts.mapInArrow(_first_json_batches, "source_log string, payload string").filter("payload is not null")
+    return found.select("source_log", F.from_json("payload", schema).alias("app_report"))
+
+
+# Number text: an integer, or a decimal, exponent, infinity or NaN; underscores may stand
+# between digits and blanks around it. Suffixes such as 'd' and 'f' are no part of it.
+_DIGITS = r"[0-9](?:_?[0-9])*"
+INTEGER_RE = r"^[-+]?[0-9]+$"
+NUMBER_RE = rf"(?i)^\s*[-+]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[-+]?{_DIGITS})?|inf|infinity|nan)\s*$"
+
+
+def number_of(raw: Column) -> Column:
+    """DOUBLE of a number text, else NULL."""
+    plain = F.regexp_replace(F.trim(F.regexp_replace(raw, r"^\s+|\s+$", "")), "_", "")
+    return F.when(raw.rlike(NUMBER_RE), plain.try_cast("double"))
 
 
 def coerce_value(raw: Column) -> Column:
-    """'' -> NULL; integer text -> BIGINT; else DOUBLE; else the string (as a struct)."""
-    is_int = raw.rlike(r"^[-+]?\d+$")
-    return F.struct(
-        F.when(is_int, raw.try_cast("bigint")).alias("as_int"),
-        F.when(~is_int & (raw != ""), raw.try_cast("double")).alias("as_float"),
-        F.when((raw != "") & ~is_int & raw.try_cast("double").isNull(), raw).alias("as_text"))
+    """'' -> NULL; integer text -> BIGINT (beyond 64 bits its digits, as text); else DOUBLE;
+    else the string (as a struct)."""
+    is_int = raw.rlike(INTEGER_RE)
+    as_int = F.when(is_int, raw.try_cast("bigint"))
+    as_float = F.when(~is_int, number_of(raw))
+    return F.struct(as_int.alias("as_int"), as_float.alias("as_float"),
+                    F.when((raw != "") & as_int.isNull() & as_float.isNull(), raw).alias("as_text"))
 
 
 def float_or_zero(raw: Column) -> Column:
-    """F7."""
-    return F.coalesce(raw.try_cast("double"), F.lit(0.0))
+    """the number, else 0."""
+    return F.coalesce(number_of(raw), F.lit(0.0))
 
 
 # ---- S9 manifest, S10 ncu, S11 nsys, F12 / W1 run names -----------------------------
 
 def manifest_entries(lines: DataFrame, key_col: str = "manifest") -> DataFrame:
-    """key=value lines; skip blank, '#' and lines without '='; split at the first '=';
-    the last duplicate wins (by line number)."""
-    t = F.trim("line")
-    kept = lines.filter((t != "") & ~t.startswith("#") & t.contains("="))
-    kv = kept.select(key_col, "line_no", F.trim(F.split(t, "=", 2)[0]).alias("key"),
-                     F.trim(F.split(t, "=", 2)[1]).alias("value"))
+    """key=value lines as they stand; skip empty lines, lines that begin with '#' and lines
+    without '='; split at the first '='; the last duplicate wins (by line number)."""
+    line = F.col("line")
+    kept = lines.filter((line != "") & ~line.startswith("#") & line.contains("="))
+    at = F.instr(line, "=")
+    kv = kept.select(key_col, "line_no", F.substring(line, F.lit(1), at - 1).alias("key"),
+                     F.substring(line, at + 1, F.length(line)).alias("value"))
     return kv.groupBy(key_col, "key").agg(F.max_by("value", "line_no").alias("value"))
 
 
+def read_manifest(spark: SparkSession, run_dir: str) -> DataFrame:
+    """One row: ``manifest``, the map of <run>/manifest.env (if any) over the run's name, folder,
+    instance and timestamp."""
+    root = run_dir.rstrip("/")
+    name = root.rsplit("/", 1)[-1]
+    try:
+        raw = spark.read.text(f"{root}/manifest.env")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raw = spark.createDataFrame([], "value string")
+    lines = raw.select(F.lit(0).alias("manifest"), F.monotonically_increasing_id().alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
+    kv = manifest_entries(lines).select("key", "value")
+    instance, timestamp = F.regexp_extract("name", RUN_DIR_RE, 1), F.regexp_extract("name", RUN_DIR_RE, 2)
+    base = spark.range(1).select(F.lit(name).alias("name")).select(F.explode(F.map_concat(
+        F.create_map(F.lit("run_name"), F.col("name"), F.lit("source_dir"), F.lit(root)),
+        F.when(F.col("name").rlike(RUN_DIR_RE), F.create_map(F.lit("instance"), instance, F.lit("timestamp"), timestamp))
+        .otherwise(F.create_map().cast("map<string,string>")))).alias("key", "value"))
+    both = base.withColumn("rank", F.lit(0)).unionByName(kv.withColumn("rank", F.lit(1)))
+    best = both.groupBy("key").agg(F.max_by("value", "rank").alias("value"))
+    return best.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("manifest"))
+
+
 def manifest_map(entries: DataFrame, key_col: str = "manifest") -> DataFrame:
     return entries.groupBy(key_col).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("manifest"))
 
 
 def ncu_by_kernel(rows: DataFrame) -> DataFrame:
     """Per log and kernel: launches and summed duration (non-numeric counts 0);
-    rows without a kernel name count only in row_count."""
-    kernel = F.coalesce(F.col("`Kernel Name`"), F.lit(""))
+    rows without a kernel name count only in row_count. Where the name is blank or its column is
+    missing, ``launch__kernel_name`` stands in."""
+    names = [F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`")) for c in ("Kernel Name", "launch__kernel_name") if c in rows.columns]
+    kernel = F.coalesce(*names, F.lit(""))
     per = rows.groupBy("source_log").agg(F.count(F.lit(1)).cast("bigint").alias("row_count"))
     by_k = rows.filter(kernel != "").groupBy("source_log", kernel.alias("kernel")).agg(
         F.count(F.lit(1)).cast("bigint").alias("launches"),
@@ -243,12 +342,6 @@ def ncu_by_kernel(rows: DataFrame) -> DataFrame:
     return per, by_k
 
 
-def ncu_select(csv_df: DataFrame) -> DataFrame:
-    """Keep only the known metric columns that are present, in their fixed order."""
-    keep = [c for c in NCU_METRICS if c in csv_df.columns]
-    return csv_df.select([F.col(f"`{c}`") for c in keep] + [c for c in csv_df.columns if c == "source_log"])
-
-
 def nsys_cuda_api(rows: DataFrame) -> DataFrame:
     """cuda_api_sum rows keyed by Name, the last duplicate winning."""
     return rows.groupBy("source_log", "Name").agg(
@@ -270,6 +363,19 @@ def latest_runs(names: DataFrame, name_col: str = "name") -> DataFrame:
                                           F.max("timestamp").alias("timestamp"))
 
 
+def newest_run(names: DataFrame, name_col: str = "name") -> DataFrame:
+    """The newest run directory of all instances; empty when no name has a timestamp."""
+    parsed = names.select(F.col(name_col).alias("name"), *parse_run_name(F.col(name_col))).filter(F.col("instance") != "")
+    best = parsed.agg(F.max(F.struct("timestamp", "name", "instance")).alias("best")).filter("best is not null")
+    return best.select("best.name", "best.instance", "best.timestamp")
+
+
+def list_runs(spark: SparkSession, prof_dir: str) -> DataFrame:
+    """Names of the run folders under ``prof_dir`` that hold logs."""
+    logs = spark.read.format("binaryFile").load(f"{prof_dir.rstrip('/')}/*/*/*/run_*.log").select("path")
+    return logs.select(F.regexp_extract("path", r"([^/]+)/[^/]+/[^/]+/[^/]+$", 1).alias("name")).distinct()
+
+
 # ---- A7, A8, E3, E4 -----------------------------------------------------------------
 
 def median_of(v: Column, exact: bool = True) -> Column:
@@ -294,6 +400,46 @@ def count_by_sets(df: DataFrame, a: str, b: str) -> DataFrame:
         F.count(F.lit(1)).cast("bigint").alias("n"), F.grouping_id(a, b).cast("int").alias("gid"))
 
 
+FLAT_NAMES = ("cudaMemcpy", "cudaLaunchKernel")
+
+
+def flat_summary(records: DataFrame, api: DataFrame, ncu_rows: DataFrame, instance: Column | None = None, timestamp: Column | None = None) -> DataFrame:
+    """The 16 columns per record. ``records`` have ``time`` (see ``with_timing``); ``api`` is
+    the cuda_api table by Name, ``ncu_rows`` the metric rows. Parts that a record lacks are NULL,
+    but for the kernel count, which is 0."""
+    pick = api.groupBy("source_log").pivot("Name", list(FLAT_NAMES)).agg(F.first("total_ns").alias("total_ns"), F.first("calls").alias("calls"))
+    row_count, by_kernel = ncu_by_kernel(ncu_rows)
+    kernels = by_kernel.groupBy("source_log").agg(F.count(F.lit(1)).cast("bigint").alias("ncu_kernel_count"))
+    out = records.join(pick, "source_log", "left").join(row_count, "source_log", "left").join(kernels, "source_log", "left")
+    return out.select(
+        (F.lit("") if instance is None else instance).alias("instance"), (F.lit("") if timestamp is None else timestamp).alias("timestamp"),
+        "case", "mode", "run_index", "status", F.col("time.elapsed_seconds").alias("elapsed_seconds"), F.col("time.max_rss_kb").alias("max_rss_kb"),
+        *[F.col(f"{n}_{part}").cast("bigint").alias(f"{n}_{part}") for n in FLAT_NAMES for part in ("total_ns", "calls")],
+        F.col("row_count").alias("ncu_row_count"), F.coalesce("ncu_kernel_count", F.lit(0).cast("bigint")).alias("ncu_kernel_count"),
+        F.size("warnings").cast("bigint").alias("warning_count"), F.size("errors").cast("bigint").alias("error_count"))
+
+
+def run_summary(records: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """One row: manifest, record_count, by_mode, by_status, warning and error totals and the
+    summary of elapsed seconds (NULL without timing logs). Modes and statuses are few; the counts
+    are pre-aggregated per (mode, status, elapsed)."""
+    e = F.col("time.elapsed_seconds")
+    totals = records.agg(
+        F.count(F.lit(1)).cast("bigint").alias("record_count"),
+        F.coalesce(F.sum(F.size("warnings")), F.lit(0)).cast("bigint").alias("warning_count"),
+        F.coalesce(F.sum(F.size("errors")), F.lit(0)).cast("bigint").alias("error_count"),
+        F.when(F.count(e) > 0, F.struct(
+            F.count(e).cast("double").alias("count"), F.min(e).alias("min"), F.max(e).alias("max"), F.avg(e).alias("mean"),
+            F.median(e).alias("median"), F.when(F.count(e) > 1, F.stddev_samp(e)).alias("stdev"))).alias("timing_elapsed_seconds"))
+    counts = [records.groupBy(F.col(c).alias("key")).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "n")))).alias(f"by_{c}")) for c in ("mode", "status")]
+    if manifest is None:
+        manifest = records.sparkSession.range(1).select(F.create_map().cast("map<string,string>").alias("manifest"))
+    one = lambda d: d.withColumn("_one", F.lit(1))  # noqa: E731  each side is one row
+    return one(manifest).join(one(totals), "_one").join(one(counts[0]), "_one").join(one(counts[1]), "_one").select(
+        "manifest", "record_count", "by_mode", "by_status", "warning_count", "error_count", "timing_elapsed_seconds")
+
+
 # ---- file-based scans of a run tree (S8, J6 listing, S10, S11, S12) -----------------
 
 def list_artifacts(spark: SparkSession, run_dir: str) -> DataFrame:
@@ -308,12 +454,25 @@ def list_artifacts(spark: SparkSession, run_dir: str) -> DataFrame:
 
 
 def read_ncu_csv(spark: SparkSession, run_dir: str) -> DataFrame:
-    """Every '<mode>/run_N_*.csv' export, header row, all columns as strings, known metrics only."""
-    raw = spark.read.option("header", "true").option("inferSchema", "false").csv(f"{run_dir.rstrip('/')}/*/*/run_*.csv")
-    rel = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)/(run_[0-9]+)_[^/]*\.csv$", 0)
+    """Every '<mode>/run_N_*.csv' export, each under its own header: all columns as strings,
+    the known metrics and ``launch__kernel_name``; NULL where an export lacks one.
+
+    Exports of different modes have different headers, so cells are read by place and named by
+    the first row of their file.
+    """
+    glob = f"{run_dir.rstrip('/')}/*/*/run_*.csv"
+    path = F.col("_metadata.file_path")
+    commas = spark.read.text(glob).agg(F.max(F.length("value") - F.length(F.replace(F.col("value"), F.lit(","), F.lit(""))))).first()[0]
+    columns = [f"c{i}" for i in range((commas or 0) + 1)]
+    # one multi-line file is one task, so the id is increasing in file order
+    raw = spark.read.schema(", ".join(f"{c} string" for c in columns)).option("multiLine", "true").csv(glob)
+    rows = raw.select(path.alias("path"), F.monotonically_increasing_id().alias("row_no"), F.array(*columns).alias("cells"))
+    headers = rows.groupBy("path").agg(F.min("row_no").alias("first"), F.min_by("cells", "row_no").alias("header"))
+    rel = F.regexp_extract("path", r"([^/]+/[^/]+)/(run_[0-9]+)_[^/]*\.csv$", 0)
     log = F.regexp_replace(rel, r"^(.*)/(run_[0-9]+)_[^/]*\.csv$", "$1/$2.log")
-    keep = [c for c in NCU_METRICS if c in raw.columns]
-    return raw.select(log.alias("source_log"), *[F.col(f"`{c}`") for c in keep])
+    named = rows.join(headers, "path").filter("row_no > first")
+    cell = lambda name: F.get("cells", F.when(F.array_position("header", name) > 0, (F.array_position("header", name) - 1).cast("int")))
+    return named.select(log.alias("source_log"), *[cell(c).alias(c) for c in (*NCU_METRICS, "launch__kernel_name")])
 
 
 def read_nsys_json(spark: SparkSession, run_dir: str, report: str = "cuda_api_sum") -> DataFrame:
@@ -332,3 +491,8 @@ def write_records(records: DataFrame, out_dir: str, mode: str = "errorifexists")
 
 def write_summary_csv(summary: DataFrame, out_dir: str, mode: str = "errorifexists") -> None:
     summary.write.mode(mode).option("header", "true").csv(f"{out_dir.rstrip('/')}/summary")
+
+
+def write_summary_json(summary: DataFrame, out_dir: str, mode: str = "errorifexists") -> None:
+    """The run summary (one row) as JSON."""
+    summary.coalesce(1).write.mode(mode).json(f"{out_dir.rstrip('/')}/summary_json")

@@ -33,15 +33,9 @@ def sig(col, fmt: str = "%.5e"):
 
 def _load_all() -> None:
     # Importing the modules fills QUERIES / ORACLES.
-    from orthoflow.plans import q_svd  # noqa: F401
-    from orthoflow.plans import q_forms  # noqa: F401
-    from orthoflow.plans import q_steps  # noqa: F401
-    for mod in ("q_io", "q_generate", "q_logs", "q_compare", "q_stream", "q_runtree"):
-        try:
-            __import__(f"orthoflow.plans.{mod}")
-        except ModuleNotFoundError as exc:  # modules land one by one
-            if exc.name != f"orthoflow.plans.{mod}":
-                raise
+    from orthoflow.plans import (  # noqa: F401
+        q_compare, q_forms, q_generate, q_io, q_logs, q_runtree, q_steps, q_stream, q_svd,
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

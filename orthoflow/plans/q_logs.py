@@ -158,7 +158,9 @@ per AS (SELECT source_log,
           COUNT(CASE WHEN class = 'generated' THEN 1 END) AS n_generated,
           COUNT(CASE WHEN class = 'report' THEN 1 END) AS n_reports
         FROM classified GROUP BY 1),
-rec AS (SELECT k."case", k.mode, k.run_index, k.source_log, p.command, p.n_warnings, p.n_errors, p.n_generated,
+rec AS (SELECT k."case", k.mode, k.run_index, k.source_log, p.command,
+               p.n_warnings + CASE WHEN (k.mode = 'nsys' OR starts_with(k.mode, 'ncu-')) AND f.n_art IS NULL THEN 1 ELSE 0 END AS n_warnings,
+               p.n_errors, p.n_generated,
                p.n_reports, COALESCE(f.n_art, 0) AS n_artifacts,
                CASE WHEN p.n_errors = 0 THEN 'ok' WHEN COALESCE(f.n_art, 0) > 0 THEN 'partial' ELSE 'failed' END AS status
         FROM logs_k k JOIN per p USING (source_log) LEFT JOIN found f USING (source_log))"""
@@ -215,10 +217,10 @@ nc AS (SELECT {source_log_sql('duckdb')} AS source_log,
               CASE WHEN {K} % 13 = 0 THEN '' ELSE 'kernel_' || CAST(user_id % 3 AS VARCHAR) END AS kname
        FROM events WHERE {K} % 10 = 3 AND user_id % 4 >= 2),
 ncs AS (SELECT source_log, COUNT(*) AS row_count, COUNT(DISTINCT NULLIF(kname, '')) AS kernel_count FROM nc GROUP BY 1)
-SELECT r."case" AS instance, '' AS timestamp, r."case", r.mode, r.run_index, r.status, t.elapsed_seconds, t.max_rss_kb,
+SELECT '' AS instance, '' AS timestamp, r."case", r.mode, r.run_index, r.status, t.elapsed_seconds, t.max_rss_kb,
        m.total_ns AS cudaMemcpy_total_ns, m.calls AS cudaMemcpy_calls,
        k.total_ns AS cudaLaunchKernel_total_ns, k.calls AS cudaLaunchKernel_calls,
-       c.row_count AS ncu_row_count, c.kernel_count AS ncu_kernel_count,
+       c.row_count AS ncu_row_count, COALESCE(c.kernel_count, 0) AS ncu_kernel_count,
        CAST(r.n_warnings AS BIGINT) AS warning_count, CAST(r.n_errors AS BIGINT) AS error_count
 FROM rec r LEFT JOIN tim t USING (source_log)
 LEFT JOIN (SELECT * FROM nsl WHERE name = 'cudaMemcpy') m USING (source_log)
@@ -226,27 +228,8 @@ LEFT JOIN (SELECT * FROM nsl WHERE name = 'cudaLaunchKernel') k USING (source_lo
 LEFT JOIN ncs c USING (source_log)""")
 def flat_summary(spark, sf_dir):
     """The 16-column flat summary per record (blank where a part is missing)."""
-    rec = _records(spark, sf_dir)
-    lines = log_lines(spark, sf_dir).filter(F.split("source_log", "/")[1] == "timing")
-    tim = logs.timing_fields(lines).select("source_log", "elapsed_seconds", "max_rss_kb")
-    api = logs.nsys_cuda_api(_nsys_rows(spark, sf_dir))
-    pick = api.groupBy("source_log").pivot("Name", ["cudaMemcpy", "cudaLaunchKernel"]).agg(
-        F.first("total_ns").alias("total_ns"), F.first("calls").alias("calls"))
-    row_count, by_kernel = logs.ncu_by_kernel(_ncu_rows(spark, sf_dir))
-    kc = by_kernel.groupBy("source_log").agg(F.count(F.lit(1)).cast("bigint").alias("ncu_kernel_count"))
-    ncu = row_count.join(kc, "source_log", "left").select(
-        "source_log", F.col("row_count").alias("ncu_row_count"),
-        F.coalesce("ncu_kernel_count", F.lit(0).cast("bigint")).alias("ncu_kernel_count"))
-    out = rec.join(tim, "source_log", "left").join(pick, "source_log", "left").join(ncu, "source_log", "left")
-    return out.select(
-        F.col("case").alias("instance"), F.lit("").alias("timestamp"), "case", "mode", "run_index", "status",
-        "elapsed_seconds", "max_rss_kb",
-        F.col("cudaMemcpy_total_ns").cast("bigint").alias("cudaMemcpy_total_ns"),
-        F.col("cudaMemcpy_calls").cast("bigint").alias("cudaMemcpy_calls"),
-        F.col("cudaLaunchKernel_total_ns").cast("bigint").alias("cudaLaunchKernel_total_ns"),
-        F.col("cudaLaunchKernel_calls").cast("bigint").alias("cudaLaunchKernel_calls"),
-        "ncu_row_count", "ncu_kernel_count",
-        F.size("warnings").cast("bigint").alias("warning_count"), F.size("errors").cast("bigint").alias("error_count"))
+    rec = logs.with_timing(_records(spark, sf_dir), log_lines(spark, sf_dir))
+    return logs.flat_summary(rec, logs.nsys_cuda_api(_nsys_rows(spark, sf_dir)), _ncu_rows(spark, sf_dir))
 
 
 @register("run_summary", _records_sql() + f""",
@@ -261,17 +244,12 @@ SELECT CAST((SELECT COUNT(*) FROM rec) AS BIGINT) AS record_count,
 FROM tim""")
 def run_summary(spark, sf_dir):
     """Record count, warning and error totals, elapsed-time summary."""
-    rec = _records(spark, sf_dir)
-    totals = rec.agg(F.count(F.lit(1)).cast("bigint").alias("record_count"),
-                     F.sum(F.size("warnings")).cast("bigint").alias("warning_count"),
-                     F.sum(F.size("errors")).cast("bigint").alias("error_count"))
-    lines = log_lines(spark, sf_dir).filter(F.split("source_log", "/")[1] == "timing")
-    tim = logs.timing_fields(lines).withColumn("_all", F.lit(1))
-    s = logs.numeric_summary(tim, ["_all"], "elapsed_seconds")
-    s = s.select(F.col("count").alias("elapsed_count"), F.col("min").alias("elapsed_min"),
-                 F.col("max").alias("elapsed_max"), F.round("mean", 9).alias("elapsed_mean"),
-                 F.col("median").alias("elapsed_median"), F.round("stdev", 9).alias("elapsed_stdev"))
-    return totals.withColumn("_all", F.lit(1)).join(s.withColumn("_all", F.lit(1)), "_all", "left").drop("_all")
+    rec = logs.with_timing(_records(spark, sf_dir), log_lines(spark, sf_dir))
+    t = F.col("timing_elapsed_seconds")
+    return logs.run_summary(rec).select(
+        "record_count", "warning_count", "error_count", F.coalesce(t["count"].cast("bigint"), F.lit(0)).alias("elapsed_count"),
+        t["min"].alias("elapsed_min"), t["max"].alias("elapsed_max"), F.round(t["mean"], 9).alias("elapsed_mean"),
+        t["median"].alias("elapsed_median"), F.round(t["stdev"], 9).alias("elapsed_stdev"))
 
 
 @register("count_by_sets", """
@@ -337,14 +315,14 @@ def run_names(spark, sf_dir):
 
 def _manifest_line_sql():
     return (f"(CASE {K} % 6 WHEN 0 THEN '# note ' || CAST(event_id AS STRING) WHEN 1 THEN '   ' "
-            f"WHEN 2 THEN 'noequals' ELSE 'key' || CAST({K} % 3 AS STRING) || ' = v' || CAST(event_id AS STRING) || '=x' END)")
+            f"WHEN 2 THEN 'noequals' WHEN 3 THEN '  #a=b' || CAST({K} AS STRING) || ' ' "
+            f"ELSE 'key' || CAST({K} % 3 AS STRING) || ' = v' || CAST(event_id AS STRING) || '=x ' END)")
 
 
 @register("manifest_map", f"""
 WITH l AS (SELECT event_type AS manifest, event_id AS line_no, {_manifest_line_sql()} AS line FROM events),
-k AS (SELECT manifest, line_no, trim(split_part(trim(line), '=', 1)) AS key,
-             trim(substr(trim(line), strpos(trim(line), '=') + 1)) AS value
-      FROM l WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#') AND contains(trim(line), '='))
+k AS (SELECT manifest, line_no, substr(line, 1, strpos(line, '=') - 1) AS key, substr(line, strpos(line, '=') + 1) AS value
+      FROM l WHERE line <> '' AND NOT starts_with(line, '#') AND contains(line, '='))
 SELECT manifest, key, arg_max(value, line_no) AS value FROM k GROUP BY 1, 2""")
 def manifest_map(spark, sf_dir):
     """Manifest entries per instance (last duplicate wins)."""
@@ -354,33 +332,41 @@ def manifest_map(spark, sf_dir):
     return logs.manifest_entries(lines)
 
 
-@register("json_fields", f"""WITH {CLASSIFIED_SQL}
-SELECT source_log, line_no, CAST(json_extract(text, '$.testcase_count') AS BIGINT) AS testcase_count,
-       CAST(json_extract(text, '$.total_sweeps') AS BIGINT) AS total_sweeps
-FROM classified WHERE starts_with(text, '{{')""")
+def _report_line_sql(d):
+    """Lines of a report over three lines, between text with brackets that begin no JSON."""
+    return (f"(CASE event_id % 4 WHEN 0 THEN 'done {{x}} [' || CAST({K} AS STRING) WHEN 1 THEN 'note {{\"a' "
+            f"ELSE '{{{{' || chr(10) || '  \"testcase_count\": ' || CAST({K} AS STRING) || ',' || chr(10) || '  \"total_sweeps\": ' || CAST(event_id AS STRING) || chr(10) || '}}}} tail' END)").replace("{{{{", "{").replace("}}}}", "}").replace("{{", "{").replace("}}", "}")
+
+
+@register("json_fields", f"""
+WITH l AS (SELECT {source_log_sql('duckdb')} AS source_log, CAST(event_id AS BIGINT) AS line_no, {K} AS k FROM events WHERE event_id % 4 >= 2),
+f AS (SELECT source_log, arg_min(k, line_no) AS testcase_count, MIN(line_no) AS total_sweeps FROM l GROUP BY 1)
+SELECT source_log, testcase_count, total_sweeps FROM f""")
 def json_fields(spark, sf_dir):
-    """The app report embedded in log lines, parsed with its schema."""
-    cl = logs.classify(log_lines(spark, sf_dir)).filter(F.col("text").startswith("{"))
-    p = logs.json_payload(F.col("text"))
-    return cl.select("source_log", "line_no", p["testcase_count"].alias("testcase_count"),
-                     p["total_sweeps"].alias("total_sweeps"))
+    """The first report in each log, indented over several lines, after text whose brackets
+    begin no JSON."""
+    ev = fx.table(spark, sf_dir, "events")
+    lines = ev.select(F.expr(source_log_sql("spark")).alias("source_log"), F.col("event_id").cast("bigint").alias("line_no"), F.expr(_report_line_sql("spark")).alias("line"))
+    return logs.app_reports(lines).select("source_log", "app_report.testcase_count", "app_report.total_sweeps")
 
 
 def _raw_sql():
-    return (f"(CASE {K} % 4 WHEN 0 THEN '' WHEN 1 THEN CAST({K} AS STRING) WHEN 2 THEN {_dec(CENTS)} "
-            f"ELSE 'x' || CAST({K} AS STRING) END)")
+    return (f"(CASE {K} % 9 WHEN 0 THEN '' WHEN 1 THEN CAST({K} AS STRING) WHEN 2 THEN {_dec(CENTS)} "
+            f"WHEN 3 THEN 'x' || CAST({K} AS STRING) WHEN 4 THEN CAST({K} AS STRING) || 'd' WHEN 5 THEN {_dec(CENTS)} || 'f' "
+            f"WHEN 6 THEN '9' || lpad(CAST(event_id AS STRING), 20, '0') WHEN 7 THEN ' ' || {_dec(CENTS)} || 'e1 ' ELSE '  ' END)")
 
 
 @register("coerce_values", f"""
-WITH r AS (SELECT CAST(event_id AS BIGINT) AS event_id, {_raw_sql()} AS raw FROM events)
-SELECT event_id, raw,
-       CASE WHEN regexp_matches(raw, '^[-+]?[0-9]+$') THEN TRY_CAST(raw AS BIGINT) END AS as_int,
-       CASE WHEN NOT regexp_matches(raw, '^[-+]?[0-9]+$') AND raw <> '' THEN TRY_CAST(raw AS DOUBLE) END AS as_float,
-       CASE WHEN raw <> '' AND NOT regexp_matches(raw, '^[-+]?[0-9]+$') AND TRY_CAST(raw AS DOUBLE) IS NULL THEN raw END AS as_text,
-       COALESCE(TRY_CAST(raw AS DOUBLE), 0.0) AS or_zero
-FROM r""")
+WITH r AS (SELECT CAST(event_id AS BIGINT) AS event_id, {K} AS k, CENTS_ AS c, {_raw_sql()} AS raw FROM events)
+SELECT event_id, raw, CASE WHEN k % 9 = 1 THEN k END AS as_int,
+       CASE k % 9 WHEN 2 THEN c / 100 WHEN 7 THEN c / 10 END AS as_float,
+       CASE WHEN k % 9 IN (3, 4, 5, 6, 8) THEN raw END AS as_text,
+       CASE k % 9 WHEN 1 THEN CAST(k AS DOUBLE) WHEN 2 THEN c / 100 WHEN 6 THEN CAST(raw AS DOUBLE) WHEN 7 THEN c / 10 ELSE 0.0 END AS or_zero
+FROM r""".replace("CENTS_", CENTS))
 def coerce_values(spark, sf_dir):
-    """profiler cell coercion (int, float, text, blank) and float-or-zero."""
+    """profiler cell coercion (int, float, text, blank) and float-or-zero, with suffixed
+    numbers, integers beyond 64 bits, exponents and blanks. The oracle knows the value each text
+    was made from and parses none of them but the large integers."""
     ev = fx.table(spark, sf_dir, "events")
     r = ev.select(F.col("event_id").cast("bigint").alias("event_id"), F.expr(_raw_sql()).alias("raw"))
     cv = logs.coerce_value(F.col("raw"))

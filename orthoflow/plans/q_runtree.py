@@ -45,9 +45,11 @@ def _write_files(root: str, kind: str):
                     fh.write("report\n")
                     continue
                 if kind == "csv":
-                    fh.write('"ID","Kernel Name","gpu__time_duration.sum","Block Size"\n')
+                    deep = "/ncu-deep/" in path  # the two modes export different columns
+                    fh.write('"Block Size","gpu__time_duration.sum","launch__kernel_name"\n' if deep
+                             else '"ID","Kernel Name","gpu__time_duration.sum","Block Size"\n')
                     for i, r in enumerate(sorted(items, key=lambda x: x["row_no"])):
-                        fh.write(f'"{i}","{r["kernel"]}","{r["dur"]}","256"\n')
+                        fh.write(f'"256","{r["dur"]}","{r["kernel"]}"\n' if deep else f'"{i}","{r["kernel"]}","{r["dur"]}","256"\n')
                 else:
                     out = [{"Name": r["Name"], "Total Time (ns)": r["total_ns"], "Num Calls": r["calls"]}
                            for r in sorted(items, key=lambda x: x["row_no"])]
@@ -90,29 +92,19 @@ def run_tree_records(spark, sf_dir):
                     F.size("artifacts").cast("int").alias("n_artifacts"), "status")
 
 
+@register("run_tree_kernel_time", ORACLES["kernel_time"])
+def run_tree_kernel_time(spark, sf_dir):
+    """S10/A10 on files: exports with two different headers, one of which names kernels in
+    another column."""
+    root = materialize_tree(spark, sf_dir)
+    _, by_kernel = logs.ncu_by_kernel(logs.read_ncu_csv(spark, root))
+    return by_kernel.select("source_log", "kernel", "launches", F.round("gpu_time_duration_sum", 6).alias("gpu_time_duration_sum"))
+
+
 @register("run_tree_summary", ORACLES["flat_summary"])
 def run_tree_summary(spark, sf_dir):
     """E3 on files: timing from the logs, cudaMemcpy/cudaLaunchKernel from the nsys JSON
     exports (S11, last row per Name wins), row and kernel counts from the ncu CSV (S10)."""
     root = materialize_tree(spark, sf_dir)
-    rec = _records_from_tree(spark, root)
-    lines = logs.scan_run_tree(spark, root).filter(F.split("source_log", "/")[1] == "timing")
-    tim = logs.timing_fields(lines).select("source_log", "elapsed_seconds", "max_rss_kb")
-    api = logs.nsys_cuda_api(logs.read_nsys_json(spark, root))
-    pick = api.groupBy("source_log").pivot("Name", ["cudaMemcpy", "cudaLaunchKernel"]).agg(
-        F.first("total_ns").alias("total_ns"), F.first("calls").alias("calls"))
-    row_count, by_kernel = logs.ncu_by_kernel(logs.read_ncu_csv(spark, root))
-    kc = by_kernel.groupBy("source_log").agg(F.count(F.lit(1)).cast("bigint").alias("ncu_kernel_count"))
-    ncu = row_count.join(kc, "source_log", "left").select(
-        "source_log", F.col("row_count").alias("ncu_row_count"),
-        F.coalesce("ncu_kernel_count", F.lit(0).cast("bigint")).alias("ncu_kernel_count"))
-    out = rec.join(tim, "source_log", "left").join(pick, "source_log", "left").join(ncu, "source_log", "left")
-    return out.select(
-        F.col("case").alias("instance"), F.lit("").alias("timestamp"), "case", "mode", "run_index", "status",
-        "elapsed_seconds", "max_rss_kb",
-        F.col("cudaMemcpy_total_ns").cast("bigint").alias("cudaMemcpy_total_ns"),
-        F.col("cudaMemcpy_calls").cast("bigint").alias("cudaMemcpy_calls"),
-        F.col("cudaLaunchKernel_total_ns").cast("bigint").alias("cudaLaunchKernel_total_ns"),
-        F.col("cudaLaunchKernel_calls").cast("bigint").alias("cudaLaunchKernel_calls"),
-        "ncu_row_count", "ncu_kernel_count",
-        F.size("warnings").cast("bigint").alias("warning_count"), F.size("errors").cast("bigint").alias("error_count"))
+    rec = logs.with_timing(_records_from_tree(spark, root), logs.scan_run_tree(spark, root))
+    return logs.flat_summary(rec, logs.nsys_cuda_api(logs.read_nsys_json(spark, root)), logs.read_ncu_csv(spark, root))
