@@ -258,10 +258,14 @@ def generate_packed(shaped: DataFrame, o: GenOptions) -> DataFrame:
         val = value_sql(o, r=r, c=c)
     cells = F.expr(f"transform(sequence(0L, n_rows * n_cols - 1), ix -> CAST({val} AS DOUBLE))")
     with_rank = shaped.withColumn("rank_eff", F.least(F.lit(o.rank).cast("bigint"), F.col("n_rows"), F.col("n_cols")))
-    return with_rank.select((F.col("file_index") * 1_000_000 + F.col("case_index")).cast("bigint").alias("matrix_id"),
+    return with_rank.select((F.shiftleft(F.col("file_index").cast("bigint"), FILE_SHIFT) + F.col("case_index")).cast("bigint").alias("matrix_id"),
                             "n_rows", "n_cols", cells.alias("cells"))
 
 
+# A matrix id holds the case in its low 40 bits and the file above them.
+FILE_SHIFT = 40
+
+
 def benchmark_cells(sizes: DataFrame) -> DataFrame:
     """sin(0.013(r+1)(c+1)) + cos(0.017(r+3)(c+5)) on 2n x n per case."""
     cells = sizes.select("case_index", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), 2 * F.col("n") * F.col("n") - 1)).alias("ix"))

@@ -57,9 +57,14 @@ def sweep_pair_stats(rows: DataFrame, n: int) -> DataFrame:
 
 def gram(rows: DataFrame, n: int) -> DataFrame:
     """A2: upper triangle of A^T A per matrix in one pass of n(n+1)/2 sums (no self-join);
-    wider matrices use the blocked per-task X^T X (``gram_blocked``)."""
+    wider matrices of doubles use the blocked per-task X^T X (``gram_blocked``), wider ones of
+    an exact type are summed pair by pair, so the type of the sums does not hang on the width."""
     if n > GRAM_COLUMNS_LIMIT:
-        return gram_blocked(rows)
+        if rows.schema["x"].dataType.elementType.typeName() in ("double", "float"):
+            return gram_blocked(rows)
+        left = rows.select("matrix_id", "x", F.posexplode("x").alias("i", "a"))
+        both = left.select("matrix_id", "i", "a", F.posexplode(F.slice("x", F.col("i") + 1, F.size("x"))).alias("d", "b"))
+        return both.groupBy("matrix_id", "i", (F.col("i") + F.col("d")).alias("j")).agg(F.sum(F.col("a") * F.col("b")).alias("g"))
     aggs = []
     for i in range(n):
         for j in range(i, n):
@@ -95,12 +100,14 @@ def initial_state(rows: DataFrame, n: int) -> DataFrame:
     return a.unionByName(v)
 
 
-# Most matrices whose per-round statistics (one small row each) are broadcast.
-STATS_BROADCAST_LIMIT = 100_000
+# Most bytes of per-round statistics that are broadcast.
+STATS_BROADCAST_BYTES = 16 << 20
 
 
-def stats_broadcastable(state: DataFrame, limit: int = STATS_BROADCAST_LIMIT) -> bool:
-    """Size check for broadcasting per-matrix statistics: count the matrices once."""
+def stats_broadcastable(state: DataFrame, n: int, most: int = STATS_BROADCAST_BYTES) -> bool:
+    """Size check for broadcasting per-matrix statistics (three numbers for n/2 pairs): count the
+    matrices once."""
+    limit = most // (12 * n + 32)
     return state.select("matrix_id").distinct().limit(limit + 1).count() <= limit
 
 
@@ -112,7 +119,7 @@ def jacobi_round(state: DataFrame, n: int, rnd: int, eps: float = DEFAULT_EPS,
     checked to be small (then the state is never shuffled), else joined by shuffle.
     """
     if broadcast_stats is None:
-        broadcast_stats = stats_broadcastable(state)
+        broadcast_stats = stats_broadcastable(state, n)
     pairs = round_robin_pairs(n)[rnd]
     if not pairs:
         return state
@@ -153,7 +160,7 @@ def jacobi_sweep(state: DataFrame, n: int, eps: float = DEFAULT_EPS, broadcast_s
     from pyspark import StorageLevel
 
     if broadcast_stats is None:
-        broadcast_stats = stats_broadcastable(state)
+        broadcast_stats = stats_broadcastable(state, n)
     state = state.withColumn("rot", F.lit(False))
     for rnd in range(len(round_robin_pairs(n))):
         cached = jacobi_round(state, n, rnd, eps, broadcast_stats).persist(StorageLevel.MEMORY_AND_DISK)
@@ -181,14 +188,14 @@ def u_sigma(state: DataFrame, n: int, eps: float = DEFAULT_EPS) -> tuple[DataFra
 
 
 def svd_relational(rows: DataFrame, n: int, eps: float = DEFAULT_EPS, max_sweeps: int = DEFAULT_MAX_SWEEPS,
-                   broadcast_limit: int = 100_000):
+                   broadcast_bytes: int = STATS_BROADCAST_BYTES):
     """D3: sweep until every matrix is clean; finished matrices leave the active set.
 
     One action per sweep (the count of matrices still rotating). Each sweep's state is
     checkpointed to the configured checkpoint folder to cut lineage.
     Returns (factors[matrix_id, sigma, v, sweeps, converged], u_rows).
     """
-    bc = stats_broadcastable(rows, broadcast_limit)
+    bc = stats_broadcastable(rows, n, broadcast_bytes)
     state = initial_state(rows, n).checkpoint()
     done = None
     sweep = 0

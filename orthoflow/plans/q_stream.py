@@ -28,11 +28,8 @@ def stream_svd(spark, sf_dir):
     """ST1: matrices read as files land, solved per micro-batch; sigma per vector."""
     folder = _land_matrices(spark, sf_dir)
     packed = streaming.matrix_stream(spark, folder + "/*.txt", max_files_per_trigger=1)
-    solved = packed.transform(lambda d: svd.svd_batch(
-        d.select(F.xxhash64("path", "seq").alias("matrix_id"), "n_rows", "n_cols", "cells"), with_u=False))
-    name = f"stream_svd_{uuid.uuid4().hex[:8]}"
-    out = streaming.run_to_memory(solved.select("matrix_id", "sigma"), name,
-                                  checkpoint=scratch_dir(spark, "stream-ckpt"))
+    solved = streaming.stream_svd(packed).select("matrix_id", "sigma")
+    out = streaming.run_to_table(solved, scratch_dir(spark, "stream-svd"), scratch_dir(spark, "stream-ckpt"))
     # map the stream key back to the vector id through the batch read of the same folder
     batch = streams.with_stream_index(streams.read_txt(spark, folder + "/*.txt"))
     ids = fx.table(spark, sf_dir, "embeddings").select(
@@ -62,10 +59,10 @@ def stream_totals(spark, sf_dir):
 
 @register("stream_runs", q_logs.ORACLES_RUN_STATUS)
 def stream_runs(spark, sf_dir):
-    """ST3: log lines land as Parquet files (each log whole in one file); records per batch."""
+    """ST3: log lines land as Parquet files, every log spread over several files and batches."""
     lines = q_logs.log_lines(spark, sf_dir)
     folder = scratch_dir(spark, "runs-in")
-    lines.repartition(8, "source_log").write.mode("overwrite").parquet(folder)
+    lines.repartition(8, "line_no").write.mode("overwrite").parquet(folder)
     stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", "2").parquet(folder)
     rec = streaming.stream_runs(stream, scratch_dir(spark, "runs-out"), scratch_dir(spark, "runs-ckpt"),
                                 q_logs.listing(spark, sf_dir))

@@ -29,25 +29,55 @@ DEFAULT_SPLIT_MIN_BYTES = 256 << 20
 MAX_ELEMENTS = (1 << 63) // 8
 
 SCHEMA = "path string, seq bigint, n_rows bigint, n_cols bigint, cells array<double>"
+ROWS_SCHEMA = "path string, seq bigint, n_rows bigint, n_cols bigint, r bigint, x array<double>"
+# Payload bytes gathered for one Arrow batch.
+BATCH_BYTES = 16 << 20
+
+
+def form_of(options) -> str:
+    """``packed`` (a record is a row) or ``rows`` (a matrix row is a row, for records of any size)."""
+    form = options.get("form", "packed")
+    if form not in ("packed", "rows"):
+        raise ValueError(f"unknown form of matrix stream: {form}")
+    return form
+
+
+def local_path(path: str) -> str:
+    """The path as the file system of every node sees it; a store that is not mounted is refused."""
+    scheme, colon, rest = path.partition(":")
+    if colon and scheme != "file" and "/" not in scheme:
+        raise ValueError(f"matrix streams are read and written on mounted file systems, not on {scheme}: ({path})")
+    if scheme == "file" and colon:
+        return "/" + rest.lstrip("/")
+    return path
 
 
 def list_files(path: str, suffix: str = ".mat") -> list[str]:
-    """Files of a path: a file, a directory (its ``*suffix`` files, recursively) or a glob."""
+    """Files of a path: a file, a directory (its ``*suffix`` files, recursively) or a glob. A path
+    that this node cannot see, or a glob that matches nothing, is an error."""
+    path = local_path(path)
     if os.path.isdir(path):
         found = sorted(glob.glob(os.path.join(path, "**", f"*{suffix}"), recursive=True))
     elif any(ch in path for ch in "*?["):
         found = sorted(glob.glob(path))
+        if not found:
+            raise FileNotFoundError(f"no matrix stream matches {path}")
     else:
         found = [path]
+        if not os.path.isfile(path):
+            raise FileNotFoundError(f"matrix stream not found: {path}")
     return [f for f in found if os.path.isfile(f)]
 
 
 @dataclass
 class MatRange(InputPartition):
+    """Whole records between two byte offsets; with ``rows``, some rows of the record at ``start``."""
+
     path: str
     start: int
     end: int
     first_seq: int
+    rows: tuple[int, int] | None = None
 
 
 def _read_header(fh, path: str, offset: int) -> tuple[int, int] | None:
@@ -62,8 +92,9 @@ def _read_header(fh, path: str, offset: int) -> tuple[int, int] | None:
     return rows, cols
 
 
-def plan_ranges(path: str, chunk_bytes: int) -> list[MatRange]:
-    """Hop headers of one file and cut it into ranges at record boundaries."""
+def plan_ranges(path: str, chunk_bytes: int, by_row: bool = False) -> list[MatRange]:
+    """Hop headers of one file and cut it into ranges at record boundaries; ``by_row`` cuts
+    records beyond a chunk between their rows as well."""
     size = os.path.getsize(path)
     ranges: list[MatRange] = []
     start, first, seq, offset = 0, 0, 0, 0
@@ -77,6 +108,12 @@ def plan_ranges(path: str, chunk_bytes: int) -> list[MatRange]:
             if nxt > size:
                 raise ValueError(f"Truncated payload in {path} at byte {offset}")
             fh.seek(nxt)
+            if by_row and payload > chunk_bytes:
+                if offset > start:
+                    ranges.append(MatRange(path, start, offset, first))
+                step = max(1, chunk_bytes // (hdr[1] * 8))
+                ranges += [MatRange(path, offset, nxt, seq, (r, min(r + step, hdr[0]))) for r in range(0, hdr[0], step)]
+                start, first = nxt, seq + 1
             offset = nxt
             seq += 1
             if offset - start >= chunk_bytes:
@@ -95,6 +132,7 @@ class MatStreamReader(DataSourceReader):
 
     def __init__(self, options):
         self.path = options.get("path")
+        self.form = form_of(options)
         self.chunk = int(options.get("chunkBytes", DEFAULT_CHUNK_BYTES))
         self.split_min = int(options.get("splitMinBytes", DEFAULT_SPLIT_MIN_BYTES))
         self.suffix = options.get("suffix", ".mat")
@@ -106,57 +144,83 @@ class MatStreamReader(DataSourceReader):
             if size == 0:
                 continue
             if size >= max(self.split_min, 1) and size > self.chunk:
-                parts.extend(plan_ranges(f, self.chunk))
+                parts.extend(plan_ranges(f, self.chunk, self.form == "rows"))
             else:
                 parts.append(MatRange(f, 0, size, 0))
         return parts or [MatRange("", 0, 0, 0)]
 
     def read(self, partition: MatRange):
-        import numpy as np
         import pyarrow as pa
 
         if not partition.path:
             return
-        batch_rows = []
-        with open(partition.path, "rb") as fh:
-            fh.seek(partition.start)
-            offset, seq = partition.start, partition.first_seq
-            while offset < partition.end:
-                hdr = _read_header(fh, partition.path, offset)
+        make = _rows_batch if self.form == "rows" else _to_batch
+        held, size = [], 0
+        for rec in self._records(partition):
+            held.append(rec)
+            size += rec[3].nbytes
+            if size >= BATCH_BYTES:
+                yield make(partition.path, held, pa)
+                held, size = [], 0
+        if held:
+            yield make(partition.path, held, pa)
+
+    def _records(self, p: MatRange):
+        """(seq, rows, columns, cells, first row) of records, or in row form of blocks of rows."""
+        import numpy as np
+
+        with open(p.path, "rb") as fh:
+            fh.seek(p.start)
+            offset, seq = p.start, p.first_seq
+            while offset < p.end:
+                hdr = _read_header(fh, p.path, offset)
                 if hdr is None:
-                    raise ValueError(f"Truncated header in {partition.path} at byte {offset}")
+                    raise ValueError(f"Truncated header in {p.path} at byte {offset}")
                 rows, cols = hdr
-                count = rows * cols
-                payload = fh.read(count * 8)
-                if len(payload) < count * 8:
-                    raise ValueError(f"Truncated payload in {partition.path} at byte {offset}")
-                cells = np.frombuffer(payload, dtype=">f8").astype(np.float64)
-                batch_rows.append((seq, rows, cols, cells))
-                offset += HEADER_BYTES + count * 8
+                first, last = p.rows or (0, rows)
+                if first:
+                    fh.seek(first * cols * 8, os.SEEK_CUR)
+                step = max(1, BATCH_BYTES // max(8, cols * 8)) if self.form == "rows" else max(last - first, 1)
+                for r in range(first, last, step) or ([first] if self.form == "packed" else []):
+                    count = (min(r + step, last) - r) * cols
+                    payload = fh.read(count * 8)
+                    if len(payload) < count * 8:
+                        raise ValueError(f"Truncated payload in {p.path} at byte {offset}")
+                    yield seq, rows, cols, np.frombuffer(payload, dtype=">f8").astype(np.float64), r
+                offset = p.end if p.rows else offset + HEADER_BYTES + rows * cols * 8
                 seq += 1
-                if len(batch_rows) >= 1024:
-                    yield _to_batch(partition.path, batch_rows, pa)
-                    batch_rows = []
-        if batch_rows:
-            yield _to_batch(partition.path, batch_rows, pa)
 
 
-def _to_batch(path, recs, pa):
+def _lists(blocks, lengths, pa):
+    """A list column whose offsets cannot wrap: a batch holds BATCH_BYTES and one record more."""
     import numpy as np
 
-    lengths = np.array([len(r[3]) for r in recs], dtype=np.int32)
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    values = np.concatenate([r[3] for r in recs]) if recs else np.zeros(0)
-    cells = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=pa.float64()))
+    offsets = np.concatenate([[0], np.cumsum(np.asarray(lengths, dtype=np.int64))])
+    if offsets[-1] > np.iinfo(np.int32).max:
+        raise ValueError("a record of 2^31 elements and more is no packed row; read it with option form=rows")
+    values = np.concatenate(blocks) if blocks else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, type=pa.float64()))
+
+
+def _to_batch(path, recs, pa):
     return pa.RecordBatch.from_arrays(
-        [pa.array([path] * len(recs), type=pa.string()),
-         pa.array([r[0] for r in recs], type=pa.int64()),
-         pa.array([r[1] for r in recs], type=pa.int64()),
-         pa.array([r[2] for r in recs], type=pa.int64()),
-         cells],
+        [pa.array([path] * len(recs), type=pa.string()), *[pa.array([r[i] for r in recs], type=pa.int64()) for i in range(3)],
+         _lists([r[3] for r in recs], [len(r[3]) for r in recs], pa)],
         names=["path", "seq", "n_rows", "n_cols", "cells"])
 
 
+def _rows_batch(path, recs, pa):
+    import numpy as np
+
+    many = np.array([len(r[3]) // r[2] if r[2] else 0 for r in recs])
+    keys = [np.repeat(np.array([r[i] for r in recs], dtype=np.int64), many) for i in range(3)]
+    nth = np.concatenate([r[4] + np.arange(k) for r, k in zip(recs, many)]) if recs else np.zeros(0)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([path] * int(many.sum()), type=pa.string()), *[pa.array(k) for k in keys], pa.array(nth.astype(np.int64)),
+         _lists([r[3] for r in recs], keys[2], pa)],
+        names=["path", "seq", "n_rows", "n_cols", "r", "x"])
+
+
 @dataclass
 class PartWritten(WriterCommitMessage):
     path: str
@@ -165,10 +229,15 @@ class PartWritten(WriterCommitMessage):
 
 
 class MatStreamWriter(DataSourceWriter):
+    """Tasks write hidden files; the old output stays until all of them are there."""
+
     def __init__(self, options, overwrite: bool):
-        self.path = options.get("path")
+        import uuid
+
+        self.path = local_path(options.get("path"))
         self.suffix = options.get("suffix", ".mat")
-        prepare_output_dir(self.path, overwrite)
+        self.run = uuid.uuid4().hex[:8]
+        check_output_dir(self.path, overwrite)
 
     def write(self, iterator):
         from pyspark import TaskContext
@@ -181,7 +250,7 @@ class MatStreamWriter(DataSourceWriter):
         final = os.path.join(self.path, f"part-{pid:05d}{self.suffix}")
         # each attempt writes its own hidden file; only committed attempts are renamed, so a
         # task re-run after a lost executor never leaves a torn or duplicate part behind
-        target = os.path.join(self.path, f".part-{pid:05d}-{attempt}{self.suffix}.tmp")
+        target = os.path.join(self.path, f".part-{pid:05d}-{self.run}-{attempt}{self.suffix}.tmp")
         count = 0
         with open(target, "wb") as out:
             for row in iterator:
@@ -194,25 +263,29 @@ class MatStreamWriter(DataSourceWriter):
         return PartWritten(target, final, count)
 
     def commit(self, messages):
+        new = {m.final for m in messages}
         for m in messages:
             os.replace(m.path, m.final)
+        for name in os.listdir(self.path):  # parts of the output that this one replaces
+            full = os.path.join(self.path, name)
+            if name.startswith("part-") and full not in new:
+                os.remove(full)
+        self._clear()
 
     def abort(self, messages):
-        for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+        self._clear()
+
+    def _clear(self):
+        """Remove what attempts of this write left behind."""
+        for name in os.listdir(self.path):
+            if name.startswith(".part-") and f"-{self.run}-" in name:
+                os.remove(os.path.join(self.path, name))
 
 
-def prepare_output_dir(path: str, overwrite: bool) -> None:
+def check_output_dir(path: str, overwrite: bool) -> None:
     """Refuse to replace existing output unless overwrite; make parent folders."""
-    if os.path.exists(path):
-        if not overwrite and (not os.path.isdir(path) or os.listdir(path)):
-            raise FileExistsError(f"output already exists: {path} (use mode('overwrite'))")
-        if overwrite and os.path.isdir(path):
-            for name in os.listdir(path):
-                full = os.path.join(path, name)
-                if os.path.isfile(full) and name.startswith("part-"):
-                    os.remove(full)
+    if os.path.exists(path) and not overwrite and (not os.path.isdir(path) or os.listdir(path)):
+        raise FileExistsError(f"output already exists: {path} (use mode('overwrite'))")
     os.makedirs(path, exist_ok=True)
 
 
@@ -222,7 +295,7 @@ class MatStreamSource(DataSource):
         return "matstream"
 
     def schema(self):
-        return SCHEMA
+        return ROWS_SCHEMA if form_of(self.options) == "rows" else SCHEMA
 
     def reader(self, schema):
         return MatStreamReader(self.options)

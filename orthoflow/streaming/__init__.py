@@ -47,15 +47,35 @@ def run_to_memory(df: DataFrame, name: str, mode: str = "append", checkpoint: st
     return df.sparkSession.table(name)
 
 
+def run_to_table(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Drive a streaming DataFrame to completion (availableNow) into Parquet files, each batch once."""
+    q = (df.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", path)
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stream_runs(lines_stream: DataFrame, sink: str, checkpoint: str, listing: DataFrame | None = None):
-    """ST3: log files land whole; each micro-batch is turned into records (E1) and appended
-    to a Parquet table, exactly once per batch id (the sink path carries the batch id)."""
+    """ST3: log lines land in any number of micro-batches; one record (E1) per log.
+
+    A batch keeps its lines and writes the records of the logs it touched, built from all their
+    lines so far; both go to a folder of the batch, so a repeated batch replaces its own output.
+    Of a log's records the one of its newest batch counts. ``line_no`` orders a log's lines over
+    all batches.
+    """
+    spark = lines_stream.sparkSession
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        rec = logs.build_records(logs.classify(batch), listing)
-        rec.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        batch.select("source_log", "line_no", "line").write.mode("overwrite").parquet(f"{sink}/lines/batch={batch_id}")
+        kept = spark.read.option("basePath", f"{sink}/lines").parquet(f"{sink}/lines").filter(F.col("batch") <= batch_id)
+        touched = spark.read.parquet(f"{sink}/lines/batch={batch_id}").select("source_log").distinct()
+        lines = kept.join(touched, "source_log", "left_semi").drop("batch")
+        rec = logs.build_records(logs.classify(lines), listing)
+        rec.write.mode("overwrite").parquet(f"{sink}/records/batch={batch_id}")
 
     q = (lines_stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return lines_stream.sparkSession.read.parquet(sink)
+    records = spark.read.option("basePath", f"{sink}/records").parquet(f"{sink}/records")
+    newest = records.groupBy("source_log").agg(F.max("batch").alias("batch"))
+    return records.join(newest, ["source_log", "batch"], "left_semi").drop("batch")

@@ -1,5 +1,6 @@
 """Round trips, save modes, stream errors and generator determinism."""
 
+import os
 import struct
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orthoflow.operators import generate as gen
+from orthoflow.operators import steps
 from orthoflow.plans import fixtures as fx
 from orthoflow.session import scratch_dir
 from orthoflow.sources import matstream, streams
@@ -159,3 +161,72 @@ def test_generate_packed_has_no_exchange_or_join(spark):
     cases = spark.range(0, 50).select(F.lit(0).cast("bigint").alias("file_index"), F.col("id").alias("case_index"))
     plan = gen.generate_packed(gen.choose_shapes(cases, gen.shape_candidates(spark, o), o), o)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def _three(spark):
+    mats = [np.arange(6.0).reshape(3, 2), np.ones((4, 3)), np.arange(4000.0).reshape(1000, 4)]
+    return mats, spark.createDataFrame([(i, a.shape[0], a.shape[1], a.ravel().tolist()) for i, a in enumerate(mats)],
+                                       "matrix_id long, n_rows long, n_cols long, cells array<double>")
+
+
+def test_missing_stream_is_an_error(spark, tmp_path):
+    matstream.register(spark)
+    for path in (str(tmp_path / "none"), str(tmp_path / "*.mat"), "s3a://bucket/x"):
+        with pytest.raises(Exception, match="not found|no matrix stream|mounted"):
+            spark.read.format("matstream").load(path).count()
+
+
+def test_failed_overwrite_keeps_the_old_output(spark, tmp_path):
+    mats, df = _three(spark)
+    out = str(tmp_path / "out")
+    streams.write_mat(df, out, parts=2)
+    bad = df.withColumn("n_rows", F.when(F.col("matrix_id") == 2, F.lit(7)).otherwise(F.col("n_rows")))
+    with pytest.raises(Exception, match="size mismatch"):
+        streams.write_mat(bad, out, mode="overwrite", parts=2)
+    assert spark.read.format("matstream").load(out).count() == 3
+    assert not [f for f in os.listdir(out) if f.startswith(".part") and f.endswith(".tmp")]
+    streams.write_mat(df.filter("matrix_id = 1"), out, mode="overwrite", parts=1)
+    assert spark.read.format("matstream").load(out).count() == 1
+
+
+def test_row_form_splits_a_record(spark, tmp_path):
+    mats, df = _three(spark)
+    out = str(tmp_path / "out")
+    streams.write_mat(df, out, parts=1)
+    rows = spark.read.format("matstream").option("form", "rows").option("splitMinBytes", "1").option("chunkBytes", "4096").load(out)
+    assert rows.rdd.getNumPartitions() > 5
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r.seq, {})[r.r] = r.x
+    assert {k: len(v) for k, v in got.items()} == {0: 3, 1: 4, 2: 1000}
+    assert all(np.array_equal([got[k][i] for i in range(len(a))], a) for k, a in enumerate(mats))
+
+
+def test_case_ids_do_not_meet(spark):
+    plan = spark.createDataFrame([(0, 1_000_000), (1, 0)], "file_index long, case_index long")
+    o = gen.GenOptions()
+    ids = [r.matrix_id for r in gen.generate_packed(gen.choose_shapes(plan, gen.shape_candidates(spark, o), o), o).select("matrix_id").collect()]
+    assert len(set(ids)) == 2
+
+
+def test_wide_exact_gram_stays_exact(spark):
+    rows = spark.createDataFrame([(1, 0, [str(j) for j in range(34)]), (1, 1, ["1"] * 34)], "matrix_id long, r long, x array<string>")
+    g = steps.gram(rows.withColumn("x", F.col("x").cast("array<decimal(10,2)>")), 34)
+    assert g.schema["g"].dataType.typeName() == "decimal"
+    assert {(r.i, r.j): int(r.g) for r in g.collect()} == {(i, j): i * j + 1 for i in range(34) for j in range(i, 34)}
+
+
+def test_runs_of_a_split_log(spark, tmp_path):
+    """One log over two batches is one record with the command of the first."""
+    from orthoflow import streaming
+
+    schema = "source_log string, line_no long, line string"
+    folder = str(tmp_path / "in")
+    os.mkdir(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(folder)
+    sink, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    parts = [[("c/timing/run_1.log", 0, "$ app x"), ("c/timing/run_2.log", 0, "$ app y")], [("c/timing/run_1.log", 1, "Error: bad")]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        out = {r.source_log: (r.command, r.status) for r in streaming.stream_runs(stream, sink, ckpt).collect()}
+    assert out == {"c/timing/run_1.log": ("app x", "failed"), "c/timing/run_2.log": ("app y", "ok")}
