@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orthoflow.operators import checks, forms, svd
+from orthoflow.operators import checks, forms, steps, svd
 from orthoflow.plans import fixtures as fx
 from orthoflow.plans.catalog import register, sig
 from orthoflow.plans.sqlgen import gram_jacobi_sigma_sql
@@ -211,3 +211,58 @@ def svd_tall_check(spark, sf_dir):
     energy = factors.select("matrix_id", F.aggregate("sigma", F.lit(0.0), lambda a, s: a + s * s).alias("_a2"))
     return per.join(energy, "matrix_id").select(
         "matrix_id", "n_rows", (F.sqrt("_e2") <= F.lit(1e-9) * F.sqrt("_a2")).alias("reconstructs"))
+
+
+# ---- accuracy and non-finite input on every route -------------------------------------
+
+def _ill_conditioned_rows(spark, sf_dir, condition: float):
+    """EMB rows with their columns scaled apart by ``condition`` and mixed by a Hadamard matrix."""
+    rows = forms.packed_to_rows(fx.embedding_packed(spark, sf_dir, 16, 4))
+    y = [F.col("x")[c] * F.lit(condition ** (-c / 3)) for c in range(4)]
+    signs = [(1, 1, 1, 1), (1, -1, 1, -1), (1, 1, -1, -1), (1, -1, -1, 1)]
+    mixed = [sum((F.lit(0.5 * s) * v for s, v in zip(row[1:], y[1:])), F.lit(0.5 * row[0]) * y[0]) for row in signs]
+    return rows.select("matrix_id", "r", F.array(*mixed).alias("x"))
+
+
+@register("svd_orthogonality_ill", """
+SELECT route, condition, CAST(vec_id AS BIGINT) AS matrix_id, TRUE AS orthogonal FROM embeddings,
+(VALUES ('batch'), ('tall')) a(route), (VALUES ('1e8'), ('1e10')) b(condition)""")
+def svd_orthogonality_ill(spark, sf_dir):
+    """|U^T U - I| <= 2e-9 at conditions 1e8 and 1e10, per matrix and route."""
+    out = []
+    for condition in ("1e8", "1e10"):
+        rows = _ill_conditioned_rows(spark, sf_dir, float(condition))
+        batch = svd.svd_batch(forms.rows_to_packed(rows), eps=1e-14)
+        _, tall = svd.svd_rows(rows, eps=1e-14)
+        for route, u in (("batch", checks.packed_u_rows(batch)), ("tall", tall)):
+            g = checks.u_gram(u, 4)
+            off = F.abs(F.col("g") - F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.lit(0.0)))
+            out.append(g.groupBy("matrix_id").agg((F.max(off) <= 2e-9).alias("orthogonal")).select(
+                F.lit(route).alias("route"), F.lit(condition).alias("condition"), "matrix_id", "orthogonal"))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@register("svd_nan_contract", """
+SELECT route, CAST(vec_id AS BIGINT) AS matrix_id, CAST(vec_id % 4 AS INTEGER) AS c,
+       CASE vec_id % 3 WHEN 0 THEN 0.0 ELSE CAST('inf' AS DOUBLE) END AS sigma,
+       CAST(CASE vec_id % 3 WHEN 0 THEN 0 ELSE 1 END AS INTEGER) AS nan_cells, CAST(0 AS DOUBLE) AS other_cells
+FROM embeddings, (VALUES ('batch'), ('tall'), ('relational')) a(route) WHERE vec_id % 3 < 2""")
+def svd_nan_contract(spark, sf_dir):
+    """Rule 9 on the three routes: of three matrices one has a NaN and one an infinity in a column.
+    A NaN column has norm 0 and a zero column of U; an infinite one has infinite norm and, in U,
+    NaN in place of the infinity and zeros else."""
+    bad = F.when(F.col("matrix_id") % 3 == 0, F.lit(float("nan"))).when(F.col("matrix_id") % 3 == 1, F.lit(float("inf")))
+    rows = forms.packed_to_rows(fx.embedding_packed(spark, sf_dir, 16, 4))
+    hit = lambda v, c: F.when((F.col("r") == 3) & (c == F.col("matrix_id") % 4), F.coalesce(bad, v)).otherwise(v)
+    rows = rows.select("matrix_id", "r", F.transform("x", hit).alias("x"))
+    batch = svd.svd_batch(forms.rows_to_packed(rows))
+    tall_f, tall_u = svd.svd_rows(rows)
+    rel_f, rel_u = steps.svd_relational(rows, 4)
+    out = []
+    for route, f, u in (("batch", batch, checks.packed_u_rows(batch)), ("tall", tall_f, tall_u), ("relational", rel_f, rel_u)):
+        c = (F.col("matrix_id") % 4).cast("int")
+        cell = F.col("u")[c]
+        per = u.filter("matrix_id % 3 < 2").groupBy("matrix_id").agg(
+            F.sum(F.isnan(cell).cast("int")).cast("int").alias("nan_cells"), F.max(F.when(~F.isnan(cell), F.abs(cell))).alias("other_cells"))
+        out.append(f.join(per, "matrix_id").select(F.lit(route).alias("route"), "matrix_id", c.alias("c"), F.col("sigma")[c].alias("sigma"), "nan_cells", "other_cells"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
