@@ -296,14 +296,15 @@ class _Join:
         common = first.select("node", "n", F.size("rare").alias("skip"), F.posexplode("common").alias("i", "token")).withColumn("i", F.col("i") + F.col("skip"))
         common = common.select("token", "node", _posting("i"))
         # lists of rare shingles are short (the sketch bounds them); those of common ones are
-        # aggregated first and joined back, so that no task needs a whole list
+        # aggregated first and the staged heads joined back, so that Spark can split long lists
         whole = Window.partitionBy("token")
         head = F.struct("where", "node")
         rare = rare.withColumn("center", F.min(head).over(whole)).withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole))
         rare = rare.filter("low != high").drop("low", "high")
         heads = common.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min("where").alias("least"))
-        common = common.join(heads.filter("low != high").select("token", "least"), "token")
-        at_head = common.filter("where = least").groupBy("token").agg(F.min("node").alias("head"))
+        heads = stage(heads.filter("low != high").select("token", "least"), "jaccard-heads")
+        common = stage(common.join(heads, "token"), "jaccard-common")
+        at_head = stage(common.filter("where = least").groupBy("token").agg(F.min("node").alias("head")), "jaccard-centers")
         common = common.join(at_head, "token").select("token", "node", "where", F.struct(F.col("least").alias("where"), F.col("head").alias("node")).alias("center"))
         return stage(rare.unionAll(common), "jaccard-postings")
 
@@ -315,7 +316,7 @@ class _Join:
         """Pairs of different components that share a list and were not compared yet."""
         named = postings.select("token", "node", "where").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
         named = stage(named, "jaccard-labelled")
-        mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("token")
+        mixed = stage(named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("token"), "jaccard-tokens")
         named = stage(named.join(mixed, "token"), "jaccard-mixed")
         x, y = (named.select("token", F.col("node").alias(f"{c}"), F.col("where").alias(f"{c}_where"), F.col("label").alias(f"{c}_label")) for c in "xy")
         pairs = x.join(y, "token").filter((F.col("x") < F.col("y")) & (F.col("x_label") != F.col("y_label")) & _pair_filter(self.percent))
