@@ -147,8 +147,11 @@ def repeated_windows(docs: DataFrame, length: int, id_col: str, text_col: str) -
     later = F.coalesce(F.col("id") > F.col("low"), F.col("low").isNotNull())  # a null id is later than any
     group = Window.partitionBy("key", "key2")
     cold = windows.filter("not hot").withColumn("low", F.min("id").over(group)).filter(later).select("id", "place")
-    many = windows.filter("hot")
-    firsts = many.groupBy("key", "key2").agg(F.min("id").alias("low"))
+    if not len(hot):
+        return cold, copies
+    # rows of hot keys are aggregated and the staged minima joined back, which Spark can split
+    many = stage(windows.filter("hot").drop("hot"), "substring-hot")
+    firsts = stage(many.groupBy("key", "key2").agg(F.min("id").alias("low")), "substring-firsts")
     both = many.join(firsts, ["key", "key2"]).filter(later).select("id", "place")
     return cold.unionAll(both), copies
 
