@@ -6,17 +6,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orthoflow.operators.quantile import with_median
+
 
 def case_timing(runs: DataFrame, keys: list[str], elapsed: str, testcases: str, sweeps: str,
                 exact: bool = True) -> DataFrame:
     """Runs, mean and median elapsed, time per testcase and per sweep, sweeps per testcase."""
-    from orthoflow.operators.logs import median_of
-
     e, t, s = F.col(elapsed), F.col(testcases), F.col(sweeps)
-    return runs.groupBy(*keys).agg(
+    out = runs.groupBy(*keys).agg(
         F.count(F.lit(1)).cast("bigint").alias("runs"), F.avg(e).alias("mean_elapsed"),
-        median_of(e, exact).alias("median_elapsed"), (F.sum(e) / F.sum(t)).alias("per_testcase"),
+        F.percentile_approx(e, 0.5, 10000).alias("median_elapsed"), (F.sum(e) / F.sum(t)).alias("per_testcase"),
         (F.sum(e) / F.sum(s)).alias("per_sweep"), (F.sum(s) / F.sum(t)).alias("sweeps_per_testcase"))
+    return with_median(out.drop("median_elapsed"), runs, keys, elapsed, "median_elapsed") if exact else out
 
 
 def ab_join(timing: DataFrame, key: str, variant: str, base: str, new: str, metric: str) -> DataFrame:
@@ -40,11 +41,28 @@ def share_of_total(df: DataFrame, value: str, partition: list[str] | None = None
 
 def profile_distribution(df: DataFrame, keys: list[str], value: str, exact: bool = True) -> DataFrame:
     """Min / median / mean / max of a metric per variant."""
-    from orthoflow.operators.logs import median_of
-
     v = F.col(value)
-    return df.groupBy(*keys).agg(F.min(v).alias("min"), median_of(v, exact).alias("median"), F.avg(v).alias("mean"),
-                                 F.max(v).alias("max"), F.count(v).cast("bigint").alias("n"))
+    out = df.groupBy(*keys).agg(F.min(v).alias("min"), F.percentile_approx(v, 0.5, 10000).alias("median"), F.avg(v).alias("mean"),
+                                F.max(v).alias("max"), F.count(v).cast("bigint").alias("n"))
+    return with_median(out.drop("median"), df, keys, value) if exact else out
+
+
+def busy_intervals(intervals: DataFrame, group: str, thread: str, start: str, end: str) -> DataFrame:
+    """Intervals of each thread with overlapping and touching ones joined, so that nested calls of
+    one thread count once."""
+    w = Window.partitionBy(group, thread).orderBy(start, end)
+    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begun = intervals.withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0))
+    run = begun.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return run.groupBy(group, thread, "_run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_run")
+
+
+def thread_concurrency(intervals: DataFrame, group: str, thread: str, start: str, end: str, levels: tuple[int, ...] = (2, 4)) -> DataFrame:
+    """W6 over host threads: ``concurrency`` of the threads' busy time, and ``threads``, how many
+    there are. total_duration and intervals are those of the joined intervals."""
+    busy = busy_intervals(intervals, group, thread, start, end)
+    threads = intervals.groupBy(group).agg(F.countDistinct(thread).alias("threads"))
+    return concurrency(busy, group, start, end, levels).join(threads, group)
 
 
 def concurrency(intervals: DataFrame, group: str, start: str, end: str, levels: tuple[int, ...] = (2, 4),

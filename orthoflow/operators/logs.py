@@ -11,6 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orthoflow.operators.quantile import exact_median, with_median
+
 # Patterns and names of the log format.
 RUN_DIR_RE = r"^(.+)-([0-9]{8}_[0-9]{6})$"
 RUN_LOG_RE = r"^run_([0-9]+)\.log$"
@@ -378,20 +380,17 @@ def list_runs(spark: SparkSession, prof_dir: str) -> DataFrame:
 
 # ---- A7, A8, E3, E4 -----------------------------------------------------------------
 
-def median_of(v: Column, exact: bool = True) -> Column:
-    """Exact median (midpoint of the two middle values; its buffer counts distinct values of
-    the group) or, with exact=False, percentile_approx with a fixed-size sketch for groups
-    with very many distinct values."""
-    return F.median(v) if exact else F.percentile_approx(v, 0.5, 10000)
-
-
 def numeric_summary(df: DataFrame, keys: list[str], value: str, exact: bool = True) -> DataFrame:
-    """Count, min, max, mean, median, sample stdev (NULL for a single value)."""
+    """Count, min, max, mean, median, sample stdev (NULL for a single value). The median is
+    exact, by counting (``quantile``), or with exact=False from a fixed-size sketch."""
     v = F.col(value)
-    return df.groupBy(*keys).agg(
+    out = df.groupBy(*keys).agg(
         F.count(v).cast("bigint").alias("count"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.avg(v).alias("mean"), median_of(v, exact).alias("median"),
+        F.avg(v).alias("mean"), F.percentile_approx(v, 0.5, 10000).alias("median"),
         F.when(F.count(v) > 1, F.stddev_samp(v)).alias("stdev"))
+    if not exact:
+        return out
+    return with_median(out.drop("median"), df, keys, value).select(*keys, "count", "min", "max", "mean", "median", "stdev")
 
 
 def count_by_sets(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -421,8 +420,7 @@ def flat_summary(records: DataFrame, api: DataFrame, ncu_rows: DataFrame, instan
 
 def run_summary(records: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
     """One row: manifest, record_count, by_mode, by_status, warning and error totals and the
-    summary of elapsed seconds (NULL without timing logs). Modes and statuses are few; the counts
-    are pre-aggregated per (mode, status, elapsed)."""
+    summary of elapsed seconds (NULL without timing logs)."""
     e = F.col("time.elapsed_seconds")
     totals = records.agg(
         F.count(F.lit(1)).cast("bigint").alias("record_count"),
@@ -430,14 +428,16 @@ def run_summary(records: DataFrame, manifest: DataFrame | None = None) -> DataFr
         F.coalesce(F.sum(F.size("errors")), F.lit(0)).cast("bigint").alias("error_count"),
         F.when(F.count(e) > 0, F.struct(
             F.count(e).cast("double").alias("count"), F.min(e).alias("min"), F.max(e).alias("max"), F.avg(e).alias("mean"),
-            F.median(e).alias("median"), F.when(F.count(e) > 1, F.stddev_samp(e)).alias("stdev"))).alias("timing_elapsed_seconds"))
+            F.when(F.count(e) > 1, F.stddev_samp(e)).alias("stdev"))).alias("_elapsed"))
+    median = exact_median(records.select(F.lit(1).alias("_one"), e.alias("_e")), ["_one"], "_e")
     counts = [records.groupBy(F.col(c).alias("key")).agg(F.count(F.lit(1)).alias("n")).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "n")))).alias(f"by_{c}")) for c in ("mode", "status")]
     if manifest is None:
         manifest = records.sparkSession.range(1).select(F.create_map().cast("map<string,string>").alias("manifest"))
     one = lambda d: d.withColumn("_one", F.lit(1))  # noqa: E731  each side is one row
-    return one(manifest).join(one(totals), "_one").join(one(counts[0]), "_one").join(one(counts[1]), "_one").select(
-        "manifest", "record_count", "by_mode", "by_status", "warning_count", "error_count", "timing_elapsed_seconds")
+    elapsed = F.when(F.col("_elapsed").isNotNull(), F.struct(*[F.col(f"_elapsed.{n}").alias(n) for n in ("count", "min", "max", "mean")], "median", F.col("_elapsed.stdev").alias("stdev")))
+    return one(manifest).join(one(totals), "_one").join(one(counts[0]), "_one").join(one(counts[1]), "_one").join(median, "_one", "left").select(
+        "manifest", "record_count", "by_mode", "by_status", "warning_count", "error_count", elapsed.alias("timing_elapsed_seconds"))
 
 
 # ---- file-based scans of a run tree (S8, J6 listing, S10, S11, S12) -----------------

@@ -32,3 +32,28 @@ def test_concurrency_matches_brute_force(spark):
         r = got[g]
         assert r["span"] == span and r["max_active"] == mx
         assert abs(r["avg_active"] - avg) < 1e-12 and abs(r["share_ge2"] - ge2) < 1e-12
+
+
+def test_exact_median(spark):
+    import statistics
+
+    from orthoflow.operators.quantile import exact_median
+
+    rng = np.random.default_rng(8)
+    rows = [(None if i % 50 == 0 else f"k{int(rng.integers(4))}", float(rng.integers(-5, 6)) if i % 3 else None) for i in range(600)]
+    rows += [("hot", float(x)) for x in rng.normal(size=901)] + [("one", 2.5), ("two", 1.0), ("two", 2.0), ("none", None)]
+    got = {r.k: r.median for r in exact_median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    want = {}
+    for k, v in rows:
+        if v is not None:
+            want.setdefault(k, []).append(v)
+    assert got == {k: statistics.median(v) for k, v in want.items()}
+
+
+def test_threads_count_once(spark):
+    """Nested calls of one thread are one busy stretch."""
+    calls = [("g", 1, 0, 10), ("g", 1, 2, 5), ("g", 1, 8, 12), ("g", 2, 4, 6), ("g", 3, 5, 6), ("h", 1, 0, 4)]
+    df = spark.createDataFrame(calls, "g string, thread long, s long, e long")
+    got = {r.g: r for r in compare.thread_concurrency(df, "g", "thread", "s", "e").collect()}
+    assert (got["g"].threads, got["g"].max_active, got["g"].span) == (3, 3, 12)
+    assert abs(got["g"].share_ge2 - 2 / 12) < 1e-12 and got["h"].max_active == 1
