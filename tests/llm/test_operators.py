@@ -217,7 +217,7 @@ def lines_brute(spark, rows, distance, similarity, min_words):
     at = defaultdict(list)
     for i, t in rows:
         for n, raw in enumerate((t or "").split("\n")):
-            norm = re.sub(r"[\W_]+", " ", raw.lower()).strip()
+            norm = re.sub(r"[\x00-/:-`{-\x7f]+", " ", raw.lower()).strip(" ")
             if len(norm.split()) >= min_words:
                 at[norm].append((i, n))
     words = spark.createDataFrame([(k, w) for k in at for w in k.split(" ")], "key string, word string")
@@ -259,7 +259,7 @@ def test_lines_edges(spark, empty, docs):
     bits = spark.createDataFrame([("k", w) for w in ["a", "a", "b"]], "key string, word string")
     a = spark.createDataFrame([("k", "a")], "key string, word string")
     assert line_dedup.simhash(bits, ["key"]).first().hash == line_dedup.simhash(a, ["key"]).first().hash
-    assert len(line_dedup.block_keys(2)) == 6 and sum(m for _, m in line_dedup.block_keys(1)) == 2**63 - 1
+    assert len(line_dedup.block_keys(2)) == 6 and sum(m for _, m in line_dedup.block_keys(1)) == 2**line_dedup.HASH_BITS - 1
 
 
 # --- 5 -----------------------------------------------------------------------------------------
