@@ -5,9 +5,11 @@ segment and continuation records; payloads are framed with the chunked transfer
 text sink writes each record as it is, followed by the two line ends the format asks for, so any
 store that Spark reaches will do.
 
-Reading: the text source cuts the stream before each version line. The writer never leaves a
-version line inside a block (it begins a new chunk within it); a foreign archive that has one
-gives records whose length does not fit, and these are marked ``complete = false``, not dropped.
+Reading: the text source cuts the stream at each version line. The line repeats no part of its own
+beginning, so a reader that starts anew at the next byte after a partial match misses none, also
+where a buffer ends within it. The writer never leaves a version line inside a block or a header;
+a foreign archive that has one gives records whose length does not fit, and these are marked
+``complete = false``, not dropped.
 Continuation records are grouped by origin identifier, ordered by segment number, checked against
 the total length and joined; then the chunked framing is taken off and the digest compared.
 """
@@ -35,24 +37,37 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _cut(data: bytes, begin: int, end: int) -> int:
+    """``end``, or two bytes less when the piece ends with the version: a line end follows each
+    piece and would make it a version line."""
+    return end - 2 if data[max(begin, end - len(VERSION) + 2) : end] == VERSION[:-2] else end
+
+
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
-    """Chunked transfer coding; a version line inside the payload is broken by a chunk border."""
-    cuts, at = [], payload.find(VERSION)
-    while at >= 0:
-        cuts.append(at + 2)
-        at = payload.find(VERSION, at + 1)
-    cuts.append(len(payload))
+    """Chunked transfer coding; a version line of the payload is broken by a chunk border."""
     out, begin = [], 0
-    for cut in cuts:
-        while begin < cut:
-            part = payload[begin : min(begin + size, cut)]
-            # a regular border may fall into a version line as well; either way it is broken
-            out.append(b"%x\r\n%b\r\n" % (len(part), part))
-            begin += len(part)
+    line = payload.find(VERSION)
+    while begin < len(payload):
+        if 0 <= line < begin:
+            line = payload.find(VERSION, begin)
+        end = min(begin + size, len(payload), line + 2 if line >= 0 else len(payload))
+        end = _cut(payload, begin, end)
+        out.append(b"%x\r\n%b\r\n" % (end - begin, payload[begin:end]))
+        begin = end
     out.append(b"0\r\n\r\n")
     return b"".join(out)
 
 
+def segments(block: bytes, size: int) -> list[bytes]:
+    """The block in pieces of about ``size`` bytes."""
+    out, begin = [], 0
+    while begin < len(block):
+        end = _cut(block, begin, min(begin + size, len(block)))
+        out.append(block[begin:end])
+        begin = end
+    return out
+
+
 def unchunk(body: bytes) -> bytes | None:
     """Payload of a chunked body; None when the framing is broken."""
     out, at = [], 0
@@ -80,8 +95,10 @@ def record(kind: bytes, fields: list[tuple[bytes, bytes]], block: bytes) -> byte
 
 
 def _clean(value: str | None) -> bytes:
-    """A header value: control characters are percent-encoded."""
-    return b"".join(b"%%%02X" % c if c < 32 or c == 127 else bytes([c]) for c in (value or "").encode())
+    """A header value: control characters are percent-encoded, and the last one of a value that
+    would end its line like a version line."""
+    out = b"".join(b"%%%02X" % c if c < 32 or c == 127 else bytes([c]) for c in (value or "").encode())
+    return out[:-1] + b"%%%02X" % out[-1] if out.endswith(VERSION[:-2]) else out
 
 
 def page_records(row_id: str, uri: str | None, payload: bytes, refers_to: str | None, date: bytes, segment_bytes: int) -> Iterator[bytes]:
@@ -95,7 +112,7 @@ def page_records(row_id: str, uri: str | None, payload: bytes, refers_to: str |
         return
     block = HTTP_HEAD + chunked(payload)
     kind = (b"Content-Type", b"application/http;msgtype=response")
-    parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
+    parts = segments(block, segment_bytes)
     if len(parts) == 1:
         yield record(b"response", [(b"WARC-Record-ID", me), *shared, kind], block)
         return
@@ -136,6 +153,8 @@ def write_warc(
     that repeat an id, the first) is the response and the others are revisits of it. An empty
     table writes an archive without records.
     """
+    if segment_bytes < 2 * len(VERSION):
+        raise ValueError(f"segments of {segment_bytes} bytes are too short")
     prepare(pages.sparkSession)
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(uri_col).cast("string").alias("uri"),
@@ -164,9 +183,7 @@ RECORDS = "record_id string, kind string, uri string, refers_to string, header_d
 
 
 def parse_record(piece: bytes) -> tuple | None:
-    """One record (without or with its version line) as the columns of _RAW; None for no record."""
-    if piece.startswith(VERSION):
-        piece = piece[len(VERSION) :]
+    """One record (without its version line) as the columns of _RAW; None for no record."""
     head, _, rest = piece.partition(b"\r\n\r\n")
     fields: dict[str, str] = {}
     for line in head.split(b"\r\n"):
@@ -236,7 +253,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     the framing is broken). Only segmented records are shuffled, by origin.
     """
     prepare(spark)
-    pieces = spark.read.option("lineSep", RECORD_END + VERSION.decode()).text(path).select(F.col("value").cast("binary"))
+    pieces = spark.read.option("lineSep", VERSION.decode()).text(path).select(F.col("value").cast("binary"))
     parsed = pieces.mapInArrow(_parse, _RAW)
     part = F.struct("kind", "uri", "digest", "refers_to", F.coalesce("number", F.lit(1)).alias("number"), "total", "complete", "block")
     alone = parsed.filter("number is null and origin is null").select("record_id", F.array(part).alias("parts"))

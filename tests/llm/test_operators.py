@@ -290,6 +290,32 @@ def test_warc_pages(spark):
         assert payloads == {p[2] or "" for p in pages}
 
 
+def test_warc_has_no_false_version_line():
+    """Payloads made of the separators themselves, cut at every size."""
+    rng = np.random.default_rng(1)
+    bits = [b"WARC/1.1", b"WARC/1.1\r\n", b"\r\n", b"WA", b"RC/1.1", b"1", b"x" * 7, b"0\r\n\r\n"]
+    for trial in range(400):
+        payload = b"".join(bits[i] for i in rng.integers(len(bits), size=int(rng.integers(0, 40))))
+        body = warc.chunked(payload, int(rng.integers(9, 40)))
+        assert warc.unchunk(body) == payload
+        recs = list(warc.page_records("1:0", "http://x/WARC/1.1", payload, None, b"d", int(rng.integers(20, 90))))
+        stream = b"".join(r + b"\r\n\r\n" for r in recs)
+        pieces = stream.split(warc.VERSION)
+        assert pieces[0] == b"" and len(pieces) == len(recs) + 1
+        parsed = [warc.parse_record(p) for p in pieces[1:]]
+        assert all(p[8] for p in parsed)
+        assert warc.decode_block(b"".join(p[9] for p in parsed)) == payload
+
+
+def test_warc_many_records(spark):
+    """Every record border is found, wherever the reader's buffers end."""
+    source, path = scratch_path(spark, "warc-source"), scratch_path(spark, "warc-many")
+    spark.range(30_000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("ab\r\n"), (F.col("id") % 61).cast("int")).alias("html")).coalesce(2).write.parquet(source)
+    warc.write_warc(spark.read.parquet(source), path, min_revisit_bytes=1 << 30, compression="none")
+    got = warc.read_warc(spark, path)
+    assert got.count() == 30_000 and got.filter("complete").count() == 30_000
+
+
 def test_warc_defects(spark):
     """Missing segments, wrong totals and wrong digests are told, not dropped."""
     recs = list(warc.page_records("1:0", "u", b"x" * 1000, None, b"d", 300))
