@@ -41,8 +41,12 @@ def txt_roundtrip(spark, sf_dir):
     return _stream_cells(streams.read_txt(spark, out + "/*.txt"))
 
 
-@register("txt_block_islands", r"""
-WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+#: document texts with runs of blank lines before some of their lines
+_BLANKS = "replace(replace(text, chr(10) || 'T', chr(10) || ' ' || chr(10) || 'T'), chr(10) || 'I', chr(10) || chr(10) || chr(9) || chr(10) || 'I')"
+
+
+@register("txt_block_islands", rf"""
+WITH s AS (SELECT doc_id, string_split({_BLANKS}, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, ls[i] AS line, i AS ln FROM s, range(1, len(ls) + 1) AS t(i)),
 b AS (
   SELECT doc_id, ln, line, regexp_matches(line, '^[ \t\r]*$') AS blank,
@@ -58,7 +62,7 @@ FROM b WHERE NOT blank
 def txt_block_islands(spark, sf_dir):
     """Lines of each document grouped into blocks by blank-line runs (gaps and islands)."""
     docs = fx.table(spark, sf_dir, "documents")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    lines = docs.select("doc_id", F.posexplode(F.split(F.expr(_BLANKS), "\n")).alias("ln", "line"))
     blank = F.col("line").rlike(r"^[ \t\r]*$")
     w = Window.partitionBy("doc_id").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
     marked = lines.select("doc_id", "ln", "line", blank.alias("blank"),
@@ -72,20 +76,22 @@ def txt_block_islands(spark, sf_dir):
     )
 
 
-@register("format_route", r"""
-SELECT CAST(page_id AS BIGINT) AS page_id,
-       lower(regexp_extract(regexp_extract(url, '^[^?#]*', 0), '\.([^./]+)$', 1)) AS ext,
-       COALESCE(CASE WHEN lower(regexp_extract(regexp_extract(url, '^[^?#]*', 0), '\.([^./]+)$', 1)) IN ('mat', 'txt')
-                     THEN lower(regexp_extract(regexp_extract(url, '^[^?#]*', 0), '\.([^./]+)$', 1)) END, 'unknown') AS format,
-       regexp_replace(regexp_extract(url, '^[^?#]*', 0), '\.([^./]+)$', '.svd.\1') AS default_output
-FROM pages
+#: page paths with the extensions that the route knows, in either case, and others
+_PATH = "(regexp_extract(url, '^[^?#]*', 0) || CASE page_id % 5 WHEN 1 THEN '.mat' WHEN 2 THEN '.TXT' WHEN 3 THEN '.Mat' WHEN 4 THEN '.csv' ELSE '' END)"
+
+
+@register("format_route", rf"""
+WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, {_PATH} AS path FROM pages),
+e AS (SELECT *, lower(regexp_extract(path, '\.([^./]+)$', 1)) AS ext FROM p)
+SELECT page_id, ext, CASE WHEN ext IN ('mat', 'txt') THEN ext ELSE 'unknown' END AS format,
+       regexp_replace(path, '\.([^./]+)$', '.svd.\1') AS default_output
+FROM e
 """)
 def format_route(spark, sf_dir):
-    """Format from the (case-insensitive) extension of each page path; default output name."""
-    pages = fx.table(spark, sf_dir, "pages")
-    path = F.regexp_extract("url", r"^[^?#]*", 0)
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), streams.extension(path).alias("ext"),
-                        F.coalesce(streams.resolve_format(path), F.lit("unknown")).alias("format"),
+    """Format from the (case-insensitive) extension of each path; default output name."""
+    path = F.col("path")
+    pages = fx.table(spark, sf_dir, "pages").select(F.col("page_id").cast("bigint").alias("page_id"), F.expr(_PATH).alias("path"))
+    return pages.select("page_id", streams.extension(path).alias("ext"), F.coalesce(streams.resolve_format(path), F.lit("unknown")).alias("format"),
                         streams.default_output(path).alias("default_output"))
 
 

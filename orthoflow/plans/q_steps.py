@@ -132,10 +132,10 @@ def rotation_params_q(spark, sf_dir):
                      (F.round(s, 12) + F.lit(0.0)).alias("s"))
 
 
-def _ev_state_sql():
+def _ev_state_sql(ev: str = _EV):
     xs = ", ".join(f"x{j}" for j in range(_EV_N))
-    a = f"SELECT mid, 'A' AS kind, r, {xs}, FALSE AS rot FROM ({_EV}) e"
-    v = identity_rows_sql(f"SELECT DISTINCT mid FROM ({_EV}) e2", _EV_N)
+    a = f"SELECT mid, 'A' AS kind, r, {xs}, FALSE AS rot FROM ({ev}) e"
+    v = identity_rows_sql(f"SELECT DISTINCT mid FROM ({ev}) e2", _EV_N)
     return f"{a} UNION ALL {v}"
 
 
@@ -167,14 +167,18 @@ def jacobi_sweep(spark, sf_dir):
 
 def _flags_sql():
     rounds = list(range(len(round_robin_pairs(_EV_N))))
-    ctes, last = wide_rounds_sql(_ev_state_sql(), _EV_N, rounds)
+    cells = ", ".join(f"CASE WHEN mid % 2 = 0 THEN 0.0 ELSE x{j} END AS x{j}" for j in range(1, _EV_N))
+    ctes, last = wide_rounds_sql(_ev_state_sql(f"SELECT mid, r, x0, {cells} FROM ({_EV}) half"), _EV_N, rounds)
     return f"WITH {', '.join(ctes)}\nSELECT mid AS matrix_id, BOOL_OR(rot) AS rotated FROM {last} GROUP BY mid"
 
 
 @register("convergence_flags", _flags_sql())
 def convergence_flags(spark, sf_dir):
-    """A4: per matrix, did the first sweep rotate."""
-    state = steps.initial_state(fx.events_rows(spark, sf_dir), _EV_N)
+    """A4: per matrix, did the first sweep rotate; every other matrix keeps one column and does not."""
+    rows = fx.events_rows(spark, sf_dir)
+    alone = F.array(F.col("x")[0], *[F.lit(0.0)] * (_EV_N - 1))
+    rows = rows.withColumn("x", F.when(F.col("matrix_id") % 2 == 0, alone).otherwise(F.col("x")))
+    state = steps.initial_state(rows, _EV_N)
     return steps.convergence_flags(steps.jacobi_sweep(state, _EV_N))
 
 

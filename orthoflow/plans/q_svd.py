@@ -145,6 +145,8 @@ WITH shapes AS (
   UNION ALL SELECT 'emb4x16', CAST(vec_id AS BIGINT), 4, 16, 64 FROM embeddings
   UNION ALL SELECT 'label64', CAST(label AS BIGINT), COUNT(*), 64, COUNT(*) * 64 FROM embeddings GROUP BY label
   UNION ALL SELECT 'label16', CAST(label AS BIGINT), COUNT(*), 16, COUNT(*) * 16 FROM embeddings GROUP BY label
+  UNION ALL SELECT 'wide', CAST(vec_id AS BIGINT), CAST(vec_id % 400 + 10 AS BIGINT), 256, CAST((vec_id % 400 + 10) * 256 - CASE WHEN vec_id % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) FROM embeddings
+  UNION ALL SELECT 'none', CAST(vec_id AS BIGINT), 0, 4, 0 FROM embeddings WHERE vec_id % 50 = 0
   UNION ALL SELECT 'li4_supplier', CAST(l_suppkey AS BIGINT), COUNT(*), 4, COUNT(*) * 4 FROM lineitem GROUP BY l_suppkey
 )
 """
@@ -166,7 +168,13 @@ def _shapes(spark, sf_dir):
 
     out = fixed("emb16x4", 16, 4).unionByName(fixed("emb8x8", 8, 8)).unionByName(fixed("emb4x16", 4, 16))
     out = out.unionByName(grouped("label64", emb, "label", 64)).unionByName(grouped("label16", emb, "label", 16))
-    return out.unionByName(grouped("li4_supplier", li, "l_suppkey", 4))
+    # shapes on both sides of every bound, with sizes that do not fit and empty ones
+    rows = (F.col("vec_id") % 400 + 10).cast("bigint")
+    wide = emb.select(F.lit("wide").alias("source"), F.col("vec_id").cast("bigint").alias("matrix_id"), rows.alias("n_rows"), F.lit(256).cast("bigint").alias("n_cols"),
+                      (rows * 256 - F.when(F.col("vec_id") % 7 == 0, 1).otherwise(0)).cast("bigint").alias("n_cells"))
+    none = emb.filter("vec_id % 50 = 0").select(F.lit("none").alias("source"), F.col("vec_id").cast("bigint").alias("matrix_id"), F.lit(0).cast("bigint").alias("n_rows"),
+                                                F.lit(4).cast("bigint").alias("n_cols"), F.lit(0).cast("bigint").alias("n_cells"))
+    return out.unionByName(wide).unionByName(none).unionByName(grouped("li4_supplier", li, "l_suppkey", 4))
 
 
 @register("validate_matrices", _SHAPES_SQL + """
