@@ -7,8 +7,10 @@ are decided byte by byte, because every byte of a multi-byte character belongs t
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,19 +36,52 @@ def prepare(spark: SparkSession) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared checkpoint folder; it is deleted when the JVM ends."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-tables/{name}-{uuid.uuid4().hex[:12]}"
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    hadoop_path, files = _hadoop(spark, path)
+    files.deleteOnExit(hadoop_path)
     return path
 
 
+def _hadoop(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+_SCOPES: list[list[str]] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: lineage is cut, the work is
     done once, and a lost executor loses nothing."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables staged inside go at the end, as do the shuffle files behind them; those staged by the
+    function that it yields stay. What is returned must read no others."""
+    _SCOPES.append([])
+    kept: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = stage(df, name)
+        kept.append(_SCOPES[-1].pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in _SCOPES.pop():
+            hadoop_path, files = _hadoop(spark, path)
+            files.delete(hadoop_path, True)
+        if _SCOPES:
+            _SCOPES[-1].extend(kept)
+        release(spark)
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = 8 << 20) -> DataFrame:
     """A staged table as the small side of a join: broadcast when its counted rows stay under
     ``limit`` bytes, left to a shuffled join otherwise. The result is the same."""
@@ -56,8 +91,6 @@ def small(df: DataFrame, row_bytes: int, limit: int = 8 << 20) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let the cluster drop shuffle files that no table needs any more: Spark removes them when
     the driver collects the objects that stand for them."""
-    import gc
-
     gc.collect()
     spark._jvm.System.gc()
 

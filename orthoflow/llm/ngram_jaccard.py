@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthoflow.llm.bloom import bloom
-from orthoflow.llm.common import SPACED, Sequences, Words, list_array, mix, prepare, release, small, stage, window_starts, word_runs
+from orthoflow.llm.common import SPACED, Sequences, Words, list_array, mix, prepare, release, scratch, small, stage, window_starts, word_runs
 from orthoflow.llm.components import components
 
 SKETCH_BITS = 20
@@ -348,20 +348,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    join = _Join(rows, k, percent)
-    members, first = join.nodes()
-    light = stage(join.light_links(first), "jaccard-light")
-    postings = join.postings(first)
-    release(docs.sparkSession)
-    stars = join.star_pairs(postings)
-    links = light.unionAll(join.verify(stars, first))
-    release(docs.sparkSession)
-    labels = stage(components(links), "jaccard-labels")
-    crossing = join.cross_pairs(postings, labels, stars)
-    if not crossing.isEmpty():
-        links = links.unionAll(join.verify(crossing, first))
+    with scratch(docs.sparkSession) as keep:
+        join = _Join(rows, k, percent)
+        members, first = join.nodes()
+        light = stage(join.light_links(first), "jaccard-light")
+        postings = join.postings(first)
+        release(docs.sparkSession)
+        stars = join.star_pairs(postings)
+        links = light.unionAll(join.verify(stars, first))
+        release(docs.sparkSession)
         labels = stage(components(links), "jaccard-labels")
-    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    smallest = stage(named.filter("n > 0").groupBy("label").agg(F.min("id").alias("component_id")), "jaccard-smallest")
+        crossing = join.cross_pairs(postings, labels, stars)
+        if not crossing.isEmpty():
+            links = links.unionAll(join.verify(crossing, first))
+            labels = stage(components(links), "jaccard-labels")
+        label = F.coalesce("component", "node")
+        named = keep(members.join(labels, "node", "left").select("id", "n", label.alias("label")), "jaccard-named")
+        smallest = keep(named.filter("n > 0").groupBy("label").agg(F.min("id").alias("component_id")), "jaccard-smallest")
     out = named.filter("n > 0").join(smallest, "label").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
-    return out.unionAll(members.filter("n = 0").select("id", "n", "id"))
+    return out.unionAll(named.filter("n = 0").select("id", "n", "id"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthoflow.llm.bloom import Bloom, bloom
-from orthoflow.llm.common import SPACED, Sequences, Words, prepare, stage, window_starts, word_runs
+from orthoflow.llm.common import SPACED, Sequences, Words, prepare, scratch, stage, window_starts, word_runs
 
 HOT_KEYS = 1 << 16
 COPY_GROUPS = 100_000
@@ -207,8 +207,9 @@ def substring_dedup(docs: DataFrame, length: int = 13, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    repeats, copies = repeated_windows(docs, length, id_col, text_col)
-    places = stage(repeats.groupBy("id").agg(F.collect_list("place").alias("places")), "substring-places")
+    with scratch(spark) as keep:
+        repeats, copies = repeated_windows(docs, length, id_col, text_col)
+        places = keep(repeats.groupBy("id").agg(F.collect_list("place").alias("places")), "substring-places")
     affected = bloom(places.select(F.xxhash64("id").alias("id_hash")), "id_hash")
     sent = spark.sparkContext.broadcast((copies, affected))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.col(id_col)).alias("id_hash"))
