@@ -227,14 +227,20 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 
 def _by_prefix(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose prefixes allow enough overlap. Of the members up to the smaller of the two last
-    ones all are known; of the others, at most all that are left are shared."""
-    one, two = (prefixes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("prefix").alias(f"{c}_p")) for c in ("a", "b"))
+    """Pairs whose prefixes allow enough overlap. Of the set whose prefix ends first in the order all
+    shared members up to there are shared by the prefixes, so the overlap is at most what they
+    share and what that set has left. The prefixes travel as 15 bits of each member: members that
+    share them within a prefix are added to the count, so it is never too low."""
+    short = F.array_distinct(F.transform("prefix", lambda x: x.bitwiseAND(F.lit(0x7FFF)).cast("smallint")))
+    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    brief = prefixes.join(ends, "node", "left_semi").select("node", "n", F.size("prefix").alias("p"), short.alias("bits"))
+    brief = stage(brief, "jaccard-brief")
+    one, two = (brief.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("n", "p", "bits")]) for c in ("a", "b"))
     both = pairs.join(one, "a").join(two, "b")
-    last = F.least(F.element_at("a_p", -1), F.element_at("b_p", -1))
-    left = [F.col(f"{c}_n") - F.size(F.filter(f"{c}_p", lambda x: x <= F.col("last"))) for c in ("a", "b")]
-    shared = F.size(F.array_intersect("a_p", "b_p"))
-    return both.withColumn("last", last).filter(_similar(F.col("a_n"), F.col("b_n"), shared + F.least(*left), percent)).select("a", "b")
+    double = F.least(*[F.col(f"{c}_p") - F.size(f"{c}_bits") for c in ("a", "b")])
+    left = F.greatest(*[F.col(f"{c}_n") - F.col(f"{c}_p") for c in ("a", "b")])
+    shared = F.size(F.array_intersect("a_bits", "b_bits")) + double
+    return both.filter(_similar(F.col("a_n"), F.col("b_n"), shared + left, percent)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
