@@ -262,6 +262,40 @@ def test_lines_edges(spark, empty, docs):
     assert len(line_dedup.block_keys(2)) == 6 and sum(m for _, m in line_dedup.block_keys(1)) == 2**line_dedup.HASH_BITS - 1
 
 
+def edited(rng, words, edits):
+    """``words`` after some replacements, insertions and deletions."""
+    words = list(words)
+    for _ in range(edits):
+        at, kind = int(rng.integers(len(words))), int(rng.integers(3))
+        words[at : at + (kind != 1)] = [f"e{rng.integers(10**6)}"] * (kind != 2)
+    return words
+
+
+def test_lines_recall(spark):
+    """All lines of edit similarity 0.8 are found, whatever their fingerprints."""
+    rng = np.random.default_rng(17)
+    rows = []
+    for size in [3, 4, 5, 6, 9, 10, 15, 20, 35, 50, 120]:
+        line = [f"r{rng.integers(300 if size % 2 else 9)}" for _ in range(size)]
+        for edits in (0, 1, max(1, size // 10), size // 5, size // 5 + 1):
+            rows.append((len(rows), "\n".join(" ".join(edited(rng, line, edits)) for _ in range(2))))
+    got = {r.doc_id: (r.n_lines, r.dropped) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = lines_brute(spark, rows, 64, 0.8, 3)
+    assert got == want
+    assert sum(len(x[1]) for x in want.values()) > sum(len(x[1]) for x in lines_brute(spark, rows, 2, 0.8, 3).values()) + 20
+
+
+def test_lines_passes_and_similarity(spark, monkeypatch):
+    """The same groups in many passes, with every word pair counted as frequent, and below 0.8."""
+    monkeypatch.setattr(line_dedup, "PASS_KEYS", 200)
+    monkeypatch.setattr(line_dedup, "OFTEN", 1)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(edited(rng, prose(100 + i // 4, 12 + i % 4), 1 + i % 3))) for i in range(40)]
+    for similarity in (0.8, 0.65):
+        got = {r.doc_id: (r.n_lines, r.dropped) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), similarity=similarity).collect()}
+        assert got == lines_brute(spark, rows, 64, similarity, 3)
+
+
 # --- 5 -----------------------------------------------------------------------------------------
 
 
