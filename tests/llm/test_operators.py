@@ -296,6 +296,18 @@ def test_lines_passes_and_similarity(spark, monkeypatch):
         assert got == lines_brute(spark, rows, 64, similarity, 3)
 
 
+def dropped(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r.doc_id, n) for r in line_dedup.line_dedup(rows).collect() for n in r.dropped}
+
+
+def test_lines_short_and_unspaced(spark):
+    """Short lines lose their copies; lines without blanks are compared by character."""
+    cjk, thai = "今日は天気がとても良いので散歩に行きます", "ยินดีต้อนรับเข้าสู่เว็บไซต์ของเราทุกคน"
+    texts = ["Read more\n\nlone", "read  more!\n\nMenu", "Read less\nmenu", cjk, cjk, cjk.replace("散歩", "旅行"), thai, thai[:-1] + "ม", cjk[::-1]]
+    assert dropped(spark, texts) == {(1, 0), (2, 1), (4, 0), (5, 0), (7, 0)}
+
+
 # --- 5 -----------------------------------------------------------------------------------------
 
 
