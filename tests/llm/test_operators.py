@@ -308,6 +308,20 @@ def test_lines_short_and_unspaced(spark):
     assert dropped(spark, texts) == {(1, 0), (2, 1), (4, 0), (5, 0), (7, 0)}
 
 
+def test_lines_unicode_form(spark):
+    """Lines that differ in punctuation and blanks of any script are equal; marks tell words apart."""
+    texts = ["He said \"yes\" - twice...", "He said “yes” — twice…", "He\u00a0said\u3000«YES» – twice！", "की बात", "का बात", "-----", "- ----", "-----", "★★", " \u00a0\u200b", "\u00a0"]
+    assert dropped(spark, texts) == {(1, 0), (2, 0), (7, 0)}
+
+
+def test_simhash_of_long_lines(spark):
+    """Counters hold for lines of 2^16 words and more."""
+    parts = [("long", "a", 70_000), ("long", "b", 60_000), ("short", "a", 1)]
+    words = spark.createDataFrame(parts, "key string, word string, n int").select("key", F.explode(F.array_repeat("word", F.col("n"))).alias("word"))
+    got = {r.key: (r.n, r.hash) for r in line_dedup.simhash(words, ["key"]).collect()}
+    assert got["long"] == (130_000, got["short"][1]) and got["short"][1] != 0
+
+
 # --- 5 -----------------------------------------------------------------------------------------
 
 
