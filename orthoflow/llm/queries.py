@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoflow.llm import decontaminate, exact_dedup, license_scan, line_dedup, mixing, ngram_jaccard, secret_scan, substring_dedup, toxicity, warc
+from orthoflow.llm import conversations, decontaminate, exact_dedup, license_scan, line_dedup, mixing, ngram_jaccard, secret_scan, substring_dedup, toxicity, warc, whitening
 from orthoflow.llm.common import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,17 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, n_removed, sha256(coalesce(bo
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated windows of 13 words of all documents; the smallest id keeps them."""
     return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the four leading components of their whitening."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit_whitening(vectors))
+
+
+@_query()
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every conversation after a fixed damage."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repair_report(rows, conversations.damage(rows))
