@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoflow.llm import conversations, decontaminate, exact_dedup, license_scan, line_dedup, mixing, ngram_jaccard, secret_scan, substring_dedup, toxicity, warc, whitening
+from orthoflow.llm import conversations, decontaminate, exact_dedup, html_extract, license_scan, line_dedup, mixing, ngram_jaccard, secret_scan, substring_dedup, toxicity, warc, whitening
 from orthoflow.llm.common import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,9 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cheapest repair of every conversation after a fixed damage."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return conversations.repair_report(rows, conversations.damage(rows))
+
+
+@_query()
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by the templates of their sites."""
+    return html_extract.text_report(html_extract.extract_text(_table(spark, sf_dir, "pages")))
