@@ -88,6 +88,18 @@ def small(df: DataFrame, row_bytes: int, limit: int = 8 << 20) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, whatever its columns are called (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Let the cluster drop shuffle files that no table needs any more: Spark removes them when
     the driver collects the objects that stand for them."""
@@ -110,7 +122,7 @@ ALNUM = ((_BYTES >= 0x30) & (_BYTES <= 0x39)) | ((_BYTES >= 0x61) & (_BYTES <= 0
 LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint8)
 
 _M64 = (1 << 64) - 1
-#: odd multipliers of the rolling hashes (two lanes for words, one for word sequences each)
+#: two lanes each: seeds of the word hashes, odd multipliers of the hashes of (short) word sequences
 _WORD_P = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _SEQ_P = (0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -137,6 +149,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: places in a word whose values come from a table
+_PLACES = 64
+_TABLES: dict[int, np.ndarray] = {}
+
+
+def _value_of(code: np.ndarray, lane: int) -> np.ndarray:
+    """A random value of (place, byte), the place above bit 8."""
+    return mix(mix(code.astype(np.uint64) + np.uint64(_WORD_P[lane])) ^ np.uint64(_WORD_P[lane]))
+
+
+def _byte_values(lane: int) -> np.ndarray:
+    if lane not in _TABLES:
+        _TABLES[lane] = _value_of(np.arange(_PLACES << 8), lane)
+    return _TABLES[lane]
+
+
 class Words:
     """Words of a run of rows: byte bounds in ``buf`` and, per row, the range of word numbers.
 
@@ -165,19 +193,29 @@ class Words:
         self.rows = len(offsets) - 1
         self.offsets = rel
 
-    def hashes(self, lane: int = 0, block: int = 1 << 20) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, lane: int = 0, block: int = 1 << 16) -> np.ndarray:
+        """A 64-bit hash of each word's bytes: the sum of a random value per (byte, place in the word).
+        Unlike a polynomial it has no strings of a regular build that collide."""
+        table = _byte_values(lane)
         out = np.empty(len(self.start), np.uint64)
         i = 0
         while i < len(self.start):
+            j = max(i + 1, int(np.searchsorted(self.end, int(self.start[i]) + block, side="right")))
             lo = int(self.start[i])
-            j = max(i + 1, int(np.searchsorted(self.end, lo + block, side="right")))
-            s, e = self.start[i:j] - lo, self.end[i:j] - lo
-            size = int(e[-1])
-            power, inverse = _powers(_WORD_P[lane], size + 1)
-            total = np.zeros(size + 1, np.uint64)
-            np.cumsum((self.buf[lo : lo + size].astype(np.uint64) + np.uint64(1)) * power[:size], out=total[1:])
-            out[i:j] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
+            start = (self.start[i:j] - lo).astype(np.int32)
+            size = (self.end[i:j] - lo).astype(np.int32) - start
+            first = np.cumsum(size, dtype=np.int32) - size
+            place = np.arange(int(first[-1] + size[-1]), dtype=np.int32)
+            at = place + np.repeat(start - first, size)
+            place -= np.repeat(first, size)
+            code = (place << 8) | self.buf[lo : int(self.end[j - 1])].take(at)
+            if size.max() > _PLACES:
+                far = place >= _PLACES
+                value = table.take(np.where(far, 0, code))
+                value[far] = _value_of((place[far].astype(np.int64) << 8) | (code[far] & 255), lane)
+            else:
+                value = table.take(code)
+            out[i:j] = mix(np.add.reduceat(value, first) + size.astype(np.uint64))
             i = j
         return out
 
@@ -190,7 +228,8 @@ class Words:
 
 
 class Sequences:
-    """Hashes of word sequences by prefix sums: any length in constant time per sequence."""
+    """Hashes of word sequences by prefix sums, for sequences of a few words: in constant time each. Their
+    polynomial modulo 2^64 is no hash of long ones, which can be built to collide."""
 
     def __init__(self, hashes: np.ndarray, lane: int = 0):
         power, self.inverse = _powers(_SEQ_P[lane], len(hashes) + 1)

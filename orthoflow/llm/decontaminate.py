@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orthoflow.llm.common import ALNUM, Sequences, Words, list_array, mix, prepare, string_buffer, word_runs
+from orthoflow.llm.common import ALNUM, Sequences, Words, fresh, list_array, mix, prepare, string_buffer, word_runs
 
 TABLE_BITS = 16
 STRETCH = 512
@@ -178,16 +178,17 @@ def _joined(parts: list[DataFrame], names: list[str], blocks: int, prefix: str)
     for p in parts[1:]:
         both = both.unionAll(p)
     hits, items = f"{prefix}hits", f"{prefix}items"
+    copies, copy = fresh(both, "_rows", "_row")
     grouped = both.groupBy(*[F.col(f"`{n}`") for n in names], f"{prefix}n_words").agg(
         F.array_sort(F.flatten(F.collect_list(hits))).alias(hits), F.array_sort(F.array_distinct(F.flatten(F.collect_list(items)))).alias(items),
-        (F.count(F.lit(1)) / blocks).cast("int").alias("_rows"),
+        (F.count(F.lit(1)) / blocks).cast("int").alias(copies),
     )
     merge = f"""aggregate({hits}, cast(array() as array<struct<first:int,end:int>>), (a, h) ->
         if(size(a) > 0 and h.first <= a[size(a) - 1].end,
            concat(slice(a, 1, size(a) - 1), array(named_struct('first', a[size(a) - 1].first, 'end', greatest(h.end, a[size(a) - 1].end)))),
            concat(a, array(h))))"""
-    out = grouped.withColumn(hits, F.expr(merge)).withColumn("_row", F.explode(F.sequence(F.lit(1), "_rows")))
-    return out.drop("_row", "_rows")
+    out = grouped.withColumn(hits, F.expr(merge)).withColumn(copy, F.explode(F.sequence(F.lit(1), copies)))
+    return out.drop(copy, copies)
 
 
 def contamination(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

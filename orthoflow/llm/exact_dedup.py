@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orthoflow.llm.common import ascii_lower, small, stage
+from orthoflow.llm.common import ascii_lower, fresh, small, stage
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
@@ -71,14 +71,15 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = stage(exact_dedup(docs, id_col, text_col, keep).select("doc_id", "text_sha256", "kept"), "exact-judged")
     # a row is known by its id and text; a null id by the empty string
-    rows = docs.withColumn("_sha", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
-    names = F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_gone")
+    sha, known_id, known_sha = fresh(docs, "_sha", "_id", "_gone")
+    rows = docs.withColumn(sha, F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    names = F.col("doc_id").alias(known_id), F.col("text_sha256").alias(known_sha)
+    same = F.col(id_col).eqNullSafe(F.col(known_id)) & (F.col(sha) == F.col(known_sha))
     gone = stage(found.filter("not kept").select(*names).distinct(), "exact-gone")
-    rest = rows.join(small(gone, 100), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_gone")), "left_anti")
+    rest = rows.join(small(gone, 100), same, "left_anti")
     twice = found.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").select(*names)
     twice = stage(twice, "exact-twice")
     if twice.isEmpty():
-        return rest.drop("_sha")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_gone"))
-    once = rest.join(twice, same, "left_semi").dropDuplicates([id_col, "_sha"])
-    return rest.join(twice, same, "left_anti").unionByName(once).drop("_sha")
+        return rest.drop(sha)
+    once = rest.join(twice, same, "left_semi").dropDuplicates([id_col, sha])
+    return rest.join(twice, same, "left_anti").unionByName(once).drop(sha)

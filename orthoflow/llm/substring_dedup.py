@@ -45,28 +45,30 @@ def _anchors(seq: Sequences, total: int, starts: np.ndarray, length: int) -> np.
     return low[starts]
 
 
-def _text_keys(words: Words, seq: Sequences) -> np.ndarray:
-    """A hash of each row's whole word sequence."""
-    return seq.of(words.first[:-1], words.first[1:])
+def _text_keys(words: Words) -> list[bytes]:
+    """A 128-bit digest of each row's whole word sequence."""
+    buf, at = words.buf, words.offsets
+    # bytes.split() cuts at the very white space that ends a word
+    return [hashlib.blake2b(b" ".join(buf[a:b].tobytes().split()), digest_size=16).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def _marks(keys: list[bytes]) -> np.ndarray:
+    """A few bits of each text's digest."""
+    return np.frombuffer(b"".join(keys), ">u8").reshape(-1, 2)[:, 0].astype(np.uint64) >> np.uint64(64 - _MARK)
 
 
 class _Copies:
     """Rows known to repeat a whole text of a smaller id."""
 
     def __init__(self, rows: list):
-        rows = sorted((r["text"], r["id"]) for r in rows)
-        self.keys = np.array([k for k, _ in rows], np.int64).view(np.uint64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.ids = self.keys[order], [rows[i][1] for i in order]
+        self.ids = {bytes(r["text"]): r["id"] for r in rows}
 
-    def of(self, keys: np.ndarray, ids: list) -> np.ndarray:
+    def of(self, keys: list[bytes], ids: list) -> np.ndarray:
         """Whether each row is a later copy."""
-        out = np.zeros(len(keys), bool)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            for i in np.flatnonzero(self.keys[at] == keys).tolist():
-                out[i] = ids[i] is None or ids[i] > self.ids[at[i]]
-        return out
+        if not self.ids:
+            return np.zeros(len(keys), bool)
+        least = [self.ids.get(k) for k in keys]
+        return np.array([low is not None and (i is None or i > low) for low, i in zip(least, ids, strict=True)], bool)
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -75,8 +77,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, words in word_runs(batches, "text", SPACED, lower=False):
-        keys = _text_keys(words, Sequences(words.hashes()))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), _long(keys), pa.array(np.diff(words.first))], ["id", "text", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(_text_keys(words), pa.binary()), pa.array(np.diff(words.first))], ["id", "text", "words"])
 
 
 def _level_rows(length: int, sent):
@@ -88,7 +89,7 @@ def _level_rows(length: int, sent):
         for batch, words in word_runs(batches, "text", SPACED, lower=False):
             h = words.hashes()
             seq = Sequences(h)
-            texts = _text_keys(words, seq)
+            texts = _text_keys(words)
             starts = window_starts(words.first, length)
             row = np.searchsorted(words.first, starts, side="right") - 1
             ids = batch.column("id")
@@ -104,7 +105,7 @@ def _level_rows(length: int, sent):
             starts, row, key = starts[go], row[go], key[go]
             full = seq.of(starts, starts + length)
             more = Sequences(words.hashes(lane=1), lane=1).of(starts, starts + length)
-            mark = texts[row] >> np.uint64(64 - _MARK)
+            mark = _marks(texts)[row]
             place = (mark << np.uint64(32)) | (starts - words.first[row]).astype(np.uint64)
             at = np.minimum(np.searchsorted(hot, key), max(0, len(hot) - 1))
             many = hot[at] == key if len(hot) else np.zeros(len(key), bool)
@@ -124,7 +125,7 @@ def repeated_windows(docs: DataFrame, length: int, id_col: str, text_col: str) -
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    texts = stage(rows.mapInArrow(_text_rows, f"id {id_type}, text long, words long"), "substring-texts")
+    texts = stage(rows.mapInArrow(_text_rows, f"id {id_type}, text binary, words long"), "substring-texts")
     groups = texts.filter(F.col("words") >= length).groupBy("text").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     largest = groups.filter("n > 1 and id is not null").orderBy(F.desc("n"), "text").limit(COPY_GROUPS)
     copies = _Copies(largest.select("text", "id").collect())  # COPY_GROUPS rows at most; the others go the long way
@@ -163,8 +164,8 @@ def _digest_rows(length: int, sent, joined: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         copies, affected = sent.value
         for batch, words in word_runs(batches, "text", SPACED, lower=False):
-            seq = Sequences(words.hashes())
-            texts = _text_keys(words, seq)
+            texts = _text_keys(words)
+            marks = _marks(texts)
             copy = copies.of(texts, batch.column("id").to_pylist()) & (np.diff(words.first) >= length)
             places = batch.column("places").to_pylist() if joined else [None] * words.rows
             told = np.ones(words.rows, bool) if joined else copy | ~affected.has(batch.column("id_hash").to_numpy().view(np.uint64))
@@ -176,7 +177,7 @@ def _digest_rows(length: int, sent, joined: bool):
                     gone[0] = 1
                 elif places[r]:
                     at = np.array(places[r], np.int64)
-                    at = np.unique(at[(at >> 32) == int(texts[r] >> np.uint64(64 - _MARK))] & 0xFFFFFFFF)
+                    at = np.unique(at[(at >> 32) == int(marks[r])] & 0xFFFFFFFF)
                     at = at[at + length <= n]
                     gone[at] += 1
                     np.subtract.at(gone, at + length, 1)
@@ -229,7 +230,7 @@ def _passing_rows(sent, length: int):
             known = affected.has(batch.column("id_hash").to_numpy().view(np.uint64))
             if not known.any():
                 continue
-            texts = _text_keys(words, Sequences(words.hashes()))
+            texts = _text_keys(words)
             copy = copies.of(texts, batch.column("id").to_pylist()) & (np.diff(words.first) >= length)
             yield batch.filter(pa.array(known & ~copy))
 

@@ -93,3 +93,33 @@ def test_repeated_ids_in_the_mix(spark, sf_dir):
     out = corpus_pipeline.mix(spark, docs, sf_dir)
     want = mixing.mix_sources(docs).agg(F.sum("copies")).first()[0]
     assert out.count() == want and out.columns == [*docs.columns, "copy"]
+
+
+CLASHING = ["_id", "_words", "_hits", "_sha", "_toxicity", "_gone", "_KEY", "_source", "_size", "_turn", "_nth", "_copies", "_rows", "_row", "_n_words", "label", "key", "body", "copies", "hits", "items", "n", "set"]
+
+
+def test_clashing_columns(spark, sf_dir):
+    """Columns with any name pass all stages unchanged."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").drop("size", "hits", "kept")
+    docs = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHING)])
+    for name, step in corpus_pipeline.STAGES:
+        path = scratch_path(spark, "pipeline-clash")
+        step(spark, docs, sf_dir).write.parquet(path)
+        out = spark.read.parquet(path)
+        assert out.columns == docs.columns + (["copy"] if name == "mixing" else [])
+        assert out.count() > 0 and out.select(*CLASHING).distinct().count() == 1
+        assert list(out.select(*CLASHING).first()) == list(range(len(CLASHING)))
+        docs = out
+
+
+def test_near_copies_by_row(spark, sf_dir):
+    """Rows that share an id are judged by their own texts; rows without one are dropped like others;
+    identical rows of a component leave one."""
+    base = prose(3, 60)
+    near = [" ".join(base[:20] + [f"x{i}"] + base[21:]) for i in range(6)]
+    clean = " ".join(prose(4, 50))
+    rows = [(1, near[0]), (5, near[1]), (5, clean), (None, near[2]), (7, near[3]), (7, near[4]), (8, clean.upper()), (1, near[0]), (9, None), (9, None), (9, " ")]
+    rows += [(None, " ".join(prose(6, 40))), (None, " ".join(prose(6, 40)))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x", "y", "z") for i, t in rows], SCHEMA).repartition(3)
+    got = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect())
+    assert got == collections.Counter({(1, near[0]): 1, (5, clean): 1, (9, None): 2, (9, " "): 1, (None, rows[-1][1]): 1})
