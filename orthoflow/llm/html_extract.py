@@ -11,9 +11,10 @@ out; of the rest, the blocks in the article (else in the main element, else all)
 
 Scale: occurrence vectors are never built. A vector is the sum over pages of a hash of (page,
 count), so a site of any number of pages is one pre-aggregated sum a token. Only tokens on at least
-``SHARE`` of a site's pages can be of the template; such a token has that share in at least one of
-the blocks of pages that tasks read, so tokens below the share in every block are never shuffled,
-and none is lost. Templates are joined to pages by site: broadcast below a counted size.
+``SHARE`` of a site's pages can be of the template; such a token has that share in at least one
+task that reads pages, so tokens below the share in every task are never shuffled, and none is lost.
+The html is read once; tags and blocks are staged. Templates are joined to pages by site: broadcast
+below a counted size.
 
 Contract: a row per page, repeated rows and null ids included; a null html is empty, a null url is
 the host ''. Whole pages are read. Text between block elements is one block; its white space
@@ -28,7 +29,6 @@ import hashlib
 import html as html_module
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -36,14 +36,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from orthoflow.llm.common import SPACED, Words, mix, prepare, small, stage, string_buffer
+from orthoflow.llm.common import SPACED, Words, list_array, mix, prepare, small, stage, string_buffer
 
 #: pages that a host needs for a template of its own, and any template
 SITE_PAGES = 8
 #: share of a site's pages on which a token of the template stands, and on which a class keeps its order and place
 SHARE, STEADY = 0.5, 0.9
-#: pages of a block that counts tokens by itself: html bytes
+#: html bytes of the pages that are worked on at once
 BLOCK_BYTES = 8 << 20
 
 # --- elements ------------------------------------------------------------------------------
@@ -105,52 +107,55 @@ def _marks(name: str, attributes: str) -> tuple[str, bool, bool, int, bool]:
     return f"{name}.{found.get('class', '').lower()}", chrome, header, level, name == "a" and "href" in found
 
 
-@dataclass
-class Pages:
-    """Tokens and blocks of a run of pages. Blocks hold [page, texts, level, chrome, link characters,
-    characters of the texts]."""
+class Page:
+    """Tags and blocks of a page, read in one pass: the tokens of the tags, before which block each tag
+    stands, and of each block its text, level, characters inside links and path. Blocks inside of what
+    the markup names as something around an article are left out."""
 
-    tags: list[tuple[int, int, int]] = field(default_factory=list)  # page, place, token
-    texts: list[str] = field(default_factory=list)
-    text_at: list[tuple[int, int, int, int]] = field(default_factory=list)  # page, place, path, block
-    blocks: list[list] = field(default_factory=list)
-    rows: int = 0
+    __slots__ = ("tags", "tag_at", "texts", "levels", "links", "paths")
 
-    def read(self, html: str) -> None:
-        """One more page."""
-        page, self.rows = self.rows, self.rows + 1
+    def __init__(self, html: str):
+        self.tags: list[int] = []
+        self.tag_at: list[int] = []
+        self.texts: list[str] = []
+        self.levels: list[int] = []
+        self.links: list[int] = []
+        self.paths: list[int] = []
         stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]  # name, chrome, level, path
-        block: list | None = None
-        link = 0  # height of the open elements when a link began
-        at = place = 0
-        size = len(html)
+        parts: list[str] = []  # of the block at hand
+        link = linked = 0  # height of the open elements when a link began; characters in links
+        at, size = 0, len(html)
+        tags, tag_at, texts, match, find = self.tags, self.tag_at, self.texts, _MARKUP.match, html.find
+
+        def end_block() -> None:
+            nonlocal linked
+            text = " ".join("".join(parts).split())
+            parts.clear()
+            if text:
+                texts.append(text)
+                self.links.append(min(linked, len(text)))
+                self.levels.append(held[0])
+                self.paths.append(held[1])
+            linked = 0
+
+        held = (0, 0)
         while at < size:
-            begin = html.find("<", at)
-            begin = size if begin < 0 else begin
-            found = _MARKUP.match(html, begin) if begin < size else None
-            while begin < size and not found:  # a sign, not a tag
-                begin = html.find("<", begin + 1)
-                begin = size if begin < 0 else begin
-                found = _MARKUP.match(html, begin) if begin < size else None
-            if begin > at:
-                raw = html[at:begin]
-                text = html_module.unescape(raw) if "&" in raw else raw
-                if block is None and text.strip():
-                    block = [page, [], 0, True, 0, 0]
-                    self.blocks.append(block)
-                if block is not None:
-                    _, chrome, level, path = stack[-1]
-                    words = " ".join(text.split())
-                    if words:
-                        place += 1
-                        self.texts.append(words)
-                        self.text_at.append((page, place, path, len(self.blocks) - 1))
-                    if not chrome:
-                        if block[3] and words:
-                            block[1], block[2], block[3] = [], level, False
-                        block[1].append(text)
-                        block[5] += len(words)
-                        block[4] += len(words) if link else 0
+            begin = find("<", at)
+            found = match(html, begin) if begin >= 0 else None
+            while begin >= 0 and not found:  # a sign, not a tag
+                begin = find("<", begin + 1)
+                found = match(html, begin) if begin >= 0 else None
+            if begin < 0:
+                begin = size
+            if begin > at and not stack[-1][1]:
+                text = html[at:begin]
+                if "&" in text:
+                    text = html_module.unescape(text)
+                if not parts:
+                    held = stack[-1][2:]
+                parts.append(text)
+                if link:
+                    linked += len(text.strip())
             if not found:
                 break
             at = found.end()
@@ -161,21 +166,23 @@ class Pages:
             if found.group(1):  # an end tag
                 if name == "a":
                     link = 0
-                if name in BLOCK:
-                    block = None
+                if name in BLOCK and parts:
+                    end_block()
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == name:
                         del stack[i:]
                         break
-                place += 1
-                self.tags.append((page, place, _role(stack[-1][3], f"/{name}")))
                 if link > len(stack):
                     link = 0
+                tags.append(_role(stack[-1][3], f"/{name}"))
+                tag_at.append(len(texts))
                 continue
             label, chrome, header, level, is_link = _marks(name, found.group(3))
             if name in BLOCK:
-                block = None
-                if stack[-1][0] == "p" or (stack[-1][0] == "head" and name != "noscript"):
+                if parts:
+                    end_block()
+                top = stack[-1][0]
+                if top == "p" or (top == "head" and name != "noscript"):
                     stack.pop()
             for closed in _CLOSES.get(name, ()):
                 if stack[-1][0] == closed:
@@ -184,39 +191,70 @@ class Pages:
                 link = 0
             _, chrome_before, level_before, path = stack[-1]
             token = _role(path, label)
-            place += 1
-            self.tags.append((page, place, token))
+            tags.append(token)
+            tag_at.append(len(texts))
             chrome = chrome or (header and not level_before)  # an article's own header holds its title
-            if name == "br" and block is not None:
-                block[1].append(" ")
+            if name == "br" and parts:
+                parts.append(" ")
             if is_link:
                 link = len(stack)
             if name in RAW:
-                end = re.compile(f"</{name}(?=[\\s/>])", re.I).search(html, at)
+                end = _raw_end(name).search(html, at)
                 at = end.start() if end else size
             elif name not in VOID and (name in BLOCK or chrome):
                 stack.append((name, chrome or chrome_before, max(level, level_before), token))
+        if parts:
+            end_block()
 
-    def tokens(self) -> Tokens:
-        return Tokens(self)
+
+@lru_cache(maxsize=None)
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(f"</{name}(?=[\\s/>])", re.I)
+
+
+_PAGE_FIELDS = "tags array<bigint>, tag_at array<int>, texts array<string>, levels array<tinyint>, links array<int>, paths array<bigint>"
+
+
+def _lists(rows: list[list], kind: pa.DataType, unsigned: bool = False) -> pa.Array:
+    lengths = np.fromiter((len(r) for r in rows), np.int64, len(rows))
+    flat = [x for r in rows for x in r]
+    values = pa.array(np.array(flat, np.uint64).view(np.int64)) if unsigned else pa.array(flat, kind)
+    return list_array(values, lengths)
+
+
+def page_columns(pages: list[Page]) -> list[pa.Array]:
+    """The columns ``_PAGE_FIELDS`` of pages."""
+    return [
+        _lists([p.tags for p in pages], pa.int64(), True), _lists([p.tag_at for p in pages], pa.int32()), _lists([p.texts for p in pages], pa.string()),
+        _lists([p.levels for p in pages], pa.int8()), _lists([p.links for p in pages], pa.int32()), _lists([p.paths for p in pages], pa.int64(), True),
+    ]
 
 
 class Tokens:
-    """Tokens of a run of pages in order: page, token, block (-1 for a tag), and where pages begin."""
-
-    def __init__(self, pages: Pages):
-        column = lambda rows, i, kind=np.int64: np.fromiter((r[i] for r in rows), kind, len(rows))
-        tags, at = pages.tags, pages.text_at
-        words = Words(*string_buffer(pa.array(pages.texts, pa.large_string())), SPACED, False)
-        row = words.row_of()
-        path = column(at, 2, np.uint64)[row]
-        page = np.concatenate((column(tags, 0), column(at, 0)[row]))
-        place = np.concatenate((column(tags, 1), column(at, 1)[row]))
-        token = np.concatenate((column(tags, 2, np.uint64), mix(words.hashes() ^ mix(path))))
-        block = np.concatenate((np.full(len(tags), -1), column(at, 3)[row]))
-        order = np.lexsort((place, page))
-        self.page, self.token, self.block = page[order], token[order].view(np.int64), block[order]
-        self.first = np.searchsorted(self.page, np.arange(pages.rows + 1))
+    """Tokens of a run of pages in order: token, its block (-1 for a tag), and where pages begin. Blocks
+    are numbered over the run; ``first_block`` is where those of each page begin."""
+
+    def __init__(self, tags: pa.ListArray, tag_at: pa.ListArray, texts: pa.ListArray, paths: pa.ListArray):
+        rows = len(tags)
+        each = lambda lists: np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths()).astype(np.int64))))
+        flat = lambda lists: np.asarray(lists.flatten())
+        first_tag, self.first_block = each(tags), each(texts)
+        self.texts = texts.flatten()
+        words = Words(*string_buffer(self.texts), SPACED, False)
+        block_of_word = words.row_of()
+        path = flat(paths).astype(np.int64).view(np.uint64)
+        # a tag stands before the block of its number, a block's words behind the tags before it
+        tag_block = flat(tag_at).astype(np.int64) + np.repeat(self.first_block[:-1], np.diff(first_tag))
+        tag_place = np.arange(len(tag_block)) + words.first[tag_block]
+        word_place = np.arange(len(block_of_word)) + np.searchsorted(tag_block, block_of_word, side="right")
+        size = len(tag_place) + len(word_place)
+        self.token, self.block = np.empty(size, np.int64), np.full(size, -1)
+        # tags have even tokens, words odd ones
+        self.token[tag_place] = flat(tags) & -2
+        self.token[word_place] = mix(words.hashes() ^ mix(path)[block_of_word]).view(np.int64) | 1
+        self.block[word_place] = block_of_word
+        self.first = first_tag + words.first[self.first_block]
+        self.page = np.repeat(np.arange(rows), np.diff(self.first))
 
 
 # --- sites ---------------------------------------------------------------------------------
@@ -230,9 +268,15 @@ def with_site(pages: DataFrame) -> DataFrame:
     return rows.join(small(hosts, 64), F.col("host") == F.col("site"), "left").select("page_id", "url", "html", F.coalesce("site", F.lit("")).alias("site"))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], *facts: str) -> Iterator[tuple[pa.RecordBatch, list[str], list, Tokens, Pages]]:
-    """Blocks of pages of about ``BLOCK_BYTES``: (rows, their sites, what each site's columns ``facts``
-    say, tokens, pages)."""
+def _read_pages(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Pages to their tags and blocks; at the end, in rows without a page, the tokens that stand on at
+    least ``SHARE`` (words: ``STEADY``, as only steady words are of use) of a site's pages in this task.
+
+    A token with that share over all tasks has it in one of them, so no other can be of a template.
+    """
+    sites: dict[str, int] = {}
+    pages_of: list[int] = []
+    counts = _Counts()
     for whole in batches:
         sizes = np.cumsum(np.asarray(pc.binary_length(whole.column("html"))).astype(np.int64))
         lo = 0
@@ -240,16 +284,68 @@ def _runs(batches: Iterator[pa.RecordBatch], *facts: str) -> Iterator[tuple[pa.R
             done = sizes[lo - 1] if lo else 0
             hi = max(lo + 1, int(np.searchsorted(sizes, done + BLOCK_BYTES, side="right")))
             batch = whole.slice(lo, hi - lo)
-            pages = Pages()
-            for text in batch.column("html").to_pylist():
-                pages.read(text)
+            lo = hi
+            columns = page_columns([Page(text) for text in batch.column("html").to_pylist()])
+            tokens = Tokens(columns[0], columns[1], columns[2], columns[5])
+            site = np.array([sites.setdefault(s, len(sites)) for s in batch.column("site").to_pylist()], np.int64)
+            pages_of += [0] * (len(sites) - len(pages_of))
+            for s, n in zip(*np.unique(site, return_counts=True), strict=True):
+                pages_of[s] += int(n)
+            (page, token), _, _ = _pairs(tokens.page, tokens.token)
+            (number, token), _, many = _pairs(site[page], token)
+            counts.add(number, token, many)
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("site"), batch.column("page_key"), *columns, pa.nulls(len(batch), pa.list_(pa.int64()))], schema=schema)
+    number, token, many = counts.total()
+    often = many >= np.where(token & 1, STEADY, SHARE) * np.array(pages_of, np.float64)[number] if len(number) else np.zeros(0, bool)
+    out = [{"site": name, "frequent": token[often & (number == i)].tolist()} for name, i in sites.items()]
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+
+class _Counts:
+    """Pages per (site, token), summed as they come; distinct ones are held once."""
+
+    def __init__(self):
+        self.parts: list[tuple] = []
+        self.held = self.least = 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.parts.append(columns)
+        self.held += len(columns[0])
+        if self.held > max(1 << 20, 2 * self.least):
+            self.parts = [self.total()]
+            self.held = self.least = len(self.parts[0][0])
+
+    def total(self) -> tuple:
+        if not self.parts:
+            return tuple(np.zeros(0, np.int64) for _ in range(3))
+        *keys, many = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        keys, where, _ = _pairs(*keys)
+        return (*keys, np.bincount(where, weights=many, minlength=len(keys[0])).astype(np.int64))
+
+
+def read_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(parsed pages with their sites, candidate tokens per site), from one pass over the html."""
+    rows = with_site(pages).withColumn("page_key", F.xxhash64("page_id", "url", "html"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    ddl = f"page_id {kinds['page_id']}, url {kinds['url']}, site string, page_key bigint, {_PAGE_FIELDS}, frequent array<bigint>"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    read = stage(rows.mapInArrow(lambda batches: _read_pages(batches, schema), ddl), "html-pages")
+    tokens = read.filter("frequent is not null").select("site", F.explode("frequent").alias("token")).distinct()
+    return read.filter("frequent is null").drop("frequent"), stage(tokens.groupBy("site").agg(F.collect_list("token").alias("tokens")), "html-frequent")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], *facts: str) -> Iterator[tuple[pa.RecordBatch, list[str], dict, Tokens]]:
+    """Runs of parsed pages: (rows, their sites, what each site's columns ``facts`` say, tokens)."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 2048):
+            batch = whole.slice(lo, 2048)
             sites = batch.column("site").to_pylist()
             known = {}
             for i, s in enumerate(sites):
                 if s not in known:
                     known[s] = [batch.column(f)[i].as_py() for f in facts]
-            yield batch, sites, known, pages.tokens(), pages
-            lo = hi
+            yield batch, sites, known, Tokens(*(batch.column(c) for c in ("tags", "tag_at", "texts", "paths")))
 
 
 def _numbered(sites: list[str]) -> tuple[list[str], np.ndarray]:
@@ -271,16 +367,6 @@ def _pairs(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
     return [c[new] for c in sorted_], inverse, np.bincount(number, minlength=int(new.sum()))
 
 
-def _local_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens on at least ``SHARE`` of a site's pages within a block of pages."""
-    for _, sites, _, tokens, _ in _runs(batches):
-        names, site_of = _numbered(sites)
-        (page, token), _, _ = _pairs(tokens.page, tokens.token)
-        (site, token), _, pages = _pairs(site_of[page], token)
-        often = pages >= SHARE * np.bincount(site_of, minlength=len(names))[site]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(site[often])), pa.array(token[often])], ["site", "token"])
-
-
 def _lanes(page: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 31-bit hashes of (page, count): their sums over pages stand for an occurrence vector, and
     stay in the range of a long for 2^32 pages."""
@@ -293,7 +379,7 @@ _VECTORS = "site string, token long, pages long, total long, a long, b long"
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parts of the occurrence vectors of candidate tokens."""
-    for batch, sites, known, tokens, _ in _runs(batches, "tokens"):
+    for batch, sites, known, tokens in _runs(batches, "tokens"):
         names, site_of = _numbered(sites)
         key = np.asarray(batch.column("page_key"))
         lists = [np.array(known[name][0] or [], np.int64) for name in names]
@@ -363,7 +449,7 @@ _VOTES = "site string, cls long, ranks array<int>, parent long, pages long"
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each class on each page: the order of its tokens (null: none that holds for all its
     occurrences) and the gap of the class around it (-2: several, or spans that cross)."""
-    for _, sites, known, tokens, _ in _runs(batches, "classes"):
+    for _, sites, known, tokens in _runs(batches, "classes"):
         made = {s: Classes(known[s][0] or []) for s in known}
         votes: dict[tuple, int] = {}
         for i, site in enumerate(sites):
@@ -405,46 +491,52 @@ def _gap_key(cls: int, gap: int) -> int:
 # --- blocks --------------------------------------------------------------------------------
 
 
-def _page_blocks(tokens: Tokens, pages: Pages, i: int, classes: Classes) -> list[tuple[list, int | None, bool]]:
+def _page_blocks(tokens: Tokens, i: int, classes: Classes) -> list[tuple[int, int | None, bool]]:
     """(block, slot or None, all its words are of the template) of a page, in order."""
     lo, hi = tokens.first[i], tokens.first[i + 1]
+    blocks = range(tokens.first_block[i], tokens.first_block[i + 1])
+    if not len(classes.ids):
+        return [(b, None, False) for b in blocks]
     mine, block = tokens.token[lo:hi], tokens.block[lo:hi]
     cls, rank = classes.on(mine)
     spans = [(k, at) for k, at, ranks in _spans(cls, rank, classes.size) if (ranks == np.arange(classes.size[k])).all()]
-    fixed = np.zeros(len(mine), bool)
+    other = np.ones(len(mine), bool)
     for kind, at in spans:
         if classes.steady[kind]:
-            fixed[at.ravel()] = True
+            other[at.ravel()] = False
     slot = _slots(len(mine), spans)
-    out = []
     words = np.flatnonzero(block >= 0)
-    numbers, begin = np.unique(block[words], return_index=True)
-    for number, at in zip(numbers.tolist(), np.split(words, begin[1:]), strict=False):
-        where = int(slot[at[0]])
-        key = None if where < 0 else _gap_key(classes.ids[where >> 32], where & 0xFFFFFFFF)
-        out.append((pages.blocks[number], key, bool(fixed[at].all())))
+    begin = np.searchsorted(block[words], np.arange(blocks.start, blocks.stop))  # every block has words
+    own = np.add.reduceat(other[words].astype(np.int64), begin) if len(words) else []
+    out = []
+    for b, where, many in zip(blocks, slot[words[begin]].tolist() if len(words) else [], own, strict=True):
+        out.append((b, None if where < 0 else _gap_key(classes.ids[where >> 32], where & 0xFFFFFFFF), not many))
     return out
 
 
 _SLOTS = "site string, slot long, characters long, links long, pages long"
 
 
+def _block_facts(batch: pa.RecordBatch, tokens: Tokens) -> tuple[list, list, list]:
+    """Level, characters inside links and characters of each block."""
+    return (*(batch.column(c).flatten().to_pylist() for c in ("levels", "links")), pc.utf8_length(tokens.texts).to_pylist())
+
+
 def _slot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Characters and characters of links in each slot, outside of what the markup names; slot null:
-    on how many pages the template leaves some text that is its own."""
-    for _, sites, known, tokens, pages in _runs(batches, "classes"):
+    """Characters and characters of links in each slot; slot null: on how many pages the template
+    leaves some text that is its own."""
+    for batch, sites, known, tokens in _runs(batches, "classes"):
         made = {s: Classes(known[s][0] or []) for s in known}
+        _, links, sizes = _block_facts(batch, tokens)
         sums: dict[tuple, list[int]] = {}
         for i, site in enumerate(sites):
             fresh = False
-            for block, slot, fixed in _page_blocks(tokens, pages, i, made[site]):
-                if block[3]:
-                    continue
+            for block, slot, fixed in _page_blocks(tokens, i, made[site]):
                 fresh = fresh or not fixed
                 if slot is not None:
                     here = sums.setdefault((site, slot), [0, 0, 0])
-                    here[0] += block[5]
-                    here[1] += block[4]
+                    here[0] += sizes[block]
+                    here[1] += links[block]
             if fresh:
                 sums.setdefault((site, None), [0, 0, 0])[2] += 1
         rows = [{"site": s, "slot": k, "characters": a, "links": b, "pages": n} for (s, k), (a, b, n) in sums.items()]
@@ -452,46 +544,43 @@ def _slot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("site", pa.string()), *[(c, pa.int64()) for c in ("slot", "characters", "links", "pages")]]))
 
 
-def block_text(block: list) -> str:
-    return " ".join("".join(block[1]).split())
-
-
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of each page."""
-    for batch, sites, known, tokens, pages in _runs(batches, "classes", "menus", "varies"):
+    for batch, sites, known, tokens in _runs(batches, "classes", "menus", "varies"):
         made = {s: Classes(known[s][0] or []) for s in known}
         menus = {s: set(known[s][1] or []) for s in known}
+        levels, links, sizes = _block_facts(batch, tokens)
+        texts = tokens.texts.to_pylist()
         out = []
         for i, site in enumerate(sites):
-            found = [f for f in _page_blocks(tokens, pages, i, made[site]) if not f[0][3]]
-            level = max((f[0][2] for f in found), default=0)
+            found = _page_blocks(tokens, i, made[site])
+            level = max((levels[b] for b, _, _ in found), default=0)
             lines = []
             for block, slot, fixed in found:
-                dense = slot in menus[site] if slot is not None else 2 * block[4] >= block[5]
-                if block[2] < level or (fixed and known[site][2]) or (not level and dense):
-                    continue
-                lines.append(block_text(block))
-            out.append("\n".join(line for line in lines if line))
+                dense = slot in menus[site] if slot is not None else 2 * links[block] >= sizes[block]
+                if not (levels[block] < level or (fixed and known[site][2]) or (not level and dense)):
+                    lines.append(texts[block])
+            out.append("\n".join(lines))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
 # --- the operator --------------------------------------------------------------------------
 
 
-def site_templates(pages: DataFrame) -> DataFrame:
+def site_templates(pages: DataFrame, frequent: DataFrame) -> DataFrame:
     """site, n (pages), classes: the valid classes of each site, their tokens in order; steady ones
-    stand on nearly all pages of a site that has enough of them. ``pages`` holds site and html."""
-    pages = pages.withColumn("page_key", F.xxhash64("page_id", "url", "html"))
+    stand on nearly all pages of a site that has enough of them. Both tables are those of
+    ``read_pages``."""
     counts = stage(pages.groupBy("site").agg(F.count(F.lit(1)).alias("n")), "html-sites")
-    frequent = pages.select("site", "html").mapInArrow(_local_tokens, "site string, token long").distinct()
-    frequent = stage(frequent.groupBy("site").agg(F.collect_list("token").alias("tokens")), "html-frequent")
-    parts = _joined(pages.select("site", "html", "page_key"), frequent, 4096).mapInArrow(_vectors, _VECTORS)
+    told = pages.select("site", "page_key", "tags", "tag_at", "texts", "paths")
+    parts = _joined(told, frequent, 4096).mapInArrow(_vectors, _VECTORS)
     vectors = parts.groupBy("site", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "a", "b")]).join(counts, "site")
-    vectors = vectors.filter((F.col("n") >= SITE_PAGES) & (F.col("pages") >= SHARE * F.col("n")))
+    share = F.when(F.col("token").bitwiseAND(F.lit(1).cast("bigint")) == 1, STEADY).otherwise(SHARE)
+    vectors = vectors.filter((F.col("n") >= SITE_PAGES) & (F.col("pages") >= share * F.col("n")))
     classes = vectors.groupBy("site", "n", "pages", "total", "a", "b").agg(F.sort_array(F.collect_list("token")).alias("tokens")).filter(F.size("tokens") > 1)
     classes = stage(classes.select("site", "n", "pages", F.col("tokens")[0].alias("cls"), "tokens"), "html-classes")
     by_site = stage(classes.groupBy("site").agg(F.collect_list(F.struct("cls", "tokens")).alias("classes")), "html-classes")
-    votes = _joined(pages.select("site", "html"), by_site, 8192).mapInArrow(_votes, _VOTES)
+    votes = _joined(told.drop("page_key"), by_site, 8192).mapInArrow(_votes, _VOTES)
     votes = votes.groupBy("site", "cls", "ranks", "parent").agg(F.sum("pages").alias("pages"))
     best = F.max(F.struct("pages", "parent", "ranks"))
     held = votes.groupBy("site", "cls").agg(best.alias("best"), F.sum("pages").alias("all"))
@@ -509,9 +598,10 @@ def _joined(pages: DataFrame, facts: DataFrame, row_bytes: int) -> DataFrame:
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every page."""
     prepare(pages.sparkSession)
-    rows = with_site(pages)
-    templates = site_templates(rows)
-    sums = _joined(rows.select("site", "html"), templates.select("site", "classes"), 8192).mapInArrow(_slot_sums, _SLOTS)
+    rows, frequent = read_pages(pages)
+    templates = site_templates(rows, frequent)
+    told = rows.select("page_id", "url", "site", "tags", "tag_at", "texts", "levels", "links", "paths")
+    sums = _joined(told.drop("page_id", "url"), templates.select("site", "classes"), 8192).mapInArrow(_slot_sums, _SLOTS)
     sums = stage(sums.groupBy("site", "slot").agg(*[F.sum(c).alias(c) for c in ("characters", "links", "pages")]), "html-slots")
     menus = sums.filter("slot is not null and 2 * links >= characters").groupBy("site").agg(F.collect_list("slot").alias("menus"))
     varied = sums.filter("slot is null").select("site", F.col("pages").alias("fresh"))
@@ -519,7 +609,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     facts = facts.select("site", "classes", "menus", (F.coalesce("fresh", F.lit(0)) >= SHARE * F.col("n")).alias("varies"))
     facts = stage(facts, "html-facts")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return _joined(rows, facts, 8192).mapInArrow(_texts, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
+    return _joined(told, facts, 8192).mapInArrow(_texts, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
 
 
 def text_report(texts: DataFrame) -> DataFrame:

@@ -12,16 +12,25 @@ from orthoflow.llm import html_extract as H
 SCHEMA = "page_id long, url string, html string, site string, text int"
 
 
-def blocks_of(html):
-    pages = H.Pages()
-    pages.read(html)
-    return [(H.block_text(b), b[2], b[3]) for b in pages.blocks]
+def text_of(html):
+    page = H.Page(html)
+    level = max(page.levels, default=0)
+    return "\n".join(t for t, x in zip(page.texts, page.levels, strict=True) if x == level)
 
 
-def text_of(html):
-    found = [(t, level) for t, level, chrome in blocks_of(html) if not chrome and t]
-    level = max((x[1] for x in found), default=0)
-    return "\n".join(t for t, x in found if x == level)
+def tokens_of(*htmls):
+    columns = H.page_columns([H.Page(html) for html in htmls])
+    return H.Tokens(columns[0], columns[1], columns[2], columns[5])
+
+
+def test_tokens_in_order():
+    """Tags and words of several pages in the order of the pages."""
+    htmls = ["<p>a b<p><b>c</b> d", "", "x", "<article><h1>T u</h1></article><p></p>"]
+    whole = tokens_of(*htmls)
+    assert whole.first.tolist() == [0, 8, 8, 9, 17]
+    assert whole.block.tolist() == [-1, 0, 0, -1, -1, -1, 1, 1, 2, -1, -1, 3, 3, -1, -1, -1, -1]
+    alone = [t for html in htmls for t in tokens_of(html).token.tolist()]
+    assert whole.token.tolist() == alone
 
 
 @pytest.mark.parametrize(
@@ -102,13 +111,11 @@ def vectors_brute(htmls):
     """Classes of one site by explicit occurrence vectors: sets of tokens."""
     counts = []
     for html in htmls:
-        pages = H.Pages()
-        pages.read(html)
-        counts.append(Counter(pages.tokens().token.tolist()))
+        counts.append(Counter(tokens_of(html).token.tolist()))
     vectors = defaultdict(set)
     for token in {t for c in counts for t in c}:
         vector = tuple(c[token] for c in counts)
-        if sum(v > 0 for v in vector) >= H.SHARE * len(htmls):
+        if sum(v > 0 for v in vector) >= (H.STEADY if token & 1 else H.SHARE) * len(htmls):  # words are odd
             vectors[vector].add(token)
     return {frozenset(v) for v in vectors.values() if len(v) > 1}
 
@@ -117,7 +124,7 @@ def test_templates_against_vectors(spark):
     rng = random.Random(6)
     htmls = [page(i, prose(rng, 1 + i % 4), menu=3 + i % 3) for i in range(30)]
     table = spark.createDataFrame([(i, f"http://one.example.com/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string").repartition(5)
-    template = H.site_templates(H.with_site(table)).collect()
+    template = H.site_templates(*H.read_pages(table)).collect()
     assert len(template) == 1 and template[0]["n"] == 30
     found = {frozenset(c["tokens"]) for c in template[0]["classes"]}
     brute = vectors_brute(htmls)
@@ -126,9 +133,7 @@ def test_templates_against_vectors(spark):
     sizes = sorted((len(c["tokens"]), c["steady"]) for c in template[0]["classes"])
     assert len(sizes) >= 2 and all(steady for _, steady in sizes)
     root = max(template[0]["classes"], key=lambda c: len(c["tokens"]))["tokens"]
-    pages = H.Pages()
-    pages.read(htmls[0])
-    order = [t for t in pages.tokens().token.tolist() if t in set(root)]
+    order = [t for t in tokens_of(htmls[0]).token.tolist() if t in set(root)]
     assert order == list(root)
 
 
