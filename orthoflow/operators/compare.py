@@ -47,14 +47,67 @@ def profile_distribution(df: DataFrame, keys: list[str], value: str, exact: bool
     return with_median(out.drop("median"), df, keys, value) if exact else out
 
 
-def busy_intervals(intervals: DataFrame, group: str, thread: str, start: str, end: str) -> DataFrame:
+def ab_report(runs: DataFrame, key: str, variant: str, base: str, new: str, elapsed: str, testcases: str, sweeps: str,
+              exact: bool = True) -> DataFrame:
+    """Two runs compared in one table. A row per case (``level`` case): mean elapsed and time per
+    testcase of both, speed-up of the mean and of the median, sweeps per testcase and whether they agree,
+    each case's share of its run's total. A last row (``level`` all, case NULL): totals, and the geometric
+    means of the speed-ups (with the arithmetic one of the mean's)."""
+    timing = case_timing(runs, [variant, key], elapsed, testcases, sweeps, exact)
+    totals = runs.groupBy(variant, key).agg(F.sum(elapsed).alias("total"))
+    timing = timing.join(share_of_total(totals, "total", [variant]), [variant, key])
+    measures = ("runs", "mean_elapsed", "median_elapsed", "per_testcase", "sweeps_per_testcase", "total", "share_pct")
+    side = lambda name, prefix: timing.filter(F.col(variant) == name).select(key, *[F.col(m).alias(f"{prefix}_{m}") for m in measures])
+    cases = side(base, "base").join(side(new, "new"), key)
+    cases = cases.withColumns({
+        "speedup": F.col("base_mean_elapsed") / F.col("new_mean_elapsed"),
+        "median_speedup": F.col("base_median_elapsed") / F.col("new_median_elapsed"),
+        "testcase_speedup": F.col("base_per_testcase") / F.col("new_per_testcase"),
+        "same_sweeps": F.col("base_sweeps_per_testcase") == F.col("new_sweeps_per_testcase"),
+    })
+    geo = lambda c: F.exp(F.avg(F.ln(c))).alias(c)
+    whole = cases.agg(F.count(F.lit(1)).alias("cases"), F.sum("base_runs").alias("base_runs"), F.sum("new_runs").alias("new_runs"), F.sum("base_total").alias("base_total"),
+                      F.sum("new_total").alias("new_total"), geo("speedup"), geo("median_speedup"), geo("testcase_speedup"),
+                      F.avg("speedup").alias("arith_speedup"), F.bool_and("same_sweeps").alias("same_sweeps"))
+    return cases.withColumn("level", F.lit("case")).unionByName(whole.withColumn("level", F.lit("all")), allowMissingColumns=True)
+
+
+#: buckets of one thread's intervals; equal starts stay together
+BUSY_BUCKETS = 256
+
+
+def busy_intervals(intervals: DataFrame, group: str, thread: str, start: str, end: str, buckets: int = BUSY_BUCKETS) -> DataFrame:
     """Intervals of each thread with overlapping and touching ones joined, so that nested calls of
-    one thread count once."""
-    w = Window.partitionBy(group, thread).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    begun = intervals.withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0))
-    run = begun.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.groupBy(group, thread, "_run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_run")
+    one thread count once.
+
+    A thread's starts are dealt into buckets of about equal counts (cut points of a sketch of fixed
+    size), so a thread that holds nearly all intervals is spread over tasks. What reaches into a
+    bucket is the running maximum of the ends of the buckets before it, a window over one row per
+    bucket; runs are numbered in two levels likewise.
+    """
+    keys = [group, thread]
+    # intervals that begin together are one, up to the last end
+    begun = intervals.groupBy(*keys, F.col(start).alias("_s")).agg(F.max(end).alias("_e"))
+    fractions = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    cuts = begun.groupBy(*keys).agg(F.percentile_approx("_s", fractions, 10 * buckets).alias("_cuts"))
+    cuts = cuts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.array_distinct("_cuts").alias("_cuts"))
+    mine = F.col(group).eqNullSafe(F.col(f"_{group}")) & F.col(thread).eqNullSafe(F.col(f"_{thread}"))
+    dealt = begun.join(cuts, mine).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_s")))).drop("_cuts", *[f"_{k}" for k in keys])
+    reach = dealt.groupBy(*keys, "_b").agg(F.max("_e").alias("_reach"))
+    w_bucket = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = reach.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_b").alias("_bb"), F.max("_reach").over(w_bucket).alias("_carried"))
+    w = Window.partitionBy(*keys, "_b").orderBy("_s")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    place = dealt.join(carried, mine & (F.col("_b") == F.col("_bb"))).drop("_bb", *[f"_{k}" for k in keys])
+    place = place.withColumn("_far", F.greatest("_carried", F.max("_e").over(before)))
+    place = place.withColumn("_new", F.when(F.col("_far").isNull() | (F.col("_s") > F.col("_far")), 1).otherwise(0))
+    place = place.withColumn("_nth", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # within a bucket first, then runs that go on over buckets
+    parts = place.groupBy(*keys, "_b", "_nth").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.max("_new").alias("_new"))
+    total = parts.groupBy(*keys, "_b").agg(F.sum("_new").alias("_runs"))
+    offset = total.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_b").alias("_bb"), F.coalesce(F.sum("_runs").over(w_bucket), F.lit(0)).alias("_off"))
+    numbered = parts.join(offset, mine & (F.col("_b") == F.col("_bb")))
+    return numbered.groupBy(*keys, (F.col("_off") + F.col("_nth")).alias("_run")).agg(F.min("_s").alias(start), F.max("_e").alias(end)).drop("_run")
 
 
 def thread_concurrency(intervals: DataFrame, group: str, thread: str, start: str, end: str, levels: tuple[int, ...] = (2, 4)) -> DataFrame:

@@ -7,7 +7,7 @@ cell:   matrix_id, r, c, v
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Default thresholds of the layout/strategy route.
@@ -174,3 +174,20 @@ def identity_cells(sizes: DataFrame, id_col: str = "matrix_id", n_col: str = "n"
         .select("matrix_id", F.col("r").cast("bigint").alias("r"), F.explode("_cs").alias("c"))
         .select("matrix_id", "r", "c", F.when(F.col("r") == F.col("c"), F.lit(1.0)).otherwise(F.lit(0.0)).alias("v"))
     )
+
+
+def with_position(df: DataFrame, order_col: str, name: str = "pos") -> DataFrame:
+    """0-based position in the order of a unique column: a place inside a range, plus the rows of the
+    ranges before it (a running sum over one row per range). The ranges are written once, as bounds
+    sampled twice need not agree."""
+    from orthoflow.session import scratch_dir
+
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = df.repartitionByRange(order_col).sortWithinPartitions(order_col)
+    ranged = ranged.select("*", F.spark_partition_id().alias("_range"), place.alias("_place"))
+    path = scratch_dir(df.sparkSession, "positions")
+    ranged.write.parquet(path)
+    kept = df.sparkSession.read.schema(ranged.schema).parquet(path)
+    before = F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = kept.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    return kept.join(ranges, "_range").withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")

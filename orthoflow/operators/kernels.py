@@ -51,6 +51,36 @@ def _rotation(pp, qq, pq, eps):
     return rot, c, s
 
 
+def jacobi_rounds(a: np.ndarray, rounds: list[list[tuple[int, int]]], eps: float = DEFAULT_EPS):
+    """The given rounds of pairs on a stack (B, m, n): (rotated stack, product of the rotations, whether
+    anything rotated per matrix)."""
+    a = np.array(a, dtype=np.float64, copy=True)
+    v = np.broadcast_to(np.eye(a.shape[2]), (a.shape[0], a.shape[2], a.shape[2])).copy()
+    rotated = np.zeros(a.shape[0], dtype=bool)
+    for pairs in rounds:
+        if pairs:
+            p, q = (np.array(i, dtype=np.int64) for i in zip(*pairs, strict=True))
+            rotated |= _rotate_round(a, v, p, q, eps)
+    return a, v, rotated
+
+
+def _rotate_round(aa: np.ndarray, vv: np.ndarray, pidx: np.ndarray, qidx: np.ndarray, eps: float) -> np.ndarray:
+    """One round on stacks of A and V, in place; whether anything rotated, per matrix."""
+    ap, aq = aa[:, :, pidx], aa[:, :, qidx]
+    pp = np.einsum("bmk,bmk->bk", ap, ap)
+    qq = np.einsum("bmk,bmk->bk", aq, aq)
+    pq = np.einsum("bmk,bmk->bk", ap, aq)
+    rot, c, s = _rotation(pp, qq, pq, eps)
+    if rot.any():
+        m3, c3, s3 = rot[:, None, :], c[:, None, :], s[:, None, :]
+        vp, vq = vv[:, :, pidx], vv[:, :, qidx]
+        aa[:, :, pidx] = np.where(m3, c3 * ap - s3 * aq, ap)
+        aa[:, :, qidx] = np.where(m3, s3 * ap + c3 * aq, aq)
+        vv[:, :, pidx] = np.where(m3, c3 * vp - s3 * vq, vp)
+        vv[:, :, qidx] = np.where(m3, s3 * vp + c3 * vq, vq)
+    return rot.any(axis=1)
+
+
 def jacobi_stack(a: np.ndarray, eps: float = DEFAULT_EPS, max_sweeps: int = DEFAULT_MAX_SWEEPS):
     """One-sided Jacobi on a stack ``a`` of shape (B, m, n).
 
@@ -77,24 +107,7 @@ def jacobi_stack(a: np.ndarray, eps: float = DEFAULT_EPS, max_sweeps: int = DEFA
         for pidx, qidx in rounds:
             if pidx.size == 0:
                 continue
-            ap = aa[:, :, pidx]
-            aq = aa[:, :, qidx]
-            pp = np.einsum("bmk,bmk->bk", ap, ap)
-            qq = np.einsum("bmk,bmk->bk", aq, aq)
-            pq = np.einsum("bmk,bmk->bk", ap, aq)
-            rot, c, s = _rotation(pp, qq, pq, eps)
-            if not rot.any():
-                continue
-            rotated |= rot.any(axis=1)
-            m3 = rot[:, None, :]
-            c3 = c[:, None, :]
-            s3 = s[:, None, :]
-            aa[:, :, pidx] = np.where(m3, c3 * ap - s3 * aq, ap)
-            aa[:, :, qidx] = np.where(m3, s3 * ap + c3 * aq, aq)
-            vp = vv[:, :, pidx]
-            vq = vv[:, :, qidx]
-            vv[:, :, pidx] = np.where(m3, c3 * vp - s3 * vq, vp)
-            vv[:, :, qidx] = np.where(m3, s3 * vp + c3 * vq, vq)
+            rotated |= _rotate_round(aa, vv, pidx, qidx, eps)
         a[active] = aa
         v[active] = vv
         sweeps[active] = sweep + 1
@@ -134,6 +147,13 @@ def flagged_sigma(sigma: np.ndarray, flags: np.ndarray) -> np.ndarray:
     return np.where(flags == INFINITE, np.inf, np.where(flags == NOT_A_NUMBER, 0.0, sigma))
 
 
+def flagged_sigma_sql(sigma, flag):
+    """The same as a column expression, for one column of a matrix."""
+    from pyspark.sql import functions as F
+
+    return F.when(flag == INFINITE, F.lit(float("inf"))).when(flag == NOT_A_NUMBER, F.lit(0.0)).otherwise(sigma)
+
+
 def divide_infinite(u: np.ndarray, a: np.ndarray, sigma: np.ndarray) -> np.ndarray:
     """``u`` with the columns of infinite norm taken as a / sigma (0 for finite cells, else NaN)."""
     wide = np.isinf(sigma)[..., None, :]

@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orthoflow.functions.numbers import INTEGER_RE, loose_number_of
 from orthoflow.operators.quantile import exact_median, with_median
 
 # Patterns and names of the log format.
@@ -85,22 +86,25 @@ def classify(lines: DataFrame) -> DataFrame:
     is_cmd = F.col("text").startswith("$ ")
     first = clean.filter(is_cmd).groupBy("source_log").agg(F.min("line_no").alias("_cmd_line"))
     j = clean.join(first, "source_log", "left")
-    cls = (
-        F.when(is_cmd & (F.col("line_no") == F.col("_cmd_line")), F.lit("command"))
-        .when(F.col("text").startswith("SKIPPED:") | F.col("text").contains("==WARNING=="), F.lit("warning"))
-        .when(F.col("text").contains("==ERROR==") | F.lower("text").startswith("error:"), F.lit("error"))
-        .when(F.col("text").rlike(PROFILING_RE), F.lit("profiling"))
-        .when(F.col("text").rlike(REPORT_RE), F.lit("report"))
-        .when(F.col("text").startswith("/") & (F.col("text").endswith(".nsys-rep") | F.col("text").endswith(".sqlite")),
-              F.lit("generated"))
+    cls = F.when(is_cmd & (F.col("line_no") == F.col("_cmd_line")), F.lit("command")).otherwise(line_class(F.col("text")))
+    return j.select("source_log", "line_no", "text", cls.alias("class"))
+
+
+def line_class(text: Column) -> Column:
+    """Class of a cleaned line by itself, that is, if it is not the log's command."""
+    return (
+        F.when(text.startswith("SKIPPED:") | text.contains("==WARNING=="), F.lit("warning"))
+        .when(text.contains("==ERROR==") | F.lower(text).startswith("error:"), F.lit("error"))
+        .when(text.rlike(PROFILING_RE), F.lit("profiling"))
+        .when(text.rlike(REPORT_RE), F.lit("report"))
+        .when(text.startswith("/") & (text.endswith(".nsys-rep") | text.endswith(".sqlite")), F.lit("generated"))
         .otherwise(F.lit("other"))
     )
-    return j.select("source_log", "line_no", "text", cls.alias("class"))
 
 
 def profiling_fields(text: Column) -> tuple[Column, Column]:
     """kernel name and pass count of a profiling line."""
-    return F.regexp_extract(text, PROFILING_RE, 1), F.regexp_extract(text, PROFILING_RE, 3).cast("int")
+    return F.regexp_extract(text, PROFILING_RE, 1), F.regexp_extract(text, PROFILING_RE, 3).try_cast("int")
 
 
 def report_path(text: Column) -> Column:
@@ -124,31 +128,51 @@ def distinct_messages(classified: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("class") == "error", F.col("text")))).alias("errors"))
 
 
-def build_records(classified: DataFrame, listing: DataFrame | None = None, skip_nsys: bool = False, skip_ncu: bool = False) -> DataFrame:
-    """One record per log (nested columns), status from errors and artifacts.
+def gather_logs(lines: DataFrame) -> DataFrame:
+    """All that a record needs of its log, from one aggregate over the lines (batch or stream: the
+    aggregate merges). Which of the lines that begin with '$ ' is the command is known only at the
+    end, so what they would be otherwise is kept aside."""
+    text = _strip(F.col("line"))
+    clean = lines.select("source_log", "line_no", text.alias("text"), *_time_of(F.col("source_log"), F.col("line"))).filter("text <> ''")
+    clean = clean.withColumns({"class": line_class(F.col("text")), "is_cmd": F.col("text").startswith("$ ")})
+    c, plain = F.col("class"), ~F.col("is_cmd")
+    kernel, passes = profiling_fields(F.col("text"))
+    launched = F.struct(kernel.alias("kernel"), passes.alias("passes"))
+    reported = F.struct("line_no", report_path(F.col("text")).alias("p"))
+    late = F.struct("line_no", c.alias("class"), F.col("text"), launched.alias("launched"), reported.alias("reported"))
+    return clean.groupBy("source_log").agg(
+        F.min(F.when(F.col("is_cmd"), F.struct("line_no", "text"))).alias("_cmd"),
+        F.collect_set(F.when(plain & (c == "warning"), F.col("text"))).alias("_warnings"),
+        F.collect_set(F.when(plain & (c == "error"), F.col("text"))).alias("_errors"),
+        F.collect_list(F.when(plain & (c == "generated"), F.struct("line_no", "text"))).alias("_generated"),
+        F.collect_list(F.when(plain & (c == "report"), reported)).alias("_reported"),
+        F.collect_list(F.when(plain & (c == "profiling"), launched)).alias("_launched"),
+        F.collect_list(F.when(F.col("is_cmd") & (c != "other"), late)).alias("_late"),
+        F.min_by("_time", F.when(F.col("_time").isNotNull(), F.col("line_no"))).alias("time"),
+    )
+
 
-    Everything of a log comes from one aggregate. Profiler logs whose report is not in the
-    listing get a warning after the log's own, unless that profiler is skipped; the status does
-    not look at it. The lists of a record are bounded by one log.
+def finish_records(gathered: DataFrame, listing: DataFrame | None = None, skip_nsys: bool = False, skip_ncu: bool = False) -> DataFrame:
+    """One record per gathered log (nested columns), status from errors and artifacts (P10, J6),
+    ``time`` of timing logs.
+
+    Profiler logs whose report is not in the listing get a warning after the log's own, unless that
+    profiler is skipped; the status does not look at it. The lists of a record are bounded by one log.
     """
-    c = F.col("class")
-    kernel, passes = profiling_fields(F.col("text"))
-    launched = F.when(c == "profiling", F.struct(kernel.alias("kernel"), passes.alias("passes")))
-    per_log = classified.groupBy("source_log").agg(
-        F.min_by(F.expr("substring(text, 3)"), F.when(c == "command", F.col("line_no"))).alias("_cmd"),
-        F.array_sort(F.collect_set(F.when(c == "warning", F.col("text")))).alias("warnings"),
-        F.array_sort(F.collect_set(F.when(c == "error", F.col("text")))).alias("errors"),
-        F.transform(F.array_sort(F.collect_list(F.when(c == "generated", F.struct("line_no", "text")))),
-                    lambda e: e["text"]).alias("generated"),
-        F.transform(F.array_sort(F.collect_list(F.when(c == "report", F.struct("line_no", report_path(F.col("text")).alias("p"))))),
-                    lambda e: e["p"]).alias("report_paths"),
-        F.collect_list(launched).alias("_launched"),
-    ).withColumn("command", F.trim("_cmd"))
+    late = lambda kind, part: F.transform(F.filter("_late", lambda e: (e["class"] == kind) & (e["line_no"] != F.col("_cmd.line_no"))), lambda e: e[part])
+    per_log = gathered.select(
+        "source_log", "time", F.trim(F.expr("substring(_cmd.text, 3)")).alias("command"),
+        F.array_sort(F.array_union("_warnings", late("warning", "text"))).alias("warnings"),
+        F.array_sort(F.array_union("_errors", late("error", "text"))).alias("errors"),
+        F.transform(F.array_sort("_generated"), lambda e: e["text"]).alias("generated"),
+        F.transform(F.array_sort(F.concat("_reported", late("report", "reported"))), lambda e: e["p"]).alias("report_paths"),
+        F.concat("_launched", late("profiling", "launched")).alias("_launched"),
+    )
     names = F.array_sort(F.array_distinct(F.transform("_launched", lambda e: e["kernel"])))
     kernels = F.map_from_arrays(names, F.transform(names, lambda name: _launches_of(F.filter("_launched", lambda e: e["kernel"] == name))))
     rec = per_log.select(
         *log_keys(F.col("source_log")), "source_log", "command", "warnings", "errors",
-        kernels.alias("profiled_kernels"), "generated", "report_paths")
+        kernels.alias("profiled_kernels"), "generated", "report_paths", "time")
     arts = artifacts(rec.select("source_log", "mode", "run_index"), listing)
     rec = rec.join(arts, "source_log", "left").withColumn(
         "artifacts", F.coalesce("artifacts", F.create_map().cast("map<string,string>")))
@@ -160,17 +184,20 @@ def build_records(classified: DataFrame, listing: DataFrame | None = None, skip_
     return rec.withColumn("warnings", F.concat("warnings", missing))
 
 
+def log_records(lines: DataFrame, listing: DataFrame | None = None, skip_nsys: bool = False, skip_ncu: bool = False) -> DataFrame:
+    """The records of the logs of a lines table."""
+    return finish_records(gather_logs(lines), listing, skip_nsys, skip_ncu)
+
+
 def _launches_of(entries: Column) -> Column:
     passes = F.aggregate(entries, F.lit(0), lambda total, e: total + e["passes"])
     return F.struct(F.size(entries).alias("launches"), passes.alias("passes"))
 
 
-def with_timing(records: DataFrame, lines: DataFrame) -> DataFrame:
-    """``time`` and ``app_report`` on the records of timing logs (null elsewhere)."""
+def with_app_report(records: DataFrame, lines: DataFrame) -> DataFrame:
+    """``app_report`` on the records of timing logs (null elsewhere)."""
     timing = lines.filter(F.element_at(F.split("source_log", "/"), -2) == "timing")
-    t = timing_fields(timing)
-    time = t.select("source_log", F.struct(*[c for c in t.columns if c != "source_log"]).alias("time"))
-    return records.join(time, "source_log", "left").join(app_reports(timing), "source_log", "left")
+    return records.join(app_reports(timing), "source_log", "left")
 
 
 def ordered_records(records: DataFrame) -> DataFrame:
@@ -210,17 +237,25 @@ def artifacts(logs: DataFrame, listing: DataFrame | None) -> DataFrame:
 
 # ---- F9, F8, F6, F7 -----------------------------------------------------------------
 
+def _time_struct(line: Column) -> Column:
+    """the timing fields of a line, NULL where it holds none."""
+    found = F.struct(
+        F.regexp_extract(line, TIME_RE, 1).try_cast("double").alias("elapsed_seconds"),
+        F.regexp_extract(line, TIME_RE, 2).try_cast("double").alias("user_seconds"),
+        F.regexp_extract(line, TIME_RE, 3).try_cast("double").alias("sys_seconds"),
+        F.regexp_extract(line, TIME_RE, 4).try_cast("bigint").alias("max_rss_kb"))
+    return F.when(line.rlike(TIME_RE), found)
+
+
+def _time_of(source_log: Column, line: Column) -> list[Column]:
+    """Timing fields of the lines of timing logs."""
+    return [F.when(F.element_at(F.split(source_log, "/"), -2) == "timing", _time_struct(line)).alias("_time")]
+
+
 def timing_fields(lines: DataFrame) -> DataFrame:
     """First timing match per log -> elapsed, user, sys seconds and max RSS."""
-    t = lines.filter(F.col("line").rlike(TIME_RE)).select(
-        "source_log", "line_no",
-        F.regexp_extract("line", TIME_RE, 1).cast("double").alias("elapsed_seconds"),
-        F.regexp_extract("line", TIME_RE, 2).cast("double").alias("user_seconds"),
-        F.regexp_extract("line", TIME_RE, 3).cast("double").alias("sys_seconds"),
-        F.regexp_extract("line", TIME_RE, 4).cast("bigint").alias("max_rss_kb"))
-    first = t.groupBy("source_log").agg(F.min_by(F.struct("elapsed_seconds", "user_seconds", "sys_seconds", "max_rss_kb"),
-                                                 F.col("line_no")).alias("t"))
-    return first.select("source_log", "t.*")
+    t = lines.select("source_log", "line_no", _time_struct(F.col("line")).alias("t")).filter("t is not null")
+    return t.groupBy("source_log").agg(F.min_by("t", "line_no").alias("t")).select("source_log", "t.*")
 
 
 APP_REPORT_SCHEMA = (
@@ -246,34 +281,94 @@ def first_json(text: str | None) -> str | None:
     return None
 
 
+class JsonFinder:
+    """The first JSON payload of a log whose lines come one by one. Only what could still be part of a
+    payload is held: from the first bracket from which the text so far may go on, to the last line."""
+
+    def __init__(self):
+        self.payload: str | None = None
+        self.held = ""
+        self.lines = self.next_try = 0
+
+    def feed(self, line: str) -> None:
+        if self.payload is not None:
+            return
+        if self.held:
+            self.held += "\n" + line
+            self.lines += 1
+            # a closing bracket may end a payload; else look when the lines held have doubled
+            if "]" not in line and "}" not in line and self.lines < self.next_try:
+                return
+        else:
+            self.held, self.lines = line, 1
+        self._look(False)
+
+    def close(self) -> str | None:
+        if self.payload is None and self.held:
+            self._look(True)
+        return self.payload
+
+    def _look(self, last: bool) -> None:
+        import json
+        import re
+
+        decoder, text = json.JSONDecoder(), self.held
+        whole = len(text.rstrip())
+        for start in re.finditer(r"[\[{]", text):
+            try:
+                _, end = decoder.raw_decode(text, start.start())
+            except json.JSONDecodeError as wrong:
+                if wrong.pos >= whole and not last:  # what is there is sound, more lines must tell
+                    self.held = text[start.start():]
+                    self.lines = self.held.count("\n") + 1
+                    self.next_try = 2 * self.lines
+                    return
+                continue
+            except RecursionError:
+                continue
+            self.payload, self.held = text[start.start():end], ""
+            return
+        self.held, self.lines = "", 0
+
+
 def _first_json_batches(batches):
+    """Lines sorted by (log, place) to the first payload of each log."""
     import pyarrow as pa
 
-    for batch in batches:
-        found = pa.array([first_json(t) for t in batch.column("text").to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("source_log"), found], ["source_log", "payload"])
-
+    log, finder, out = None, None, []
 
-def app_reports(lines: DataFrame, schema: str = APP_REPORT_SCHEMA) -> DataFrame:
-    """(source_log, app_report) from the first JSON payload of each log's whole text, which
-    may span lines. A log's text is put together from its lines; logs without payload are left out."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda e: e["line"])
-    texts = lines.filter(F.col("line").isNotNull()).groupBy("source_log").agg(F.array_join(ordered, "\n").alias("text"))
-    found = texts.mapInArrow(_first_json_batches, "source_log string, payload string").filter("payload is not null")
-    return found.select("source_log", F.from_json("payload", schema).alias("app_report"))
+    def flush():
+        rows = [(k, p) for k, p in out if p is not None]
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["source_log", "payload"])
 
+    for batch in batches:
+        for name, line in zip(batch.column("source_log").to_pylist(), batch.column("line").to_pylist()):
+            if finder is None or name != log:
+                if finder is not None:
+                    out.append((log, finder.close()))
+                log, finder = name, JsonFinder()
+            finder.feed(line)
+        if out:
+            yield flush()
+    if finder is not None:
+        out.append((log, finder.close()))
+        yield flush()
 
-# Number text: an integer, or a decimal, exponent, infinity or NaN; underscores may stand
-# between digits and blanks around it. Suffixes such as 'd' and 'f' are no part of it.
-_DIGITS = r"[0-9](?:_?[0-9])*"
-INTEGER_RE = r"^[-+]?[0-9]+$"
-NUMBER_RE = rf"(?i)^\s*[-+]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[-+]?{_DIGITS})?|inf|infinity|nan)\s*$"
 
+def app_reports(lines: DataFrame, schema: str = APP_REPORT_SCHEMA) -> DataFrame:
+    """(source_log, app_report) from the first JSON payload of each log, which may span lines;
+    logs without payload are left out.
 
-def number_of(raw: Column) -> Column:
-    """DOUBLE of a number text, else NULL."""
-    plain = F.regexp_replace(F.trim(F.regexp_replace(raw, r"^\s+|\s+$", "")), "_", "")
-    return F.when(raw.rlike(NUMBER_RE), plain.try_cast("double"))
+    A log's lines are sorted and read as a stream; no more of it is held than may be one payload, so
+    a log of any length passes. Lines before a log's first bracket are not shuffled at all.
+    """
+    told = lines.filter(F.col("line").isNotNull())
+    first = told.filter(F.col("line").rlike(r"[\[{]")).groupBy("source_log").agg(F.min("line_no").alias("_from"))
+    wanted = told.join(first, "source_log").filter(F.col("line_no") >= F.col("_from")).select("source_log", "line_no", "line")
+    sorted_ = wanted.repartition("source_log").sortWithinPartitions("source_log", "line_no").select("source_log", "line")
+    found = sorted_.mapInArrow(_first_json_batches, "source_log string, payload string")
+    return found.select("source_log", F.from_json("payload", schema).alias("app_report"))
 
 
 def coerce_value(raw: Column) -> Column:
@@ -281,14 +376,14 @@ def coerce_value(raw: Column) -> Column:
     else the string (as a struct)."""
     is_int = raw.rlike(INTEGER_RE)
     as_int = F.when(is_int, raw.try_cast("bigint"))
-    as_float = F.when(~is_int, number_of(raw))
+    as_float = F.when(~is_int, loose_number_of(raw))
     return F.struct(as_int.alias("as_int"), as_float.alias("as_float"),
                     F.when((raw != "") & as_int.isNull() & as_float.isNull(), raw).alias("as_text"))
 
 
 def float_or_zero(raw: Column) -> Column:
     """the number, else 0."""
-    return F.coalesce(number_of(raw), F.lit(0.0))
+    return F.coalesce(loose_number_of(raw), F.lit(0.0))
 
 
 # ---- S9 manifest, S10 ncu, S11 nsys, F12 / W1 run names -----------------------------
@@ -403,7 +498,7 @@ FLAT_NAMES = ("cudaMemcpy", "cudaLaunchKernel")
 
 
 def flat_summary(records: DataFrame, api: DataFrame, ncu_rows: DataFrame, instance: Column | None = None, timestamp: Column | None = None) -> DataFrame:
-    """The 16 columns per record. ``records`` have ``time`` (see ``with_timing``); ``api`` is
+    """The 16 columns per record. ``records`` are those of ``log_records``; ``api`` is
     the cuda_api table by Name, ``ncu_rows`` the metric rows. Parts that a record lacks are NULL,
     but for the kernel count, which is 0."""
     pick = api.groupBy("source_log").pivot("Name", list(FLAT_NAMES)).agg(F.first("total_ns").alias("total_ns"), F.first("calls").alias("calls"))
@@ -461,6 +556,8 @@ def read_ncu_csv(spark: SparkSession, run_dir: str) -> DataFrame:
     the first row of their file.
     """
     glob = f"{run_dir.rstrip('/')}/*/*/run_*.csv"
+    if not _has_files(spark, glob):
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in ("source_log", *NCU_METRICS, "launch__kernel_name")))
     path = F.col("_metadata.file_path")
     commas = spark.read.text(glob).agg(F.max(F.length("value") - F.length(F.replace(F.col("value"), F.lit(","), F.lit(""))))).first()[0]
     columns = [f"c{i}" for i in range((commas or 0) + 1)]
@@ -475,13 +572,30 @@ def read_ncu_csv(spark: SparkSession, run_dir: str) -> DataFrame:
     return named.select(log.alias("source_log"), *[cell(c).alias(c) for c in (*NCU_METRICS, "launch__kernel_name")])
 
 
-def read_nsys_json(spark: SparkSession, run_dir: str, report: str = "cuda_api_sum") -> DataFrame:
-    """S11: '<mode>/run_N_<report>.json' exports (a JSON array of rows), with the row order kept."""
-    raw = spark.read.option("multiLine", "true").json(f"{run_dir.rstrip('/')}/*/*/run_*_{report}.json")
-    path = F.col("_metadata.file_path")
-    log = F.regexp_replace(F.regexp_extract(path, r"([^/]+/[^/]+/run_[0-9]+)_[^/]*\.json$", 1), "$", ".log")
-    # one multiLine file is one task, so the id is increasing in file order
-    return raw.select(log.alias("source_log"), "*", F.monotonically_increasing_id().alias("row_no"))
+def _has_files(spark: SparkSession, glob: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
+def read_nsys_reports(spark: SparkSession, run_dir: str, reports: tuple[str, ...] = NSYS_REPORTS) -> DataFrame:
+    """(source_log, report, row_no, row) of the '<mode>/run_N_<report>.json' exports, JSON arrays of
+    rows whose fields differ by report; each row is kept as it is, as a VARIANT."""
+    glob = f"{run_dir.rstrip('/')}/*/*/run_*_{{{','.join(reports)}}}.json"
+    if not _has_files(spark, glob):
+        return spark.createDataFrame([], "source_log string, report string, row_no int").withColumn("row", F.parse_json(F.lit("null")))
+    docs = spark.read.option("multiLine", "true").option("singleVariantColumn", "doc").json(glob)
+    parts = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+/run_[0-9]+_[^/]*)\.json$", 1)
+    docs = docs.select(F.regexp_replace(parts, r"^(.*/run_[0-9]+)_[^/]*$", "$1.log").alias("source_log"), F.regexp_extract(parts, r"/run_[0-9]+_([^/]*)$", 1).alias("report"), "doc")
+    return docs.lateralJoin(spark.tvf.variant_explode(F.col("doc").outer())).select("source_log", "report", F.col("pos").alias("row_no"), F.col("value").alias("row"))
+
+
+def cuda_api_rows(reports: DataFrame) -> DataFrame:
+    """The cuda_api_sum rows of kept reports, by the columns that the summaries use."""
+    field = lambda name, kind: F.try_variant_get("row", f"$['{name}']", kind)
+    rows = reports.filter(F.col("report") == "cuda_api_sum")
+    return rows.select("source_log", F.coalesce(field("Name", "string"), F.lit("")).alias("Name"), field("Total Time (ns)", "bigint").alias("Total Time (ns)"),
+                       field("Num Calls", "bigint").alias("Num Calls"), "row_no")
 
 
 def write_records(records: DataFrame, out_dir: str, mode: str = "errorifexists") -> None:
@@ -496,3 +610,53 @@ def write_summary_csv(summary: DataFrame, out_dir: str, mode: str = "errorifexis
 def write_summary_json(summary: DataFrame, out_dir: str, mode: str = "errorifexists") -> None:
     """The run summary (one row) as JSON."""
     summary.coalesce(1).write.mode(mode).json(f"{out_dir.rstrip('/')}/summary_json")
+
+
+# ---- the whole job ------------------------------------------------------------------
+
+def resolve_run(spark: SparkSession, prof_dir: str, source: str = "latest") -> str:
+    """Folder of a run: ``latest`` under ``prof_dir``, a name there, or a path."""
+    if source == "latest":
+        if not _has_files(spark, f"{prof_dir.rstrip('/')}/*/*/*/run_*.log"):
+            raise FileNotFoundError(f"no profiling runs found under {prof_dir}")
+        best = newest_run(list_runs(spark, prof_dir)).first()
+        if best is None:
+            raise FileNotFoundError(f"no profiling runs found under {prof_dir}")
+        return f"{prof_dir.rstrip('/')}/{best['name']}"
+    for folder in (source, f"{prof_dir.rstrip('/')}/{source}"):
+        if _has_files(spark, folder):
+            return folder.rstrip("/")
+    raise FileNotFoundError(f"profiling run not found: {source}")
+
+
+def extract_run(spark: SparkSession, prof_dir: str, out_dir: str, source: str = "latest", force: bool = False,
+                skip_nsys: bool = False, skip_ncu: bool = False) -> str:
+    """The log job in one call: resolve a run, scan its tree, and write under ``out_dir`` the records in
+    path order (``records``, JSON lines), the run summary with its manifest (``summary_json``), the flat
+    summary (``summary``, CSV) and the rows of all nsys reports (``nsys``, JSON lines by report).
+    Existing output is refused unless ``force``. Returns the run's folder."""
+    from orthoflow.session import scratch_dir
+
+    if _has_files(spark, out_dir) and not force:
+        raise FileExistsError(f"output already exists: {out_dir} (use force=True)")
+    mode = "overwrite" if force else "errorifexists"
+    run_dir = resolve_run(spark, prof_dir, source)
+    lines = scan_run_tree(spark, run_dir)
+    kept = scratch_dir(spark, "run-records")
+    made = with_app_report(log_records(lines, list_artifacts(spark, run_dir), skip_nsys, skip_ncu), lines)
+    made.write.parquet(kept)
+    records = spark.read.schema(made.schema).parquet(kept)
+    reports = read_nsys_reports(spark, run_dir)
+    ncu = read_ncu_csv(spark, run_dir)
+    # as without the profiler's part: the flat summary counts what a record's mode would extract
+    reports = reports.filter(F.lit(not skip_nsys))
+    ncu = ncu.filter(F.lit(not skip_ncu))
+    manifest = read_manifest(spark, run_dir)
+    name = manifest.first()["manifest"]
+    flat = flat_summary(records, nsys_cuda_api(cuda_api_rows(reports)), ncu, F.lit(name.get("instance", "")), F.lit(name.get("timestamp", "")))
+    out = out_dir.rstrip("/")
+    write_records(ordered_records(records), out, mode)
+    write_summary_json(run_summary(records, manifest), out, mode)
+    write_summary_csv(flat.orderBy("case", "mode", "run_index"), out, mode)
+    reports.select("source_log", "report", "row_no", F.to_json("row").alias("row")).write.mode(mode).partitionBy("report").json(f"{out}/nsys")
+    return run_dir

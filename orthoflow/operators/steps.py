@@ -1,9 +1,9 @@
-"""Relational Jacobi (D1-D3, D6) and its step aggregates (A1-A5), pure Catalyst.
+"""Relational Jacobi (D1-D3, D6) and its step aggregates (A1-A5).
 
 State is row form with a ``kind`` column: 'A' rows are matrix rows, 'V' rows the rows
-of V. One round is one aggregate (pair statistics of 'A' rows) and one join back on
-matrix_id; a sweep chains the rounds and is checkpointed, so lineage stays short and a
-lost executor recomputes at most one sweep.
+of V. One round alone is one aggregate (pair statistics of 'A' rows) and one join back on
+matrix_id. A sweep runs on the n x n triangular factors, which merge over tasks like any
+aggregate, and touches the rows once; whole solves keep that small state as a table.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from orthoflow.functions.rotation import fmax0, keep_if_ranked, rotation_params
 from orthoflow.operators import forms
-from orthoflow.operators.kernels import DEFAULT_EPS, DEFAULT_MAX_SWEEPS, round_robin_pairs
+from orthoflow.operators.kernels import DEFAULT_EPS, DEFAULT_MAX_SWEEPS, jacobi_rounds, round_robin_pairs
 
 
 def schedule_frame(sizes: DataFrame, n_col: str = "n") -> DataFrame:
@@ -32,39 +32,50 @@ def schedule_frame(sizes: DataFrame, n_col: str = "n") -> DataFrame:
         F.col("p").isNotNull() & F.col("q").isNotNull())
 
 
+def _wide_pairs(rows: DataFrame, keyed: list[tuple[dict, int, int]]) -> DataFrame:
+    """Statistics of pairs as sums of one aggregate per matrix: no row is exploded, and sums that pairs
+    share are computed once. ``keyed``: (literal columns, p, q)."""
+    x = F.col("x")
+    stats = [
+        F.struct(*[F.lit(v).alias(k) for k, v in keys.items()], F.lit(p).alias("p"), F.lit(q).alias("q"),
+                 F.sum(x[p] * x[p]).alias("pp"), F.sum(x[q] * x[q]).alias("qq"), F.sum(x[min(p, q)] * x[max(p, q)]).alias("pq"))
+        for keys, p, q in keyed
+    ]
+    return rows.groupBy("matrix_id").agg(F.array(*stats).alias("_s")).select("matrix_id", F.inline("_s"))
+
+
+def _pairs_of_gram(rows: DataFrame, n: int, keyed: list[tuple[dict, int, int]]) -> DataFrame:
+    """The same for many columns, looked up in the Gram matrix (a partial one per task)."""
+    g = gram(rows, n)
+    spark = rows.sparkSession
+    names = list(keyed[0][0])
+    wanted = spark.createDataFrame([(*keys.values(), p, q) for keys, p, q in keyed], ", ".join([*[f"{k} int" for k in names], "p int", "q int"]))
+    wanted = F.broadcast(wanted)  # n(n-1)/2 rows
+    cross = g.join(wanted, (F.col("i") == F.least("p", "q")) & (F.col("j") == F.greatest("p", "q")))
+    own = g.filter("i = j").groupBy("matrix_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "g"))).alias("_d"))
+    return cross.join(own, "matrix_id").select("matrix_id", *names, "p", "q", F.col("_d")[F.col("p")].alias("pp"), F.col("_d")[F.col("q")].alias("qq"), F.col("g").alias("pq"))
+
+
 def pair_stats(rows: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
     """Pp, qq, pq per (matrix, pair). In row form the pair 'join' is x[p]*x[q]."""
-    lit_pairs = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in pairs])
-    ex = rows.select("matrix_id", "x", F.explode(lit_pairs).alias("pr"))
-    xp = F.element_at("x", F.col("pr.p") + 1)
-    xq = F.element_at("x", F.col("pr.q") + 1)
-    return ex.groupBy("matrix_id", F.col("pr.p").alias("p"), F.col("pr.q").alias("q")).agg(
-        F.sum(xp * xp).alias("pp"), F.sum(xq * xq).alias("qq"), F.sum(xp * xq).alias("pq"))
+    n = 1 + max(max(p) for p in pairs)
+    keyed = [({}, p, q) for p, q in pairs]
+    return _wide_pairs(rows, keyed) if n <= GRAM_COLUMNS_LIMIT else _pairs_of_gram(rows, n, keyed)
 
 
 def sweep_pair_stats(rows: DataFrame, n: int) -> DataFrame:
     """A1 for every scheduled pair of a sweep (as the matrix stands) in one aggregate:
     (matrix_id, round, p, q, pp, qq, pq)."""
-    lit_pairs = F.array(*[F.struct(F.lit(r).alias("round"), F.lit(p).alias("p"), F.lit(q).alias("q"))
-                          for r, pairs in enumerate(round_robin_pairs(n)) for p, q in pairs])
-    ex = rows.select("matrix_id", "x", F.explode(lit_pairs).alias("pr"))
-    xp = F.element_at("x", F.col("pr.p") + 1)
-    xq = F.element_at("x", F.col("pr.q") + 1)
-    return ex.groupBy("matrix_id", F.col("pr.round").alias("round"), F.col("pr.p").alias("p"),
-                      F.col("pr.q").alias("q")).agg(
-        F.sum(xp * xp).alias("pp"), F.sum(xq * xq).alias("qq"), F.sum(xp * xq).alias("pq"))
+    keyed = [({"round": r}, p, q) for r, pairs in enumerate(round_robin_pairs(n)) for p, q in pairs]
+    return _wide_pairs(rows, keyed) if n <= GRAM_COLUMNS_LIMIT else _pairs_of_gram(rows, n, keyed)
 
 
 def gram(rows: DataFrame, n: int) -> DataFrame:
     """A2: upper triangle of A^T A per matrix in one pass of n(n+1)/2 sums (no self-join);
-    wider matrices of doubles use the blocked per-task X^T X (``gram_blocked``), wider ones of
-    an exact type are summed pair by pair, so the type of the sums does not hang on the width."""
+    wider matrices use the blocked per-task X^T X (``gram_blocked``), of an exact type in whole
+    numbers, so the type of the sums does not hang on the width."""
     if n > GRAM_COLUMNS_LIMIT:
-        if rows.schema["x"].dataType.elementType.typeName() in ("double", "float"):
-            return gram_blocked(rows)
-        left = rows.select("matrix_id", "x", F.posexplode("x").alias("i", "a"))
-        both = left.select("matrix_id", "i", "a", F.posexplode(F.slice("x", F.col("i") + 1, F.size("x"))).alias("d", "b"))
-        return both.groupBy("matrix_id", "i", (F.col("i") + F.col("d")).alias("j")).agg(F.sum(F.col("a") * F.col("b")).alias("g"))
+        return gram_blocked(rows)
     aggs = []
     for i in range(n):
         for j in range(i, n):
@@ -146,28 +157,73 @@ def jacobi_round(state: DataFrame, n: int, rnd: int, eps: float = DEFAULT_EPS,
     return joined.select("matrix_id", "kind", "r", F.array(*new_x).alias("x"), (F.col("rot") | any_rot).alias("rot"))
 
 
-def jacobi_sweep(state: DataFrame, n: int, eps: float = DEFAULT_EPS, broadcast_stats: bool | None = None,
-                 persisted: list | None = None) -> DataFrame:
-    """Every round of one sweep; column ``rot`` ends true where anything rotated.
+def _swept(rounds: list[list[tuple[int, int]]] | None, eps: float):
+    """mapInArrow body over R factors (one row per matrix): the product of the rotations of one sweep,
+    and whether any of them rotated. Columns that are not finite are not rotated."""
+    import numpy as np
 
-    Each round reads its input twice (statistics and the join back). Chained as plain
-    DataFrames the logical plan would double with every round (2^(n-1) copies of the
-    input plan to analyse), so every round is persisted and cut off by a reliable,
-    non-eager checkpoint: the plan of a round is a leaf scan of the previous one, nothing
-    runs here, the first job computes each round once (from the cache) and the checkpoint
-    files land in the configured checkpoint folder.
-    """
-    from pyspark import StorageLevel
+    def run(batches):
+        import pyarrow as pa
+
+        for rb in batches:
+            ids = rb.column("matrix_id").to_numpy(zero_copy_only=False)
+            ns = rb.column("n_cols").to_numpy(zero_copy_only=False)
+            ks = rb.column("r_rows").to_numpy(zero_copy_only=False)
+            cells, flags = (rb.column(c).to_numpy(zero_copy_only=False) for c in ("r_cells", "flags"))
+            out: list = [None] * len(ids)
+            for k, n in sorted(set(zip(ks.tolist(), ns.tolist(), strict=True))):
+                at = np.flatnonzero((ks == k) & (ns == n))
+                r = np.stack([np.asarray(cells[i]).reshape(k, n) for i in at])
+                dead = np.stack([np.asarray(flags[i]) for i in at]) > 0
+                r = np.where(dead[:, None, :], 0.0, r)
+                _, v, rotated = jacobi_rounds(r, round_robin_pairs(n) if rounds is None else rounds, eps)
+                for j, i in enumerate(at):
+                    out[i] = (v[j].ravel(), bool(rotated[j]), dead[j])
+            yield pa.RecordBatch.from_arrays(
+                [rb.column("matrix_id"), rb.column("n_rows"), pa.array([o[2].astype(float) for o in out], pa.list_(pa.float64())),
+                 pa.array([o[0] for o in out], pa.list_(pa.float64())), pa.array([o[1] for o in out], pa.bool_())],
+                names=["matrix_id", "n_rows", "sigma", "v", "rotated"])
+
+    return run
+
+
+def sweep_rotations(rows: DataFrame, eps: float = DEFAULT_EPS, rounds: list[list[tuple[int, int]]] | None = None) -> DataFrame:
+    """(matrix_id, n_rows, sigma, v, rotated) of one sweep, or of the given rounds of pairs: the state that
+    is rotated is the n x n triangular factor, which merges over tasks; A is read once for it. In v is
+    the product of the rotations; in sigma 1 for a column that takes no part (NaN, Inf), else 0."""
+    from orthoflow.operators import svd
+
+    return svd.r_factors(rows).mapInArrow(_swept(rounds, eps), "matrix_id bigint, n_rows bigint, sigma array<double>, v array<double>, rotated boolean")
+
+
+def apply_rotations(state: DataFrame, rotations: DataFrame) -> DataFrame:
+    """Rows of A and V times the product of rotations of their matrix; the product reaches a task once.
+    ``rotations`` must be staged."""
+    import numpy as np
 
-    if broadcast_stats is None:
-        broadcast_stats = stats_broadcastable(state, n)
-    state = state.withColumn("rot", F.lit(False))
-    for rnd in range(len(round_robin_pairs(n))):
-        cached = jacobi_round(state, n, rnd, eps, broadcast_stats).persist(StorageLevel.MEMORY_AND_DISK)
-        state = cached.checkpoint(eager=False)
-        if persisted is not None:
-            persisted.append(cached)
-    return state
+    from orthoflow.operators import svd
+
+    def product(block, dead, v, _):
+        clean = np.where(np.isfinite(block), block, 0.0) @ v
+        return np.where(dead > 0, block, clean)
+
+    # kind and row in one key
+    kinds = state.select("matrix_id", F.shiftleft("r", 1).bitwiseOR((F.col("kind") == "V").cast("bigint")).alias("r"), "x")
+    moved = svd.map_rows(kinds, rotations.withColumn("fix", F.transform("v", lambda x: F.lit(0.0))), product, "x")
+    flags = rotations.select("matrix_id", "rotated")
+    side = F.broadcast(flags) if stats_broadcastable(flags, 1) else flags
+    kind = F.when(F.col("r").bitwiseAND(F.lit(1).cast("bigint")) == 1, "V").otherwise("A")
+    return moved.join(side, "matrix_id").select("matrix_id", kind.alias("kind"), F.shiftright("r", 1).alias("r"), "x", F.col("rotated").alias("rot"))
+
+
+def jacobi_sweep(state: DataFrame, n: int, eps: float = DEFAULT_EPS) -> DataFrame:
+    """Every round of one sweep; column ``rot`` tells where anything rotated.
+
+    The rounds run on the triangular factor of each matrix, where they leave the product of their
+    rotations; the rows of A and V are multiplied by it once, at the end.
+    """
+    rows = state.filter(F.col("kind") == "A").select("matrix_id", "r", "x")
+    return apply_rotations(state, sweep_rotations(rows, eps).checkpoint())
 
 
 def convergence_flags(state: DataFrame) -> DataFrame:
@@ -187,45 +243,59 @@ def u_sigma(state: DataFrame, n: int, eps: float = DEFAULT_EPS) -> tuple[DataFra
     return sig, u
 
 
-def svd_relational(rows: DataFrame, n: int, eps: float = DEFAULT_EPS, max_sweeps: int = DEFAULT_MAX_SWEEPS,
-                   broadcast_bytes: int = STATS_BROADCAST_BYTES):
-    """D3: sweep until every matrix is clean; finished matrices leave the active set.
+def _sweep_state(eps: float, sweep: int):
+    """mapInArrow body: one more sweep of the factors still rotating, their rotations gathered in v."""
+    import numpy as np
 
-    One action per sweep (the count of matrices still rotating). Each sweep's state is
-    checkpointed to the configured checkpoint folder to cut lineage.
-    Returns (factors[matrix_id, sigma, v, sweeps, converged], u_rows).
+    def run(batches):
+        import pyarrow as pa
+
+        for rb in batches:
+            rows = rb.to_pylist()
+            live = [i for i, r in enumerate(rows) if not r["converged"]]
+            for k, n in sorted({(rows[i]["r_rows"], rows[i]["n_cols"]) for i in live}):
+                at = [i for i in live if (rows[i]["r_rows"], rows[i]["n_cols"]) == (k, n)]
+                r = np.stack([np.reshape(rows[i]["r_cells"], (k, n)) for i in at])
+                if sweep == 1:  # columns that are not finite never rotate
+                    r = np.where(np.stack([rows[i]["flags"] for i in at])[:, None, :] > 0, 0.0, r)
+                v = np.stack([np.reshape(rows[i]["v"], (n, n)) for i in at]) if sweep > 1 else np.eye(n)[None]
+                r, w, rotated = jacobi_rounds(r, round_robin_pairs(n), eps)
+                v = v @ w
+                for j, i in enumerate(at):
+                    rows[i].update(r_cells=r[j].ravel().tolist(), v=v[j].ravel().tolist(), sweeps=sweep, converged=not rotated[j])
+            yield pa.RecordBatch.from_pylist(rows, rb.schema)
+
+    return run
+
+
+def svd_relational(rows: DataFrame, n: int, eps: float = DEFAULT_EPS, max_sweeps: int = DEFAULT_MAX_SWEEPS):
+    """D3: sweep until every matrix is clean; finished matrices are not touched again.
+
+    The table that is swept has one row per matrix (its triangular factor and the rotations so far)
+    and is written after each sweep; one action per sweep counts the matrices still rotating. A is
+    read for the factors and once more for U. Returns (factors[matrix_id, n_rows, sigma, v, sweeps,
+    converged], u_rows).
     """
-    bc = stats_broadcastable(rows, n, broadcast_bytes)
-    state = initial_state(rows, n).checkpoint()
-    done = None
-    sweep = 0
-    while sweep < max_sweeps:
-        sweep += 1
-        cached: list = []
-        state = jacobi_sweep(state, n, eps, bc, cached).withColumn("sweeps", F.lit(sweep)).checkpoint()
-        for df in cached:  # the checkpoint holds the sweep now
-            df.unpersist()
-        flags = convergence_flags(state)
-        clean = state.join(flags.filter(~F.col("rotated")), "matrix_id", "left_semi")
-        still = state.join(flags.filter(F.col("rotated")), "matrix_id", "left_semi")
-        clean = clean.withColumn("converged", F.lit(True))
-        done = clean if done is None else done.unionByName(clean)
-        done = done.checkpoint()
-        state = still.drop("sweeps").checkpoint()
-        if state.limit(1).count() == 0:
+    from orthoflow.operators import svd
+    from orthoflow.operators.kernels import flagged_sigma_sql
+    from orthoflow.session import scratch_dir
+
+    spark = rows.sparkSession
+    state = svd.r_factors(rows).select("*", F.lit(None).cast("array<double>").alias("v"), F.lit(0).alias("sweeps"), F.lit(False).alias("converged"))
+    schema = state.schema
+    for sweep in range(1, max_sweeps + 1):
+        path = scratch_dir(spark, f"sweep-{sweep}")
+        state.mapInArrow(_sweep_state(eps, sweep), schema).write.parquet(path)
+        state = spark.read.schema(schema).parquet(path)
+        if state.filter("not converged").isEmpty():
             break
-    if state.limit(1).count() > 0:
-        tail = state.withColumn("sweeps", F.lit(sweep)).withColumn("converged", F.lit(False))
-        done = tail if done is None else done.unionByName(tail)
-    final = done
-    sig, u = u_sigma(final, n, eps)
-    vrows = final.filter(F.col("kind") == "V").groupBy("matrix_id").agg(
-        F.array_sort(F.collect_list(F.struct("r", "x"))).alias("_v"),
-        F.max("sweeps").alias("sweeps"), F.min("converged").alias("converged"))
-    factors = sig.join(vrows, "matrix_id").select(
-        "matrix_id", "sigma", F.flatten(F.transform("_v", lambda e: e["x"])).alias("v"),
-        F.col("sweeps").cast("int").alias("sweeps"), "converged")
-    return factors, u
+    # sigma: the column norms of the rotated factor
+    height = F.sequence(F.lit(0), (F.col("r_rows") - 1).cast("int"))
+    norm = F.transform(F.sequence(F.lit(0), (F.col("n_cols") - 1).cast("int")), lambda j: F.sqrt(fmax0(F.aggregate(
+        height, F.lit(0.0), lambda s, i: s + F.pow(F.col("r_cells")[(i * F.col("n_cols") + j).cast("int")], F.lit(2.0))))))
+    sigma = F.zip_with(norm, "flags", flagged_sigma_sql)
+    factors = state.select("matrix_id", "n_rows", sigma.alias("sigma"), "v", F.col("sweeps").cast("int").alias("sweeps"), "converged")
+    return factors, svd.tall_u(rows, factors, eps)
 
 
 def svd_relational_packed(packed: DataFrame, eps: float = DEFAULT_EPS, max_sweeps: int = DEFAULT_MAX_SWEEPS) -> DataFrame:
@@ -237,7 +307,7 @@ def svd_relational_packed(packed: DataFrame, eps: float = DEFAULT_EPS, max_sweep
         rows = forms.packed_to_rows(part)
         factors, u = svd_relational(rows, n, eps, max_sweeps)
         u_packed = u.withColumnRenamed("u", "x").transform(forms.rows_to_packed).select("matrix_id", F.col("cells").alias("u"))
-        outs.append(part.select("matrix_id", "n_rows", "n_cols").join(factors, "matrix_id").join(u_packed, "matrix_id")
+        outs.append(part.select("matrix_id", "n_rows", "n_cols").join(factors.drop("n_rows"), "matrix_id").join(u_packed, "matrix_id")
                     .select("matrix_id", "n_rows", "n_cols", "u", "sigma", "v", "sweeps", "converged"))
     if not outs:  # no matrices
         from orthoflow.operators.svd import svd_batch
@@ -249,46 +319,74 @@ def svd_relational_packed(packed: DataFrame, eps: float = DEFAULT_EPS, max_sweep
 GRAM_COLUMNS_LIMIT = 32
 
 
-def _partial_gram(batches):
-    """mapInArrow body: X^T X of the rows each task holds, per matrix (upper triangle)."""
+def _partial_gram(exact: int | None):
+    """mapInArrow body: X^T X of the rows each task holds, per matrix (upper triangle); of decimals with
+    ``exact`` places in whole numbers."""
+    import decimal
+
     import numpy as np
-    import pyarrow as pa
-
-    acc: dict[int, np.ndarray] = {}
-    for rb in batches:
-        if rb.num_rows == 0:
-            continue
-        mids = rb.column("matrix_id").to_numpy(zero_copy_only=False)
-        x = rb.column("x")
-        offs = x.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-        vals = x.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-        order = np.argsort(mids, kind="stable")
-        uniq, starts = np.unique(mids[order], return_index=True)
-        for mid, s, e in zip(uniq, starts, np.append(starts[1:], len(order))):
-            idx = order[s:e]
-            w = offs[idx + 1] - offs[idx]
-            if (w != w[0]).any():
-                raise ValueError(f"invalid testcase {int(mid)}: ragged rows")
-            block = vals[offs[idx][:, None] + np.arange(int(w[0]))]
-            g = block.T @ block
-            acc[int(mid)] = g if int(mid) not in acc else acc[int(mid)] + g
-    ids, ii, jj, gg = [], [], [], []
-    for mid, g in acc.items():
-        i, j = np.triu_indices(g.shape[0])
-        ids.append(np.full(len(i), mid))
-        ii.append(i)
-        jj.append(j)
-        gg.append(g[i, j])
-    if ids:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(ids), type=pa.int64()), pa.array(np.concatenate(ii), type=pa.int32()),
-             pa.array(np.concatenate(jj), type=pa.int32()), pa.array(np.concatenate(gg), type=pa.float64())],
-            names=["matrix_id", "i", "j", "g"])
+
+    def values(x, pa):
+        if exact is None:
+            return x.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+        shift = decimal.Decimal(1).scaleb(exact)
+        with decimal.localcontext() as ctx:
+            ctx.prec = 80
+            return np.array([0 if v is None else int(v * shift) for v in x.values.to_pylist()], dtype=object)
+
+    def run(batches):
+        import pyarrow as pa
+
+        acc: dict[int, np.ndarray] = {}
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            mids = rb.column("matrix_id").to_numpy(zero_copy_only=False)
+            x = rb.column("x")
+            offs = x.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+            vals = values(x, pa)
+            order = np.argsort(mids, kind="stable")
+            uniq, starts = np.unique(mids[order], return_index=True)
+            for mid, s, e in zip(uniq, starts, np.append(starts[1:], len(order))):
+                idx = order[s:e]
+                w = offs[idx + 1] - offs[idx]
+                if (w != w[0]).any():
+                    raise ValueError(f"invalid testcase {int(mid)}: ragged rows")
+                block = vals[offs[idx][:, None] + np.arange(int(w[0]))]
+                g = block.T @ block
+                acc[int(mid)] = g if int(mid) not in acc else acc[int(mid)] + g
+        ids, ii, jj, gg = [], [], [], []
+        for mid, g in acc.items():
+            i, j = np.triu_indices(g.shape[0])
+            ids.append(np.full(len(i), mid))
+            ii.append(i)
+            jj.append(j)
+            gg.append(g[i, j])
+        if ids:
+            sums = np.concatenate(gg)
+            if exact is None:
+                sums = pa.array(sums, type=pa.float64())
+            else:
+                with decimal.localcontext() as ctx:
+                    ctx.prec = 80
+                    sums = pa.array([decimal.Decimal(int(v)).scaleb(-2 * exact) for v in sums], type=pa.decimal128(38, 2 * exact))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(ids), type=pa.int64()), pa.array(np.concatenate(ii), type=pa.int32()),
+                 pa.array(np.concatenate(jj), type=pa.int32()), sums], names=["matrix_id", "i", "j", "g"])
+
+    return run
 
 
 def gram_blocked(rows: DataFrame) -> DataFrame:
-    """A2 for wide matrices: each task forms X^T X of its rows with one BLAS call per matrix;
-    the per-task blocks are summed per (matrix, i, j) (partial + final aggregation), so no
-    matrix is gathered and the expression count does not grow with n^2."""
-    part = rows.select("matrix_id", "x").mapInArrow(_partial_gram, "matrix_id bigint, i int, j int, g double")
+    """A2 for wide matrices: each task forms X^T X of its rows with one product per matrix; the
+    per-task blocks are summed per (matrix, i, j) (partial + final aggregation), so no matrix is
+    gathered, no row is exploded, and the expression count does not grow with n^2. Whole numbers and
+    decimals stay exact (decimals of 38 digits, twice the places of the cells)."""
+    kind = rows.schema["x"].dataType.elementType
+    whole = kind.typeName() in ("byte", "short", "integer", "long")
+    exact = 0 if whole else getattr(kind, "scale", None)
+    if whole:
+        rows = rows.withColumn("x", F.col("x").cast("array<decimal(19,0)>"))
+    g = "double" if exact is None else f"decimal(38,{2 * exact})"
+    part = rows.select("matrix_id", "x").mapInArrow(_partial_gram(exact), f"matrix_id bigint, i int, j int, g {g}")
     return part.groupBy("matrix_id", "i", "j").agg(F.sum("g").alias("g"))

@@ -76,8 +76,9 @@ def _list_array(pa, flat: np.ndarray, width: np.ndarray):
         pa.list_(pa.float64()))
 
 
-def _batch_solver(eps: float, max_sweeps: int, with_u: bool = True):
-    """mapInArrow body: gather every shape's stack from the list offsets, solve it in chunks."""
+def _batch_solver(eps: float, max_sweeps: int, with_u: bool = True, in_order: bool = False, counter=None):
+    """mapInArrow body: gather every shape's stack from the list offsets, solve it in chunks.
+    ``in_order`` returns them as they came; ``counter`` (an accumulator) counts what was solved."""
 
     def solve(batches):
         import pyarrow as pa
@@ -137,8 +138,11 @@ def _batch_solver(eps: float, max_sweeps: int, with_u: bool = True):
                 pa.array(np.concatenate(parts["sweeps"]).astype(np.int32), type=pa.int32()),
                 pa.array(np.concatenate(parts["conv"]), type=pa.bool_()),
             ]
-            yield pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 cols, names=["matrix_id", "n_rows", "n_cols", "u", "sigma", "v", "sweeps", "converged"])
+            if counter is not None:
+                counter.add(len(idx))
+            yield out.take(pa.array(np.argsort(idx))) if in_order else out
 
     return solve
 
@@ -153,6 +157,20 @@ def svd_batch(packed: DataFrame, eps: float = DEFAULT_EPS, max_sweeps: int = DEF
     return ordered.mapInArrow(_batch_solver(eps, max_sweeps, with_u), RESULT_SCHEMA)
 
 
+def svd_ordered(packed: DataFrame, eps: float = DEFAULT_EPS, max_sweeps: int = DEFAULT_MAX_SWEEPS,
+                with_u: bool = True, parts: int | None = None, counter=None) -> DataFrame:
+    """Batch strategy, results in the order of matrix_id over partitions and inside them.
+
+    The input is range-partitioned and sorted, then solved where it lies: the bounds are sampled from
+    the keys of the input alone, so nothing is solved to find them, and nothing is sorted afterwards.
+    """
+    check_settings(eps, max_sweeps)
+    rows = packed.select("matrix_id", "n_rows", "n_cols", "cells")
+    ranged = rows.repartitionByRange(parts, "matrix_id") if parts else rows.repartitionByRange("matrix_id")
+    solver = _batch_solver(eps, max_sweeps, with_u, in_order=True, counter=counter)
+    return ranged.sortWithinPartitions("matrix_id").mapInArrow(solver, RESULT_SCHEMA)
+
+
 # ---- D5 tall (TSQR) -----------------------------------------------------------------
 
 def _groups(mids: np.ndarray):
@@ -409,7 +427,8 @@ def map_rows(rows: DataFrame, factors: DataFrame, apply, out: str) -> DataFrame:
     sent to each task once; beyond it they travel in front of the rows, once for each run of
     ROWS_PER_SALT rows of a matrix. They are never attached to single rows.
     """
-    schema = f"matrix_id bigint, r bigint, {out} array<double>"
+    key = rows.schema["r"].dataType.simpleString()
+    schema = f"matrix_id bigint, r {key}, {out} array<double>"
     stats = factors.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("sigma")).alias("n")).first()
     n = int(stats["n"] or 0)
     if int(stats["k"] or 0) * (n + 2 * n * n) * 8 <= BROADCAST_FACTOR_BYTES:
@@ -573,9 +592,11 @@ def factor_cells(result: DataFrame) -> DataFrame:
     return exploded.select("matrix_id", "part_order", "part", r.alias("r"), c.alias("c"), "v")
 
 
-def ordered_factor_cells(result: DataFrame) -> DataFrame:
-    """Factor cells in emit order: by matrix, U then Sigma then V, row-major (range-partitioned sort)."""
-    return factor_cells(result).orderBy("matrix_id", "part_order", "r", "c")
+def ordered_factor_cells(packed: DataFrame, eps: float = DEFAULT_EPS, max_sweeps: int = DEFAULT_MAX_SWEEPS,
+                         counter=None) -> DataFrame:
+    """Factor cells of packed matrices in emit order, by matrix, U then Sigma then V, row-major. Each
+    matrix is solved once, in its place; the cells are laid out behind it without another sort."""
+    return factor_cells(svd_ordered(packed, eps, max_sweeps, counter=counter))
 
 
 def svd_report(result: DataFrame) -> DataFrame:
@@ -595,44 +616,23 @@ def report_json(report: DataFrame) -> DataFrame:
 
 # ---- D7 on row form (tables) --------------------------------------------------------
 
-# Matrices with at least this many rows take the tall path; smaller ones are packed.
+# Matrices with at least this many rows count as tall.
 TALL_MIN_ROWS = 600
-# Most matrices whose route table is broadcast to the rows.
-ROUTE_BROADCAST_LIMIT = 1_000_000
 
 
 def svd_auto_rows(rows: DataFrame, tall_min_rows: int = TALL_MIN_ROWS, eps: float = DEFAULT_EPS,
                   max_sweeps: int = DEFAULT_MAX_SWEEPS, with_u: bool = False):
-    """sigma, V, sweeps per matrix of a row-form table, routed by row count.
+    """sigma, V, sweeps and route per matrix of a row-form table, in one pass over it.
 
-    Small matrices (fewer than ``tall_min_rows`` rows and TALL_MIN_ELEMENTS cells) are packed
-    and solved in batch; big ones (a hot key may hold a third of all rows) go through TSQR and
-    are never gathered.
+    The partial factor of a matrix decides by its own rows: few rows travel as they are and are
+    solved as one block, many (a hot key may hold a third of all rows) are folded into R where they
+    lie, so nothing is counted before and nothing is gathered. No job runs while the plan is built;
+    with U the factors are computed once and kept, and the rows read once more.
     """
     check_settings(eps, max_sweeps)
-    stats = rows.groupBy("matrix_id").agg(
-        F.count(F.lit(1)).alias("_rows"), F.max(F.size("x")).alias("_cols"),
-    ).withColumn("_tall", (F.col("_rows") >= tall_min_rows)
-                 | (F.col("_rows") * F.col("_cols") >= TALL_MIN_ELEMENTS)).select("matrix_id", "_tall").checkpoint()
-    n_matrices = stats.count()
-    side = F.broadcast(stats) if n_matrices <= ROUTE_BROADCAST_LIMIT else stats
-    tagged = rows.join(side, "matrix_id")
-    small = tagged.filter(~F.col("_tall")).drop("_tall")
-    big = tagged.filter(F.col("_tall")).drop("_tall")
-    cols = ["matrix_id", "n_rows", "n_cols", "sigma", "v", "sweeps", "converged"]
-    packed = forms.rows_to_packed(small, keep_row_keys=with_u)
-    solved = svd_batch(packed, eps, max_sweeps, with_u=with_u)
-    batch = solved.select(*cols, F.lit("batch").alias("strategy"))
-    tall = tall_factors(big, eps, max_sweeps).select(*cols, F.lit("tall").alias("strategy"))
-    factors = batch.unionByName(tall)
+    tall = (F.col("n_rows") >= tall_min_rows) | (F.col("n_rows") * F.col("n_cols") >= TALL_MIN_ELEMENTS)
+    factors = tall_factors(rows, eps, max_sweeps).withColumn("strategy", F.when(tall, "tall").otherwise("batch"))
     if not with_u:
         return factors
-    # batch route: row i of U belongs to the i-th smallest row key of its matrix
-    keyed = solved.join(packed.select("matrix_id", "row_keys"), "matrix_id")
-    u_small = keyed.select(
-        "matrix_id", "n_cols", "u", F.posexplode("row_keys").alias("_i", "r")).select(
-        "matrix_id", "r", F.slice("u", (F.col("_i") * F.col("n_cols") + 1).cast("int"),
-                                  F.col("n_cols").cast("int")).alias("u"))
-    tall_f = tall.checkpoint()
-    u_big = tall_u(big, tall_f, eps)
-    return batch.unionByName(tall_f), u_small.unionByName(u_big)
+    factors = factors.checkpoint()
+    return factors, tall_u(rows, factors, eps)

@@ -89,6 +89,60 @@ def profile_distribution(spark, sf_dir):
     return d.select("variant", "min", "median", F.round("mean", 4).alias("mean"), "max", "n")
 
 
+@register("ab_report", "WITH " + AB_SQL + """,
+tot AS (SELECT variant, "case", SUM(elapsed_ms) AS total FROM runs GROUP BY 1, 2),
+sh AS (SELECT variant, "case", total, 100.0 * total / SUM(total) OVER (PARTITION BY variant) AS share FROM tot),
+c AS (SELECT b."case", b.runs AS base_runs, n.runs AS new_runs, b.mean_elapsed AS bm, n.mean_elapsed AS nm, b.median_elapsed / n.median_elapsed AS med,
+  b.per_testcase AS bt, n.per_testcase AS nt, b.sweeps_per_testcase = n.sweeps_per_testcase AS same, sb.total AS btot, sn.total AS ntot, sb.share AS bs, sn.share AS ns
+  FROM timing b JOIN timing n ON b."case" = n."case" AND b.variant = 'base' AND n.variant = 'fused'
+  JOIN sh sb ON sb."case" = b."case" AND sb.variant = 'base' JOIN sh sn ON sn."case" = b."case" AND sn.variant = 'fused')
+SELECT 'case' AS level, "case", CAST(NULL AS BIGINT) AS cases, base_runs, new_runs, ROUND(bm, 4) AS base_mean_elapsed, ROUND(nm, 4) AS new_mean_elapsed,
+  ROUND(bt, 6) AS base_per_testcase, ROUND(nt, 6) AS new_per_testcase, ROUND(bs, 6) AS base_share_pct, ROUND(ns, 6) AS new_share_pct, ROUND(btot, 2) AS base_total, ROUND(ntot, 2) AS new_total,
+  ROUND(bm / nm, 6) AS speedup, ROUND(med, 6) AS median_speedup, ROUND(bt / nt, 6) AS testcase_speedup, CAST(NULL AS DOUBLE) AS arith_speedup, same AS same_sweeps FROM c
+UNION ALL
+SELECT 'all', NULL, COUNT(*), CAST(SUM(base_runs) AS BIGINT), CAST(SUM(new_runs) AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL, ROUND(SUM(btot), 2), ROUND(SUM(ntot), 2),
+  ROUND(EXP(AVG(LN(bm / nm))), 6), ROUND(EXP(AVG(LN(med))), 6), ROUND(EXP(AVG(LN(bt / nt))), 6), ROUND(AVG(bm / nm), 6), BOOL_AND(same) FROM c""")
+def ab_report(spark, sf_dir):
+    """Base against fused over all of lineitem, per case and in total, in one call."""
+    r = compare.ab_report(runs(spark, sf_dir), "case", "variant", "base", "fused", "elapsed_ms", "testcases", "sweeps")
+    places = {"base_mean_elapsed": 4, "new_mean_elapsed": 4, "base_per_testcase": 6, "new_per_testcase": 6, "base_share_pct": 6, "new_share_pct": 6, "base_total": 2, "new_total": 2,
+              "speedup": 6, "median_speedup": 6, "testcase_speedup": 6, "arith_speedup": 6}
+    return r.select("level", "case", "cases", "base_runs", "new_runs", *[F.round(c, d).alias(c) for c, d in places.items()], "same_sweeps")
+
+
+_THREAD = "CASE WHEN o.o_orderkey % 10 <> 0 THEN 'thread 0' ELSE 'thread ' || CAST(o.o_custkey % 9 + 1 AS {s}) END"
+
+
+@register("thread_concurrency", """
+WITH iv AS (SELECT o.o_orderpriority AS process, """ + _THREAD.format(s="VARCHAR") + """ AS thread,
+                   CAST(date_diff('day', DATE '1970-01-01', CAST(o.o_orderdate AS DATE)) AS BIGINT) * 100000 + o.o_orderkey % 100000 AS s,
+                   CAST(date_diff('day', DATE '1970-01-01', CAST(o.o_orderdate AS DATE)) AS BIGINT) * 100000 + o.o_orderkey % 100000 + 2 + l.q AS e
+            FROM orders o JOIN (SELECT l_orderkey, CAST(SUM(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1) l ON l.l_orderkey = o.o_orderkey),
+m AS (SELECT *, MAX(e) OVER (PARTITION BY process, thread ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv),
+n AS (SELECT *, SUM(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY process, thread ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM m),
+busy AS (SELECT process, thread, MIN(s) AS s, MAX(e) AS e FROM n GROUP BY process, thread, run),
+ev AS (SELECT process, s AS t, 1 AS d FROM busy UNION ALL SELECT process, e AS t, -1 AS d FROM busy),
+pts AS (SELECT process, t, SUM(d) AS d FROM ev GROUP BY 1, 2),
+act AS (SELECT process, t, SUM(d) OVER (PARTITION BY process ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a,
+               LEAD(t) OVER (PARTITION BY process ORDER BY t) - t AS w FROM pts),
+agg AS (SELECT process, MAX(t) - MIN(t) AS span, MAX(a) AS max_active, SUM(COALESCE(a * w, 0)) / (MAX(t) - MIN(t)) AS avg_active,
+               SUM(CASE WHEN a >= 2 THEN w ELSE 0 END) / (MAX(t) - MIN(t)) AS share_ge2 FROM act GROUP BY 1)
+SELECT process, CAST(span AS BIGINT) AS span, CAST(max_active AS BIGINT) AS max_active, ROUND(avg_active, 8) AS avg_active, ROUND(share_ge2, 8) AS share_ge2,
+       (SELECT COUNT(DISTINCT thread) FROM iv WHERE iv.process = agg.process) AS threads,
+       CAST((SELECT SUM(e - s) FROM busy WHERE busy.process = agg.process) AS BIGINT) AS total_duration,
+       (SELECT COUNT(*) FROM busy WHERE busy.process = agg.process) AS intervals FROM agg""")
+def thread_concurrency(spark, sf_dir):
+    """W6 over threads: orders as calls of ten threads per priority, one of which makes nine tenths of
+    them; a thread's overlapping calls count once."""
+    q = fx.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("bigint").alias("q"))
+    o = fx.table(spark, sf_dir, "orders").alias("o").join(q, F.col("o.o_orderkey") == F.col("l_orderkey"))
+    begin = F.expr(_DAY.format(c="o_orderdate")) * 100000 + F.col("o_orderkey") % 100000
+    calls = o.select(F.col("o_orderpriority").alias("process"), F.expr(_THREAD.format(s="STRING")).alias("thread"), begin.cast("bigint").alias("s"), (begin + 2 + F.col("q")).cast("bigint").alias("e"))
+    c = compare.thread_concurrency(calls, "process", "thread", "s", "e", levels=(2,))
+    return c.select("process", F.col("span").cast("bigint").alias("span"), F.col("max_active").cast("bigint").alias("max_active"), F.round("avg_active", 8).alias("avg_active"),
+                    F.round("share_ge2", 8).alias("share_ge2"), "threads", F.col("total_duration").cast("bigint").alias("total_duration"), "intervals")
+
+
 _DAY = "CAST(datediff(CAST({c} AS DATE), DATE '1970-01-01') AS BIGINT)"
 
 

@@ -12,8 +12,8 @@ from orthoflow.session import scratch_dir
 from orthoflow.sources import streams
 
 
-def _stream_cells(packed):
-    indexed = streams.with_stream_index(packed)
+def _stream_cells(packed, counts=None):
+    indexed = streams.with_stream_index(packed, counts)
     return forms.packed_to_cells(indexed.select("matrix_id", "n_rows", "n_cols", "cells"))
 
 
@@ -29,8 +29,8 @@ def mat_roundtrip(spark, sf_dir):
     """EMB 16 x 4 written as a binary stream (ordered parts), read back, cells."""
     out = scratch_dir(spark, "mat-roundtrip")
     streams.write_mat(fx.embedding_packed(spark, sf_dir, 16, 4), out, mode="overwrite", parts=4)
-    # split every part file into ~64 KB ranges so that range planning is exercised too
-    return _stream_cells(streams.read_mat(spark, out, chunk_bytes=65536, split_min_bytes=0))
+    # every part file is read in ranges of 64 KB; the positions come from the index of the parts
+    return _stream_cells(streams.read_mat(spark, out, chunk_bytes=65536, split_min_bytes=0), streams.mat_counts(spark, out))
 
 
 @register("txt_roundtrip", _ordinal_cells_sql(8))
@@ -60,18 +60,14 @@ SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(ln - 1 AS BIGINT) AS line_no,
 FROM b WHERE NOT blank
 """)
 def txt_block_islands(spark, sf_dir):
-    """Lines of each document grouped into blocks by blank-line runs (gaps and islands)."""
+    """Lines of each document, as a file in splits of 16 lines, grouped into blocks by blank-line
+    runs (gaps and islands)."""
     docs = fx.table(spark, sf_dir, "documents")
-    lines = docs.select("doc_id", F.posexplode(F.split(F.expr(_BLANKS), "\n")).alias("ln", "line"))
-    blank = F.col("line").rlike(r"^[ \t\r]*$")
-    w = Window.partitionBy("doc_id").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.select("doc_id", "ln", "line", blank.alias("blank"),
-                          F.sum(F.when(blank, 1).otherwise(0)).over(w).alias("blk"))
-    kept = marked.filter(~F.col("blank"))
+    lines = docs.select(F.col("doc_id").alias("path"), F.posexplode(F.split(F.expr(_BLANKS), "\n")).alias("pos", "line"))
+    kept = streams.block_lines(lines.withColumn("split", F.floor(F.col("pos") / 16)))
     return kept.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("ln").cast("bigint").alias("line_no"),
-        (F.dense_rank().over(Window.partitionBy("doc_id").orderBy("blk")) - 1).cast("bigint").alias("block"),
-        (F.row_number().over(Window.partitionBy("doc_id", "blk").orderBy("ln")) - 1).cast("bigint").alias("row_in_block"),
+        F.col("path").cast("bigint").alias("doc_id"), F.col("pos").cast("bigint").alias("line_no"), F.col("seq").alias("block"),
+        (F.row_number().over(Window.partitionBy("path", "seq").orderBy("pos")) - 1).cast("bigint").alias("row_in_block"),
         F.size(F.split(F.trim(F.regexp_replace("line", r"[ \t\r]+", " ")), " ")).cast("bigint").alias("n_tokens"),
     )
 
@@ -105,25 +101,16 @@ def _sigma_by_vec_sql():
 def factor_stream_roundtrip(spark, sf_dir):
     """S1 -> P4 -> D7 -> S5/S3 -> S1: a matrix stream file in, U / Sigma / V stream file out
     (three records per input, in input order), read back; sigma per input from its Sigma record."""
-    from orthoflow.operators import svd
-
     src = scratch_dir(spark, "svd-in")
     streams.write_mat(fx.embedding_packed(spark, sf_dir, 16, 4), src, mode="overwrite", parts=4)
-    packed = streams.with_stream_index(streams.read_mat(spark, src))
+    packed = streams.with_stream_index(streams.read_mat(spark, src), streams.mat_counts(spark, src))
     good, _ = forms.validate_packed(packed.select("matrix_id", "n_rows", "n_cols", "cells"), strict=True)
-    result = svd.svd(good, strategy="auto")
     out = scratch_dir(spark, "svd-out")
-    streams.write_mat(streams.factor_packed(result).withColumnRenamed("seq", "matrix_id"), out, mode="overwrite", parts=4)
-    back = streams.with_stream_index(streams.read_mat(spark, out))
-    # decode the emitted layout: record 3i is U, 3i+1 Sigma, 3i+2 V of input i
-    decoded = back.select((F.floor(F.col("matrix_id") / 3)).cast("bigint").alias("pos"),
-                          F.element_at(F.array(F.lit("U"), F.lit("SIGMA"), F.lit("V")),
-                                       (F.pmod(F.col("matrix_id"), F.lit(3)) + 1).cast("int")).alias("part"),
-                          "cells")
-    sigma = decoded.filter(F.col("part") == "SIGMA").select("pos", F.col("cells").alias("sigma"))
-    ordinal = fx.table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").cast("bigint").alias("vec_id"),
-        (F.row_number().over(Window.orderBy("vec_id")) - 1).cast("bigint").alias("pos"))
+    streams.write_factors(good, out, mode="overwrite", parts=4)
+    back = streams.with_stream_index(streams.read_mat(spark, out), streams.mat_counts(spark, out))
+    # the emitted layout: record 3i is U, 3i+1 Sigma, 3i+2 V of input i
+    sigma = back.filter(F.pmod(F.col("matrix_id"), F.lit(3)) == 1).select(F.floor(F.col("matrix_id") / 3).alias("pos"), F.col("cells").alias("sigma"))
+    ordinal = forms.with_position(fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("vec_id")), "vec_id")
     j = sigma.join(ordinal, "pos")
     return j.select(F.col("vec_id").alias("matrix_id"), F.posexplode(F.sort_array("sigma", asc=False)).alias("k", "s")).select(
         "matrix_id", F.col("k").cast("int").alias("k"), F.format_string("%.5e", F.col("s")).alias("sigma"))

@@ -3,8 +3,8 @@
 A run tree is rendered from ``events``: every event becomes one log line of the log
 '<event_type>/<mode>/run_<day>.log'. The mode comes from user_id (mod 4) and the kind of
 line from props.k (mod 10); these residues define the rendered data (which line a row
-becomes, which exports a profiling line feeds), they never drop rows. The rendering is SQL
-text evaluated by both engines; the ETL itself is the library's.
+becomes), they never drop rows. Every event is also one row of its log's nsys and ncu exports.
+The rendering is SQL text evaluated by both engines; the ETL itself is the library's.
 """
 
 from __future__ import annotations
@@ -167,7 +167,7 @@ rec AS (SELECT k."case", k.mode, k.run_index, k.source_log, p.command,
 
 
 def _records(spark, sf_dir):
-    return logs.build_records(logs.classify(log_lines(spark, sf_dir)), listing(spark, sf_dir))
+    return logs.log_records(log_lines(spark, sf_dir), listing(spark, sf_dir))
 
 
 ORACLES_RUN_STATUS = _records_sql() + """
@@ -190,7 +190,7 @@ def run_status(spark, sf_dir):
 
 
 def _nsys_rows(spark, sf_dir):
-    ev = fx.table(spark, sf_dir, "events").filter(F.expr(f"{K} % 10 = 3 AND user_id % 4 = 1"))
+    ev = fx.table(spark, sf_dir, "events")
     return ev.select(F.expr(source_log_sql("spark")).alias("source_log"),
                      F.expr("CASE user_id % 3 WHEN 0 THEN 'cudaMemcpy' WHEN 1 THEN 'cudaLaunchKernel' ELSE 'cudaMalloc' END").alias("Name"),
                      F.expr(f"event_id * 1000 + {K}").alias("Total Time (ns)"), F.expr(f"{K} + 1").alias("Num Calls"),
@@ -198,7 +198,7 @@ def _nsys_rows(spark, sf_dir):
 
 
 def _ncu_rows(spark, sf_dir):
-    ev = fx.table(spark, sf_dir, "events").filter(F.expr(f"{K} % 10 = 3 AND user_id % 4 >= 2"))
+    ev = fx.table(spark, sf_dir, "events")
     return ev.select(F.expr(source_log_sql("spark")).alias("source_log"),
                      F.expr(f"CASE WHEN {K} % 13 = 0 THEN '' ELSE 'kernel_' || CAST(user_id % 3 AS STRING) END").alias("Kernel Name"),
                      F.expr(f"CASE WHEN {K} % 7 = 0 THEN 'n/a' ELSE {_dec(CENTS)} END").alias("gpu__time_duration.sum"))
@@ -211,11 +211,11 @@ tim AS (SELECT source_log, CAST(arg_min(regexp_extract(line, '{_TIME}', 1), line
 ns AS (SELECT {source_log_sql('duckdb')} AS source_log,
               CASE user_id % 3 WHEN 0 THEN 'cudaMemcpy' WHEN 1 THEN 'cudaLaunchKernel' ELSE 'cudaMalloc' END AS name,
               event_id * 1000 + {K} AS total_ns, {K} + 1 AS calls, event_id AS row_no
-       FROM events WHERE {K} % 10 = 3 AND user_id % 4 = 1),
+       FROM events),
 nsl AS (SELECT source_log, name, arg_max(total_ns, row_no) AS total_ns, arg_max(calls, row_no) AS calls FROM ns GROUP BY 1, 2),
 nc AS (SELECT {source_log_sql('duckdb')} AS source_log,
               CASE WHEN {K} % 13 = 0 THEN '' ELSE 'kernel_' || CAST(user_id % 3 AS VARCHAR) END AS kname
-       FROM events WHERE {K} % 10 = 3 AND user_id % 4 >= 2),
+       FROM events),
 ncs AS (SELECT source_log, COUNT(*) AS row_count, COUNT(DISTINCT NULLIF(kname, '')) AS kernel_count FROM nc GROUP BY 1)
 SELECT '' AS instance, '' AS timestamp, r."case", r.mode, r.run_index, r.status, t.elapsed_seconds, t.max_rss_kb,
        m.total_ns AS cudaMemcpy_total_ns, m.calls AS cudaMemcpy_calls,
@@ -228,14 +228,34 @@ LEFT JOIN (SELECT * FROM nsl WHERE name = 'cudaLaunchKernel') k USING (source_lo
 LEFT JOIN ncs c USING (source_log)""")
 def flat_summary(spark, sf_dir):
     """The 16-column flat summary per record (blank where a part is missing)."""
-    rec = logs.with_timing(_records(spark, sf_dir), log_lines(spark, sf_dir))
-    return logs.flat_summary(rec, logs.nsys_cuda_api(_nsys_rows(spark, sf_dir)), _ncu_rows(spark, sf_dir))
+    return logs.flat_summary(_records(spark, sf_dir), logs.nsys_cuda_api(_nsys_rows(spark, sf_dir)), _ncu_rows(spark, sf_dir))
+
+
+def _manifest_sql():
+    return f"""man AS (SELECT key, arg_max(value, line_no) AS value FROM (
+  SELECT line_no, substr(line, 1, strpos(line, '=') - 1) AS key, substr(line, strpos(line, '=') + 1) AS value
+  FROM (SELECT event_id AS line_no, {_manifest_line_sql()} AS line FROM events)
+  WHERE line <> '' AND NOT starts_with(line, '#') AND contains(line, '=')) z GROUP BY 1)"""
+
+
+def _manifest_line_sql():
+    return (f"(CASE {K} % 6 WHEN 0 THEN '# note ' || CAST(event_id AS STRING) WHEN 1 THEN '   ' "
+            f"WHEN 2 THEN 'noequals' WHEN 3 THEN '  #a=b' || CAST({K} AS STRING) || ' ' "
+            f"ELSE 'key' || CAST({K} % 3 AS STRING) || ' = v' || CAST(event_id AS STRING) || '=x ' END)")
+
+
+def manifest_lines(spark, sf_dir):
+    return fx.table(spark, sf_dir, "events").select(F.col("event_type").alias("manifest"), F.col("event_id").alias("line_no"), F.expr(_manifest_line_sql()).alias("line"))
 
 
 @register("run_summary", _records_sql() + f""",
 tim AS (SELECT source_log, CAST(arg_min(regexp_extract(line, '{_TIME}', 1), line_no) AS DOUBLE) AS e
-        FROM lines WHERE regexp_matches(line, '{_TIME}') AND split_part(source_log, '/', 2) = 'timing' GROUP BY 1)
-SELECT CAST((SELECT COUNT(*) FROM rec) AS BIGINT) AS record_count,
+        FROM lines WHERE regexp_matches(line, '{_TIME}') AND split_part(source_log, '/', 2) = 'timing' GROUP BY 1),
+{_manifest_sql()}
+SELECT (SELECT string_agg(key || ':' || value, ';' ORDER BY key) FROM man) AS manifest,
+       (SELECT string_agg(mode || ':' || CAST(n AS VARCHAR), ';' ORDER BY mode) FROM (SELECT mode, COUNT(*) AS n FROM rec GROUP BY 1)) AS by_mode,
+       (SELECT string_agg(status || ':' || CAST(n AS VARCHAR), ';' ORDER BY status) FROM (SELECT status, COUNT(*) AS n FROM rec GROUP BY 1)) AS by_status,
+       CAST((SELECT COUNT(*) FROM rec) AS BIGINT) AS record_count,
        CAST((SELECT SUM(n_warnings) FROM rec) AS BIGINT) AS warning_count,
        CAST((SELECT SUM(n_errors) FROM rec) AS BIGINT) AS error_count,
        CAST(COUNT(e) AS BIGINT) AS elapsed_count, MIN(e) AS elapsed_min, MAX(e) AS elapsed_max,
@@ -243,15 +263,27 @@ SELECT CAST((SELECT COUNT(*) FROM rec) AS BIGINT) AS record_count,
        ROUND(CASE WHEN COUNT(e) > 1 THEN STDDEV_SAMP(e) END, 9) AS elapsed_stdev
 FROM tim""")
 def run_summary(spark, sf_dir):
-    """Record count, warning and error totals, elapsed-time summary."""
-    rec = logs.with_timing(_records(spark, sf_dir), log_lines(spark, sf_dir))
+    """Manifest, records in total, by mode and by status, warnings, errors, elapsed times."""
     t = F.col("timing_elapsed_seconds")
-    return logs.run_summary(rec).select(
+    manifest = logs.manifest_map(logs.manifest_entries(manifest_lines(spark, sf_dir).withColumn("manifest", F.lit(0)))).select("manifest")
+    pairs = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ";").alias(c)
+    return logs.run_summary(_records(spark, sf_dir), manifest).select(
+        pairs("manifest"), pairs("by_mode"), pairs("by_status"),
         "record_count", "warning_count", "error_count", F.coalesce(t["count"].cast("bigint"), F.lit(0)).alias("elapsed_count"),
         t["min"].alias("elapsed_min"), t["max"].alias("elapsed_max"), F.round(t["mean"], 9).alias("elapsed_mean"),
         t["median"].alias("elapsed_median"), F.round(t["stdev"], 9).alias("elapsed_stdev"))
 
 
+@register("ordered_records", _records_sql() + """
+SELECT source_log, status, CAST(ROW_NUMBER() OVER (ORDER BY string_split(source_log, '/')) - 1 AS BIGINT) AS pos FROM rec""")
+def ordered_records(spark, sf_dir):
+    """Each record's place when records are ordered by the parts of their path."""
+    from orthoflow.operators import forms
+
+    rows = logs.ordered_records(_records(spark, sf_dir)).select("source_log", "status", F.split("source_log", "/").alias("parts"))
+    return forms.with_position(rows, "parts").select("source_log", "status", "pos")
+
+
 @register("count_by_sets", """
 SELECT lang, source, CAST(COUNT(*) AS BIGINT) AS n, CAST(GROUPING(lang, source) AS INTEGER) AS gid
 FROM documents GROUP BY GROUPING SETS ((lang), (source), ())""")
@@ -313,10 +345,17 @@ def run_names(spark, sf_dir):
     return logs.latest_runs(names)
 
 
-def _manifest_line_sql():
-    return (f"(CASE {K} % 6 WHEN 0 THEN '# note ' || CAST(event_id AS STRING) WHEN 1 THEN '   ' "
-            f"WHEN 2 THEN 'noequals' WHEN 3 THEN '  #a=b' || CAST({K} AS STRING) || ' ' "
-            f"ELSE 'key' || CAST({K} % 3 AS STRING) || ' = v' || CAST(event_id AS STRING) || '=x ' END)")
+def _newest_sql():
+    return f"""WITH n AS (SELECT DISTINCT {_run_name_sql('duckdb')} AS name FROM events),
+p AS (SELECT name, regexp_extract(name, '^(.+)-([0-9]{{8}}_[0-9]{{6}})$', 1) AS instance,
+             regexp_extract(name, '^(.+)-([0-9]{{8}}_[0-9]{{6}})$', 2) AS timestamp FROM n)
+SELECT name, instance, timestamp FROM p WHERE instance <> '' ORDER BY timestamp DESC, name DESC LIMIT 1"""
+
+
+@register("newest_run", _newest_sql())
+def newest_run(spark, sf_dir):
+    """The newest of all run folders."""
+    return logs.newest_run(fx.table(spark, sf_dir, "events").select(F.expr(_run_name_sql("spark")).alias("name")))
 
 
 @register("manifest_map", f"""
@@ -326,10 +365,7 @@ k AS (SELECT manifest, line_no, substr(line, 1, strpos(line, '=') - 1) AS key, s
 SELECT manifest, key, arg_max(value, line_no) AS value FROM k GROUP BY 1, 2""")
 def manifest_map(spark, sf_dir):
     """Manifest entries per instance (last duplicate wins)."""
-    ev = fx.table(spark, sf_dir, "events")
-    lines = ev.select(F.col("event_type").alias("manifest"), F.col("event_id").alias("line_no"),
-                      F.expr(_manifest_line_sql()).alias("line"))
-    return logs.manifest_entries(lines)
+    return logs.manifest_entries(manifest_lines(spark, sf_dir))
 
 
 def _report_line_sql(d):
@@ -378,7 +414,7 @@ def coerce_values(spark, sf_dir):
 WITH nc AS (SELECT {source_log_sql('duckdb')} AS source_log,
                    CASE WHEN {K} % 13 = 0 THEN '' ELSE 'kernel_' || CAST(user_id % 3 AS VARCHAR) END AS kernel,
                    CASE WHEN {K} % 7 = 0 THEN 'n/a' ELSE {_dec(CENTS)} END AS dur
-            FROM events WHERE {K} % 10 = 3 AND user_id % 4 >= 2)
+            FROM events)
 SELECT source_log, kernel, CAST(COUNT(*) AS BIGINT) AS launches,
        ROUND(SUM(COALESCE(TRY_CAST(dur AS DOUBLE), 0.0)), 6) AS gpu_time_duration_sum
 FROM nc WHERE kernel <> '' GROUP BY 1, 2""")

@@ -50,35 +50,43 @@ def _write_files(root: str, kind: str):
                              else '"ID","Kernel Name","gpu__time_duration.sum","Block Size"\n')
                     for i, r in enumerate(sorted(items, key=lambda x: x["row_no"])):
                         fh.write(f'"256","{r["dur"]}","{r["kernel"]}"\n' if deep else f'"{i}","{r["kernel"]}","{r["dur"]}","256"\n')
-                else:
-                    out = [{"Name": r["Name"], "Total Time (ns)": r["total_ns"], "Num Calls": r["calls"]}
-                           for r in sorted(items, key=lambda x: x["row_no"])]
-                    fh.write(json.dumps(out))
+                else:  # the fields of each report are its own
+                    fh.write(json.dumps([json.loads(r["row"]) for r in sorted(items, key=lambda x: x["row_no"])], indent=1))
     return write
 
 
-def materialize_tree(spark, sf_dir) -> str:
-    """Write the run tree of ``sf_dir`` into a fresh scratch folder; returns its path."""
-    root = scratch_dir(spark, "run-tree")
+#: report -> (JSON fields in Spark, the field that the query reads, its value in SQL)
+REPORTS = {
+    "cuda_api_sum": ({"Name": "Name", "Total Time (ns)": "total_ns", "Num Calls": "calls"}, "$['Total Time (ns)']", "total_ns"),
+    "cuda_gpu_kern_sum": ({"Name": "concat('kernel_', Name)", "Instances": "calls", "Avg (ns)": "total_ns / 2"}, "$.Instances", "calls"),
+    "cuda_gpu_mem_time_sum": ({"Operation": "Name", "Time (%)": "calls % 100", "Count": "calls + 1"}, "$.Count", "calls + 1"),
+    "cuda_gpu_mem_size_sum": ({"Operation": "Name", "Total (MB)": "total_ns * 3", "Count": "calls"}, "$['Total (MB)']", "total_ns * 3"),
+    "osrt_sum": ({"Name": "Name", "Num Calls": "calls * 7"}, "$['Num Calls']", "calls * 7"),
+}
+
+
+def materialize_tree(spark, sf_dir, root: str | None = None) -> str:
+    """Write the run tree of ``sf_dir`` into a folder, a fresh one by default; returns its path."""
+    root = root or scratch_dir(spark, "run-tree")
     lines = q_logs.log_lines(spark, sf_dir)
     lines.repartition(16, "source_log").sortWithinPartitions("source_log", "line_no").foreachPartition(_write_lines(root))
     q_logs.listing(spark, sf_dir).distinct().repartition(8, "path").foreachPartition(_write_files(root, "empty"))
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.expr(f"{q_logs.K} % 10 = 3 AND user_id % 4 >= 2"))
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     ncu = ev.select(F.regexp_replace(F.expr(q_logs.source_log_sql("spark")), r"\.log$", "_ncu.csv").alias("path"),
                     F.expr(f"CASE WHEN {q_logs.K} % 13 = 0 THEN '' ELSE 'kernel_' || CAST(user_id % 3 AS STRING) END").alias("kernel"),
                     F.expr(f"CASE WHEN {q_logs.K} % 7 = 0 THEN 'n/a' ELSE {q_logs._dec(q_logs.CENTS)} END").alias("dur"),
                     F.col("event_id").alias("row_no"))
     ncu.repartition(8, "path").foreachPartition(_write_files(root, "csv"))
-    ns = q_logs._nsys_rows(spark, sf_dir).select(
-        F.regexp_replace("source_log", r"\.log$", "_cuda_api_sum.json").alias("path"), "Name",
-        F.col("`Total Time (ns)`").alias("total_ns"), F.col("`Num Calls`").alias("calls"), "row_no")
-    ns.repartition(8, "path").foreachPartition(_write_files(root, "json"))
+    ns = q_logs._nsys_rows(spark, sf_dir).withColumnsRenamed({"Total Time (ns)": "total_ns", "Num Calls": "calls"})
+    for report, (fields, _, _) in REPORTS.items():
+        row = F.to_json(F.struct(*[F.expr(v).alias(k) for k, v in fields.items()]))
+        rows = ns.select(F.regexp_replace("source_log", r"\.log$", f"_{report}.json").alias("path"), row.alias("row"), "row_no")
+        rows.repartition(8, "path").foreachPartition(_write_files(root, "json"))
     return root
 
 
 def _records_from_tree(spark, root):
-    lines = logs.scan_run_tree(spark, root)
-    return logs.build_records(logs.classify(lines), logs.list_artifacts(spark, root))
+    return logs.log_records(logs.scan_run_tree(spark, root), logs.list_artifacts(spark, root))
 
 
 @register("run_tree_records", q_logs.ORACLES_RUN_STATUS)
@@ -106,5 +114,36 @@ def run_tree_summary(spark, sf_dir):
     """E3 on files: timing from the logs, cudaMemcpy/cudaLaunchKernel from the nsys JSON
     exports (S11, last row per Name wins), row and kernel counts from the ncu CSV (S10)."""
     root = materialize_tree(spark, sf_dir)
-    rec = logs.with_timing(_records_from_tree(spark, root), logs.scan_run_tree(spark, root))
-    return logs.flat_summary(rec, logs.nsys_cuda_api(logs.read_nsys_json(spark, root)), logs.read_ncu_csv(spark, root))
+    api = logs.nsys_cuda_api(logs.cuda_api_rows(logs.read_nsys_reports(spark, root)))
+    return logs.flat_summary(_records_from_tree(spark, root), api, logs.read_ncu_csv(spark, root))
+
+
+def _reports_sql():
+    rows = f"""SELECT {q_logs.source_log_sql('duckdb')} AS source_log, event_id * 1000 + {q_logs.K} AS total_ns, {q_logs.K} + 1 AS calls FROM events"""
+    each = " UNION ALL ".join(f"SELECT source_log, '{r}' AS report, {value} AS v FROM rows_" for r, (_, _, value) in REPORTS.items())
+    return f"""WITH rows_ AS ({rows})
+SELECT source_log, report, CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(v) AS BIGINT) AS total FROM ({each}) z GROUP BY 1, 2"""
+
+
+@register("run_tree_reports", _reports_sql())
+def run_tree_reports(spark, sf_dir):
+    """S11 on files: all five reports of every log, kept row by row as they are; a field of each."""
+    found = logs.read_nsys_reports(spark, materialize_tree(spark, sf_dir), logs.NSYS_REPORTS)
+    value = F.coalesce(*[F.when(F.col("report") == r, F.variant_get("row", path, "bigint")) for r, (_, path, _) in REPORTS.items()])
+    return found.groupBy("source_log", "report").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+
+
+@register("extract_run", ORACLES["flat_summary"].replace("SELECT '' AS instance, '' AS timestamp,", "SELECT 'bench' AS instance, '20240131_120000' AS timestamp,"))
+def extract_run(spark, sf_dir):
+    """The log job in one call: the newest of two runs is resolved, scanned and written out; its flat
+    summary is read back."""
+    prof = scratch_dir(spark, "prof")
+    old = spark.createDataFrame([("c/timing/run_1.log", 0, "$ old")], "source_log string, line_no int, line string")
+    old.coalesce(1).foreachPartition(_write_lines(f"{prof}/bench-20230131_120000"))
+    materialize_tree(spark, sf_dir, f"{prof}/bench-20240131_120000")
+    out = scratch_dir(spark, "extract")
+    logs.extract_run(spark, prof, out)
+    schema = ("instance string, timestamp string, case string, mode string, run_index int, status string, elapsed_seconds double, max_rss_kb bigint, "
+              + "".join(f"{n}_{part} bigint, " for n in logs.FLAT_NAMES for part in ("total_ns", "calls"))
+              + "ncu_row_count bigint, ncu_kernel_count bigint, warning_count bigint, error_count bigint")
+    return spark.read.schema(schema).option("header", "true").csv(f"{out}/summary")

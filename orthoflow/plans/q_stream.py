@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from orthoflow import streaming
-from orthoflow.operators import svd
+from orthoflow.operators import forms, svd
 from orthoflow.plans import fixtures as fx
 from orthoflow.plans import q_logs
 from orthoflow.plans.catalog import register, sig
@@ -17,28 +17,27 @@ from orthoflow.session import scratch_dir
 from orthoflow.sources import streams
 
 
-def _land_matrices(spark, sf_dir):
-    folder = scratch_dir(spark, "stream-in")
-    streams.write_txt(fx.embedding_packed(spark, sf_dir, 16, 4), folder, mode="overwrite", parts=4)
-    return folder
-
-
 @register("stream_svd", gram_jacobi_sigma_sql(fx.sql_embedding_wide(4), 4, SWEEPS_SQL))
 def stream_svd(spark, sf_dir):
-    """ST1: matrices read as files land, solved per micro-batch; sigma per vector."""
-    folder = _land_matrices(spark, sf_dir)
-    packed = streaming.matrix_stream(spark, folder + "/*.txt", max_files_per_trigger=1)
-    solved = streaming.stream_svd(packed).select("matrix_id", "sigma")
-    out = streaming.run_to_table(solved, scratch_dir(spark, "stream-svd"), scratch_dir(spark, "stream-ckpt"))
-    # map the stream key back to the vector id through the batch read of the same folder
-    batch = streams.with_stream_index(streams.read_txt(spark, folder + "/*.txt"))
-    ids = fx.table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").cast("bigint").alias("vec_id"))
-    from pyspark.sql import Window
-
-    ordinal = ids.select("vec_id", (F.row_number().over(Window.orderBy("vec_id")) - 1).cast("bigint").alias("pos"))
-    keymap = batch.select(F.xxhash64("path", "seq").alias("h"), F.col("matrix_id").alias("pos")).join(ordinal, "pos")
-    j = out.join(keymap, out.matrix_id == keymap.h).select(F.col("vec_id").alias("matrix_id"), "sigma")
+    """ST1: binary matrix streams land in two batches, are read in ranges as they land and solved per
+    micro-batch; sigma per vector."""
+    root = scratch_dir(spark, "stream-in")
+    packed = fx.embedding_packed(spark, sf_dir, 16, 4)
+    middle = F.lit(packed.agg(F.avg("matrix_id")).first()[0])
+    stream = streaming.matrix_stream(spark, f"{root}/*/run-*/*.mat", chunk_bytes=65536)
+    solved = streaming.stream_svd(stream).select("matrix_id", "sigma")
+    table, checkpoint = scratch_dir(spark, "stream-svd"), scratch_dir(spark, "stream-ckpt")
+    found = []
+    for name, half in (("a", packed.filter(F.col("matrix_id") <= middle)), ("b", packed.filter(F.col("matrix_id") > middle))):
+        folder = f"{root}/{name}"
+        streams.write_mat(half, folder, parts=4)
+        out = streaming.run_to_table(solved, table, checkpoint)
+        # the stream's key back to the vector: the place of its record, in the order it was written
+        at = streams.with_stream_index(streams.read_mat(spark, folder), streams.mat_counts(spark, folder))
+        at = at.select(F.xxhash64("path", "seq").alias("h"), F.col("matrix_id").alias("pos"))
+        ids = forms.with_position(half.select(F.col("matrix_id").alias("vec_id")), "vec_id")
+        found.append(at.join(ids, "pos").select("h", "vec_id"))
+    j = out.join(found[0].unionByName(found[1]), out.matrix_id == F.col("h")).select(F.col("vec_id").alias("matrix_id"), "sigma")
     return j.select("matrix_id", F.posexplode(F.sort_array("sigma", asc=False)).alias("k", "s")).select(
         "matrix_id", F.col("k").cast("int").alias("k"), sig(F.col("s")).alias("sigma"))
 
@@ -47,8 +46,9 @@ def stream_svd(spark, sf_dir):
 SELECT CAST(COUNT(*) AS BIGINT) AS testcase_count, CAST(3 * COUNT(*) AS BIGINT) AS emitted_matrix_count FROM embeddings""")
 def stream_totals(spark, sf_dir):
     """ST2: running totals in complete mode (sweep totals are not hashed)."""
-    folder = _land_matrices(spark, sf_dir)
-    packed = streaming.matrix_stream(spark, folder + "/*.txt", max_files_per_trigger=2)
+    folder = scratch_dir(spark, "stream-in")
+    streams.write_txt(fx.embedding_packed(spark, sf_dir, 16, 4), folder, mode="overwrite", parts=4)
+    packed = streaming.text_matrix_stream(spark, folder + "/*.txt", max_files_per_trigger=2)
     solved = svd.svd_batch(packed.select(F.xxhash64("path", "seq").alias("matrix_id"), "n_rows", "n_cols", "cells"),
                            with_u=False)
     name = f"stream_totals_{uuid.uuid4().hex[:8]}"

@@ -64,9 +64,35 @@ SELECT mid AS matrix_id, r, c, ROUND(v, 6) + 0.0 AS v FROM ({fx.sql_embedding_ce
 def svd_reconstruct(spark, sf_dir):
     """U diag(sigma) V^T rebuilt per row equals the input (EMB 16 x 4)."""
     res = svd.svd(fx.embedding_packed(spark, sf_dir, 16, 4), strategy="batch")
-    xh = checks.reconstruct_rows(checks.packed_u_rows(res), res)
-    return xh.select("matrix_id", "r", F.posexplode("x_hat").alias("c", "v")).select(
-        "matrix_id", "r", F.col("c").cast("int").alias("c"), (F.round("v", 6) + F.lit(0.0)).alias("v"))
+    cells = forms.packed_to_cells(checks.reconstruct_packed(res))
+    return cells.select("matrix_id", "r", F.col("c").cast("int").alias("c"), (F.round("v", 6) + F.lit(0.0)).alias("v"))
+
+
+@register("svd_reconstruct_rows", f"""
+SELECT mid AS matrix_id, CAST(SUM(x0 + x1 + x2 + x3) * 100 AS BIGINT) AS cents, COUNT(*) AS n FROM ({fx.sql_lineitem_wide("supplier", fx.LI4_COLUMNS)}) w GROUP BY mid
+""")
+def svd_reconstruct_rows(spark, sf_dir):
+    """J9 on row form: every row of LI4 per supplier rebuilt from U, sigma and V, which reach a task once;
+    each rebuilt cell in cents, summed per matrix."""
+    rows = fx.lineitem_rows(spark, sf_dir, "supplier", fx.LI4_COLUMNS)
+    factors, u = svd.svd_rows(rows)
+    back = checks.reconstruct_rows(u, factors)
+    cents = F.aggregate("x_hat", F.lit(0).cast("bigint"), lambda s, x: s + F.round(x * 100).cast("bigint"))
+    return back.groupBy("matrix_id").agg(F.sum(cents).alias("cents"), F.count(F.lit(1)).alias("n"))
+
+
+@register("svd_freivalds", """
+SELECT CAST(l_suppkey AS BIGINT) AS matrix_id, TRUE AS whole, FALSE AS damaged FROM lineitem GROUP BY 1
+""")
+def svd_freivalds(spark, sf_dir):
+    """D9 by Freivalds' check on LI4 per supplier: the decomposition passes, and does not where one cell of
+    U in each matrix is off by a thousandth."""
+    rows = fx.lineitem_rows(spark, sf_dir, "supplier", fx.LI4_COLUMNS)
+    factors, u = svd.svd_rows(rows)
+    first = u.groupBy("matrix_id").agg(F.min("r").alias("first"))
+    bad = u.join(first, "matrix_id").select("matrix_id", "r", F.when(F.col("r") == F.col("first"), F.transform("u", lambda x, i: F.when(i == 1, x + 1e-3).otherwise(x))).otherwise(F.col("u")).alias("u"))
+    passes = lambda df, name: df.select("matrix_id", (F.col("residual") <= 1e-11 * F.col("size")).alias(name))
+    return passes(checks.freivalds(rows, u, factors), "whole").join(passes(checks.freivalds(rows, bad, factors), "damaged"), "matrix_id")
 
 
 @register("svd_orthogonality", """
@@ -77,12 +103,7 @@ FROM embeddings, (VALUES ('U'), ('V')) AS m(which), range(0, 4) AS a(i), range(0
 def svd_orthogonality(spark, sf_dir):
     """U^T U and V^T V are the identity (EMB 16 x 4, full rank), rounded to 6 places."""
     res = svd.svd(fx.embedding_packed(spark, sf_dir, 16, 4), strategy="batch")
-    ug = checks.u_gram(checks.packed_u_rows(res), 4)
-    sym = ug.unionByName(ug.filter(F.col("i") != F.col("j")).select(
-        "matrix_id", F.col("j").alias("i"), F.col("i").alias("j"), "g"))
-    vg = checks.v_gram(res)
-    out = sym.select("matrix_id", F.lit("U").alias("which"), "i", "j", "g").unionByName(
-        vg.select("matrix_id", F.lit("V").alias("which"), "i", "j", "g"))
+    out = checks.gram_packed(res, "u").withColumn("which", F.lit("U")).unionByName(checks.gram_packed(res, "v").withColumn("which", F.lit("V")))
     return out.select("matrix_id", "which", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"),
                       (F.round("g", 6) + F.lit(0.0)).alias("g"))
 
@@ -124,8 +145,7 @@ WHERE r < p.nr
 """)
 def factor_emit_order(spark, sf_dir):
     """U, Sigma, V cells per matrix in emit order (positions only; values carry signs)."""
-    res = svd.svd(fx.embedding_packed(spark, sf_dir, 16, 4), strategy="batch")
-    return svd.ordered_factor_cells(res).select(
+    return svd.ordered_factor_cells(fx.embedding_packed(spark, sf_dir, 16, 4)).select(
         "matrix_id", F.col("part_order").cast("int").alias("part_order"), "part", "r", "c")
 
 

@@ -1,6 +1,7 @@
 """Structured Streaming jobs (ST1-ST3).
 
-ST1  stream_svd     text matrix streams landing in a folder -> batch SVD per micro-batch
+ST1  stream_svd     matrix streams landing in a folder (binary, also files that grow; or text) ->
+                    batch SVD per micro-batch
 ST2  stream_totals  running testcase count and total sweeps (streaming aggregation)
 ST3  stream_runs    log lines landing as files -> per-log records via foreachBatch
 """
@@ -11,11 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orthoflow.operators import logs, svd
-from orthoflow.sources import streams
+from orthoflow.sources import matstream, streams
 
 
-def matrix_stream(spark: SparkSession, folder: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """Packed matrices from text stream files as they land (each file read whole)."""
+def matrix_stream(spark: SparkSession, path: str, chunk_bytes: int | None = None) -> DataFrame:
+    """Packed matrices from binary stream files as they land and grow, in byte ranges (no file is read
+    whole): offsets are (file, byte, record)."""
+    matstream.register(spark)
+    reader = spark.readStream.format("matstream").option("indexDir", streams.index_folder(spark))
+    if chunk_bytes:
+        reader = reader.option("chunkBytes", str(chunk_bytes))
+    return reader.load(path)
+
+
+def text_matrix_stream(spark: SparkSession, folder: str, max_files_per_trigger: int = 1) -> DataFrame:
+    """Packed matrices from text stream files as they land (each file read whole: a text matrix may
+    begin in any line, and windows over lines are not allowed on a stream)."""
     files = (spark.readStream.format("text").option("wholetext", "true")
              .option("maxFilesPerTrigger", str(max_files_per_trigger)).load(folder))
     files = files.select(F.col("_metadata.file_path").alias("path"), "value")
@@ -58,23 +70,19 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
 def stream_runs(lines_stream: DataFrame, sink: str, checkpoint: str, listing: DataFrame | None = None):
     """ST3: log lines land in any number of micro-batches; one record (E1) per log.
 
-    A batch keeps its lines and writes the records of the logs it touched, built from all their
-    lines so far; both go to a folder of the batch, so a repeated batch replaces its own output.
-    Of a log's records the one of its newest batch counts. ``line_no`` orders a log's lines over
-    all batches.
+    What a record needs of its log is a streaming aggregate, kept per log in Spark's state store: a
+    batch reads its own lines and the state of the logs it touches, whatever came before. The records
+    of the touched logs are written to a folder of the batch, so a repeated batch replaces its own
+    output; of a log's records the one of its newest batch counts. ``line_no`` orders a log's lines
+    over all batches.
     """
     spark = lines_stream.sparkSession
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.select("source_log", "line_no", "line").write.mode("overwrite").parquet(f"{sink}/lines/batch={batch_id}")
-        kept = spark.read.option("basePath", f"{sink}/lines").parquet(f"{sink}/lines").filter(F.col("batch") <= batch_id)
-        touched = spark.read.parquet(f"{sink}/lines/batch={batch_id}").select("source_log").distinct()
-        lines = kept.join(touched, "source_log", "left_semi").drop("batch")
-        rec = logs.build_records(logs.classify(lines), listing)
-        rec.write.mode("overwrite").parquet(f"{sink}/records/batch={batch_id}")
-
-    q = (lines_stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+        logs.finish_records(batch, listing).write.mode("overwrite").parquet(f"{sink}/records/batch={batch_id}")
+
+    q = (logs.gather_logs(lines_stream).writeStream.outputMode("update").foreachBatch(per_batch)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     records = spark.read.option("basePath", f"{sink}/records").parquet(f"{sink}/records")
     newest = records.groupBy("source_log").agg(F.max("batch").alias("batch"))

@@ -1,6 +1,7 @@
 """Sweep-line concurrency (W6) against a brute-force count on random intervals."""
 
 import numpy as np
+import pytest
 
 from orthoflow.operators import compare
 
@@ -57,3 +58,40 @@ def test_threads_count_once(spark):
     got = {r.g: r for r in compare.thread_concurrency(df, "g", "thread", "s", "e").collect()}
     assert (got["g"].threads, got["g"].max_active, got["g"].span) == (3, 3, 12)
     assert abs(got["g"].share_ge2 - 2 / 12) < 1e-12 and got["h"].max_active == 1
+
+
+def test_busy_intervals_of_a_long_thread(spark):
+    """One thread has nearly all intervals; they are joined bucket by bucket."""
+    import random
+
+    rng = random.Random(1)
+    rows = [("p", "long", s := rng.randrange(50_000), s + rng.choice([0, 1, 3, 40, 3000 if rng.random() < 0.01 else 2])) for _ in range(6000)]
+    rows += [("p", f"t{i % 9}", s := rng.randrange(50_000), s + rng.randrange(9)) for i in range(500)] + [("p", None, 5, 9), (None, "x", 1, 2), ("p", None, 9, 12)]
+    frame = spark.createDataFrame(rows, "g string, t string, s long, e long").repartition(6)
+    want = set()
+    for key in {r[:2] for r in rows}:
+        run = None
+        for s, e in sorted(r[2:] for r in rows if r[:2] == key):
+            if run is None or s > run[1]:
+                if run:
+                    want.add((*key, *run))
+                run = (s, e)
+            run = (run[0], max(run[1], e))
+        want.add((*key, *run))
+    for buckets in (2, 7, 256):
+        got = compare.busy_intervals(frame, "g", "t", "s", "e", buckets)
+        assert {(r["g"], r["t"], r["s"], r["e"]) for r in got.collect()} == want
+        assert got.count() == len(want)
+
+
+def test_ab_report(spark):
+    import math
+
+    rows = [(c, v, e, 2.0, s) for c, base, s in (("x", 10.0, 6.0), ("y", 30.0, 8.0)) for v, f in (("base", 1.0), ("new", 0.5 if c == "x" else 0.25)) for e in (base * f, base * f, base * f * 4)]
+    rows.append(("only base", "base", 5.0, 1.0, 1.0))
+    frame = spark.createDataFrame(rows, "case string, variant string, elapsed double, testcases double, sweeps double")
+    got = {r["case"]: r for r in compare.ab_report(frame, "case", "variant", "base", "new", "elapsed", "testcases", "sweeps").collect()}
+    assert set(got) == {"x", "y", None}
+    assert got["x"]["speedup"] == 2 and got["y"]["median_speedup"] == 4 and got["y"]["base_mean_elapsed"] == 60
+    assert got["x"]["base_share_pct"] == pytest.approx(100 * 60 / 245) and got["x"]["same_sweeps"]
+    assert got[None]["speedup"] == pytest.approx(math.sqrt(8)) and got[None]["arith_speedup"] == 3 and got[None]["cases"] == 2 and got[None]["level"] == "all"

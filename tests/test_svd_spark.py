@@ -214,3 +214,77 @@ def test_settings_are_checked(spark):
 
 def test_relational_on_no_matrices(spark):
     assert svd.svd(_packed(spark, {1: np.eye(2)}).limit(0), strategy="relational").count() == 0
+
+
+def test_checks_hold_no_matrix_beside_a_row(spark):
+    """Reconstruction and Freivalds' check agree with numpy; V is never joined to rows."""
+    rng = np.random.default_rng(8)
+    mats = {k: rng.normal(size=(40 + k, 5)) for k in range(4)}
+    rows = forms.packed_to_rows(_packed(spark, mats)).repartition(3)
+    factors, u = svd.svd_rows(rows)
+    back = checks.reconstruct_rows(u, factors)
+    got = _dense(back.withColumnRenamed("x_hat", "u").collect(), 5)
+    assert all(np.allclose(got[k], a, atol=1e-12) for k, a in mats.items())
+    assert "Join" not in back._jdf.queryExecution().executedPlan().toString()
+    ok = checks.freivalds(rows, u, factors)
+    assert all(r["residual"] < 1e-12 * r["size"] for r in ok.collect())
+    plan = ok._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 2 and not any(" v#" in line for line in joins)
+    v = np.array(factors.filter("matrix_id = 2").first()["v"])
+    wrong = factors.withColumn("v", F.when(F.col("matrix_id") == 2, F.array(*[F.lit(float(x)) for x in v + 1e-6])).otherwise(F.col("v")))
+    bad = {r["matrix_id"]: r["residual"] > 1e-9 * r["size"] for r in checks.freivalds(rows, u, wrong).collect()}
+    assert bad == {0: False, 1: False, 2: True, 3: False}
+    missing = checks.freivalds(rows, u.filter("not (matrix_id = 1 and r = 3)"), factors).collect()
+    assert {r["matrix_id"] for r in missing if r["residual"] == float("inf")} == {1}
+    vg = {(r["matrix_id"], r["i"], r["j"]): r["g"] for r in checks.v_gram(factors).collect()}
+    assert len(vg) == 100 and all(abs(g - (i == j)) < 1e-12 for (_, i, j), g in vg.items())
+
+
+def test_sweep_touches_the_rows_once(spark):
+    """A sweep on the triangular factor equals the rounds on the rows one by one."""
+    rng = np.random.default_rng(12)
+    mats = {1: rng.normal(size=(30, 5)), 2: rng.normal(size=(6, 5)), 3: np.diag([1.0, 2, 3, 4, 5])}
+    mats[1][4, 2] = np.nan
+    rows = forms.packed_to_rows(_packed(spark, mats)).repartition(3)
+    state = steps.initial_state(rows, 5)
+    swept = steps.jacobi_sweep(state, 5)
+    plan = swept._jdf.queryExecution().executedPlan().toString()
+    # no row is exploded by pair, and nothing is kept between rounds: the rows are read once more
+    assert plan.count("Generate") <= state._jdf.queryExecution().executedPlan().toString().count("Generate") and "InMemory" not in plan
+    one = state
+    for k in range(5):
+        one = steps.jacobi_round(one, 5, k, broadcast_stats=True)
+    want = {(r["matrix_id"], r["kind"], r["r"]): (r["x"], r["rot"]) for r in one.collect()}
+    got = {(r["matrix_id"], r["kind"], r["r"]): (r["x"], r["rot"]) for r in swept.collect()}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert np.allclose(got[k][0], want[k][0], atol=1e-10, equal_nan=True), k
+        assert got[k][1] == want[k][1]
+
+
+def test_pair_stats_wide_and_narrow(spark):
+    rng = np.random.default_rng(13)
+    for n in (6, 40):
+        a = rng.normal(size=(25, n))
+        rows = forms.packed_to_rows(_packed(spark, {1: a, 2: a * 2})).repartition(2)
+        got = steps.sweep_pair_stats(rows, n)
+        assert n > 32 or "Generate explode" not in got._jdf.queryExecution().executedPlan().toString()
+        seen = set()
+        for r in got.collect():
+            b = a * r["matrix_id"]
+            seen.add((r["matrix_id"], r["p"], r["q"]))
+            assert np.allclose([r["pp"], r["qq"], r["pq"]], [b[:, r["p"]] @ b[:, r["p"]], b[:, r["q"]] @ b[:, r["q"]], b[:, r["p"]] @ b[:, r["q"]]])
+        assert len(seen) == n * (n - 1)
+
+
+def test_auto_rows_in_one_pass(spark, sf):
+    """The route is decided inside the solve: one scan, one exchange, no job while the plan is built."""
+    rows = fx.lineitem_rows(spark, sf, "supplier", fx.LI4_COLUMNS)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("auto-build", "auto-build")
+    auto = svd.svd_auto_rows(rows)
+    plan = auto._jdf.queryExecution().executedPlan().toString()
+    assert not tracker.getJobIdsForGroup("auto-build")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
