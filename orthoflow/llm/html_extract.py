@@ -451,38 +451,47 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     occurrences) and the gap of the class around it (-2: several, or spans that cross)."""
     for _, sites, known, tokens in _runs(batches, "classes"):
         made = {s: Classes(known[s][0] or []) for s in known}
-        votes: dict[tuple, int] = {}
+        patterns: dict[tuple, int] = {}  # how often the tokens of classes follow each other like this
         for i, site in enumerate(sites):
             classes = made[site]
-            if not len(classes.ids):
-                continue
-            mine = tokens.token[tokens.first[i] : tokens.first[i + 1]]
-            cls, rank = classes.on(mine)
-            found = list(_spans(cls, rank, classes.size))
-            broken = set(np.unique(cls[cls >= 0]).tolist()) - {k for k, _, _ in found}
-            good = []
-            for kind, at, ranks in found:
-                if (ranks == ranks[0]).all() and len(np.unique(ranks[0])) == len(ranks[0]):
-                    good.append((kind, at, tuple(ranks[0].tolist())))
-                else:
-                    broken.add(kind)
-            around = _slots(len(mine), [(k, at) for k, at, _ in good])
-            for kind, at, ranks in good:
-                # the gap around an occurrence shows just before its first token and at its last
-                before = np.where(at[:, 0] > 0, around[at[:, 0] - 1], -1)
-                behind = around[at[:, -1]]
-                parent = np.unique(np.concatenate((before, behind)))
-                gap = int(parent[0]) if len(parent) == 1 else -2
-                if gap >= 0:
-                    gap = _gap_key(classes.ids[gap >> 32], gap & 0xFFFFFFFF)
-                votes[site, classes.ids[kind], ranks, gap] = votes.get((site, classes.ids[kind], ranks, gap), 0) + 1
-            for kind in broken:
-                votes[site, classes.ids[kind], None, -2] = votes.get((site, classes.ids[kind], None, -2), 0) + 1
+            if len(classes.ids):
+                cls, rank = classes.on(tokens.token[tokens.first[i] : tokens.first[i + 1]])
+                told = cls >= 0
+                key = (site, cls[told].tobytes(), rank[told].tobytes())
+                patterns[key] = patterns.get(key, 0) + 1
+        votes: dict[tuple, int] = {}
+        for (site, cls, rank), many in patterns.items():
+            for vote in _page_votes(made[site], np.frombuffer(cls, np.int64), np.frombuffer(rank, np.int64)):
+                votes[site, *vote] = votes.get((site, *vote), 0) + many
         if votes:
             rows = [{"site": s, "cls": c, "ranks": None if r is None else list(r), "parent": p, "pages": n} for (s, c, r, p), n in votes.items()]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("site", pa.string()), ("cls", pa.int64()), ("ranks", pa.list_(pa.int32())), ("parent", pa.int64()), ("pages", pa.int64())]))
 
 
+def _page_votes(classes: Classes, cls: np.ndarray, rank: np.ndarray) -> Iterator[tuple[int, tuple | None, int]]:
+    """(class, order of its tokens, gap around it) from the tokens of classes on a page."""
+    found = list(_spans(cls, rank, classes.size))
+    broken = set(np.unique(cls).tolist()) - {k for k, _, _ in found}
+    good = []
+    for kind, at, ranks in found:
+        if (ranks == ranks[0]).all() and len(np.unique(ranks[0])) == len(ranks[0]):
+            good.append((kind, at, tuple(ranks[0].tolist())))
+        else:
+            broken.add(kind)
+    around = _slots(len(cls), [(k, at) for k, at, _ in good])
+    for kind, at, ranks in good:
+        # the gap around an occurrence shows just before its first token and at its last
+        before = np.where(at[:, 0] > 0, around[at[:, 0] - 1], -1)
+        behind = around[at[:, -1]]
+        parent = np.unique(np.concatenate((before, behind)))
+        gap = int(parent[0]) if len(parent) == 1 else -2
+        if gap >= 0:
+            gap = _gap_key(classes.ids[gap >> 32], gap & 0xFFFFFFFF)
+        yield classes.ids[kind], ranks, gap
+    for kind in broken:
+        yield classes.ids[kind], None, -2
+
+
 def _gap_key(cls: int, gap: int) -> int:
     """One number for a gap of a class, not negative."""
     return _role(cls, str(gap)) >> 1
@@ -491,27 +500,40 @@ def _gap_key(cls: int, gap: int) -> int:
 # --- blocks --------------------------------------------------------------------------------
 
 
-def _page_blocks(tokens: Tokens, i: int, classes: Classes) -> list[tuple[int, int | None, bool]]:
-    """(block, slot or None, all its words are of the template) of a page, in order."""
-    lo, hi = tokens.first[i], tokens.first[i + 1]
-    blocks = range(tokens.first_block[i], tokens.first_block[i + 1])
-    if not len(classes.ids):
-        return [(b, None, False) for b in blocks]
-    mine, block = tokens.token[lo:hi], tokens.block[lo:hi]
-    cls, rank = classes.on(mine)
+def _layout(classes: Classes, cls: np.ndarray, rank: np.ndarray) -> tuple[list, np.ndarray]:
+    """Of the tokens of classes on a page: the slot from each of them to the next (None outside of all), and
+    whether it is of a steady class in its order."""
     spans = [(k, at) for k, at, ranks in _spans(cls, rank, classes.size) if (ranks == np.arange(classes.size[k])).all()]
-    other = np.ones(len(mine), bool)
+    fixed = np.zeros(len(cls), bool)
     for kind, at in spans:
         if classes.steady[kind]:
-            other[at.ravel()] = False
-    slot = _slots(len(mine), spans)
+            fixed[at.ravel()] = True
+    slots = _slots(len(cls), spans).tolist()
+    return [None if s < 0 else _gap_key(classes.ids[s >> 32], s & 0xFFFFFFFF) for s in slots], fixed
+
+
+def _page_blocks(tokens: Tokens, i: int, classes: Classes, known: dict) -> list[tuple[int, int | None, bool]]:
+    """(block, slot or None, all its words are of the template) of a page, in order. ``known`` keeps the
+    layouts of pages alike."""
+    blocks = range(int(tokens.first_block[i]), int(tokens.first_block[i + 1]))
+    if not len(classes.ids) or not blocks:
+        return [(b, None, False) for b in blocks]
+    lo, hi = tokens.first[i], tokens.first[i + 1]
+    block = tokens.block[lo:hi]
+    cls, rank = classes.on(tokens.token[lo:hi])
+    told = np.flatnonzero(cls >= 0)
+    cls, rank = cls[told], rank[told]
+    key = (cls.tobytes(), rank.tobytes())
+    if key not in known:
+        known[key] = _layout(classes, cls, rank)
+    slots, fixed = known[key]
     words = np.flatnonzero(block >= 0)
     begin = np.searchsorted(block[words], np.arange(blocks.start, blocks.stop))  # every block has words
-    own = np.add.reduceat(other[words].astype(np.int64), begin) if len(words) else []
-    out = []
-    for b, where, many in zip(blocks, slot[words[begin]].tolist() if len(words) else [], own, strict=True):
-        out.append((b, None if where < 0 else _gap_key(classes.ids[where >> 32], where & 0xFFFFFFFF), not many))
-    return out
+    other = np.ones(len(block), np.int64)
+    other[told[fixed]] = 0
+    own = np.add.reduceat(other[words], begin).tolist()
+    last = (np.searchsorted(told, words[begin], side="right") - 1).tolist()  # the class token at or before a block
+    return [(b, slots[at] if at >= 0 else None, not many) for b, at, many in zip(blocks, last, own, strict=True)]
 
 
 _SLOTS = "site string, slot long, characters long, links long, pages long"
@@ -526,12 +548,12 @@ def _slot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Characters and characters of links in each slot; slot null: on how many pages the template
     leaves some text that is its own."""
     for batch, sites, known, tokens in _runs(batches, "classes"):
-        made = {s: Classes(known[s][0] or []) for s in known}
+        made = {s: (Classes(known[s][0] or []), {}) for s in known}
         _, links, sizes = _block_facts(batch, tokens)
         sums: dict[tuple, list[int]] = {}
         for i, site in enumerate(sites):
             fresh = False
-            for block, slot, fixed in _page_blocks(tokens, i, made[site]):
+            for block, slot, fixed in _page_blocks(tokens, i, *made[site]):
                 fresh = fresh or not fixed
                 if slot is not None:
                     here = sums.setdefault((site, slot), [0, 0, 0])
@@ -547,13 +569,13 @@ def _slot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of each page."""
     for batch, sites, known, tokens in _runs(batches, "classes", "menus", "varies"):
-        made = {s: Classes(known[s][0] or []) for s in known}
+        made = {s: (Classes(known[s][0] or []), {}) for s in known}
         menus = {s: set(known[s][1] or []) for s in known}
         levels, links, sizes = _block_facts(batch, tokens)
         texts = tokens.texts.to_pylist()
         out = []
         for i, site in enumerate(sites):
-            found = _page_blocks(tokens, i, made[site])
+            found = _page_blocks(tokens, i, *made[site])
             level = max((levels[b] for b, _, _ in found), default=0)
             lines = []
             for block, slot, fixed in found:
