@@ -265,7 +265,7 @@ FROM tim""")
 def run_summary(spark, sf_dir):
     """Manifest, records in total, by mode and by status, warnings, errors, elapsed times."""
     t = F.col("timing_elapsed_seconds")
-    manifest = logs.manifest_map(logs.manifest_entries(manifest_lines(spark, sf_dir).withColumn("manifest", F.lit(0)))).select("manifest")
+    manifest = logs.manifest_map(logs.manifest_entries(manifest_lines(spark, sf_dir).withColumn("run", F.lit(0)), "run"), "run").select("manifest")
     pairs = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ";").alias(c)
     return logs.run_summary(_records(spark, sf_dir), manifest).select(
         pairs("manifest"), pairs("by_mode"), pairs("by_status"),
