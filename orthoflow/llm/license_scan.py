@@ -1,10 +1,10 @@
 """License scans (operator 10): Aho-Corasick for tags and notice phrases, expressions by
 shunting-yard.
 
-Method: one automaton holds the name and notice phrases as words with single blanks and runs over
-a document's words; a second, tiny pass finds identifier tags in the raw text. The expression
-behind a tag is parsed by a shunting-yard parser (with binds before and, and before or) and
-evaluated against a set of accepted licenses.
+Method: one automaton over words holds the name and notice phrases and the words of the identifier
+tag, and runs over a document's words. The expression behind a tag is parsed by a shunting-yard
+parser (with binds before and, and before or) as far as it names known licenses, and evaluated
+against a set of accepted ones. Phrases, licenses and accepted licenses are parameters.
 """
 
 from __future__ import annotations
@@ -45,23 +45,63 @@ TAG = b"spdx-license-identifier"
 #: to true with exactly these granted.
 ACCEPTED = frozenset("mit apache-2.0 bsd-2-clause bsd-3-clause isc 0bsd zlib unlicense cc0-1.0 bsl-1.0".split())
 
-_EXPRESSION = re.compile(rb"spdx-license-identifier\s*:[ \t]*([^\r\n]*)")
-_TOKEN = re.compile(r"\(|\)|[a-z0-9.+:-]+")
+
+def license_ids() -> frozenset[str]:
+    """Known license identifiers, lower-case: single names, and families with their versions."""
+    names = set(
+        "mit mit-0 x11 isc 0bsd zlib unlicense wtfpl ncsa postgresql openssl curl icu ntp tcl ruby vim w3c hpnd sleepycat "
+        "beerware libtiff ijg json naist-2003 bsd-source-code php-3.0 php-3.01 python-2.0 psf-2.0 unicode-3.0 unicode-dfs-2016 blueoak-1.0.0".split()
+    )
+    versions = {
+        "apache": "1.0 1.1 2.0", "mpl": "1.0 1.1 2.0", "epl": "1.0 2.0", "eupl": "1.0 1.1 1.2", "cddl": "1.0 1.1", "osl": "1.0 2.0 2.1 3.0", "afl": "1.1 2.0 2.1 3.0",
+        "artistic": "1.0 2.0", "bsl": "1.0", "cc0": "1.0", "ofl": "1.0 1.1", "lppl": "1.0 1.2 1.3a 1.3c", "upl": "1.0", "zpl": "1.1 2.0 2.1", "cecill": "1.0 2.0 2.1", "mulanpsl": "1.0 2.0",
+        "cpl": "1.0", "ipl": "1.0", "busl": "1.1", "sspl": "1.0", "nasa": "1.3", "libpng": "2.0", "ecl": "1.0 2.0", "ms": "pl rl", "odbl": "1.0", "pddl": "1.0",
+    }
+    names |= {f"{family}-{v}" for family, vs in versions.items() for v in vs.split()}
+    names |= {f"bsd-{n}-clause{more}" for n in "1234" for more in ("", "-clear", "-patent", "-attribution")}
+    names |= {f"{family}-{v}{kind}" for family, vs in (("gpl", "1.0 2.0 3.0"), ("lgpl", "2.0 2.1 3.0"), ("agpl", "1.0 3.0"), ("gfdl", "1.1 1.2 1.3")) for v in vs.split() for kind in ("", "-only", "-or-later")}
+    return frozenset(names | {f"cc-by{kind}-{v}" for kind in ("", "-sa", "-nc", "-nd", "-nc-sa", "-nc-nd") for v in "1.0 2.0 2.5 3.0 4.0".split()})
+
+
+KNOWN = license_ids()
+_BEHIND_TAG = re.compile(r"\s*:[ \t]*([^\r\n]*)")
+_TOKEN = re.compile(r"\(|\)|[^\s()]+")
+_EXCEPTION = re.compile(r"[a-z0-9.-]*exception(-[0-9.]+)?|exception-[a-z0-9.-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 FOUND = "n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, expressions array<string>, permitted boolean, score double"
 
 
-def parse_expression(text: str) -> list[str] | None:
-    """Reverse Polish form of a lower-case licence expression; None when it is malformed.
+def expression_tokens(text: str, known: frozenset[str] = KNOWN) -> list[str]:
+    """Tokens of a lower-case expression up to the first that is none: parentheses, operators, known
+    licenses (a plus behind them allowed), references (licenseref-...) and, behind with, exceptions."""
+    out: list[str] = []
+    for raw in _TOKEN.findall(re.split(r"\*/|-->|[,;]", text)[0]):
+        token = raw.rstrip(".") or raw
+        after_with = bool(out) and out[-1] == "with"
+        named = _EXCEPTION.fullmatch(token) if after_with else token.removesuffix("+") in known or token.startswith(("licenseref-", "documentref-"))
+        if not (token in "()" or token in _RANK or named):
+            while out and (out[-1] in _RANK or out[-1] == "("):  # what leads on to prose is prose
+                out.pop()
+            break
+        out.append(token)
+        if token != raw:  # a full stop ends the sentence
+            break
+    return out
 
-    Text behind the expression (a comment's end, a full stop) is left out.
-    """
+
+def parse_expression(text: str, known: frozenset[str] = KNOWN) -> list[str] | None:
+    """Reverse Polish form of the expression that a lower-case text begins with; None without any, or
+    when it is malformed."""
+    return shunting_yard(expression_tokens(text, known))
+
+
+def shunting_yard(tokens: list[str]) -> list[str] | None:
+    """Reverse Polish form of a whole expression; None when it is malformed."""
     out: list[str] = []
     held: list[str] = []
     operand = False  # whether the last token ended an operand
-    for token in _TOKEN.findall(re.split(r"\*/|-->|[,;]", text)[0]):
-        token = token.rstrip(".") or "."
+    for token in tokens:
         if token == "(":
             if operand:
                 return None
@@ -82,7 +122,7 @@ def parse_expression(text: str) -> list[str] | None:
             held.append(token)
             operand = False
         elif operand:
-            break  # words that follow a whole expression
+            return None
         else:
             out.append(token)
             operand = True
@@ -108,21 +148,44 @@ def evaluate(rpn: list[str], accepted: frozenset[str] = ACCEPTED) -> tuple[bool,
 
 
 class PhraseFinder:
-    """Aho-Corasick automaton over words with single blanks; phrases match whole words."""
+    """Aho-Corasick automaton over words: states by (state, word), links to the longest suffix that is
+    a state, and the phrases that end in each state."""
 
     def __init__(self, phrases: dict[str, str]):
-        import ahocorasick
-
-        self.automaton = ahocorasick.Automaton()
+        self.next: list[dict[bytes, int]] = [{}]
+        self.ends: list[list[tuple[int, str]]] = [[]]  # words of the phrase, label
         for phrase, label in phrases.items():
-            self.automaton.add_word(f" {phrase} ", (phrase, label))
-        self.automaton.make_automaton()
+            state, words = 0, phrase.encode().split()
+            for word in words:
+                if word not in self.next[state]:
+                    self.next[state][word] = len(self.next)
+                    self.next.append({})
+                    self.ends.append([])
+                state = self.next[state][word]
+            self.ends[state].append((len(words), label))
+        self.link = [0] * len(self.next)
+        order = list(self.next[0].values())
+        for state in order:  # by depth: links of shorter ones are known
+            for word, to in self.next[state].items():
+                self.link[to] = self._step(self.link[state], word)
+                self.ends[to] += self.ends[self.link[to]]
+                order.append(to)
+
+    def _step(self, state: int, word: bytes) -> int:
+        while word not in self.next[state]:
+            if not state:
+                return 0
+            state = self.link[state]
+        return self.next[state][word]
 
-    def places(self, words: list[bytes]) -> list[tuple[int, str, str]]:
-        """(first word, phrase, label) of every occurrence."""
-        text = " " + b" ".join(words).decode("latin-1") + " "
-        begins = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words])))
-        return [(int(np.searchsorted(begins, end - len(phrase) - 1)), phrase, label) for end, (phrase, label) in self.automaton.iter(text)]
+    def places(self, words: list[bytes]) -> list[tuple[int, int, str]]:
+        """(first word, words, label) of every occurrence."""
+        state, out = 0, []
+        for i, word in enumerate(words):
+            state = self._step(state, word)
+            for size, label in self.ends[state]:
+                out.append((i + 1 - size, size, label))
+        return out
 
 
 def anchors(phrases: list[str]) -> set[bytes]:
@@ -130,9 +193,14 @@ def anchors(phrases: list[str]) -> set[bytes]:
     return {max(p.split(), key=len).encode() for p in phrases}
 
 
-def _scanner(text: str, notices: dict[str, str], accepted: frozenset[str]):
+#: label of the tag's words in the automaton; labels of base phrases have a plus before them
+_TAGGED = "#tag"
+
+
+def _scanner(text: str, notices: dict[str, str], accepted: frozenset[str], known: frozenset[str]):
     phrases = {**{p: f"+{v}" for p, v in BASE.items()}, **{p: v for p, v in notices.items() if p not in BASE}}
     words_of_phrases = anchors(list(phrases)) | {TAG}
+    phrases[TAG.decode().replace("-", " ")] = _TAGGED
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = PhraseFinder(phrases)
@@ -151,7 +219,7 @@ def _scanner(text: str, notices: dict[str, str], accepted: frozenset[str]):
             counts = np.diff(words.first).tolist()
             rows = [(n, 0, None, None, [], [], [], None, 0.0) for n in counts]
             for r in near:
-                rows[r] = _row(words, r, raw[int(ends[r]) : int(ends[r + 1])], finder, accepted)
+                rows[r] = _row(words, r, raw[int(ends[r]) : int(ends[r + 1])], finder, accepted, known)
             columns = list(zip(*rows, strict=True))
             found = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             kept = [(n, batch.column(n)) for n in batch.schema.names if n != text]
@@ -160,19 +228,25 @@ def _scanner(text: str, notices: dict[str, str], accepted: frozenset[str]):
     return scan
 
 
-def _row(words, r: int, raw: bytes, finder: PhraseFinder, accepted: frozenset[str]) -> tuple:
+def _row(words, r: int, raw: bytes, finder: PhraseFinder, accepted: frozenset[str], known: frozenset[str]) -> tuple:
     first, end = int(words.first[r]), int(words.first[r + 1])
     places = finder.places([words.text(i) for i in range(first, end)])
     base = [(at, label[1:]) for at, _, label in places if label[0] == "+"]
     labels = defaultdict(float)
     for _, label in base:
         labels[label] = max(labels[label], 0.6)
-    for _, _, label in places:
-        if label[0] != "+":
-            labels[label] = max(labels[label], 0.8)
     expressions, verdicts = [], []
-    for m in _EXPRESSION.finditer(raw):
-        rpn = parse_expression(m[1].decode("utf-8", "replace"))
+    begin = int(words.offsets[r])
+    for at, size, label in places:
+        if label[0] == "+":
+            continue
+        if label != _TAGGED:
+            labels[label] = max(labels[label], 0.8)
+            continue
+        start, stop = (int(x) - begin for x in (words.start[first + at], words.end[first + at + size - 1]))
+        line = raw[stop : raw.find(b"\n", stop) if b"\n" in raw[stop:] else len(raw)].decode("utf-8", "replace") if raw[start:stop] == TAG else ""
+        behind = _BEHIND_TAG.match(line)
+        rpn = parse_expression(behind[1], known) if behind else None
         if rpn is not None:
             ok, named = evaluate(rpn, accepted)
             expressions.append(" ".join(rpn))
@@ -187,6 +261,7 @@ def _row(words, r: int, raw: bytes, finder: PhraseFinder, accepted: frozenset[st
 
 def scan_licenses(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, str] | None = None, accepted: frozenset[str] = ACCEPTED,
+    known: frozenset[str] = KNOWN,
 ) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word (places of the base
     phrases), base_labels, labels, expressions (in reverse Polish form), permitted (all of them
@@ -194,11 +269,11 @@ def scan_licenses(
     1 an identifier expression).
 
     Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z. Null and empty texts
-    have no words and no labels; a malformed expression gives no label; repeated rows are
-    reported each; an empty table gives an empty result.
+    have no words and no labels; text behind a tag that begins no expression of ``known`` licenses
+    and references gives no label, text behind an expression is left out; repeated rows are reported each; an empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     notices = NOTICES if notices is None else notices
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scanner("text", notices, accepted), f"doc_id {id_type}, {FOUND}")
+    return rows.mapInArrow(_scanner("text", notices, accepted, known), f"doc_id {id_type}, {FOUND}")

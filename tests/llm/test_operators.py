@@ -564,6 +564,34 @@ def test_expressions():
     assert run(parse("apache-2.0 with llvm-exception")) == (True, ["apache-2.0 with llvm-exception"])
 
 
+def test_prose_is_no_expression(spark):
+    """Only known licenses, references and exceptions are names; what follows an expression is left out."""
+    parse = license_scan.parse_expression
+    assert parse("mit and see the file") == ["mit"] and parse("mit and (see the file)") == ["mit"]
+    for none in ("to be decided", "see license", "and", "(see mit)", "none"):
+        assert parse(none) is None, none
+    assert parse("licenseref-acme or gpl-2.0+ with gcc-exception-3.1") == ["licenseref-acme", "gpl-2.0+", "gcc-exception-3.1", "with", "or"]
+    assert parse("apache-2.0. more") == ["apache-2.0"]
+    tag = "SPDX-License-Identifier"
+    texts = [f"{tag}: MIT and see the file", f"{tag}: to be decided", f"{tag} : ISC\nMIT", f"x {tag}:\nMIT", f"{tag}-x: MIT", "spdx license identifier: MIT", f"/* {tag.lower()}: (MIT OR Apache-2.0) */ {tag}: 0BSD", f"{tag}:"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["permitted"]) for r in license_scan.scan_licenses(frame).collect()}
+    assert got == {0: (["mit"], True), 1: ([], None), 2: (["isc"], True), 3: ([], None), 4: ([], None), 5: ([], None), 6: (["0bsd", "apache-2.0", "mit"], True), 7: ([], None)}
+
+
+def test_automaton():
+    """Every occurrence of every phrase, those inside and across each other too."""
+    import random
+
+    rng = random.Random(4)
+    for _ in range(300):
+        phrases = {" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))): str(i) for i in range(6)}
+        words = [rng.choice("abcd") for _ in range(30)]
+        finder = license_scan.PhraseFinder(phrases)
+        want = sorted((i, len(p.split()), label) for p, label in phrases.items() for i in range(30) if words[i : i + len(p.split())] == p.split())
+        assert sorted(finder.places([w.encode() for w in words])) == want
+
+
 def test_licenses(spark, docs, rows, empty):
     texts = [
         (1, "The MIT License; mit\nLICENSE. permit license"), (2, "Apache-License and GNU general public license"), (3, None), (4, ""), (5, "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only\nx"),
