@@ -18,7 +18,7 @@ HEADLINE = [
     "svd_sigma_batch",      # every embedding as a 16 x 4 matrix
     "svd_reconstruct",      # batch solve with U and the distributed reconstruction
     "svd_sigma_n2",
-    "jacobi_sweep",         # relational sweep (pure Catalyst)
+    "jacobi_sweep",         # relational sweep on triangular factors
     "gen_uniform_svd",      # generated grid of default shapes, batch solve
     "flat_summary",         # log ETL
     "concurrency_profile",  # sweep line over orders
@@ -48,7 +48,9 @@ def reference_case(spark, cases: int, shape: str, dist: str):
     from orthoflow.operators import svd
 
     o = gen.GenOptions(shape_distribution=shape, value_distribution=dist)
-    plan = spark.range(cases, numPartitions=max(1, min(cases // 8, 64))).select(
+    # a small case in one wave of tasks, a large one in tasks of a few hundred matrices
+    parts = max(1, min(cases // 8, max(spark.sparkContext.defaultParallelism, cases // 300)))
+    plan = spark.range(cases, numPartitions=parts).select(
         F.lit(0).cast("bigint").alias("file_index"), F.col("id").alias("case_index"))
     packed = gen.generate_packed(gen.choose_shapes(plan, gen.shape_candidates(spark, o), o), o)
     return svd.svd(packed, strategy="batch")

@@ -163,8 +163,9 @@ def divide_infinite(u: np.ndarray, a: np.ndarray, sigma: np.ndarray) -> np.ndarr
         return np.where(wide, a / np.where(wide, np.inf, 1.0), u)
 
 
-def svd_stack(a: np.ndarray, eps: float = DEFAULT_EPS, max_sweeps: int = DEFAULT_MAX_SWEEPS):
-    """(u, sigma, v, sweeps, converged) for a stack (B, m, n), m >= n; sigma in column order.
+def svd_stack(a: np.ndarray, eps: float = DEFAULT_EPS, max_sweeps: int = DEFAULT_MAX_SWEEPS, with_u: bool = True):
+    """(u, sigma, v, sweeps, converged) for a stack (B, m, n), m >= n; sigma in column order. Without U
+    no Q is formed, and u is None.
 
     The n x n R of a batched QR is rotated instead of A: the pair statistics of R equal those
     of A (R^T R = A^T A), so the rotations, sweeps and V are the same in exact arithmetic. With
@@ -178,9 +179,11 @@ def svd_stack(a: np.ndarray, eps: float = DEFAULT_EPS, max_sweeps: int = DEFAULT
     a = np.asarray(a, dtype=np.float64)
     flags = column_flags(a)
     clean = np.where(flags[..., None, :] > FINITE, 0.0, a) if flags.any() else a
-    q, r = np.linalg.qr(clean)
+    q, r = np.linalg.qr(clean) if with_u else (None, np.linalg.qr(clean, mode="r"))
     r_rot, v, sweeps, converged = jacobi_stack(r, eps, max_sweeps)
     sigma = column_norms(r_rot)
+    if not with_u:
+        return None, flagged_sigma(sigma, flags), v, sweeps, converged
     u = q @ u_from_rotated(r_rot, sigma, eps)
     sigma = flagged_sigma(sigma, flags)
     return divide_infinite(u, a, sigma), sigma, v, sweeps, converged

@@ -126,7 +126,7 @@ def _batch_solver(eps: float, max_sweeps: int, with_u: bool = True, in_order: bo
                     valid = pos[None, :] < (m_each * n)[:, None]
                     gather = np.where(valid, offs[idx][:, None] + pos[None, :], 0)
                     stack = np.where(valid, vals[gather], 0.0).reshape(len(idx), m_max, n)
-                    emit(idx, *svd_stack(stack, eps, max_sweeps), m_each, int(n))
+                    emit(idx, *svd_stack(stack, eps, max_sweeps, with_u), m_each, int(n))
             idx = np.concatenate(parts["idx"])
             nn = ns[idx]
             cols = [
