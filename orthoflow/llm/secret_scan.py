@@ -2,8 +2,9 @@
 
 Method: a scan finds credentials by pattern and, besides, long mixed tokens of high entropy. The
 hash of each candidate's value is then counted over the whole corpus by distinct repositories and
-owners. A value seen with many owners is a copied example; a live-looking value of few owners is
-a credential of its owner and becomes a span of kind ``live`` even where no pattern names it.
+owners. A value seen with many owners, or with more than one in many repositories, is a copied
+example; a live-looking value of few owners, or of one however many repositories that one has, is a
+credential of its owner and becomes a span of kind ``live`` even where no pattern names it.
 Values leave the tasks only as hashes.
 """
 
@@ -126,11 +127,12 @@ def _scanner(text: str, min_token: int, min_entropy: float):
 
 def scan_secrets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | str = "source", repository: Column | str | None = None,
-    min_token: int = 20, min_entropy: float = 3.5, copied_owners: int = 3,
+    min_token: int = 20, min_entropy: float = 3.5, copied_owners: int = 3, copied_repositories: int = 5,
 ) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base (spans found by pattern),
     spans (those and the ``live`` ones), n_copied (candidates whose value has ``copied_owners``
-    owners or more) and n_live (other candidates).
+    owners or more, or two and more in ``copied_repositories`` repositories or more) and n_live (other
+    candidates).
 
     A candidate is the value of a pattern, or a token of ``min_token`` characters and more, with
     letters and digits, of at least ``min_entropy`` bits a character, outside the patterns. Null
@@ -148,7 +150,8 @@ def scan_secrets(
     both = scanned.filter("size(base) + size(extra) > 0").select("row", "owner", "repository", F.explode(F.concat("base", "extra")).alias("span"))
     # how many repositories and owners hold each value: two partial distinct counts, hot values included
     held = both.select(F.col("span.key").alias("key"), "owner", "repository").groupBy("key").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"))
-    copied = stage(held.filter((F.col("owners") >= copied_owners)).select("key", "owners", "repositories"), "secrets-copied")
+    spread = (F.col("owners") > 1) & (F.col("repositories") >= copied_repositories)
+    copied = stage(held.filter((F.col("owners") >= copied_owners) | spread).select("key", "owners", "repositories"), "secrets-copied")
     judged = both.join(small(copied, 48), both["span.key"] == copied["key"], "left").select("row", "span", F.col("owners").isNotNull().alias("copied"))
     per_row = judged.groupBy("row").agg(
         F.sum(F.col("copied").cast("bigint")).alias("n_copied"), F.sum((~F.col("copied")).cast("bigint")).alias("n_live"),

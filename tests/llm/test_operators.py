@@ -473,6 +473,33 @@ def test_secrets(spark, empty):
     assert secret_scan.scan_secrets(empty).count() == 0
 
 
+def test_ownership(spark):
+    """Copied and live values by owners and repositories, counted by brute force."""
+    import random
+
+    rng = random.Random(6)
+    values = ["".join(rng.choice("abcdefghjkmnpqrstuvwxyz23456789ABCDEFGHJK") for _ in range(28)) + "x7" for _ in range(40)]
+    rows = []
+    for i in range(400):
+        k = rng.randrange(40)
+        owner = rng.randrange(1 + k % 4) if k % 5 else rng.choice([0, None])
+        rows.append((i, f"set {values[k]} here" + (f" and {values[0]}" if i % 50 == 0 else ""), owner, rng.randrange(1 + k % 6)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, who long, repo long").repartition(4)
+    got = secret_scan.scan_secrets(frame, owner="who", repository=F.struct("who", "repo")).collect()
+    owners, repos = defaultdict(set), defaultdict(set)
+    for _, t, who, repo in rows:
+        for v in t.split():
+            owners[v].add(who)
+            repos[v].add((who, repo))
+    copied = {v for v in values if len(owners[v]) >= 3 or (len(owners[v]) > 1 and len(repos[v]) >= 5)}
+    assert any(len(owners[v]) == 2 for v in copied) and any(len(repos[v]) >= 5 for v in set(values) - copied)
+    for r in got:
+        told = [v for v in rows[r["doc_id"]][1].split() if v in set(values)]
+        assert (r["n_copied"], r["n_live"]) == (sum(v in copied for v in told), sum(v not in copied for v in told))
+        text = rows[r["doc_id"]][1]
+        assert [text[s["start"] : s["end"]] for s in r["spans"]] == [v for v in told if v not in copied]
+
+
 # --- 8 -----------------------------------------------------------------------------------------
 
 
