@@ -34,15 +34,17 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: of each component of similar texts, the document with the smallest id stays (of equal
-    ids the one whose text has the smaller digest; a null id only if there is no other). Texts without
+    ids the one whose text has the smaller hash; a null id only if there is no other). Texts without
     words are similar to none."""
     key, gone_key = fresh(docs, "_key", "_gone")
-    # a row is its id and text; structs compare by their parts in order
-    keyed = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")))
+    # a row is its id (none: beyond all) and 40 bits of its text, as one number that sorts by the id
+    number = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(1 << 64)).cast("decimal(20,0)")) * F.lit(1 << 40).cast("decimal(13,0)")
+    mark = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 40)).cast("decimal(13,0)")
+    keyed = docs.withColumn(key, (number + mark).cast("decimal(38,0)"))
     found = stage(ngram_jaccard.jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text")), "pipeline-near").filter("n_shingles > 0")
     same = F.col(key).eqNullSafe(F.col(gone_key))
     gone = stage(found.filter("not doc_id <=> component_id").select(F.col("doc_id").alias(gone_key)).distinct(), "pipeline-gone")
-    rest = keyed.join(small(gone, 120), same, "left_anti")
+    rest = keyed.join(small(gone, 32), same, "left_anti")
     twice = found.filter("doc_id <=> component_id").groupBy(F.col("doc_id").alias(gone_key)).count().filter("count > 1").select(gone_key)
     twice = stage(twice, "pipeline-twice")
     if twice.isEmpty():
