@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -206,14 +205,27 @@ def parse_txt_lines(lines: DataFrame) -> DataFrame:
     return _parse_blocks(blocks.select("path", "seq", F.transform("_l", lambda e: e["line"]).alias("lines")))
 
 
+def _text_blocks(batches):
+    """mapInArrow body: the text of each matrix behind its columns. %.17g as C prints it; Java's
+    formatter pads the shortest digits with zeros instead."""
+    import pyarrow as pa
+
+    for rb in batches:
+        cells, blocks, at = rb.column("cells"), [], 0
+        values = cells.flatten().to_numpy(zero_copy_only=False).tolist()
+        for size, n in zip(cells.value_lengths().to_pylist(), rb.column("n_cols").to_pylist(), strict=True):
+            size = size or 0
+            line = " ".join(["%.17g"] * n) + "\n"
+            blocks.append(line * (size // n if n else 0) % tuple(values[at:at + size]))
+            at += size
+        yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(blocks, pa.string())], names=[*rb.schema.names, "block"])
+
+
 def format_txt(packed: DataFrame) -> DataFrame:
     """One text block per matrix: rows of 17-significant-digit numbers, '\\n' after each row."""
-    @F.pandas_udf("string")
-    def block(cells: pd.Series, cols: pd.Series) -> pd.Series:
-        # %.17g as C prints it; Java's formatter pads the shortest digits with zeros instead
-        return pd.Series([((" ".join(["%.17g"] * int(n)) + "\n") * (len(x) // n if n else 0)) % tuple(x) for x, n in zip(cells, cols, strict=True)], dtype=object)
+    from pyspark.sql.types import StringType, StructField, StructType
 
-    return packed.select("*", block("cells", "n_cols").alias("block"))
+    return packed.mapInArrow(_text_blocks, StructType([*packed.schema.fields, StructField("block", StringType())]))
 
 
 def write_txt(packed: DataFrame, path: str, mode: str = "errorifexists", order_col: str = "matrix_id",
