@@ -227,21 +227,39 @@ def choose_shapes(cases: DataFrame, cands: DataFrame, o: GenOptions) -> DataFram
 
 # ---- G3-G10 values ------------------------------------------------------------------
 
+def spread(cases: DataFrame, *keys: str) -> DataFrame:
+    """Cases dealt out over tasks before they grow into cells. A table of cases is a few bytes each, so
+    neither its files nor an adaptive exchange would split it; the count is therefore given."""
+    spark = cases.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return cases.repartition(tasks, *keys)
+
+
 def generate_cells(shaped: DataFrame, o: GenOptions) -> DataFrame:
     """(file_index, case_index, n_rows, n_cols, r, c, v) for every case of ``shaped``."""
+    shaped = spread(shaped, "file_index", "case_index")
+    d = o.value_distribution
+    if d in ("low-rank", "ill-conditioned"):
+        # both factors are drawn once per case, (n_rows + n_cols) * rank draws, and a cell is the sum
+        # over k of the products of their entries, inside the row: no regrouping
+        left, right, scale, noise = factor_terms_sql(o)
+        ks = "sequence(0L, rank_eff - 1)"
+        drawn = shaped.withColumn("rank_eff", F.least(F.lit(o.rank).cast("bigint"), F.col("n_rows"), F.col("n_cols"))).select(
+            "file_index", "case_index", "seed_key", "n_rows", "n_cols",
+            F.expr(f"transform(sequence(0L, n_rows - 1), r -> transform({ks}, k -> {scale} * {left}))").alias("_left"),
+            F.expr(f"transform(sequence(0L, n_cols - 1), c -> transform({ks}, k -> {right}))").alias("_right"))
+        case = ["file_index", "case_index", "seed_key", "n_rows", "n_cols"]
+        # outer: no factor is empty, and an inner explode would have them drawn once more for a filter before the exchange
+        by_row = drawn.select(*case, "_right", F.posexplode_outer("_left").alias("r", "_l"))
+        cells = by_row.select(*case, F.col("r").cast("bigint").alias("r"), "_l", F.posexplode_outer("_right").alias("c", "_r"))
+        cells = cells.withColumn("c", F.col("c").cast("bigint"))
+        val = f"aggregate(zip_with(_l, _r, (a, b) -> a * b), CAST(0.0 AS DOUBLE), (acc, t) -> acc + t) + {noise}"
+        return cells.select("file_index", "case_index", "n_rows", "n_cols", "r", "c", F.expr(val).alias("v"))
     cells = shaped.select(
         "file_index", "case_index", "seed_key", "n_rows", "n_cols",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_rows") * F.col("n_cols") - 1)).alias("ix"))
     cells = cells.select("*", F.floor(F.col("ix") / F.col("n_cols")).cast("bigint").alias("r"),
                          F.pmod(F.col("ix"), F.col("n_cols")).cast("bigint").alias("c")).drop("ix")
-    d = o.value_distribution
-    if d in ("low-rank", "ill-conditioned"):
-        # the rank-k sum runs inside the row (aggregate over k): no explode, no regrouping
-        left, right, scale, noise = factor_terms_sql(o)
-        cells = cells.withColumn("rank_eff", F.least(F.lit(o.rank).cast("bigint"), F.col("n_rows"), F.col("n_cols")))
-        val = (f"aggregate(sequence(0L, rank_eff - 1), CAST(0.0 AS DOUBLE), "
-               f"(acc, k) -> acc + {scale} * {left} * {right}) + {noise}")
-        return cells.select("file_index", "case_index", "n_rows", "n_cols", "r", "c", F.expr(val).alias("v"))
     return cells.select("file_index", "case_index", "n_rows", "n_cols", "r", "c", F.expr(value_sql(o)).alias("v"))
 
 

@@ -154,6 +154,6 @@ def gen_uniform_svd(spark, sf_dir):
     No SQL oracle (shapes up to 64 x 32); checked against numpy in the tests.
     """
     o = gen.GenOptions()
-    packed = gen.generate_packed(_shaped(spark, sf_dir, o), o)
+    packed = gen.generate_packed(gen.spread(_shaped(spark, sf_dir, o), "file_index", "case_index"), o)
     res = svd.svd(packed, strategy="batch", with_u=False)
     return svd.spectrum(res).select("matrix_id", "k", sig(F.col("sigma")).alias("sigma"))

@@ -214,3 +214,19 @@ def test_runs_of_a_split_log(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
         out = {r.source_log: (r.command, r.status) for r in streaming.stream_runs(stream, sink, ckpt).collect()}
     assert out == {"c/timing/run_1.log": ("app x", "failed"), "c/timing/run_2.log": ("app y", "ok")}
+
+
+@pytest.mark.parametrize("dist", ["low-rank", "ill-conditioned", "uniform"])
+def test_cells_of_few_cases_are_dealt_out(spark, dist):
+    """Cases that lie in one partition are generated by many tasks, and the cells equal the packed ones."""
+    o = gen.GenOptions(value_distribution=dist, hash_fn="md5")
+    plan = spark.range(60, numPartitions=1).select((F.col("id") % 2).alias("file_index"), F.col("id").alias("case_index"))
+    shaped = gen.choose_shapes(plan, gen.shape_candidates(spark, o), o)
+    cells = gen.generate_cells(shaped, o)
+    assert cells.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    got = {(x.file_index, x.case_index, x.r, x.c): x.v for x in cells.collect()}
+    packed = gen.generate_packed(shaped, o).collect()
+    assert len(got) == sum(x.n_rows * x.n_cols for x in packed)
+    for x in packed:
+        f, k = x.matrix_id >> gen.FILE_SHIFT, x.matrix_id & ((1 << gen.FILE_SHIFT) - 1)
+        assert np.allclose([got[f, k, i // x.n_cols, i % x.n_cols] for i in range(x.n_rows * x.n_cols)], x.cells, rtol=1e-12, atol=1e-15)
