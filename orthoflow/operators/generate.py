@@ -286,7 +286,7 @@ FILE_SHIFT = 40
 
 def benchmark_cells(sizes: DataFrame) -> DataFrame:
     """sin(0.013(r+1)(c+1)) + cos(0.017(r+3)(c+5)) on 2n x n per case."""
-    cells = sizes.select("case_index", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), 2 * F.col("n") * F.col("n") - 1)).alias("ix"))
+    cells = spread(sizes, "case_index").select("case_index", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), 2 * F.col("n") * F.col("n") - 1)).alias("ix"))
     cells = cells.select("case_index", (2 * F.col("n")).cast("bigint").alias("n_rows"), F.col("n").cast("bigint").alias("n_cols"),
                          F.floor(F.col("ix") / F.col("n")).cast("bigint").alias("r"), F.pmod(F.col("ix"), F.col("n")).cast("bigint").alias("c"))
     return cells.select("*", F.expr(BENCHMARK_SQL).alias("v"))

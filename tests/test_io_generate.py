@@ -230,3 +230,10 @@ def test_cells_of_few_cases_are_dealt_out(spark, dist):
     for x in packed:
         f, k = x.matrix_id >> gen.FILE_SHIFT, x.matrix_id & ((1 << gen.FILE_SHIFT) - 1)
         assert np.allclose([got[f, k, i // x.n_cols, i % x.n_cols] for i in range(x.n_rows * x.n_cols)], x.cells, rtol=1e-12, atol=1e-15)
+
+
+def test_benchmark_cells_are_dealt_out(spark):
+    sizes = spark.range(40, numPartitions=1).select(F.col("id").alias("case_index"), (8 + F.col("id") % 3).alias("n"))
+    cells = gen.benchmark_cells(sizes)
+    assert cells.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    assert cells.count() == sum(2 * (8 + i % 3) ** 2 for i in range(40))
