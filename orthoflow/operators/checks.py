@@ -25,7 +25,7 @@ def reconstruct_rows(u_rows: DataFrame, factors: DataFrame) -> DataFrame:
     """x_hat[c] = sum_k u[k] * sigma[k] * v[c, k] per row (V row-major n x n), as a product of blocks
     of rows with factors that a task holds once."""
     rows = u_rows.select("matrix_id", "r", F.col("u").alias("x"))
-    return svd.map_rows(rows, _staged(factors), lambda u, sigma, v, _: (u * sigma) @ v.T, "x_hat")
+    return svd.map_rows(rows, _staged(factors), lambda u, sigma, v, _: (u * sigma[..., None, :]) @ np.swapaxes(v, -1, -2), "x_hat")
 
 
 def _packed(fn, out: str):

@@ -205,7 +205,7 @@ def apply_rotations(state: DataFrame, rotations: DataFrame) -> DataFrame:
 
     def product(block, dead, v, _):
         clean = np.where(np.isfinite(block), block, 0.0) @ v
-        return np.where(dead > 0, block, clean)
+        return np.where(dead[..., None, :] > 0, block, clean)
 
     # kind and row in one key
     kinds = state.select("matrix_id", F.shiftleft("r", 1).bitwiseOR((F.col("kind") == "V").cast("bigint")).alias("r"), "x")

@@ -46,7 +46,7 @@ FOLD_ROWS = 4096
 # Rows held by one task over all its matrices before everything is folded.
 TASK_HELD_ROWS = 1 << 18
 # Largest factor table (matrices x n^2 doubles) joined by broadcast for U.
-BROADCAST_FACTOR_BYTES = 64 << 20
+BROADCAST_FACTOR_BYTES = 32 << 20
 # Matrices stacked into one numpy array by the batch strategy.
 ARROW_MATRICES_PER_BATCH = 256
 
@@ -369,10 +369,46 @@ def tall_factors(rows: DataFrame, eps: float = DEFAULT_EPS, max_sweeps: int = DE
     return r_factors(rows).mapInArrow(_jacobi_on_r(eps, max_sweeps), FACTORS_SCHEMA)
 
 
+# Rows per matrix in a batch from which each matrix is multiplied by itself; below, the rows of many
+# matrices go through one stacked product, each with its own factors.
+GROUP_ROWS = 64
+# Factor cells gathered beside the rows of one stacked product.
+STACK_CELLS = 1 << 20
+
+
+def _factor_stacks(ids: list, flats: list) -> dict:
+    """n -> (ids in rising order, sigma (k, n), V (k, n, n), fix (k, n, n)) from flat sigma, V, fix."""
+    by_n: dict[int, list] = {}
+    for i, flat in zip(ids, flats, strict=True):
+        by_n.setdefault(round((np.sqrt(1 + 8 * len(flat)) - 1) / 4), []).append((i, flat))  # n + 2 n^2 numbers
+    out = {}
+    for n, items in by_n.items():
+        items.sort(key=lambda item: item[0])
+        cells = np.array([flat for _, flat in items], dtype=np.float64)
+        out[n] = (np.array([i for i, _ in items], dtype=np.int64), cells[:, :n], cells[:, n:n + n * n].reshape(-1, n, n), cells[:, n + n * n:].reshape(-1, n, n))
+    return out
+
+
+def _apply_stacked(apply, at: np.ndarray, block: np.ndarray, sigma, v, fix) -> np.ndarray:
+    """``apply`` on each row of ``block`` with the factors at its place ``at`` of the stacks."""
+    n = block.shape[1]
+    out = np.empty(block.shape)
+    groups = _groups(at)
+    if len(block) >= GROUP_ROWS * len(groups):
+        for k, idx in groups:
+            out[idx] = apply(block[idx], sigma[k], v[k], fix[k])
+        return out
+    step = max(1, STACK_CELLS // (n * n))
+    for lo in range(0, len(block), step):
+        k = at[lo:lo + step]
+        out[lo:lo + step] = apply(block[lo:lo + step, None, :], sigma[k], v[k], fix[k])[:, 0, :]
+    return out
+
+
 def _row_batches(batches, tables):
-    """(matrix_id, row keys, block, factors) per matrix of each batch. ``tables`` maps a matrix to
-    its factors; without it the factors arrive as the first row of each (matrix, salt) run."""
-    seen: tuple[int, tuple] | None = None
+    """(matrix ids, row keys, places, block, stacked factors) per batch and width. ``tables`` are the
+    stacks by width; without them the factors arrive as the first row of each (matrix, salt) run."""
+    last = None
     for rb in batches:
         if rb.num_rows == 0:
             continue
@@ -381,37 +417,39 @@ def _row_batches(batches, tables):
         x = rb.column("x")
         offs = x.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         vals = x.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-        if tables is not None:
-            for mid, idx in _groups(mids):
-                if mid in tables:
-                    sigma = tables[mid][0]
-                    yield mid, rs[idx], _rows_block(vals, offs, idx, mid, len(sigma))[0], tables[mid]
-            continue
-        heads = np.flatnonzero(np.asarray(rb.column("head").to_numpy(zero_copy_only=False), bool))
-        cuts = np.unique(np.concatenate(([0], heads, [len(mids)])))
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            if lo in heads:
-                flat = vals[offs[lo]:offs[lo + 1]]
-                n = int(rs[lo])
-                seen = (int(mids[lo]), tuple([flat[:n], flat[n:n + n * n].reshape(n, n), flat[n + n * n:].reshape(n, n)]))
-                lo += 1
-            if lo < hi:
-                idx = np.arange(lo, hi)
-                yield seen[0], rs[idx], _rows_block(vals, offs, idx, seen[0], len(seen[1][0]))[0], seen[1]
+        keys, known, rows = mids, tables, np.ones(len(mids), bool)
+        if tables is None:
+            head = np.asarray(rb.column("head").to_numpy(zero_copy_only=False), bool)
+            runs = np.cumsum(head)  # 0: the run that the batch before left open
+            heads = np.flatnonzero(head)
+            flats = [vals[offs[i]:offs[i + 1]] for i in heads]
+            known = _factor_stacks([*([0] if last is not None else []), *range(1, len(heads) + 1)], [*([last] if last is not None else []), *flats])
+            if flats:
+                last = flats[-1].copy()
+            keys, rows = runs, ~head
+        for n, (ids, *factors) in known.items():
+            at = np.minimum(np.searchsorted(ids, keys), len(ids) - 1)
+            idx = np.flatnonzero(rows & (ids[at] == keys))
+            if len(idx):
+                wrong = idx[offs[idx + 1] - offs[idx] != n]
+                if len(wrong):
+                    raise ValueError(f"invalid testcase {mids[wrong[0]]}: ragged rows")
+                yield mids[idx], rs[idx], at[idx], vals[offs[idx][:, None] + np.arange(n)], factors
 
 
 def _mapped_rows(apply, out: str, tables):
-    """mapInArrow body: ``apply(block, sigma, v, fix)`` on the rows of each matrix."""
+    """mapInArrow body: ``apply(block, sigma, v, fix)`` on the rows of each batch, all with leading
+    dimensions alike: (..., m, n), (..., n), (..., n, n), (..., n, n)."""
 
     def run(batches):
         import pyarrow as pa
 
         known = None if tables is None else tables.value
-        for mid, rs, block, factors in _row_batches(batches, known):
-            y = apply(block, *factors)
+        for mids, rs, at, block, factors in _row_batches(batches, known):
+            y = _apply_stacked(apply, at, block, *factors)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(rs), mid), type=pa.int64()), pa.array(rs, type=pa.int64()),
-                 _list_array(pa, np.ascontiguousarray(y).reshape(-1), np.full(len(rs), y.shape[1]))], names=["matrix_id", "r", out])
+                [pa.array(mids, type=pa.int64()), pa.array(rs, type=pa.int64()),
+                 _list_array(pa, y.reshape(-1), np.full(len(rs), y.shape[1]))], names=["matrix_id", "r", out])
 
     return run
 
@@ -432,11 +470,9 @@ def map_rows(rows: DataFrame, factors: DataFrame, apply, out: str) -> DataFrame:
     stats = factors.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("sigma")).alias("n")).first()
     n = int(stats["n"] or 0)
     if int(stats["k"] or 0) * (n + 2 * n * n) * 8 <= BROADCAST_FACTOR_BYTES:
-        tables = {}
-        for f in factors.toLocalIterator():
-            k = len(f["sigma"])
-            tables[f["matrix_id"]] = (np.array(f["sigma"]), np.array(f["v"]).reshape(k, k), np.array(f["fix"]).reshape(k, k))
-        sent = rows.sparkSession.sparkContext.broadcast(tables)
+        got = factors.select("matrix_id", F.concat("sigma", "v", "fix").alias("cells")).toArrow()
+        flats = [c.values.to_numpy(zero_copy_only=False) for c in got.column("cells")]
+        sent = rows.sparkSession.sparkContext.broadcast(_factor_stacks(got.column("matrix_id").to_pylist(), flats))
         return rows.select("matrix_id", "r", "x").mapInArrow(_mapped_rows(apply, out, sent), schema)
     salts = factors.select("matrix_id", F.ceil(F.col("n_rows") / ROWS_PER_SALT).cast("int").alias("salts"))
     salted = rows.select("matrix_id", "r", "x").join(salts, "matrix_id").select(
@@ -450,6 +486,7 @@ def map_rows(rows: DataFrame, factors: DataFrame, apply, out: str) -> DataFrame:
 
 def _scaled(block, sigma, v, eps):
     """x V / sigma for the columns above the cut-off, without letting NaN or Inf cells spread."""
+    sigma = sigma[..., None, :]
     keep = (sigma > eps) & np.isfinite(sigma)
     clean = np.where(np.isfinite(block), block, 0.0)
     return np.where(keep, (clean @ v) / np.where(keep, sigma, 1.0), 0.0)
