@@ -4,7 +4,6 @@ folder, then scanned back with the file sources (S8, S10, S11) and turned into r
 
 from __future__ import annotations
 
-import json
 import os
 
 from pyspark.sql import functions as F
@@ -15,50 +14,64 @@ from orthoflow.plans.catalog import ORACLES, register
 from orthoflow.session import scratch_dir
 
 
-def _write_lines(root: str):
-    def write(rows):
-        handle, current = None, None
-        for r in rows:
-            if r["source_log"] != current:
-                if handle:
-                    handle.close()
-                current = r["source_log"]
-                path = os.path.join(root, current)
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                handle = open(path, "w", encoding="utf-8", newline="")
-            handle.write(r["line"] + "\n")
-        if handle:
-            handle.close()
+def _write_texts(root: str, kind: str = "lines"):
+    """mapInArrow body over (path, text) sorted by path and place: the files of a task, one after the
+    other, as the rows come. No more than one batch is held, however long a file is."""
+
+    def write(batches):
+        import pyarrow as pa
+
+        handle, current, place, files = None, None, 0, 0
+
+        def finish():
+            if handle:
+                handle.write("\n]" if kind == "json" else "")
+                handle.close()
+
+        for batch in batches:
+            paths, texts = batch.column("path").to_pylist(), batch.column("text").to_pylist()
+            lo = 0
+            while lo < len(paths):
+                hi = lo + 1
+                while hi < len(paths) and paths[hi] == paths[lo]:
+                    hi += 1
+                if handle is None or paths[lo] != current:
+                    finish()
+                    current, place = paths[lo], 0
+                    full = os.path.join(root, current)
+                    os.makedirs(os.path.dirname(full), exist_ok=True)
+                    handle = open(full, "w", encoding="utf-8", newline="")
+                    files += 1
+                    if kind == "csv":  # the two modes export different columns
+                        deep = "/ncu-deep/" in current
+                        handle.write('"Block Size","gpu__time_duration.sum","launch__kernel_name"\n' if deep
+                                     else '"ID","Kernel Name","gpu__time_duration.sum","Block Size"\n')
+                part = texts[lo:hi]
+                if kind == "json":
+                    handle.write(("[\n" if place == 0 else ",\n") + ",\n".join(part))
+                elif kind == "csv" and not deep:
+                    handle.write("".join([f'"{i}",{t}\n' for i, t in enumerate(part, place)]))
+                else:
+                    handle.write("\n".join(part) + "\n")
+                place += hi - lo
+                lo = hi
+        finish()
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
     return write
 
 
-def _write_files(root: str, kind: str):
-    def write(rows):
-        groups: dict[str, list] = {}
-        for r in rows:
-            groups.setdefault(r["path"], []).append(r)
-        for path, items in groups.items():
-            full = os.path.join(root, path)
-            os.makedirs(os.path.dirname(full), exist_ok=True)
-            with open(full, "w", encoding="utf-8", newline="") as fh:
-                if kind == "empty":  # a stand-in report file (file scans skip zero-length files)
-                    fh.write("report\n")
-                    continue
-                if kind == "csv":
-                    deep = "/ncu-deep/" in path  # the two modes export different columns
-                    fh.write('"Block Size","gpu__time_duration.sum","launch__kernel_name"\n' if deep
-                             else '"ID","Kernel Name","gpu__time_duration.sum","Block Size"\n')
-                    for i, r in enumerate(sorted(items, key=lambda x: x["row_no"])):
-                        fh.write(f'"256","{r["dur"]}","{r["kernel"]}"\n' if deep else f'"{i}","{r["kernel"]}","{r["dur"]}","256"\n')
-                else:  # the fields of each report are its own
-                    fh.write(json.dumps([json.loads(r["row"]) for r in sorted(items, key=lambda x: x["row_no"])], indent=1))
-    return write
+def _write_sorted(texts, root: str, kind: str = "lines") -> None:
+    """Write (path, row_no, text) as files under ``root``. As many tasks as the session has for an
+    exchange (adaptive execution joins small ones) write whole files each."""
+    ordered = texts.repartition("path").sortWithinPartitions("path", "row_no").select("path", "text")
+    ordered.mapInArrow(_write_texts(root, kind), "files bigint").write.format("noop").mode("overwrite").save()
 
 
 #: report -> (JSON fields in Spark, the field that the query reads, its value in SQL)
 REPORTS = {
     "cuda_api_sum": ({"Name": "Name", "Total Time (ns)": "total_ns", "Num Calls": "calls"}, "$['Total Time (ns)']", "total_ns"),
-    "cuda_gpu_kern_sum": ({"Name": "concat('kernel_', Name)", "Instances": "calls", "Avg (ns)": "total_ns / 2"}, "$.Instances", "calls"),
+    "cuda_gpu_kern_sum": ({"Name": "concat('kernel_', Name)", "Instances": "calls", "Avg (ns)": "CAST(total_ns / 2 AS DECIMAL(22, 1))"}, "$.Instances", "calls"),
     "cuda_gpu_mem_time_sum": ({"Operation": "Name", "Time (%)": "calls % 100", "Count": "calls + 1"}, "$.Count", "calls + 1"),
     "cuda_gpu_mem_size_sum": ({"Operation": "Name", "Total (MB)": "total_ns * 3", "Count": "calls"}, "$['Total (MB)']", "total_ns * 3"),
     "osrt_sum": ({"Name": "Name", "Num Calls": "calls * 7"}, "$['Num Calls']", "calls * 7"),
@@ -69,19 +82,22 @@ def materialize_tree(spark, sf_dir, root: str | None = None) -> str:
     """Write the run tree of ``sf_dir`` into a folder, a fresh one by default; returns its path."""
     root = root or scratch_dir(spark, "run-tree")
     lines = q_logs.log_lines(spark, sf_dir)
-    lines.repartition(16, "source_log").sortWithinPartitions("source_log", "line_no").foreachPartition(_write_lines(root))
-    q_logs.listing(spark, sf_dir).distinct().repartition(8, "path").foreachPartition(_write_files(root, "empty"))
+    _write_sorted(lines.select(F.col("source_log").alias("path"), F.col("line_no").alias("row_no"), F.col("line").alias("text")), root)
+    # stand-in report files (file scans skip zero-length files)
+    _write_sorted(q_logs.listing(spark, sf_dir).distinct().select("path", F.lit(0).alias("row_no"), F.lit("report").alias("text")), root)
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     ncu = ev.select(F.regexp_replace(F.expr(q_logs.source_log_sql("spark")), r"\.log$", "_ncu.csv").alias("path"),
                     F.expr(f"CASE WHEN {q_logs.K} % 13 = 0 THEN '' ELSE 'kernel_' || CAST(user_id % 3 AS STRING) END").alias("kernel"),
                     F.expr(f"CASE WHEN {q_logs.K} % 7 = 0 THEN 'n/a' ELSE {q_logs._dec(q_logs.CENTS)} END").alias("dur"),
                     F.col("event_id").alias("row_no"))
-    ncu.repartition(8, "path").foreachPartition(_write_files(root, "csv"))
+    kernel, dur = F.coalesce("kernel", F.lit("None")), F.coalesce("dur", F.lit("None"))
+    text = F.when(F.col("path").contains("/ncu-deep/"), F.format_string('"256","%s","%s"', dur, kernel)).otherwise(F.format_string('"%s","%s","256"', kernel, dur))
+    _write_sorted(ncu.select("path", "row_no", text.alias("text")), root, "csv")
     ns = q_logs._nsys_rows(spark, sf_dir).withColumnsRenamed({"Total Time (ns)": "total_ns", "Num Calls": "calls"})
     for report, (fields, _, _) in REPORTS.items():
         row = F.to_json(F.struct(*[F.expr(v).alias(k) for k, v in fields.items()]))
-        rows = ns.select(F.regexp_replace("source_log", r"\.log$", f"_{report}.json").alias("path"), row.alias("row"), "row_no")
-        rows.repartition(8, "path").foreachPartition(_write_files(root, "json"))
+        rows = ns.select(F.regexp_replace("source_log", r"\.log$", f"_{report}.json").alias("path"), "row_no", row.alias("text"))
+        _write_sorted(rows, root, "json")
     return root
 
 
@@ -138,8 +154,8 @@ def extract_run(spark, sf_dir):
     """The log job in one call: the newest of two runs is resolved, scanned and written out; its flat
     summary is read back."""
     prof = scratch_dir(spark, "prof")
-    old = spark.createDataFrame([("c/timing/run_1.log", 0, "$ old")], "source_log string, line_no int, line string")
-    old.coalesce(1).foreachPartition(_write_lines(f"{prof}/bench-20230131_120000"))
+    old = spark.createDataFrame([("c/timing/run_1.log", 0, "$ old")], "path string, row_no int, text string")
+    _write_sorted(old, f"{prof}/bench-20230131_120000")
     materialize_tree(spark, sf_dir, f"{prof}/bench-20240131_120000")
     out = scratch_dir(spark, "extract")
     logs.extract_run(spark, prof, out)
