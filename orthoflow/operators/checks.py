@@ -21,6 +21,19 @@ def _staged(factors: DataFrame) -> DataFrame:
     return factors.select("matrix_id", rows.cast("bigint").alias("n_rows"), "sigma", "v", zero.alias("fix")).checkpoint()
 
 
+# Rows of one side that a task sorts when rows meet by (matrix_id, r).
+ROWS_PER_TASK = 1 << 20
+
+
+def by_row(factors: DataFrame, *sides: DataFrame) -> list[DataFrame]:
+    """``sides`` dealt out alike by (matrix_id, r) for a join, over as many tasks as their rows ask for:
+    the session's count is fixed, so that a task's share would grow with the table."""
+    spark = factors.sparkSession
+    rows = factors.agg(F.sum("n_rows")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(rows) // ROWS_PER_TASK))
+    return [side.repartition(tasks, "matrix_id", "r") for side in sides]
+
+
 def reconstruct_rows(u_rows: DataFrame, factors: DataFrame) -> DataFrame:
     """x_hat[c] = sum_k u[k] * sigma[k] * v[c, k] per row (V row-major n x n), as a product of blocks
     of rows with factors that a task holds once."""
@@ -117,6 +130,8 @@ def freivalds(rows: DataFrame, u_rows: DataFrame, factors: DataFrame, vectors: i
     left = rows.select("matrix_id", "r", mine.alias("aw"), F.aggregate("x", F.lit(0.0), lambda s, x: s + F.abs(x)).alias("size"))
     right = u_rows.join(small, "matrix_id").select("matrix_id", "r", F.transform("z", lambda z: _dot(F.col("u"), z)).alias("uz"))
     off = F.array_max(F.zip_with("aw", "uz", lambda a, b: F.abs(a - b)))
+    if "n_rows" in factors.columns:
+        left, right = by_row(factors, left, right)
     both = left.join(right, ["matrix_id", "r"], "full")
     # a row that only one side has is as wrong as can be
     off = F.when(F.col("aw").isNull() | F.col("uz").isNull(), F.lit(float("inf"))).otherwise(off)

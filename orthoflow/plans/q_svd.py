@@ -233,7 +233,8 @@ def svd_tall_check(spark, sf_dir):
     each return-flag matrix to 1e-9 of the matrix norm (no matrix is gathered)."""
     rows = fx.lineitem_rows(spark, sf_dir, "flag", fx.LI4_COLUMNS)
     factors, u = svd.svd_rows(rows)
-    xh = checks.reconstruct_rows(u, factors).join(rows, ["matrix_id", "r"])
+    rebuilt, given = checks.by_row(factors, checks.reconstruct_rows(u, factors), rows)
+    xh = rebuilt.join(given, ["matrix_id", "r"])
     err = F.aggregate(F.zip_with("x_hat", "x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, d: acc + d)
     per = xh.groupBy("matrix_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"), F.sum(err).alias("_e2"))
     energy = factors.select("matrix_id", F.aggregate("sigma", F.lit(0.0), lambda a, s: a + s * s).alias("_a2"))

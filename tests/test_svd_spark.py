@@ -288,3 +288,34 @@ def test_auto_rows_in_one_pass(spark, sf):
     assert not tracker.getJobIdsForGroup("auto-build")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+
+
+def test_rows_of_many_matrices_leave_as_one_batch():
+    """Mixed rows of many matrices go through one stacked product, not a batch and product per matrix."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    factors = {k: (rng.normal(size=4), rng.normal(size=(4, 4)), np.eye(4)) for k in range(500)}
+    tables = svd._factor_stacks(list(factors), [np.concatenate([x.ravel() for x in f]) for f in factors.values()])
+    x = rng.normal(size=(1000, 4))
+    mids = np.arange(1000) % 501  # 500 has no factors and is left out
+
+    class Sent:
+        value = tables
+
+    batch = pa.RecordBatch.from_arrays([pa.array(mids), pa.array(np.arange(1000)), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["matrix_id", "r", "x"])
+    made = list(svd._mapped_rows(lambda u, s, v, _: (u * s[..., None, :]) @ np.swapaxes(v, -1, -2), "y", Sent)(iter([batch])))
+    assert len(made) == 1
+    got = made[0].to_pydict()
+    assert got["r"] == [i for i in range(1000) if mids[i] != 500]
+    for k, r, y in zip(got["matrix_id"], got["r"], got["y"], strict=True):
+        assert k == mids[r] and np.allclose(y, (x[r] * factors[k][0]) @ factors[k][1].T)
+
+
+def test_rows_meet_in_tasks_of_bounded_size(spark, monkeypatch):
+    from orthoflow.operators import checks
+
+    monkeypatch.setattr(checks, "ROWS_PER_TASK", 10)
+    rows = spark.range(300).select(F.lit(1).cast("bigint").alias("matrix_id"), F.col("id").alias("r"))
+    factors = rows.groupBy("matrix_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    assert checks.by_row(factors, rows)[0].rdd.getNumPartitions() == 30
