@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthoflow.operators.quantile import with_median
+from orthoflow.session import scratch_dir
 
 
 def case_timing(runs: DataFrame, keys: list[str], elapsed: str, testcases: str, sweeps: str,
@@ -72,27 +73,34 @@ def ab_report(runs: DataFrame, key: str, variant: str, base: str, new: str, elap
     return cases.withColumn("level", F.lit("case")).unionByName(whole.withColumn("level", F.lit("all")), allowMissingColumns=True)
 
 
-#: buckets of one thread's intervals; equal starts stay together
-BUSY_BUCKETS = 256
+#: starts of a bucket of intervals, about
+BUSY_ROWS = 100_000
 
 
-def busy_intervals(intervals: DataFrame, group: str, thread: str, start: str, end: str, buckets: int = BUSY_BUCKETS) -> DataFrame:
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the checkpoint folder and read back, so that its work is done once."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def busy_intervals(intervals: DataFrame, group: str, thread: str, start: str, end: str, buckets: int | None = None) -> DataFrame:
     """Intervals of each thread with overlapping and touching ones joined, so that nested calls of
     one thread count once.
 
-    A thread's starts are dealt into buckets of about equal counts (cut points of a sketch of fixed
-    size), so a thread that holds nearly all intervals is spread over tasks. What reaches into a
-    bucket is the running maximum of the ends of the buckets before it, a window over one row per
-    bucket; runs are numbered in two levels likewise.
+    The starts of all threads, in order, are dealt into ranges of about equal counts (one for each
+    ``BUSY_ROWS`` of them, or ``buckets``), so a thread that holds nearly all intervals is spread over
+    tasks and the work grows as the rows do. What reaches into a bucket is the running maximum of the
+    ends of the buckets before it, a window over one row per thread and bucket; runs are numbered in
+    two levels likewise. The intervals are read once.
     """
     keys = [group, thread]
     # intervals that begin together are one, up to the last end
-    begun = intervals.groupBy(*keys, F.col(start).alias("_s")).agg(F.max(end).alias("_e"))
-    fractions = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = begun.groupBy(*keys).agg(F.percentile_approx("_s", fractions, 10 * buckets).alias("_cuts"))
-    cuts = cuts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.array_distinct("_cuts").alias("_cuts"))
+    begun = _staged(intervals.groupBy(*keys, F.col(start).alias("_s")).agg(F.max(end).alias("_e")), "busy-begun")
+    buckets = buckets or max(1, -(-begun.count() // BUSY_ROWS))
+    # a range's number is written with its rows, so that later reads agree on it
+    dealt = _staged(begun.repartitionByRange(buckets, *keys, "_s").withColumn("_b", F.spark_partition_id()), "busy-dealt")
     mine = F.col(group).eqNullSafe(F.col(f"_{group}")) & F.col(thread).eqNullSafe(F.col(f"_{thread}"))
-    dealt = begun.join(cuts, mine).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_s")))).drop("_cuts", *[f"_{k}" for k in keys])
     reach = dealt.groupBy(*keys, "_b").agg(F.max("_e").alias("_reach"))
     w_bucket = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = reach.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_b").alias("_bb"), F.max("_reach").over(w_bucket).alias("_carried"))
@@ -104,6 +112,7 @@ def busy_intervals(intervals: DataFrame, group: str, thread: str, start: str, en
     place = place.withColumn("_nth", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     # within a bucket first, then runs that go on over buckets
     parts = place.groupBy(*keys, "_b", "_nth").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.max("_new").alias("_new"))
+    parts = _staged(parts, "busy-parts")
     total = parts.groupBy(*keys, "_b").agg(F.sum("_new").alias("_runs"))
     offset = total.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_b").alias("_bb"), F.coalesce(F.sum("_runs").over(w_bucket), F.lit(0)).alias("_off"))
     numbered = parts.join(offset, mine & (F.col("_b") == F.col("_bb")))
@@ -113,8 +122,8 @@ def busy_intervals(intervals: DataFrame, group: str, thread: str, start: str, en
 def thread_concurrency(intervals: DataFrame, group: str, thread: str, start: str, end: str, levels: tuple[int, ...] = (2, 4)) -> DataFrame:
     """W6 over host threads: ``concurrency`` of the threads' busy time, and ``threads``, how many
     there are. total_duration and intervals are those of the joined intervals."""
-    busy = busy_intervals(intervals, group, thread, start, end)
-    threads = intervals.groupBy(group).agg(F.countDistinct(thread).alias("threads"))
+    busy = _staged(busy_intervals(intervals, group, thread, start, end), "busy")
+    threads = busy.groupBy(group).agg(F.countDistinct(thread).alias("threads"))
     return concurrency(busy, group, start, end, levels).join(threads, group)
 
 
@@ -129,7 +138,7 @@ def concurrency(intervals: DataFrame, group: str, start: str, end: str, levels:
     """
     ev = intervals.select(group, F.col(start).alias("t"), F.lit(1).alias("d")).unionByName(
         intervals.select(group, F.col(end).alias("t"), F.lit(-1).alias("d")))
-    pts = ev.groupBy(group, "t").agg(F.sum("d").alias("d"))
+    pts = _staged(ev.groupBy(group, "t").agg(F.sum("d").alias("d")), "concurrency-points")
     rng = pts.groupBy(group).agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"))
     width = F.greatest(F.lit(1.0), (F.col("_t1") - F.col("_t0") + 1) / F.lit(float(buckets)))
     pb = pts.join(rng, group).withColumn("_b", F.floor((F.col("t") - F.col("_t0")) / width).cast("bigint"))

@@ -84,6 +84,26 @@ def test_busy_intervals_of_a_long_thread(spark):
         assert got.count() == len(want)
 
 
+def test_thread_intervals_are_read_once(spark, monkeypatch):
+    """The intervals are computed once, however many buckets their number asks for."""
+    monkeypatch.setattr(compare, "BUSY_ROWS", 50, raising=False)
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [("p", "long", 3 * i, 3 * i + (2 if i % 4 else 3)) for i in range(800)] + [("p", "short", 0, 4), (None, "x", 1, 2)]
+    schema = "g string, t string, s long, e long"
+    frame = spark.createDataFrame(rows, schema).repartition(3).mapInArrow(watched, schema)
+    got = compare.thread_concurrency(frame, "g", "t", "s", "e", levels=(2,)).collect()
+    span, most, mean, ge2 = _brute([r[2:] for r in rows if r[0]])
+    assert [(r.g, r.span, r.max_active, r.threads, r.intervals) for r in got] == [("p", span, most, 2, 601)]
+    assert abs(got[0].avg_active - mean) < 1e-12 and abs(got[0].share_ge2 - ge2) < 1e-12
+    assert seen.value == len(rows)
+
+
 def test_ab_report(spark):
     import math
 
