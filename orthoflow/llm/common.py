@@ -82,6 +82,17 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
         release(spark)
 
 
+def drop_staged(spark: SparkSession, *names: str) -> None:
+    """Delete the tables of these names that the innermost ``scratch`` has staged, and let go of
+    shuffle files. Nothing that is still to be computed may read them."""
+    gone = [path for path in _SCOPES[-1] if path.rsplit("/", 1)[1].rsplit("-", 1)[0] in names]
+    for path in gone:
+        _SCOPES[-1].remove(path)
+        hadoop_path, files = _hadoop(spark, path)
+        files.delete(hadoop_path, True)
+    release(spark)
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = 8 << 20) -> DataFrame:
     """A staged table as the small side of a join: broadcast when its counted rows stay under
     ``limit`` bytes, left to a shuffled join otherwise. The result is the same."""

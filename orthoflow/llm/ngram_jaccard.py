@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -30,13 +31,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthoflow.llm.bloom import bloom
-from orthoflow.llm.common import SPACED, Sequences, Words, list_array, mix, prepare, release, scratch, small, stage, window_starts, word_runs
+from orthoflow.llm.common import SPACED, Sequences, Words, drop_staged, list_array, mix, prepare, release, scratch, small, stage, window_starts, word_runs
 from orthoflow.llm.components import components
 
 SKETCH_BITS = 20
 _BLOCK = 4096
 LIGHT_LIMIT = 32  # sizes above are never light
 COPY_GROUPS = 100_000
+RARE_PASSES = 4  # parts of the rare shingles, so that the disk holds the shuffle of one
 #: a shingle is 60 bits of hash below 3 bits of its frequency class, so it sorts by the order
 _CLASS_BITS = 60
 
@@ -231,10 +233,8 @@ def _by_prefix(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame
     shared members up to there are shared by the prefixes, so the overlap is at most what they
     share and what that set has left. The prefixes travel as 15 bits of each member: members that
     share them within a prefix are added to the count, so it is never too low."""
-    short = F.array_distinct(F.transform("prefix", lambda x: x.bitwiseAND(F.lit(0x7FFF)).cast("smallint")))
-    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    brief = prefixes.join(ends, "node", "left_semi").select("node", "n", F.size("prefix").alias("p"), short.alias("bits"))
-    brief = stage(brief, "jaccard-brief")
+    ends = stage(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "jaccard-brief-ends")
+    brief = stage(prefixes.join(small(ends, 16), "node").dropDuplicates(["node"]), "jaccard-brief")
     one, two = (brief.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("n", "p", "bits")]) for c in ("a", "b"))
     both = pairs.join(one, "a").join(two, "b")
     double = F.least(*[F.col(f"{c}_p") - F.size(f"{c}_bits") for c in ("a", "b")])
@@ -268,6 +268,7 @@ class _Join:
             F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("set2").alias("low"), F.max("set2").alias("high")
         )
         groups = stage(groups.filter("copies > 1"), "jaccard-copies")
+        release(self.spark)
         # sets that share a 64-bit key (hardly ever) get keys of their own
         self.shared = stage(groups.filter("low != high").select("set").withColumn("shared", F.lit(True)), "jaccard-shared")
         sets = self._named(sets)
@@ -305,14 +306,27 @@ class _Join:
         # aggregated first and the staged heads joined back, so that Spark can split long lists
         whole = Window.partitionBy("token")
         head = F.struct("where", "node")
-        rare = rare.withColumn("center", F.min(head).over(whole)).withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole))
-        rare = rare.filter("low != high").drop("low", "high")
+        lists = []
+        for i in range(RARE_PASSES):
+            part = rare.filter(F.pmod("token", F.lit(RARE_PASSES)) == i)
+            part = part.withColumn("center", F.min(head).over(whole)).withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole))
+            lists.append(stage(part.filter("low != high").drop("low", "high"), "jaccard-postings"))
+            release(self.spark)
         heads = common.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min("where").alias("least"))
         heads = stage(heads.filter("low != high").select("token", "least"), "jaccard-heads")
         common = stage(common.join(heads, "token"), "jaccard-common")
         at_head = stage(common.filter("where = least").groupBy("token").agg(F.min("node").alias("head")), "jaccard-centers")
         common = common.join(at_head, "token").select("token", "node", "where", F.struct(F.col("least").alias("where"), F.col("head").alias("node")).alias("center"))
-        return stage(rare.unionAll(common), "jaccard-postings")
+        lists.append(stage(common, "jaccard-postings"))
+        drop_staged(self.spark, "jaccard-heads", "jaccard-common", "jaccard-centers")
+        return reduce(DataFrame.unionAll, lists)
+
+    def prefixes(self, first: DataFrame) -> DataFrame:
+        """node, n, p (size of the prefix) and bits (15 of each of its members) of the sets that scan
+        lists; all that is needed of the prefixes once the lists are there."""
+        prefix = F.concat("rare", "common")
+        short = F.array_distinct(F.transform(prefix, lambda x: x.bitwiseAND(F.lit(0x7FFF)).cast("smallint")))
+        return stage(first.filter(F.size("rare") + F.size("common") > 0).select("node", "n", F.size(prefix).alias("p"), short.alias("bits")), "jaccard-prefixes")
 
     def star_pairs(self, postings: DataFrame) -> DataFrame:
         pairs = postings.filter("node != center.node").select("node", F.col("where").alias("x_where"), F.col("center.node").alias("center"), F.col("center.where").alias("y_where"))
@@ -324,14 +338,17 @@ class _Join:
         named = stage(named, "jaccard-labelled")
         mixed = stage(named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("token"), "jaccard-tokens")
         named = stage(named.join(mixed, "token"), "jaccard-mixed")
+        drop_staged(self.spark, "jaccard-postings", "jaccard-labelled", "jaccard-tokens")
         x, y = (named.select("token", F.col("node").alias(f"{c}"), F.col("where").alias(f"{c}_where"), F.col("label").alias(f"{c}_label")) for c in "xy")
         pairs = x.join(y, "token").filter((F.col("x") < F.col("y")) & (F.col("x_label") != F.col("y_label")) & _pair_filter(self.percent))
         pairs = pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        return stage(pairs.join(done, ["a", "b"], "left_anti"), "jaccard-crossing")
+        crossing = stage(pairs.join(done, ["a", "b"], "left_anti"), "jaccard-crossing")
+        drop_staged(self.spark, "jaccard-mixed", "jaccard-stars")
+        return crossing
 
-    def verify(self, pairs: DataFrame, first: DataFrame) -> DataFrame:
-        prefixes = first.filter(F.size("rare") + F.size("common") > 0).select("node", "n", F.concat("rare", "common").alias("prefix")).dropDuplicates(["node"])
+    def verify(self, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
         near = stage(_by_prefix(pairs, prefixes, self.percent).distinct(), "jaccard-near")
+        drop_staged(self.spark, "jaccard-brief", "jaccard-brief-ends")
         ends = stage(near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct(), "jaccard-ends")
         wanted = bloom(ends, "node") if not self.shared.count() else bloom(ends.unionAll(self.shared.select(F.col("set").alias("node"))), "node")
         sent = self.spark.sparkContext.broadcast((self.classes, wanted))
@@ -339,7 +356,15 @@ class _Join:
         sets = self.rows.mapInArrow(_whole_sets(self.k, sent), f"id {id_type}, set long, set2 long, members array<long>")
         sets = self._firsts(self._named(sets)).select("node", "members")
         sets = stage(sets.join(ends, "node", "left_semi"), "jaccard-whole")
-        return stage(_verified(near, sets, self.percent).distinct(), "jaccard-links")
+        release(self.spark)
+        links = stage(_verified(near, sets, self.percent).distinct(), "jaccard-links")
+        drop_staged(self.spark, "jaccard-near", "jaccard-ends", "jaccard-whole")
+        return links
+
+    def labels(self, links: DataFrame) -> DataFrame:
+        found = stage(components(links), "jaccard-labels")
+        drop_staged(self.spark, "links", "links-least")
+        return found
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,15 +384,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         members, first = join.nodes()
         light = stage(join.light_links(first), "jaccard-light")
         postings = join.postings(first)
-        release(docs.sparkSession)
+        prefixes = join.prefixes(first)
+        drop_staged(docs.sparkSession, "jaccard-sets", "jaccard-copies")
         stars = join.star_pairs(postings)
-        links = light.unionAll(join.verify(stars, first))
-        release(docs.sparkSession)
-        labels = stage(components(links), "jaccard-labels")
+        links = light.unionAll(join.verify(stars, prefixes))
+        labels = join.labels(links)
         crossing = join.cross_pairs(postings, labels, stars)
         if not crossing.isEmpty():
-            links = links.unionAll(join.verify(crossing, first))
-            labels = stage(components(links), "jaccard-labels")
+            links = links.unionAll(join.verify(crossing, prefixes))
+            labels = join.labels(links)
         label = F.coalesce("component", "node")
         named = keep(members.join(labels, "node", "left").select("id", "n", label.alias("label")), "jaccard-named")
         smallest = keep(named.filter("n > 0").groupBy("label").agg(F.min("id").alias("component_id")), "jaccard-smallest")

@@ -127,6 +127,27 @@ def test_jaccard_null_ids_and_repeats(spark):
     assert got == Counter({(None, 2, 1): 2, (1, 2, 1): 2, (None, 2, None): 1, (2, 0, 2): 1})
 
 
+def test_jaccard_tables_go_once_read(spark, monkeypatch):
+    """The sets go once prefixes and lists are there, each later table with its last use."""
+    from orthoflow.llm import common
+
+    there = {}
+    stage = ngram_jaccard.stage
+
+    def watched(df, name):
+        there[name] = {path.rsplit("/", 1)[1].rsplit("-", 1)[0] for path in common._SCOPES[-1]}
+        return stage(df, name)
+
+    monkeypatch.setattr(ngram_jaccard, "stage", watched)
+    text = lambda t, edited=(): " ".join(f"w{t}x{i}" + "e" * (i in edited) for i in range(120))
+    rows = [(1, text(0)), (2, text(0, {60})), (3, text(0, {119})), (4, text(1)), (5, text(1, {30, 90})), (6, text(2)), (7, text(2, set(range(0, 120, 9)))), (8, None)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (116, 1), 2: (116, 1), 3: (116, 1), 4: (116, 4), 5: (116, 4), 6: (116, 6), 7: (116, 7), 8: (0, 8)}
+    assert "jaccard-sets" not in there["jaccard-links"] and "jaccard-sets" not in there["jaccard-stars"]
+    assert not {"jaccard-whole", "jaccard-near", "jaccard-brief"} & there["jaccard-labels"]
+    assert "jaccard-postings" not in there["jaccard-crossing"]
+
+
 def test_boundary_choice():
     assert ngram_jaccard.need(10, 10) == 9 and ngram_jaccard.need(4, 5) == 4 and list(ngram_jaccard.partners(10)) == [8, 9, 10, 11, 12]
     # enumerating exact subsets is the definition: sharing one is the same as being similar
