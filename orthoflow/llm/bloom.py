@@ -65,6 +65,6 @@ def bloom(keys: DataFrame, column: str, max_bytes: int = 32 << 20, bits_per_key:
     block = F.shiftrightunsigned(F.col(column), 64 - log2) if log2 else F.lit(0)
     made = keys.select(F.col(column).alias("key"), block.alias("block")).repartition("block").mapInArrow(_builder(log2), "block int, bits binary")
     bits = np.zeros((1 << log2, 1 << (BLOCK_BITS - 3)), np.uint8)
-    for r in made.toLocalIterator():
+    for r in made.coalesce(8).toLocalIterator():  # a job for each partition
         bits[r["block"]] |= np.frombuffer(r["bits"], np.uint8)
     return Bloom(log2, bits)

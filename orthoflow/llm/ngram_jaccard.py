@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthoflow.llm.bloom import bloom
-from orthoflow.llm.common import SPACED, Sequences, Words, drop_staged, list_array, mix, prepare, release, scratch, small, stage, window_starts, word_runs
+from orthoflow.llm.common import SPACED, Sequences, Words, drop_staged, few_files, list_array, mix, prepare, release, scratch, small, stage, window_starts, word_runs
 from orthoflow.llm.components import components
 
 SKETCH_BITS = 20
@@ -141,7 +141,7 @@ def shingle_classes(texts: DataFrame, k: int) -> tuple[np.ndarray, dict[int, int
     counted = texts.mapInArrow(_count(k), "block int, counts binary").repartition("block").mapInArrow(_add, "block int, counts binary")
     cells = np.zeros((1 << SKETCH_BITS) // _BLOCK * _BLOCK, np.int64).reshape(-1, _BLOCK)
     sizes = np.zeros(_BLOCK, np.int64)
-    for r in counted.toLocalIterator():  # a fixed number of blocks
+    for r in counted.coalesce(8).toLocalIterator():  # a fixed number of blocks; a job for each partition
         (sizes if r["block"] < 0 else cells[r["block"]])[:] += np.frombuffer(r["counts"], np.int64)
     usual = max(16.0, 4.0 * cells.mean())
     classes = np.clip(np.ceil(np.log2(np.maximum(cells.ravel(), 1) / usual)), 0, 7).astype(np.uint8)
@@ -233,8 +233,9 @@ def _by_prefix(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame
     shared members up to there are shared by the prefixes, so the overlap is at most what they
     share and what that set has left. The prefixes travel as 15 bits of each member: members that
     share them within a prefix are added to the count, so it is never too low."""
-    ends = stage(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "jaccard-brief-ends")
-    brief = stage(prefixes.join(small(ends, 16), "node").dropDuplicates(["node"]), "jaccard-brief")
+    rows = 2 * pairs.count()
+    ends = stage(few_files(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), rows), "jaccard-brief-ends")
+    brief = stage(few_files(prefixes.join(small(ends, 16, rows=rows), "node").dropDuplicates(["node"]), rows), "jaccard-brief")
     one, two = (brief.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("n", "p", "bits")]) for c in ("a", "b"))
     both = pairs.join(one, "a").join(two, "b")
     double = F.least(*[F.col(f"{c}_p") - F.size(f"{c}_bits") for c in ("a", "b")])
@@ -314,9 +315,9 @@ class _Join:
             release(self.spark)
         heads = common.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min("where").alias("least"))
         heads = stage(heads.filter("low != high").select("token", "least"), "jaccard-heads")
-        common = stage(common.join(heads, "token"), "jaccard-common")
+        common = stage(common.join(small(heads, 16), "token"), "jaccard-common")
         at_head = stage(common.filter("where = least").groupBy("token").agg(F.min("node").alias("head")), "jaccard-centers")
-        common = common.join(at_head, "token").select("token", "node", "where", F.struct(F.col("least").alias("where"), F.col("head").alias("node")).alias("center"))
+        common = common.join(small(at_head, 16), "token").select("token", "node", "where", F.struct(F.col("least").alias("where"), F.col("head").alias("node")).alias("center"))
         lists.append(stage(common, "jaccard-postings"))
         drop_staged(self.spark, "jaccard-heads", "jaccard-common", "jaccard-centers")
         return reduce(DataFrame.unionAll, lists)
@@ -334,28 +335,29 @@ class _Join:
 
     def cross_pairs(self, postings: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame:
         """Pairs of different components that share a list and were not compared yet."""
-        named = postings.select("token", "node", "where").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        named = postings.select("token", "node", "where").join(small(labels, 16), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
         named = stage(named, "jaccard-labelled")
         mixed = stage(named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("token"), "jaccard-tokens")
-        named = stage(named.join(mixed, "token"), "jaccard-mixed")
+        named = stage(named.join(small(mixed, 8), "token"), "jaccard-mixed")
         drop_staged(self.spark, "jaccard-postings", "jaccard-labelled", "jaccard-tokens")
         x, y = (named.select("token", F.col("node").alias(f"{c}"), F.col("where").alias(f"{c}_where"), F.col("label").alias(f"{c}_label")) for c in "xy")
         pairs = x.join(y, "token").filter((F.col("x") < F.col("y")) & (F.col("x_label") != F.col("y_label")) & _pair_filter(self.percent))
         pairs = pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        crossing = stage(pairs.join(done, ["a", "b"], "left_anti"), "jaccard-crossing")
+        crossing = stage(pairs.join(small(done, 16), ["a", "b"], "left_anti"), "jaccard-crossing")
         drop_staged(self.spark, "jaccard-mixed", "jaccard-stars")
         return crossing
 
     def verify(self, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
         near = stage(_by_prefix(pairs, prefixes, self.percent).distinct(), "jaccard-near")
         drop_staged(self.spark, "jaccard-brief", "jaccard-brief-ends")
-        ends = stage(near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct(), "jaccard-ends")
+        rows = 2 * near.count()
+        ends = stage(few_files(near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct(), rows), "jaccard-ends")
         wanted = bloom(ends, "node") if not self.shared.count() else bloom(ends.unionAll(self.shared.select(F.col("set").alias("node"))), "node")
         sent = self.spark.sparkContext.broadcast((self.classes, wanted))
         id_type = self.rows.schema["id"].dataType.simpleString()
         sets = self.rows.mapInArrow(_whole_sets(self.k, sent), f"id {id_type}, set long, set2 long, members array<long>")
         sets = self._firsts(self._named(sets)).select("node", "members")
-        sets = stage(sets.join(ends, "node", "left_semi"), "jaccard-whole")
+        sets = stage(sets.join(small(ends, 8, rows=rows), "node", "left_semi"), "jaccard-whole")
         release(self.spark)
         links = stage(_verified(near, sets, self.percent).distinct(), "jaccard-links")
         drop_staged(self.spark, "jaccard-near", "jaccard-ends", "jaccard-whole")
@@ -394,7 +396,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
             links = links.unionAll(join.verify(crossing, prefixes))
             labels = join.labels(links)
         label = F.coalesce("component", "node")
-        named = keep(members.join(labels, "node", "left").select("id", "n", label.alias("label")), "jaccard-named")
+        named = keep(members.join(small(labels, 16), "node", "left").select("id", "n", label.alias("label")), "jaccard-named")
         smallest = keep(named.filter("n > 0").groupBy("label").agg(F.min("id").alias("component_id")), "jaccard-smallest")
     out = named.filter("n > 0").join(smallest, "label").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
     return out.unionAll(named.filter("n = 0").select("id", "n", "id"))

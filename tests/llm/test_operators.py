@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orthoflow.llm import decontaminate, exact_dedup, license_scan, line_dedup, mixing, ngram_jaccard, secret_scan, substring_dedup, toxicity, warc
+from orthoflow.llm import bloom, common, components, decontaminate, exact_dedup, license_scan, line_dedup, mixing, ngram_jaccard, secret_scan, substring_dedup, toxicity, warc
 from orthoflow.llm.common import scratch_path
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -660,3 +660,53 @@ def test_licenses(spark, docs, rows, empty):
     assert by[8].labels == [] and by[10].labels == ["bsd"] and by[6].score == 0
     assert license_scan.scan_licenses(empty).count() == 0
     assert {r.doc_id: r.n_words for r in license_scan.scan_licenses(docs).collect()} == {r[0]: len(ALNUM.findall(low(r[1]))) for r in rows}
+
+
+def count_tasks(spark, run):
+    """What ``run`` returns, and the number of tasks of its jobs."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group := f"count-{id(run)}", "")
+    try:
+        out = run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return out, sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """Shuffles of 31 partitions that nothing puts together."""
+    held = {"spark.sql.shuffle.partitions": "31", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_components_take_few_tasks(spark, many_partitions, monkeypatch, limit):
+    if limit is not None:  # as of many links: joins by shuffles, tables as they are dealt
+        monkeypatch.setattr(common, "FEW_ROWS", limit)
+        monkeypatch.setattr(components, "small", lambda df, row_bytes, rows=None: df)
+    links = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 40)] + [(300, 200), (250, 300), (7, 7), (3, 2)]
+    table = spark.createDataFrame(links, "a long, b long")
+    with common.scratch(spark):
+        got, tasks = count_tasks(spark, lambda: {tuple(r) for r in components.components(table).collect()})
+    want = {(i, 0) for i in range(21)} | {(i, 100) for i in range(100, 140)} | {(i, 200) for i in (200, 250, 300)}
+    assert got == want
+    assert limit == 0 or tasks < 600, tasks
+
+
+def test_counts_and_filter_take_few_jobs(spark, many_partitions):
+    texts = spark.createDataFrame([(i, f"a b c d e f{i % 5}") for i in range(50)], "id long, text string")
+    (classes, sizes), tasks = count_tasks(spark, lambda: ngram_jaccard.shingle_classes(texts, 5))
+    assert sizes == {2: 50} and len(classes) == 1 << ngram_jaccard.SKETCH_BITS
+    assert tasks < 31, tasks
+    keys = spark.range(4000).select(F.xxhash64("id").alias("k"))
+    made, tasks = count_tasks(spark, lambda: bloom.bloom(keys, "k", bits_per_key=4096))
+    assert made.blocks_log2 > 0 and made.has(np.array([r.k for r in keys.collect()], np.int64).view(np.uint64)).all()
+    assert tasks < 31, tasks
