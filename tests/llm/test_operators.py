@@ -710,3 +710,16 @@ def test_counts_and_filter_take_few_jobs(spark, many_partitions):
     made, tasks = count_tasks(spark, lambda: bloom.bloom(keys, "k", bits_per_key=4096))
     assert made.blocks_log2 > 0 and made.has(np.array([r.k for r in keys.collect()], np.int64).view(np.uint64)).all()
     assert tasks < 31, tasks
+
+
+def test_lines_leave_no_tables(spark, tmp_path):
+    """What is of no more use is deleted while the rest is worked on."""
+    rows = [(i, f"one two three four five six seven eight nine {i % 7}\nAB, cd! ef {i % 3} gh\n\u4f60\u597d\u4e16\u754c") for i in range(30)]
+    held = []
+    with pytest.MonkeyPatch.context() as patch:
+        kept = line_dedup.stage
+        patch.setattr(line_dedup, "stage", lambda df, name: (kept(df, name), held.append((name, sorted(p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in common._SCOPES[-1]))))[0])
+        line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    last = next(names for name, names in held if name == "line-firsts")
+    gone = {"line-heads", "line-members-0", "line-labelled", "line-keys-mixed", "line-mixed", "line-ends", "line-wanted", "line-texts", "line-named", "links", "links-least"}
+    assert "line-nodes" in last and not gone & set(last)
