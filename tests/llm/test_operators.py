@@ -723,3 +723,21 @@ def test_lines_leave_no_tables(spark, tmp_path):
     last = next(names for name, names in held if name == "line-firsts")
     gone = {"line-heads", "line-members-0", "line-labelled", "line-keys-mixed", "line-mixed", "line-ends", "line-wanted", "line-texts", "line-named", "links", "links-least"}
     assert "line-nodes" in last and not gone & set(last)
+
+
+def test_lines_are_made_once(spark, monkeypatch):
+    """Where lines are cut up, normal forms and word hashes are made once, with no inferred filter that makes
+    them again; edit distances are found up to the threshold only."""
+    rows = [(i, f"one two three four five six seven eight nine {i % 7}\nAB, cd! ef {i % 3} gh") for i in range(30)]
+    plans, kept = {}, common.stage
+
+    def told(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df, name)
+
+    monkeypatch.setattr(common, "stage", told)
+    monkeypatch.setattr(line_dedup, "stage", told)
+    got = {r.doc_id: (r.n_lines, r.dropped) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == lines_brute(spark, rows, 64, 0.8, 3)
+    assert plans["lines"].count("lower(") == plans["lines"].count("xxhash64(") == plans["line-texts"].count("lower(") == 1
+    assert re.search(r"levenshtein\(a_words#\d+, b_words#\d+, Some\(", plans["line-links"])
